@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import hosts, langid, media, packing, quality
+from cellgrove.llm import hosts, langid, media, packing, quality, shingles
 from cellgrove.llm.common import crc_mod
 
 
@@ -48,11 +48,16 @@ def op8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
     "op4_language": op4_language,
     "op6_packing": op6_packing,
     "op8_hosts": op8_hosts,
+    "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}
