@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import hosts, langid, media, packing, quality, shingles
+from cellgrove.llm import hosts, langid, media, packing, paragraphs, quality, shingles, vectors
 from cellgrove.llm.common import crc_mod
 
 
@@ -52,12 +52,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(_table(spark, sf_dir, "documents"))
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
     "op4_language": op4_language,
     "op6_packing": op6_packing,
+    "op7_paragraphs": op7_paragraphs,
     "op8_hosts": op8_hosts,
+    "op9_vectors": op9_vectors,
     "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}
