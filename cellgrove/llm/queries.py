@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import hosts, langid, media, packing, paragraphs, quality, shingles, vectors
+from cellgrove.llm import hosts, langid, media, packing, paragraphs, pieces, quality, shingles, vectors, warc
 from cellgrove.llm.common import crc_mod
 
 
@@ -28,6 +28,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.sniff(stored, "media", "declared"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_checked(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
@@ -35,6 +39,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,7 +72,9 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_language": op4_language,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_paragraphs": op7_paragraphs,
     "op8_hosts": op8_hosts,
