@@ -225,21 +225,37 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return train(x[again], lengths[again], labels[again], classes, **params)
 
 
+def _labels(texts: list[str], model: BiGRU) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    has = np.array([bool(model.classes) and _LETTER.search(t) is not None for t in texts], bool)
+    lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    keep = np.flatnonzero(has)
+    if keep.size:
+        p = predict_bytes(model, [texts[i].encode("utf-8", "replace") for i in keep])
+        best = p.argmax(axis=1)
+        lang[keep] = np.array(model.classes, object)[best]
+        score[keep] = np.clip(p[np.arange(len(keep)), best], 0.0, 1.0)
+    return lang, score
+
+
 def detect(docs: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score (the mean probability of lang_pred)."""
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch)
-        has = np.array([bool(model.classes) and _LETTER.search(t) is not None for t in texts], bool)
-        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        keep = np.flatnonzero(has)
-        if keep.size:
-            p = predict_bytes(model, [texts[i].encode("utf-8", "replace") for i in keep])
-            best = p.argmax(axis=1)
-            lang[keep] = np.array(model.classes, object)[best]
-            score[keep] = np.clip(p[np.arange(len(keep)), best], 0.0, 1.0)
+        lang, score = _labels(texts_of(batch), model)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     out = arrow_rows(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), run, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: BiGRU, text_col: str = "text", least: float = 0.35, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows, unchanged, whose language is one of languages (any learnt one) with a score of at least least."""
+    wanted, at = np.array(languages or model.classes, object), docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = _labels([t if t is not None else "" for t in batch.column(at).to_pylist()], model)
+        return batch.filter(pa.array(np.isin(lang.astype(str), wanted.astype(str)) & (score >= least)))
+
+    return arrow_rows(docs, run, docs.schema)

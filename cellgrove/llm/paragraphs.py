@@ -119,8 +119,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clash = {"gone_id", "gone_lines"} & set(names)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    lines = F.split(col(text_col), "\n", -1)
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(0), F.size(lines) - 1).alias("at")), lambda x: ~F.array_contains("gone_lines", x["at"])), lambda x: x["line"]), "\n")
+    lines = F.filter(F.split(col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone_lines"), i))
+    kept = F.array_join(lines, "\n")
     joined = docs.join(gone, col(id_col).cast("long") == F.col("gone_id"), "left")
     text = F.when(F.col("gone_lines").isNull() | col(text_col).isNull(), col(text_col)).otherwise(kept)
     return joined.select(*[text.alias(text_col) if c == text_col else col(c) for c in names])

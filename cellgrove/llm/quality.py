@@ -195,3 +195,14 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(model.score(_matrix(b)), 0.0, 1.0))], names=["doc_id", "score"])
 
     return arrow_rows(stats, run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, unchanged, whose text scores at least least."""
+    at = docs.columns.index(text_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([statistics(t if t is not None else "") for t in b.column(at).to_pylist()], np.float64)
+        return b.filter(pa.array(model.score(x) >= least))
+
+    return arrow_rows(docs, run, docs.schema)
