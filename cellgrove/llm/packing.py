@@ -4,7 +4,7 @@ A document is its token ids followed by an end id; only documents longer than th
 Pieces are dealt into groups by a hash and each group is packed: fill a sequence greedily with the longest
 piece that fits, then replace its smallest piece by two unpacked pieces that fit the expanded gap more
 tightly. Sequences that stay loose are dissolved and packed again with those of other groups, level by
-level, until one group is left, so no task ever holds more than ``group_pieces`` pieces or so.
+level, as long as that helps, so no task ever holds more than ``group_pieces`` pieces or so.
 
 Null and empty texts are the end id alone (length 1). Very long texts are cut into full pieces plus a rest.
 Repeated rows are packed as often as they occur. An empty table gives an empty table. Ties between pieces
@@ -197,26 +197,30 @@ def _packer(capacity: int, level: int, slack: int) -> Callable[[pa.Table], pa.Ta
     return pack
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 3000, slack: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 3000, again_pieces: int = 250, slack: int = 128) -> DataFrame:
     """Every piece of every document with its sequence_id and its gapless offset there.
 
-    group_pieces: pieces that one task packs together, within a factor of about two; slack: unused tokens
-    from which a sequence counts as loose and is packed again.
+    group_pieces: pieces that one task packs together at first, again_pieces: at the later levels, each
+    within a factor of about two; slack: unused tokens from which a sequence counts as loose and is packed
+    again, as long as that halves what is loose.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     todo = stage(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pack-pieces")
-    done, level = [], 0
+    n, level, done = todo.count(), 0, []
+    groups = max(1, -(-n // group_pieces))
     while True:
-        groups = max(1, -(-todo.count() // group_pieces))
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)).cast("long"))
         packed = dealt.groupBy("grp").applyInArrow(_packer(capacity, level, slack if groups > 1 else capacity), PACKED.format(id=kind) + ", loose boolean")
         packed = stage(packed, "pack-level")
-        done.append(packed.where(~F.col("loose")).drop("loose"))
-        if groups == 1:
+        left = packed.where("loose").count() if groups > 1 else 0
+        if not left or 2 * left > n:
+            done.append(packed.drop("loose"))
             break
+        done.append(packed.where(~F.col("loose")).drop("loose"))
         todo = packed.where("loose").drop("loose", "sequence_id", "offset")
-        level += 1
+        n, level = left, level + 1
+        groups = max(1, -(-n // again_pieces))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
