@@ -1 +1 @@
-
+"""Column functions: everything stays inside generated code."""

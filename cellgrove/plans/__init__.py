@@ -1 +1 @@
-
+"""The catalogue of queries and their DuckDB statements."""

@@ -1 +1 @@
-
+"""Structured Streaming: incremental ingest and running means."""
