@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import hosts, langid, media, packing, paragraphs, pieces, quality, shingles, vectors, warc
+from cellgrove.llm import hosts, langid, media, oracles, packing, paragraphs, pieces, quality, shingles, vectors, warc
 from cellgrove.llm.common import crc_mod
 
 
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vectors": op9_vectors,
     "op10_minhash": op10_minhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
