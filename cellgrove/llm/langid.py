@@ -85,6 +85,41 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
+def gradients(m: BiGRU, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy of all positions, by backpropagation through time; x and mask (L, B)."""
+    length, n = x.shape
+    h_dim, kept = m.u.shape[2], []
+    states = _forward(m, x, mask, kept)
+    p = _softmax(np.matmul(m.v, states) + m.c)
+    p[:, labels, np.arange(n)] -= 1.0
+    p *= (mask / max(1.0, mask.sum()))[:, None, :]
+    g = {"v": np.einsum("lcb,lhb->ch", p, states, optimize=True), "c": p.sum(axis=(0, 2))[:, None], "u": np.zeros_like(m.u)}
+    into = np.matmul(m.v.T, p)  # (L, 2H, B)
+    d_rows = np.empty((2, length, n, 3 * h_dim), np.float32)
+    dh = np.zeros((2, h_dim, n), np.float32)
+    for t in range(length - 1, -1, -1):
+        back = length - 1 - t
+        before, zr, cand, an = kept[t]
+        z, r = zr[:, :h_dim], zr[:, h_dim:]
+        dh[0] += into[t, :h_dim]
+        dh[1] += into[back, h_dim:]
+        dh[0] *= mask[t]
+        dh[1] *= mask[back]
+        d_pre = dh * (1.0 - z) * (1.0 - cand * cand)
+        d_z = dh * (before - cand) * 0.25 * ((z > 0) & (z < 1))
+        d_r = d_pre * an * 0.25 * ((r > 0) & (r < 1))
+        d_a = np.concatenate([d_z, d_r, d_pre * r], axis=1)
+        g["u"] += np.matmul(d_a, before.transpose(0, 2, 1))
+        d_x = np.concatenate([d_z, d_r, d_pre], axis=1).transpose(0, 2, 1)
+        d_rows[0, t], d_rows[1, back] = d_x[0], d_x[1]
+        dh = dh * z + np.matmul(m.u.transpose(0, 2, 1), d_a)
+    flat = x.reshape(-1)
+    hot = np.zeros((flat.size, 256), np.float32)
+    hot[np.arange(flat.size), flat] = 1.0
+    g["wx"] = np.stack([hot.T @ d_rows[d].reshape(-1, 3 * h_dim) for d in (0, 1)])
+    return g
+
+
 def train(x: np.ndarray, lengths: np.ndarray, labels: np.ndarray, classes: tuple[str, ...], hidden: int = 8, epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 7) -> BiGRU:
     """Adam on the mean cross entropy of all positions; x (N, L) bytes, lengths (N), labels (N) class numbers."""
     rng = np.random.default_rng(seed)
@@ -105,35 +140,7 @@ def train(x: np.ndarray, lengths: np.ndarray, labels: np.ndarray, classes: tuple
             pick = order[lo : lo + batch]
             xb = np.ascontiguousarray(x[pick].T).astype(np.intp)
             mask = (np.arange(length)[:, None] < lengths[pick][None, :]).astype(np.float32)
-            model, kept = BiGRU(classes, **w), []
-            states = _forward(model, xb, mask, kept)
-            p = _softmax(np.matmul(w["v"], states) + w["c"])
-            p[:, labels[pick], np.arange(len(pick))] -= 1.0
-            p *= (mask / max(1.0, mask.sum()))[:, None, :]
-            g = {"v": np.einsum("lcb,lhb->ch", p, states, optimize=True), "c": p.sum(axis=(0, 2))[:, None], "u": np.zeros_like(w["u"])}
-            into = np.matmul(w["v"].T, p)  # (L, 2H, B)
-            d_rows = np.empty((2, length, len(pick), 3 * h_dim), np.float32)
-            dh = np.zeros((2, h_dim, len(pick)), np.float32)
-            for t in range(length - 1, -1, -1):
-                back = length - 1 - t
-                before, zr, cand, an = kept[t]
-                z, r = zr[:, :h_dim], zr[:, h_dim:]
-                dh[0] += into[t, :h_dim]
-                dh[1] += into[back, h_dim:]
-                dh[0] *= mask[t]
-                dh[1] *= mask[back]
-                d_pre = dh * (1.0 - z) * (1.0 - cand * cand)
-                d_z = dh * (before - cand) * 0.25 * ((z > 0) & (z < 1))
-                d_r = d_pre * an * 0.25 * ((r > 0) & (r < 1))
-                d_a = np.concatenate([d_z, d_r, d_pre * r], axis=1)
-                g["u"] += np.matmul(d_a, before.transpose(0, 2, 1))
-                d_x = np.concatenate([d_z, d_r, d_pre], axis=1).transpose(0, 2, 1)
-                d_rows[0, t], d_rows[1, back] = d_x[0], d_x[1]
-                dh = dh * z + np.matmul(w["u"].transpose(0, 2, 1), d_a)
-            flat = xb.reshape(-1)
-            hot = np.zeros((flat.size, 256), np.float32)
-            hot[np.arange(flat.size), flat] = 1.0
-            g["wx"] = np.stack([hot.T @ d_rows[d].reshape(-1, 3 * h_dim) for d in (0, 1)])
+            g = gradients(BiGRU(classes, **w), xb, mask, labels[pick])
             step += 1
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             scale = min(1.0, 1.0 / max(norm, 1e-9))
