@@ -82,6 +82,30 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """fn of whole groups, many at a time: a table sorted by the integer keys, and where each group starts and ends.
+
+    For groups of a bounded size: those that a batch cuts wait for the next one.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            k = np.stack([t.column(c).to_numpy() for c in keys])
+            change = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            held = t
+            if len(change):
+                held = t.slice(change[-1])
+                yield from fn(t.slice(0, change[-1]), np.concatenate([[0], change[:-1]]), change).to_batches()
+        if held is not None and held.num_rows:
+            yield from fn(held, np.array([0]), np.array([held.num_rows])).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]

@@ -46,13 +46,13 @@ def _mark(df: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 300_000) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node it is connected to."""
     ship(links.sparkSession)
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edges = stage(pairs.mapInArrow(_forest, "hi long, lo long").distinct(), "components-links")
     mark = _mark(edges)
-    while mark[0]:
+    while mark[0] > few:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -64,5 +64,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before, mark = mark, _mark(edges)
         if mark == before:
             break
+    else:
+        edges = stage(edges.repartition(1).mapInArrow(_forest, "hi long, lo long"), "components-small")
     nodes = edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     return stage(nodes.union(edges.select("lo", "lo").distinct().toDF("node", "component")), "components")

@@ -6,8 +6,8 @@ that the similar pairs form, so pairs inside a component already found need no c
 
 1. every member of a list is paired with the list's first item; sketches filter the pairs;
 2. each item's best such pair is verified on full sets, then the others that still join two components;
-3. lists that still hold several components are compared across components, in blocks of bounded size, by
-   sketch; survivors are verified.
+3. lists that still hold several components are compared across components, in pairs of blocks of bounded
+   size: by sketch first, then those with a possible partner on full sets. Only links leave a task.
 
 After step 3 every pair that shares a token and passes the sketch filter is verified or inside a component.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import ship, stage
+from cellgrove.llm.common import arrow_rows, by_group, ship, stage
 from cellgrove.llm.components import components
 
 SKETCH = 35
@@ -83,15 +83,20 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def minima(x: np.ndarray) -> np.ndarray:
-    """The SKETCH minhash coordinates (32 bits each) of a non-empty set of hashes."""
-    out = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
-    for lo in range(0, len(x), 8192):
-        some = x[lo : lo + 8192]
-        for j in range(SKETCH):
-            v = ((some * _MULT[j] + _ADD[j]) >> _SH).min()
-            if v < out[j]:
-                out[j] = v
+def minima(sets: list[np.ndarray], at_once: int = 1 << 15) -> np.ndarray:
+    """The SKETCH minhash coordinates (32 bits each) of every set of hashes, (n, SKETCH); of an empty set the largest."""
+    out = np.full((len(sets), SKETCH), np.iinfo(np.uint32).max, np.uint32)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    lo = 0
+    while lo < len(sets):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), at_once)))
+        some = np.flatnonzero(sizes[lo:hi]) + lo
+        if len(some):
+            flat = np.concatenate([sets[i] for i in some])
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            for j in range(SKETCH):
+                out[some, j] = np.minimum.reduceat((flat * _MULT[j] + _ADD[j]) >> _SH, starts)
+        lo = hi
     return out
 
 
@@ -117,36 +122,115 @@ def _np_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def as_column(sets: list[np.ndarray]) -> pa.Array:
+    """Sets of hashes as sorted lists of longs."""
+    return pa.array([np.sort(x.astype(np.int64)) for x in sets], pa.list_(pa.int64()))
+
+
+def _lists(column) -> list[np.ndarray]:
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * |intersection| >= percent * |union|."""
     left = sets.select(F.col("rep").alias("a"), F.col("x").alias("xa"))
     right = sets.select(F.col("rep").alias("b"), F.col("x").alias("xb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("xa", "xb"))
-    return both.where(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b")
-
-
-def _across(least: int, percent: int):
-    """Candidate pairs across components between two blocks of one list."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        s, side = np.stack([t.column(c).to_numpy() for c in _LONGS], axis=1), t.column("side").to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(left), 256):
-            k = left[lo : lo + 256]
-            small, big = np.minimum(n[k][:, None], n[right]), np.maximum(n[k][:, None], n[right])
-            ok = (comp[k][:, None] != comp[right]) & (100 * small >= percent * big) & (_np_matches(s[k], s[right]) >= least)
-            i, j = np.nonzero(ok)
-            out_a.append(np.minimum(rep[k][i], rep[right][j]))
-            out_b.append(np.maximum(rep[k][i], rep[right][j]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    def run(t: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(_lists(t.column("xa")), _lists(t.column("xb")), strict=True):
+            k = _common(x, y)
+            keep.append(100 * k >= percent * (len(x) + len(y) - k))
+        return t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return arrow_rows(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb"), run, "a long, b long")
+
+
+def _meeting(least: int, percent: int):
+    """The items of two blocks of one list that have a partner in the other by component, size and sketch."""
+
+    def run(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+        comp, n, side = (t.column(c).to_numpy() for c in ("comp", "n", "side"))
+        s = np.stack([t.column(c).to_numpy() for c in _LONGS], axis=1)
+        keep = np.zeros(len(n), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            zero = side[a:b] == 0
+            left, right = np.flatnonzero(zero) + a, np.flatnonzero(~zero) + a
+            for lo in range(0, len(left), 256):
+                k = left[lo : lo + 256]
+                nk = n[k][:, None]
+                ok = (comp[k][:, None] != comp[right]) & (100 * np.minimum(nk, n[right]) >= percent * np.maximum(nk, n[right]))
+                if ok.any():
+                    ok &= _np_matches(s[k], s[right]) >= least
+                    keep[k[ok.any(axis=1)]] = True
+                    keep[right[ok.any(axis=0)]] = True
+        return t.select(["token", "i", "j", "side", "rep", "comp"]).filter(pa.array(keep))
+
+    return run
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of 0/1 matrices, some elements at a time."""
+    sizes = [len(x) for x in left + right]
+    value, index, count = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sizes)), sizes), count[index] > 1
+    place = (np.cumsum(count > 1) - 1)[index[shared]]
+    row = row[shared]
+    order = np.argsort(place)
+    place, row = place[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int((count > 1).sum()), width):
+        a, b = np.searchsorted(place, [lo, lo + width])
+        some, at = np.unique(row[a:b], return_inverse=True)
+        m = np.zeros((len(some), width), np.float32)
+        m[at, place[a:b] - lo] = 1.0
+        cut = np.searchsorted(some, len(left))
+        if 0 < cut < len(some):
+            out[np.ix_(some[:cut], some[cut:] - len(left))] += m[:cut] @ m[cut:].T
+    return out
+
+
+def _linked(percent: int):
+    """Exact links between two blocks of one list, as (item, smallest item of its local component)."""
+
+    def run(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+        reps, comps, sides = (t.column(c).to_numpy() for c in ("rep", "comp", "side"))
+        every, out, big = _lists(t.column("x")), [np.zeros((0, 2), np.int64)], np.iinfo(np.int64).max
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            rep, comp, sets = reps[a:b], comps[a:b], every[a:b]
+            left, right = np.flatnonzero(sides[a:b] == 0), np.flatnonzero(sides[a:b] == 1)
+            if not (len(left) and len(right)):
+                continue
+            root, n = rep.copy(), np.array([len(y) for y in sets])
+            if len(left) * len(right) <= 16:
+                inter = np.array([[_common(sets[i], sets[j]) for j in right] for i in left])
+            else:
+                inter = _intersections([sets[i] for i in left], [sets[i] for i in right])
+            near = (100 * inter >= percent * (n[left][:, None] + n[right] - inter)) & (comp[left][:, None] != comp[right])
+            while True:
+                before = root.copy()
+                root[left] = np.minimum(root[left], np.where(near, root[right], big).min(axis=1))
+                root[right] = np.minimum(root[right], np.where(near, root[left][:, None], big).min(axis=0))
+                if (root == before).all():
+                    break
+            some = root != rep
+            out.append(np.stack([root[some], rep[some]], axis=1))
+        links = np.concatenate(out)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return run
 
 
-def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], DataFrame], least: int, percent: int = 75, block: int = 1024, label: str = "near") -> DataFrame:
+def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], DataFrame], least: int, percent: int = 75, block: int = 512, label: str = "near") -> DataFrame:
     """(node, component) of the items that have a similar item.
 
     postings: (token, rep); items: (rep, n, s0..) with n the set's size and the sketch; sets: gives (rep, x)
@@ -192,12 +276,12 @@ def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], D
         odd = rows.where("comp <> main").select("*", F.pmod(cut, n_odd).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(0).alias("side"))
         every = rows.select("*", F.explode(F.sequence(F.lit(0), n_odd - 1)).alias("i"), F.pmod(cut, n_all).cast("int").alias("j"), F.lit(1).alias("side"))
         columns = ["token", "i", "j", "side", "rep", "comp", "n", *_LONGS]
-        met = odd.select(columns).union(every.select(columns)).groupBy("token", "i", "j").applyInArrow(_across(least, percent), "a long, b long").distinct()
-        met = stage(met, f"{label}-across")
+        met = by_group(odd.select(columns).union(every.select(columns)), ["token", "i", "j"], _meeting(least, percent), "token long, i int, j int, side int, rep long, comp long")
+        met = stage(met, f"{label}-meeting")
         if met.limit(1).count():
-            ends = met.select(F.col("a").alias("rep")).union(met.select(F.col("b").alias("rep"))).distinct()
-            again = stage(sets(stage(ends, f"{label}-ends")), f"{label}-sets")
-            last = stage(_verify(met, again, percent), f"{label}-links")
+            again = stage(sets(stage(met.select("rep").distinct(), f"{label}-ends")), f"{label}-sets")
+            last = by_group(met.join(again, "rep").select("token", "i", "j", "side", "rep", "comp", "x"), ["token", "i", "j"], _linked(percent), "a long, b long")
+            last = stage(last.distinct(), f"{label}-links")
             if last.limit(1).count():
                 comp = components(links.union(last))
     return comp

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import arrow_rows, col, stage, texts_of
-from cellgrove.llm.neighbours import SKETCH, connect, minima, mix, shingles, sketch, word_hashes
+from cellgrove.llm.neighbours import SKETCH, as_column, connect, minima, mix, shingles, sketch, word_hashes
 
 MIN_WORDS = 20
 _POS = 24
@@ -39,8 +39,9 @@ def tune_bands(threshold: float = 0.75, recall: float = 0.9999, hashes: int = SK
 def _paragraphs(text: str, min_words: int):
     """(line number, shingle set, digest of the word sequence) of each paragraph."""
     for k, line in enumerate(text.split("\n")):
-        words = word_hashes(line.encode("utf-8", "replace"))
-        if len(words) >= min_words:
+        data = line.encode("utf-8", "replace")
+        if len(data.split(None, min_words)) >= min_words:
+            words = word_hashes(data)
             place = np.arange(1, len(words) + 1, dtype=np.uint64)
             yield k, shingles(words), (int(mix(words + mix(place)).sum(dtype=np.uint64).astype(np.int64)), int(mix(words ^ mix(place + np.uint64(1 << 40))).sum(dtype=np.uint64).astype(np.int64)))
 
@@ -49,12 +50,13 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """pid (document id and line in one number), n, d1, d2 and m (minhash values as bytes) of every paragraph."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        pid, n, d1, d2, m = [], [], [], [], []
+        pid, d1, d2, sets = [], [], [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
             if doc is not None:
                 for k, x, (h1, h2) in _paragraphs(text, min_words):
-                    pid.append((doc << _POS) + k), n.append(len(x)), d1.append(h1), d2.append(h2), m.append(minima(x).astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(m, pa.binary())], names=["pid", "n", "d1", "d2", "m"])
+                    pid.append((doc << _POS) + k), d1.append(h1), d2.append(h2), sets.append(x)
+        m = [r.tobytes() for r in minima(sets).astype("<u4")]
+        return pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(m, pa.binary())], names=["pid", "n", "d1", "d2", "m"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     return arrow_rows(rows, run, "pid long, n int, d1 long, d2 long, m binary")
@@ -69,8 +71,8 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int):
             pid, sets = [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
                 for k, x, _ in _paragraphs(text, min_words):
-                    pid.append((doc << _POS) + k), sets.append(x.astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "x"])
+                    pid.append((doc << _POS) + k), sets.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), as_column(sets)], names=["rep", "x"])
 
         return arrow_rows(rows, run, "rep long, x array<long>").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
 

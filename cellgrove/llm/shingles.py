@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import arrow_rows, col, ship, stage, texts_of
-from cellgrove.llm.neighbours import SKETCH, connect, minima, mix, shingles, sketch, word_hashes
+from cellgrove.llm.neighbours import SKETCH, as_column, connect, minima, mix, shingles, sketch, word_hashes
 
 LEAST, BUCKETS = 15, 1 << 20
 
@@ -33,14 +33,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n (set size), d1 and d2 (digest of the set), m (minima as bytes) and the sketch s0.."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, d1, d2, m = [], [], [], []
+        n, d1, d2, sets = [], [], [], []
         for t in texts_of(b):
             x = shingle_set(t)
             n.append(len(x))
             d1.append(int(mix(x ^ np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(x) else 0)
             d2.append(int(mix(x + np.uint64(7)).sum(dtype=np.uint64).astype(np.int64)) if len(x) else 0)
-            m.append(minima(x) if len(x) else np.zeros(SKETCH, np.uint32))
-        rows = np.stack(m)
+            sets.append(x)
+        rows = minima(sets)
         longs = sketch(rows)
         raw = pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), raw, *(pa.array(longs[:, j]) for j in range(longs.shape[1]))], names=["doc_id", "n", "d1", "d2", "m", *(f"s{j}" for j in range(longs.shape[1]))])
@@ -55,7 +55,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str):
 
     def sets(reps: DataFrame) -> DataFrame:
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            x = pa.array([shingle_set(t).astype(np.int64) for t in texts_of(b)], pa.list_(pa.int64()))
+            x = as_column([shingle_set(t) for t in texts_of(b)])
             return pa.RecordBatch.from_arrays([b.column("rep"), x], names=["rep", "x"])
 
         rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text")).join(reps, "rep", "left_semi")
