@@ -42,10 +42,10 @@ def mean_gradient(near: DataFrame, column: str) -> DataFrame:
 
 
 def focal(near: DataFrame, column: str) -> DataFrame:
-    """3 x 3 mean, minimum, maximum, position index and roughness of each cell (near has self-loops)."""
+    """3 x 3 mean, low, high, position index and roughness of each cell (near has self-loops)."""
     v = F.col(f"{column}_src")
     stats = near.groupBy(F.col("dst").alias("node_id"), F.col(f"{column}_dst").alias("value")).agg(F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return stats.select("node_id", "value", "mean", (F.col("value") - F.col("mean")).alias("position"), (F.col("high") - F.col("low")).alias("roughness"))
+    return stats.select("node_id", "value", "mean", "low", "high", (F.col("value") - F.col("mean")).alias("position"), (F.col("high") - F.col("low")).alias("roughness"))
 
 
 def place_truncate(df: DataFrame, height: int, width: int, north: float, west: float, step: float) -> DataFrame:

@@ -190,8 +190,7 @@ def _(v):
 
 @query("focal_stats_3x3", "SELECT dst AS node_id, b.elevation_m AS value, ROUND(avg(a.elevation_m), 6) AS mean, min(a.elevation_m) AS low, max(a.elevation_m) AS high FROM edges JOIN cells a ON src = a.node_id JOIN cells b ON dst = b.node_id GROUP BY dst, b.elevation_m")
 def _(v):
-    f = grid.focal(v.neighbours(["elevation_m"]), "elevation_m")
-    return r6(f.select("node_id", "value", "mean", F.round(F.col("value") - F.col("position"), 6).alias("m2"), "roughness")).join(v.neighbours(["elevation_m"]).groupBy(F.col("dst").alias("node_id")).agg(F.min("elevation_m_src").alias("low"), F.max("elevation_m_src").alias("high")), "node_id").select("node_id", "value", "mean", "low", "high")
+    return r6(grid.focal(v.neighbours(["elevation_m"]), "elevation_m").select("node_id", "value", "mean", "low", "high"))
 
 
 @query("focal_topography", "SELECT dst AS node_id, ROUND(b.elevation_m - avg(a.elevation_m), 6) AS position, max(a.elevation_m) - min(a.elevation_m) AS roughness FROM edges JOIN cells a ON src = a.node_id JOIN cells b ON dst = b.node_id GROUP BY dst, b.elevation_m")
@@ -840,6 +839,26 @@ def _(v):
     return joined.select("vec_id", F.size(full).alias("width"), F.round(full[0], 6).alias("slope"), F.round(full[2], 5).alias("first"))
 
 
+@query("cumulative_variance", f", {LONG}, var AS (SELECT feature, ROUND(var_pop(value), 6) AS v FROM flat WHERE feature <> 'elevation_m' GROUP BY feature) SELECT feature, ROUND(sum(v) OVER (ORDER BY v DESC, feature) / sum(v) OVER (), 6) AS cumulative FROM var")
+def _(v):
+    var = quality.unpivot(v.cells(), [c for c in FEATURES if c != "elevation_m"]).groupBy("feature").agg(F.round(F.var_pop("value"), 6).alias("v"))
+    w = Window.orderBy(F.desc("v"), "feature").rowsBetween(Window.unboundedPreceding, 0)  # one row per feature
+    return r6(var.select("feature", (F.sum("v").over(w) / F.sum("v").over(Window.partitionBy())).alias("cumulative")))
+
+
+@query("scene_status", "SELECT CASE WHEN dn = 0 THEN 'nodata' WHEN dn < 3000 THEN 'dark' ELSE 'valid' END AS status, count(*) AS n, CAST(sum(dn) AS BIGINT) AS total FROM scenes GROUP BY 1")
+def _(v):
+    status = F.when(F.col("dn") == 0, "nodata").when(F.col("dn") < 3000, "dark").otherwise("valid")
+    return v.scenes().groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.sum("dn").alias("total"))
+
+
+@query("model_vs_reference_rank", "SELECT profile, model, CAST(row_number() OVER (PARTITION BY profile ORDER BY macro_f1 DESC, model) AS INTEGER) AS place FROM (" + oracle.scores("profile, model", "preds", columns="ROUND(macro_f1, 6) AS macro_f1") + ")")
+def _(v):
+    scored = r6(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS))
+    w = Window.partitionBy("profile").orderBy(F.desc("macro_f1"), "model")
+    return scored.select("profile", "model", F.row_number().over(w).alias("place"))
+
+
 @query("early_stopping_trace", ", hist AS (SELECT CAST(l_linenumber AS INTEGER) AS epoch, ROUND(avg(l_discount), 6) AS loss FROM lineitem GROUP BY 1) SELECT epoch, loss, min(loss) OVER (ORDER BY epoch) AS best, loss <= min(loss) OVER (ORDER BY epoch) AS improved FROM hist")
 def _(v):
     hist = v.table("lineitem").groupBy(F.col("l_linenumber").cast("int").alias("epoch")).agg(F.round(F.avg("l_discount"), 6).alias("loss"))

@@ -7,13 +7,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
 from cellgrove.operators import grid, rules, split
 from cellgrove.sources import dimensions
 
+_ORDERS = tuple(zip(dimensions.PROFILES, ("abg", "bga", "gab", "agb"), strict=True))
+
+
+def _weights() -> dict[str, Column]:
+    p = F.col("p")
+    return {"a": 1 + p % 97, "b": 1 + F.floor(p / 97) % 97, "g": 1 + F.floor(p / 9409) % 97}
+
 
 class Views:
     """Lazy views of one folder; only the grid's shape is computed at once (a row count)."""
@@ -65,8 +72,7 @@ class Views:
         return rules.classify(self.cells(), self.limits()).select("node_id", "profile", "y")
 
     def weights(self) -> DataFrame:
-        p = F.col("p")
-        return self.cells().select("node_id", (1 + p % 97).alias("a"), (1 + F.floor(p / 97) % 97).alias("b"), (1 + F.floor(p / 9409) % 97).alias("g"))
+        return self.cells().select("node_id", *[c.alias(n) for n, c in _weights().items()])
 
     def probs(self) -> DataFrame:
         total = F.col("a") + F.col("b") + F.col("g")
@@ -75,18 +81,23 @@ class Views:
     def profile_probs(self) -> DataFrame:
         """node_id, profile, p1, p2, p3: the weights in another order for each profile."""
         total = F.col("a") + F.col("b") + F.col("g")
-        orders = zip(dimensions.PROFILES, ("abg", "bga", "gab", "agb"), strict=True)
-        sets = F.array(*[F.struct(F.lit(name).alias("profile"), *[(F.col(c) / total).alias(f"p{i}") for i, c in enumerate(order, 1)]) for name, order in orders])
+        sets = F.array(*[F.struct(F.lit(name).alias("profile"), *[(F.col(c) / total).alias(f"p{i}") for i, c in enumerate(order, 1)]) for name, order in _ORDERS])
         return self.weights().select("node_id", F.inline(sets))
 
     def preds(self) -> DataFrame:
-        """node_id, profile, model, pred of four models, and y."""
-        y, p = F.col("y"), F.col("p")
-        cells = self.cells()
-        full = rules.classify(cells, self.limits()).select("node_id", "profile", "y", "p", "slope", "ndvi", "ndwi", "water_mask")
-        joined = full.join(self.profile_probs(), ["node_id", "profile"]).join(F.broadcast(dimensions.baseline_limits(self.spark)), "profile")  # four rows
+        """node_id, profile, model, pred of four models, and y: all from one pass over the cells, without a shuffle."""
+        y, p, profile = F.col("y"), F.col("p"), F.col("profile")
+        full = rules.classify(self.cells(), self.limits()).select("node_id", "profile", "y", "p", "slope", "ndvi", "ndwi", "water_mask")
+        joined = full.join(F.broadcast(dimensions.baseline_limits(self.spark)), "profile")  # four rows
+        w = _weights()
+        ranked = []
+        for i in range(3):
+            c = F.lit(None).cast("bigint")
+            for name, order in _ORDERS:
+                c = F.when(profile == name, w[order[i]]).otherwise(c)
+            ranked.append(c)
         models = F.array(
-            F.struct(F.lit("gnn").alias("model"), F.when(p % 5 == 0, S.first_argmax([F.col("p1"), F.col("p2"), F.col("p3")])).otherwise(y).alias("pred")),
+            F.struct(F.lit("gnn").alias("model"), F.when(p % 5 == 0, S.first_argmax(ranked)).otherwise(y).alias("pred")),
             F.struct(F.lit("rule").alias("model"), rules.baseline_class().alias("pred")),
             F.struct(F.lit("rf").alias("model"), F.when(p % 11 == 0, 1 + y % 3).otherwise(y).cast("int").alias("pred")),
             F.struct(F.lit("mlp").alias("model"), F.when(p % 7 == 0, 1 + (y + 1) % 3).otherwise(y).cast("int").alias("pred")),
