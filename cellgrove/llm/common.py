@@ -66,13 +66,14 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, rows: int = 1000) -> DataFrame:
+    """mapInArrow with a function of at most so many rows, which bounds what a task holds as Python objects."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
                 out = fn(b)
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()

@@ -17,7 +17,7 @@ from cellgrove.llm.common import ship, stage
 
 
 def _forest(batches):
-    """Links of one partition as (node, smallest node of its local component)."""
+    """Every node of one partition's links with the smallest node of its local component."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -35,8 +35,7 @@ def _forest(batches):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    ends = [(x, find(x)) for x in parent]
-    ends = np.array([e for e in ends if e[0] != e[1]], np.int64).reshape(-1, 2)
+    ends = np.array([(x, find(x)) for x in parent], np.int64).reshape(-1, 2)
     for lo in range(0, len(ends), 65536):
         yield pa.RecordBatch.from_arrays([pa.array(ends[lo : lo + 65536, 0]), pa.array(ends[lo : lo + 65536, 1])], names=["hi", "lo"])
 
@@ -50,9 +49,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 300_000)
     """(node, component) of every node with a link; component is the smallest node it is connected to."""
     ship(links.sparkSession)
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    edges = stage(pairs.mapInArrow(_forest, "hi long, lo long").distinct(), "components-links")
+    local = stage(pairs.mapInArrow(_forest, "hi long, lo long"), "components-local")
+    if local.count() <= few:
+        return stage(local.repartition(1).mapInArrow(_forest, "node long, component long"), "components")
+    edges = stage(local.where("hi <> lo").distinct(), "components-links")
     mark = _mark(edges)
-    while mark[0] > few:
+    while mark[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -64,7 +66,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 300_000)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
-    else:
-        edges = stage(edges.repartition(1).mapInArrow(_forest, "hi long, lo long"), "components-small")
     nodes = edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     return stage(nodes.union(edges.select("lo", "lo").distinct().toDF("node", "component")), "components")

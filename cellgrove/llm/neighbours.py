@@ -239,7 +239,7 @@ def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], D
     ship(items.sparkSession)
     firsts = stage(postings.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("g")).where("g > 1"), f"{label}-firsts")
     shared = stage(postings.join(firsts, "token").select("token", "rep", "pivot"), f"{label}-lists")
-    pairs = stage(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), f"{label}-pairs")
+    pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     la = items.select(F.col("rep").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}a") for c in _LONGS])
     lb = items.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}b") for c in _LONGS])
     equal = matches([F.col(f"{c}a") for c in _LONGS], [F.col(f"{c}b") for c in _LONGS])
@@ -248,7 +248,7 @@ def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], D
     found = stage(found, f"{label}-candidates")
     ends = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct()
     full = stage(sets(stage(ends, f"{label}-ends")), f"{label}-sets")
-    best = stage(found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("t")).select((-F.col("t.a")).alias("a"), "b"), f"{label}-best")
+    best = found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("t")).select((-F.col("t.a")).alias("a"), "b")
     links = stage(_verify(best, full, percent), f"{label}-links")
     comp = components(links)
 
@@ -257,8 +257,7 @@ def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], D
         split = pairs.join(ca, "a", "left").join(cb, "b", "left")
         return split.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    rest = stage(apart(found.join(best, ["a", "b"], "left_anti"), comp), f"{label}-rest")
-    more = stage(_verify(rest, full, percent), f"{label}-links")
+    more = stage(_verify(apart(found, comp), full, percent), f"{label}-links")
     if more.limit(1).count():
         links = links.union(more)
         comp = components(links)

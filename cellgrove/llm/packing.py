@@ -35,7 +35,7 @@ _BEYOND = re.compile("[^\x00-ɏ]")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _MODELS: dict[str, tuple] = {}
 _TAIL = frozenset(".,;:!?|*#%&$")
-_PARTS_MAX, _WORDS_MAX = 800_000, 400_000
+_PARTS_MAX, _WORDS_MAX = 300_000, 150_000
 
 
 def _visible_bytes() -> dict[int, str]:

@@ -34,8 +34,9 @@ def _documents():
         rows.append([i, "\n".join(lines), lang])
         if i % 2:
             labels.append((i, int(good)))
+    good = [r for r in rows if r[0] % 7 != 3]
     for k in range(20):  # near copies of good documents
-        source = rows[(10 + 7 * k) % 300]
+        source = good[10 * k]
         w = source[1].split(" ")
         w[k % len(w)] = "changed"
         rows.append([300 + k, " ".join(w), source[2]])
