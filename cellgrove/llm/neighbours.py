@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cellgrove.llm.common import arrow_rows, by_group, ship, stage
 from cellgrove.llm.components import components
 
-SKETCH = 35
+SKETCH, FILTER_WORDS = 35, 1 << 20
 _LONGS = [f"s{i}" for i in range(SKETCH // 7)]
 _ALL, _TOP = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 _MULT = np.random.default_rng(2024).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -83,6 +83,43 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """The three bits of 64 * FILTER_WORDS that stand for each id, (3, n)."""
+    return np.stack([mix(ids.astype(np.uint64) + np.uint64(k << 56)) % np.uint64(64 * FILTER_WORDS) for k in (1, 2, 3)])
+
+
+def bloom(ids: DataFrame, name: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of arrays of longs: true for every id in a column, and for few that are not there.
+
+    The Bloom filter has 8 MB whatever the table's size, and passes 3 in 100 strangers when it holds ten
+    million ids, more beyond: it only thins out what is shuffled, so an exact join must follow. Null ids are
+    not in it; of an empty column nothing passes.
+    """
+    ship(ids.sparkSession)
+
+    def collect(batches):
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        for b in batches:
+            at = _bits(b.column(0).drop_null().to_numpy()).reshape(-1)
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(words)
+        for lo in range(0, len(used), 65536):
+            some = used[lo : lo + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
+
+    # at most FILTER_WORDS rows of two numbers
+    table = ids.select(F.col(name).cast("long")).mapInArrow(collect, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    def test(x: np.ndarray) -> np.ndarray:
+        at = _bits(x)
+        return ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+    return test
+
+
 def minima(sets: list[np.ndarray], at_once: int = 1 << 15) -> np.ndarray:
     """The SKETCH minhash coordinates (32 bits each) of every set of hashes, (n, SKETCH); of an empty set the largest."""
     out = np.full((len(sets), SKETCH), np.iinfo(np.uint32).max, np.uint32)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import arrow_rows, col, stage, texts_of
-from cellgrove.llm.neighbours import SKETCH, as_column, connect, minima, mix, shingles, sketch, word_hashes
+from cellgrove.llm.neighbours import SKETCH, as_column, bloom, connect, minima, mix, shingles, sketch, word_hashes
 
 MIN_WORDS = 20
 _POS = 24
@@ -36,12 +36,17 @@ def tune_bands(threshold: float = 0.75, recall: float = 0.9999, hashes: int = SK
     return hashes, 1
 
 
+def _words(line: str, min_words: int) -> np.ndarray | None:
+    """Hashes of the words of a line if it is a paragraph."""
+    data = line.encode("utf-8", "replace")
+    return word_hashes(data) if len(data.split(None, min_words)) >= min_words else None
+
+
 def _paragraphs(text: str, min_words: int):
     """(line number, shingle set, digest of the word sequence) of each paragraph."""
     for k, line in enumerate(text.split("\n")):
-        data = line.encode("utf-8", "replace")
-        if len(data.split(None, min_words)) >= min_words:
-            words = word_hashes(data)
+        words = _words(line, min_words)
+        if words is not None:
             place = np.arange(1, len(words) + 1, dtype=np.uint64)
             yield k, shingles(words), (int(mix(words + mix(place)).sum(dtype=np.uint64).astype(np.int64)), int(mix(words ^ mix(place + np.uint64(1 << 40))).sum(dtype=np.uint64).astype(np.int64)))
 
@@ -63,17 +68,26 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int):
+    """A function from a table of paragraphs to their full sets. It reads the texts in place; a filter of the
+    wanted paragraphs decides whose sets are computed and shuffled, the join then is exact."""
+
     def sets(reps: DataFrame) -> DataFrame:
-        wanted = reps.select(F.shiftright("rep", _POS).alias("doc_id")).distinct()
-        rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+        wanted = bloom(reps, "rep")
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            pid, sets = [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
-                for k, x, _ in _paragraphs(text, min_words):
-                    pid.append((doc << _POS) + k), sets.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), as_column(sets)], names=["rep", "x"])
-
+            ids, lines = b.column("doc_id").to_numpy(), [t.split("\n") for t in texts_of(b)]
+            counts = np.array([len(x) for x in lines], np.int64)
+            line = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            row = np.repeat(np.arange(len(ids)), counts)
+            pid = (ids[row] << _POS) + line
+            rep, sets = [], []
+            for at in np.flatnonzero(wanted(pid)).tolist():
+                words = _words(lines[row[at]][line[at]], min_words)
+                if words is not None:
+                    rep.append(pid[at]), sets.append(shingles(words))
+            return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), as_column(sets)], names=["rep", "x"])
+
+        rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).where("doc_id is not null")
         return arrow_rows(rows, run, "rep long, x array<long>").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
 
     return sets

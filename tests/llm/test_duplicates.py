@@ -189,3 +189,12 @@ def test_removal_cuts_only_the_repeats(spark):
 def test_clashing_result_names_are_refused(spark):
     with pytest.raises(ValueError):
         paragraphs.remove_repeated(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, gone_id int"))
+
+
+def test_filter_passes_its_ids_and_few_others(spark):
+    rng = np.random.default_rng(8)
+    ids = rng.integers(-(1 << 62), 1 << 62, 5000)
+    df = spark.createDataFrame([(int(i),) for i in ids] + [(None,)], "x long").repartition(3)
+    test = neighbours.bloom(df, "x")
+    assert test(ids).all() and test(rng.integers(-(1 << 62), 1 << 62, 5000)).sum() <= 5
+    assert not neighbours.bloom(df.limit(0), "x")(ids).any() and len(test(ids[:0])) == 0
