@@ -14,6 +14,7 @@ documents. Rows that repeat a document id are treated as one document. An empty
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,15 +129,26 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents with every removed paragraph cut out of the text; all columns and rows stay."""
+    """The documents with every removed paragraph cut out of the text; all columns and rows stay.
+
+    Only documents that may lose a paragraph, by a filter of their ids, are shuffled; the others pass through.
+    """
     gone = repeated(docs, id_col, text_col, **params).where("removed").groupBy(col(id_col).alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
     gone = stage(gone, "paragraphs-gone")
     names = docs.columns
     clash = {"gone_id", "gone_lines"} & set(names)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
+    touched = bloom(gone, "gone_id")
+
+    @F.pandas_udf("boolean")
+    def may_lose(ids: pd.Series) -> pd.Series:
+        return pd.Series(touched(ids.to_numpy()))
+
+    number = col(id_col).cast("long")
+    some = F.coalesce(may_lose(F.coalesce(number, F.lit(-1))), F.lit(False))
     lines = F.filter(F.split(col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone_lines"), i))
-    kept = F.array_join(lines, "\n")
-    joined = docs.join(gone, col(id_col).cast("long") == F.col("gone_id"), "left")
-    text = F.when(F.col("gone_lines").isNull() | col(text_col).isNull(), col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(text_col) if c == text_col else col(c) for c in names])
+    joined = docs.where(some).join(gone, number == F.col("gone_id"), "left")
+    text = F.when(F.col("gone_lines").isNull() | col(text_col).isNull(), col(text_col)).otherwise(F.array_join(lines, "\n"))
+    cut = joined.select(*[text.alias(text_col) if c == text_col else col(c) for c in names])
+    return docs.where(~some).union(cut)
