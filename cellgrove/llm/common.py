@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -66,6 +67,14 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: Spark keeps Python workers over stages, side by side."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, rows: int = 1000) -> DataFrame:
     """mapInArrow with a function of at most so many rows, which bounds what a task holds as Python objects."""
     ship(df.sparkSession)
@@ -79,6 +88,9 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa
                     yield from out.to_batches()
                 elif out is not None:
                     yield out
+                del b, out
+            del whole
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -103,6 +115,8 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray,
                 yield from fn(t.slice(0, change[-1]), np.concatenate([[0], change[:-1]]), change).to_batches()
         if held is not None and held.num_rows:
             yield from fn(held, np.array([0]), np.array([held.num_rows])).to_batches()
+        del held
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import col, ship, stage, texts_of
+from cellgrove.llm.common import col, give_back, ship, stage, texts_of
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -35,7 +35,7 @@ _BEYOND = re.compile("[^\x00-ɏ]")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _MODELS: dict[str, tuple] = {}
 _TAIL = frozenset(".,;:!?|*#%&$")
-_PARTS_MAX, _WORDS_MAX = 300_000, 150_000
+_PARTS_MAX, _WORDS_MAX = 200_000, 60_000
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -104,7 +104,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(get, ws)) if p else np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p, ws in zip(texts, plain, split, strict=True)]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, rows: int = 1000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, rows: int = 500) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document; rows texts are encoded at a time."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
                         part = ids[4 * s : 4 * (s + capacity)]
                         row.append(i), piece.append(k), start.append(s), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                give_back()
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, PIECES.format(id=kind))
 
