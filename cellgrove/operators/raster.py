@@ -54,10 +54,14 @@ def nearest_fill(cells: DataFrame, values: DataFrame, reach: int) -> DataFrame:
 
 
 def stretch(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98, gamma: float = 0.95) -> DataFrame:
-    """Percentile stretch to 0..1 with gamma; the two percentiles are one aggregate, broadcast as one row."""
+    """Percentile stretch to 0..1 with gamma; the two percentiles are one aggregate, broadcast as one row.
+
+    Null where the value is null or the two percentiles are equal.
+    """
     cut = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("cut"))
     x = (F.col(column) - F.col("cut")[0]) / F.nullif(F.col("cut")[1] - F.col("cut")[0], F.lit(0.0))
-    return df.crossJoin(F.broadcast(cut)).withColumn("stretched", F.pow(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(gamma))).drop("cut")
+    inside = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))  # greatest and least skip nulls
+    return df.crossJoin(F.broadcast(cut)).withColumn("stretched", F.pow(inside, F.lit(gamma))).drop("cut")
 
 
 def bands(values: DataFrame, names: tuple[str, ...]) -> DataFrame:
