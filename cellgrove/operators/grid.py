@@ -88,11 +88,27 @@ def chunk_rectangles(spark: SparkSession, height: int, width: int, size: int, ov
 
 
 def nearest_points(points: DataFrame, cells: DataFrame, width: int, height: int, k: int = 8, reach: int = 2) -> DataFrame:
-    """The k nearest cells of each point among those within reach rows and columns of its own cell."""
-    span = list(range(-reach, reach + 1))
-    around = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in span for c in span])
-    near = points.select("event_id", "node_id", F.inline(around))
-    r, c = F.floor(F.col("node_id") / width) + F.col("dr"), F.col("node_id") % width + F.col("dc")
-    near = near.where((r >= 0) & (r < height) & (c >= 0) & (c < width)).select("event_id", (r * width + c).alias("cell_id"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    best = near.groupBy("event_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "cell_id"))), 1, k).alias("best"))  # at most (2 reach + 1)^2 a point
-    return best.select("event_id", F.inline("best")).join(cells.select(F.col("node_id").alias("cell_id")), "cell_id", "left_semi")
+    """The k nearest cells of each point, ties to the smaller id; fewer only where there are fewer cells.
+
+    The search starts within reach rows and columns of the point's own cell. Points whose k-th cell could lie
+    further out search again within twice that, until the raster is covered.
+    """
+    left, done = points.select("event_id", "node_id"), None
+    there = cells.select(F.col("node_id").alias("cell_id"))
+    while True:
+        span = F.sequence(F.lit(-reach), F.lit(reach))
+        near = left.select("event_id", "node_id", F.explode(span).alias("dr")).select("event_id", "node_id", "dr", F.explode(span).alias("dc"))
+        r, c = F.floor(F.col("node_id") / width) + F.col("dr"), F.col("node_id") % width + F.col("dc")
+        near = near.where((r >= 0) & (r < height) & (c >= 0) & (c < width)).select("event_id", "node_id", (r * width + c).alias("cell_id"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2")).join(there, "cell_id", "left_semi")
+        best = near.groupBy("event_id", "node_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "cell_id"))), 1, k).alias("best"))  # at most (2 reach + 1)^2 a point
+        if reach >= max(width, height) - 1:
+            found = best
+        else:  # cells outside the square are at least reach + 1 away
+            sure = (F.size("best") == k) & (F.col("best")[k - 1]["d2"] < (reach + 1) ** 2)
+            found = best.where(sure)
+            left = left.join(found.select("event_id"), "event_id", "left_anti")
+        found = found.select("event_id", F.inline("best"))
+        done = found if done is None else done.unionByName(found)
+        if reach >= max(width, height) - 1 or left.isEmpty():
+            return done.select("cell_id", "event_id", "d2")
+        reach *= 2

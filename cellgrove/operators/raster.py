@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,14 +45,53 @@ def merge_first(pixels: DataFrame, order: str) -> DataFrame:
     return pixels.where("dn > 0").groupBy("row", "col").agg(F.min(F.struct(order, "dn")).alias("m")).select("row", "col", F.col("m.dn").alias("dn"))
 
 
-def nearest_fill(cells: DataFrame, values: DataFrame, reach: int) -> DataFrame:
-    """Cells without a value take the nearest one within reach rows and columns; ties go to the smaller id."""
-    span = list(range(-reach, reach + 1))
-    around = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in span for c in span])
-    given = cells.select("node_id", "row", "col").join(values, "node_id")
-    spread = given.select("node_id", "value", F.inline(around), "row", "col").select(F.col("node_id").alias("giver"), "value", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    best = spread.groupBy("row", "col").agg(F.min(F.struct("d2", "giver", "value")).alias("b"))
-    return cells.select("node_id", "row", "col").join(best, ["row", "col"], "left").select("node_id", F.col("b.value").alias("value"), F.col("b.d2").alias("d2"))
+def _row_nearest(t: pa.Table) -> pa.Table:
+    """One row of cells: of every column's nearest giver the nearest by (d2, giver), in shifts that grow to the largest distance left."""
+    t = t.sort_by("col")
+    col = t.column("col").to_numpy()
+    far = np.iinfo(np.int64).max
+    d2, giver = (t.column(c).fill_null(far).to_numpy() for c in ("g2", "giver"))
+    lo, width = int(col[0]), int(col[-1] - col[0]) + 1
+    from_d2, from_giver = np.full(width, far), np.full(width, far)  # columns without a cell give nothing
+    from_d2[col - lo], from_giver[col - lo] = d2, giver
+    source = np.full(width, -1)
+    source[col - lo] = np.arange(len(col))
+    best_d2, best_giver, best = from_d2.copy(), from_giver.copy(), np.arange(width)
+    for dc in range(1, width):
+        if dc * dc > best_d2[col - lo].max():
+            break
+        for to, of in ((slice(dc, None), slice(None, -dc)), (slice(None, -dc), slice(dc, None))):
+            d = np.where(from_d2[of] < far, from_d2[of] + dc * dc, far)
+            nearer = (d < best_d2[to]) | ((d == best_d2[to]) & (d < far) & (from_giver[of] < best_giver[to]))
+            at = np.arange(width)[to][nearer]
+            best_d2[at], best_giver[at], best[at] = d[nearer], from_giver[of][nearer], np.arange(width)[of][nearer]
+    here = col - lo
+    none = best_d2[here] == far
+    value = t.column("value").take(pa.array(source[best[here]], mask=none))
+    return pa.table({"node_id": t.column("node_id"), "value": value, "d2": pa.array(best_d2[here], pa.int64(), mask=none)})
+
+
+def nearest_fill(cells: DataFrame, values: DataFrame) -> DataFrame:
+    """Every cell with the value of the nearest giver of the raster and its squared distance; ties go to the smaller id.
+
+    Two passes, as a distance transform: the nearest giver within each column by windows over columns, then over
+    the columns of each row. Null only where no giver exists at all.
+    """
+    have = cells.select("node_id", "row", "col").join(values.select("node_id", "value", F.lit(True).alias("given")), "node_id", "left")
+    lines = cells.select("row").distinct().crossJoin(cells.select("col").distinct())  # the raster, cells that are missing included
+    at = lines.join(have, ["row", "col"], "left")
+    giver = F.when(F.col("given"), F.struct(F.col("row").alias("giver_row"), F.col("node_id").alias("giver"), "value"))
+    down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    both = at.withColumns({"above": F.last(giver, True).over(down), "below": F.first(giver, True).over(up)})
+
+    def end(name: str) -> Column:
+        d = F.col("row") - F.col(f"{name}.giver_row")
+        return F.when(F.col(name).isNotNull(), F.struct((d * d).alias("g2"), F.col(f"{name}.giver").alias("giver"), F.col(f"{name}.value").alias("value")))
+
+    near = both.select("node_id", "row", "col", F.least(end("above"), end("below")).alias("n")).select(F.col("node_id").cast("bigint").alias("node_id"), "row", F.col("col").cast("bigint").alias("col"), F.col("n.g2").cast("bigint").alias("g2"), F.col("n.giver").cast("bigint").alias("giver"), "n.value")
+    filled = near.groupBy("row").applyInArrow(_row_nearest, f"node_id bigint, value {values.schema['value'].dataType.simpleString()}, d2 bigint")
+    return filled.where("node_id is not null")
 
 
 def stretch(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98, gamma: float = 0.95) -> DataFrame:

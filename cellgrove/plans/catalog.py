@@ -745,8 +745,8 @@ spread AS (SELECT g.node_id AS giver, g.value, "row" + dr AS r, col + dc AS c, d
 best AS (SELECT r, c, giver, value, d2 FROM spread QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY d2, giver) = 1)
 SELECT node_id, value, CAST(d2 AS INTEGER) AS d2 FROM cells LEFT JOIN best ON "row" = r AND col = c""")
 def _(v):
-    given = v.points().where("event_id % 3 = 0").groupBy("node_id").agg(F.max_by("elevation", "event_id").alias("value"))
-    return raster.nearest_fill(v.cells(), given, 3)
+    given = v.points().groupBy("node_id").agg(F.max_by("elevation", "event_id").alias("value"))
+    return raster.nearest_fill(v.cells(), given)
 
 
 @query("percentile_stretch", "SELECT node_id, ROUND(pow(least(greatest((b08 - lo) / (hi - lo), 0.0E0), 1.0E0), 0.95E0), 6) AS stretched FROM cells, (SELECT quantile_cont(b08, 0.02) AS lo, quantile_cont(b08, 0.98) AS hi FROM cells)")
