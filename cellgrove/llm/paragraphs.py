@@ -6,7 +6,13 @@ five-word shingles (Jaccard of 0.75 or more) until the components of similar par
 ``neighbours``). The first paragraph of a component, by document id and position, stays; the others go.
 ``tune_bands`` picks the bands for the wanted recall at the threshold.
 
-Null and empty texts and short lines have no paragraphs. Very long texts are cut whole; up to 2^24 lines a
+A shorter line belongs to windows: the line and those after it, or before it, up to ``min_words`` words, blank
+lines passed over. A short line goes if all words of such a window occur, in order, in an earlier place that
+does not overlap it. Windows start at every short line, so no text around a passage moves their borders; they
+are compared by their words alone, and exactly: a line with a changed word stays, and so do the others of the
+windows that it lies in where no other window of theirs repeats.
+
+Null and empty texts and those of fewer than ``min_words`` words have no paragraphs. Very long texts are cut whole; up to 2^24 lines a
 document and ids below 2^38 are told apart. Repeats within one document count like repeats between
 documents. Rows that repeat a document id are treated as one document. An empty table gives an empty table.
 """
@@ -68,6 +74,76 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_rows(rows, run, "pid long, n int, d1 long, d2 long, m binary")
 
 
+_ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_FLUSH = 1 << 20
+
+
+def _windows(ids: list[int], texts: list[str], min_words: int) -> pa.RecordBatch:
+    """doc_id, first and last line, n, d1, d2 and the short lines of every window around a short line."""
+    doc, line, count, parts = [], [], [], []
+    for i, text in enumerate(texts):
+        rows = text.encode("utf-8", "replace").split(b"\n")
+        sizes = [len(x.split()) for x in rows]
+        if sum(sizes) >= min_words and any(0 < n < min_words for n in sizes):
+            for k, (x, n) in enumerate(zip(rows, sizes, strict=True)):
+                if n:
+                    doc.append(i), line.append(k), count.append(n), parts.append(x)
+    doc, line, count = (np.array(x, np.int64) for x in (doc, line, count))
+    end = np.cumsum(count)
+    start = end - count
+    short = count < min_words
+    own = np.flatnonzero(short)
+    ahead = np.searchsorted(end, start[own] + min_words)  # first line where enough words are reached
+    back = np.searchsorted(start, end[own] - min_words, "right") - 1
+    first, last = np.concatenate([own, back]), np.concatenate([ahead, own])
+    inside = (first >= 0) & (last < len(doc))
+    first, last = first[inside], last[inside]
+    same = doc[first] == doc[last] if len(doc) else np.zeros(0, bool)
+    first, last = np.unique(np.stack([first[same], last[same]]), axis=1)
+    words = word_hashes(b"\n".join(parts))
+    lo, hi = (start[first], end[last]) if len(first) else (first, last)
+    digests = []
+    for odd, x in zip(_ODD, (words, mix(words ^ np.uint64(1 << 40))), strict=True):
+        power = np.full(len(words) + 1, np.uint64(odd))
+        unpower = np.full(len(words) + 1, np.uint64(pow(odd, -1, 1 << 64)))
+        power[0] = unpower[0] = 1
+        power, unpower = np.multiply.accumulate(power), np.multiply.accumulate(unpower)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1], dtype=np.uint64)])
+        digests.append(mix((sums[hi] - sums[lo]) * unpower[lo]).astype(np.int64))
+    before = np.concatenate([[0], np.cumsum(short)])
+    a, b = before[first], before[last + 1]
+    offsets = np.concatenate([[0], np.cumsum(b - a)])
+    members = line[own][np.arange(offsets[-1]) - np.repeat(offsets[:-1] - a, b - a)]
+    names = np.array(ids, np.int64)[doc[first]] if len(first) else np.zeros(0, np.int64)
+    columns = [pa.array(names), pa.array(line[first].astype(np.int32)), pa.array(line[last].astype(np.int32)), pa.array((hi - lo).astype(np.int32)), *map(pa.array, digests), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(members.astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "first", "last", "n", "d1", "d2", "lines"])
+
+
+def _repeated_short(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc_id, line, component, kept_in, removed) of the short lines whose windows occur again."""
+
+    def run(b: pa.RecordBatch) -> pa.Table:
+        out, ids, texts, size = [], [], [], 0
+        for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
+            if doc is not None:
+                ids.append(doc), texts.append(text)
+                size += len(text)
+            if size >= _FLUSH:
+                out.append(_windows(ids, texts, min_words))
+                ids, texts, size = [], [], 0
+        return pa.Table.from_batches([*out, _windows(ids, texts, min_words)])
+
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    found = stage(arrow_rows(rows, run, "doc_id long, first int, last int, n int, d1 long, d2 long, lines array<int>"), "paragraphs-windows")
+    places = found.groupBy("d1", "d2", "n").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "first", "last")).alias("kept"))
+    again = found.join(stage(places.where("k > 1"), "paragraphs-window-classes"), ["d1", "d2", "n"])
+    component = F.shiftleft(F.col("kept.doc_id"), _POS) + F.col("kept.first")
+    removed = ~((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("first") <= F.col("kept.last")))
+    named = again.select("doc_id", "lines", (~removed).alias("stays"), component.alias("component"), F.col("kept.doc_id").alias("kept_in"))
+    spread = named.select("doc_id", F.struct("stays", "component", "kept_in").alias("w"), F.explode("lines").alias("line"))
+    return spread.groupBy("doc_id", "line").agg(F.min("w").alias("w")).select("doc_id", "line", "w.component", "w.kept_in", (~F.col("w.stays")).alias("removed"))
+
+
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int):
     """A function from a table of paragraphs to their full sets. It reads the texts in place; a filter of the
     wanted paragraphs decides whose sets are computed and shuffled, the join then is exact."""
@@ -95,9 +171,10 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int):
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, percent: int = 75, recall: float = 0.9999) -> DataFrame:
-    """Every paragraph that occurs again, alike or nearly: id, line, component_id, kept_in, removed.
+    """Every paragraph that occurs again, alike or nearly, and every short line of a window that does: id, line,
+    component_id, kept_in, removed.
 
-    component_id names the component (its first paragraph), kept_in is the document that keeps it.
+    component_id names the component (its first paragraph or window), kept_in is the document of that first one.
     """
     bands, rows = tune_bands(percent / 100, recall)
     found = stage(paragraphs(docs, id_col, text_col, min_words), "paragraphs")
@@ -125,7 +202,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select("d1", "d2", "n", "k", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))
     named = stage(named.where("k > 1 or linked"), "paragraphs-components")
     out = found.select("pid", "n", "d1", "d2").join(named, ["d1", "d2", "n"])
-    return out.select(F.shiftright("pid", _POS).alias(id_col), F.col("pid").bitwiseAND((1 << _POS) - 1).cast("int").alias("line"), F.col("component").alias("component_id"), F.shiftright("component", _POS).alias("kept_in"), (F.col("pid") != F.col("component")).alias("removed"))
+    long = out.select(F.shiftright("pid", _POS).alias(id_col), F.col("pid").bitwiseAND((1 << _POS) - 1).cast("int").alias("line"), F.col("component").alias("component_id"), F.shiftright("component", _POS).alias("kept_in"), (F.col("pid") != F.col("component")).alias("removed"))
+    return long.union(_repeated_short(docs, id_col, text_col, min_words))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
