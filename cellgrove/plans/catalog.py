@@ -922,5 +922,5 @@ def _(v):
 @query("point_formats", "SELECT event_id, event_id AS id2, source AS src FROM points WHERE event_id % 10 = 0")
 def _(v):
     """JSON out and in again."""
-    js = v.points().where("event_id % 10 = 0").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id2"), F.col("source").alias("src"))).alias("j"))
+    js = v.points().select("event_id", F.to_json(F.struct(F.col("event_id").alias("id2"), F.col("source").alias("src"))).alias("j"))
     return js.select("event_id", F.from_json("j", "id2 long, src string").alias("s")).select("event_id", "s.id2", "s.src")
