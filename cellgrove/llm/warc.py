@@ -90,7 +90,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterato
 
 def _parse(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
     """Header length (with the blank line), block length and fields, if the piece starts with a record's header."""
-    end = piece.find(b"\r\n\r\n", 0, 1 << 16)
+    end = piece.find(b"\r\n\r\n")
     if end < 0:
         return None
     found = _LENGTH.search(piece, 0, end)
@@ -105,7 +105,7 @@ def _parse(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
 
 def _payload(block: bytes) -> tuple[int, bytes, str | None]:
     """Offset of the payload in an HTTP block, the payload, and the length that a revisit states."""
-    end = block.find(b"\r\n\r\n", 0, 1 << 16) + 4
+    end = block.find(b"\r\n\r\n") + 4
     if not block.startswith(b"HTTP/") or end < 4:
         return 0, block, None
     said = re.search(rb"(?im)^x-payload-length:[ \t]*(\d+)", block[:end])
@@ -118,6 +118,7 @@ _CANDIDATE = "file string, split long, at long, next long, exit long, page_id lo
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per piece: offsets from the split's first piece, the chain's exit from the split, and the record's digest.
 
+    A header that a magic line cuts (a url may end in one) is put together in its split, too.
     A row with at = -1 states the bytes that the split's pieces span. A block that false boundaries cut is
     put together here while it lasts in this split; whole tells whether it was.
     """
@@ -127,7 +128,26 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for file, split, pieces in _runs(batches):
         rows: list[list] = []
         waiting: list[tuple[list, int, list[bytes], int]] = []  # row, bytes wanted, bytes so far, how many
+        heads: list[tuple[list, list[bytes]]] = []  # row, bytes so far of a header without its end
         total, first = 0, True
+
+        def begin(row: list, piece: bytes, waiting: list) -> bool:
+            head = _parse(piece)
+            if head is None:
+                return False
+            start, need, fields = head
+            row[3] = row[2] + start + need + 4 + magic
+            row[5] = int(fields["x-page-id"]) if fields.get("x-page-id", "").lstrip("-").isdigit() else None
+            row[6] = fields.get("warc-type")
+            row[7] = int(fields["x-refers-to-page-id"]) if fields.get("x-refers-to-page-id", "").lstrip("-").isdigit() else None
+            row[9] = fields.get("warc-payload-digest", "").removeprefix("sha1:") if row[6] == "revisit" else None
+            body = piece[start:]
+            if len(body) >= need:
+                _close(row, body, need)
+            else:
+                waiting.append((row, need, [body], len(body)))
+            return True
+
         for piece in pieces:
             # the first piece of a file is empty; later splits start behind a magic line that the split before read
             at, skip = total, first and split == 0
@@ -141,25 +161,19 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     still.append((row, need, parts, got))
             waiting = still
+            for _, parts in heads:
+                parts.append(piece)
+            if b"\r\n\r\n" in piece or piece.startswith(b"\r\n"):  # a magic line ends in a line break itself
+                for row, parts in heads:
+                    begin(row, MAGIC.encode().join(parts), waiting)
+                heads = []
             first = False
             if skip:
                 continue
             row = [file, split, at, None, None, None, None, None, None, None, False]
             rows.append(row)
-            head = _parse(piece)
-            if head is None:
-                continue
-            start, need, fields = head
-            row[3] = at + start + need + 4 + magic
-            row[5] = int(fields["x-page-id"]) if fields.get("x-page-id", "").lstrip("-").isdigit() else None
-            row[6] = fields.get("warc-type")
-            row[7] = int(fields["x-refers-to-page-id"]) if fields.get("x-refers-to-page-id", "").lstrip("-").isdigit() else None
-            row[9] = fields.get("warc-payload-digest", "").removeprefix("sha1:") if row[6] == "revisit" else None
-            body = piece[start:]
-            if len(body) >= need:
-                _close(row, body, need)
-            else:
-                waiting.append((row, need, [body], len(body)))
+            if not begin(row, piece, waiting) and b"\r\n\r\n" not in piece and b":" in piece.split(b"\r\n", 1)[0]:
+                heads.append((row, [piece]))
         starts = {row[2]: row for row in rows}
         for row in reversed(rows):  # where the chain from here leaves the split (total and beyond)
             to = row[3]
