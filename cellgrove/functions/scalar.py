@@ -82,3 +82,8 @@ def half_window(scale: float, width_in: float, height_in: float, latitude: float
 
 def vector_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Of two arrays of doubles; null if their lengths differ."""
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))

@@ -69,3 +69,31 @@ def outcome(wide: DataFrame, a: str, b: str) -> DataFrame:
     kind = F.when(ra & ~rb, 1).when(ra & rb, 2).when(~ra & rb, 3).otherwise(4)
     out = wide.withColumn("kind", kind).groupBy("profile").agg(*[F.count_if(F.col("kind") == i).alias(f"n{i}") for i in range(1, 5)])
     return out.withColumn("advantage_pct", 100.0 * (F.col("n1") - F.col("n3")) / F.greatest(F.col("n1") + F.col("n2") + F.col("n3") + F.col("n4"), F.lit(1)))
+
+
+def above_quantile(counts: DataFrame, value: str, count: str, q: float) -> DataFrame:
+    """Of the distinct values with their counts: whether each lies above the interpolated q-quantile of all rows.
+
+    Values are ranked inside ranges of a fixed width and the ranges' totals are summed before, so no task sees more than
+    one range; both rows around the quantile are found by rank.
+    """
+    at = F.floor(F.col(value) * 1024)
+    ranged = counts.withColumn("range", at)
+    totals = ranged.groupBy("range").agg(F.sum(count).alias("of_range"))  # as many rows as ranges have values
+    all_before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", F.coalesce(F.sum("of_range").over(all_before), F.lit(0)).alias("before"), F.sum("of_range").over(Window.partitionBy()).alias("n"))
+    own = Window.partitionBy("range").orderBy(value)
+    ranked = ranged.join(F.broadcast(totals), "range").withColumn("upto", F.col("before") + F.sum(count).over(own))  # a row per range
+    place = (F.col("n") - 1) * q  # between the rows floor(place) and ceil(place), from 0
+    first = F.min(F.when(F.col("upto") > F.floor(place), F.col(value)))
+    second = F.min(F.when(F.col("upto") > F.ceil(place), F.col(value)))
+    cut = ranked.agg(first.alias("lo"), second.alias("hi"), F.max(place - F.floor(place)).alias("part"))  # one row
+    cut = cut.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("cut"))
+    return counts.crossJoin(F.broadcast(cut)).select(value, (F.col(value) > F.col("cut")).alias("above"))
+
+
+def window_shares(rows: DataFrame, width: int, tile: int, keys: list[str], signs: dict[str, Column]) -> DataFrame:
+    """By keys and map window of tile by tile cells: rows, and the percentage for which each sign holds."""
+    row, col = F.floor(F.col("node_id") / width), F.col("node_id") % width
+    at = [F.floor(row / tile).cast("bigint").alias("window_row"), F.floor(col / tile).cast("bigint").alias("window_col")]
+    return rows.groupBy(*keys, *at).agg(F.count("*").alias("n"), *[(100.0 * F.count_if(c) / F.count("*")).alias(f"{name}_pct") for name, c in signs.items()])

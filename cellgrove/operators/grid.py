@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELL_M = 30.0
@@ -112,3 +112,53 @@ def nearest_points(points: DataFrame, cells: DataFrame, width: int, height: int,
         if reach >= max(width, height) - 1 or left.isEmpty():
             return done.select("cell_id", "event_id", "d2")
         reach *= 2
+
+
+def renumbered(nodes: DataFrame) -> DataFrame:
+    """node_id and its number from 0 in a chunk; a chunk has a fixed number of cells, so one task may rank them."""
+    return nodes.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("bigint").alias("id"))
+
+
+def subgraph(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """Edges with both ends in a chunk, ends renumbered."""
+    ids = renumbered(inside)
+    src, dst = ids.toDF("src", "src_id"), ids.toDF("dst", "dst_id")
+    return edges.join(src, "src").join(dst, "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "dist")
+
+
+def merged_edges(parts: list[DataFrame]) -> DataFrame:
+    """The distinct edges of several sources."""
+    out = parts[0].select("src", "dst")
+    for p in parts[1:]:
+        out = out.union(p.select("src", "dst"))
+    return out.distinct()
+
+
+def derivatives(cells: DataFrame, column: str, height: int, width: int, step: float = CELL_M) -> DataFrame:
+    """slope_deg (Horn), tpi, tri, roughness and curvature (Laplacian) of 3 x 3 windows whose border is repeated outwards.
+
+    A cell sends its value to every window it lies in, which at the border is once for each place it stands for:
+    one shuffle, and all sums are partial.
+    """
+    def served(at: str, n: int):
+        # (offset of the window, place in it) along one axis: a border cell also stands for the one beyond
+        x = F.col(at)
+        plain = F.filter(F.array(*[F.struct(F.lit(-d).alias("to"), F.lit(d).alias("place")) for d in (-1, 0, 1)]), lambda s: (x + s["to"] >= 0) & (x + s["to"] < n))
+        beyond = F.array_compact(F.array(F.when(x == 0, F.struct(F.lit(0).alias("to"), F.lit(-1).alias("place"))), F.when(x == n - 1, F.struct(F.lit(0).alias("to"), F.lit(1).alias("place")))))
+        return F.concat(plain, beyond)
+
+    rows = cells.select("row", "col", F.col(column).cast("double").alias("z"), F.explode(served("row", height)).alias("r"))
+    both = rows.select("row", "col", "z", "r", F.explode(served("col", width)).alias("c"))
+    at = both.select(((F.col("row") + F.col("r.to")) * width + F.col("col") + F.col("c.to")).alias("node_id"), F.col("r.place").alias("dr"), F.col("c.place").alias("dc"), "z")
+
+    def z(dr: int, dc: int) -> Column:
+        return F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc), F.col("z")))
+
+    own = (F.col("dr") == 0) & (F.col("dc") == 0)
+    d = at.groupBy("node_id").agg(
+        ((z(-1, 1) + 2 * z(0, 1) + z(1, 1) - z(-1, -1) - 2 * z(0, -1) - z(1, -1)) / (8 * step)).alias("zx"), ((z(1, -1) + 2 * z(1, 0) + z(1, 1) - z(-1, -1) - 2 * z(-1, 0) - z(-1, 1)) / (8 * step)).alias("zy"),
+        z(0, 0).alias("z"), F.avg(F.when(~own, F.col("z"))).alias("around"), (F.max("z") - F.min("z")).alias("roughness"), ((z(0, 1) + z(0, -1) + z(1, 0) + z(-1, 0) - 4 * z(0, 0)) / (step * step)).alias("curvature"),
+        F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum("z").alias("zs"),
+    )
+    tri = F.sqrt(F.col("zz") - 2 * F.col("z") * F.col("zs") + 9 * F.col("z") * F.col("z"))
+    return d.select("node_id", F.degrees(F.atan(F.sqrt(F.col("zx") * F.col("zx") + F.col("zy") * F.col("zy")))).alias("slope_deg"), (F.col("z") - F.col("around")).alias("tpi"), tri.alias("tri"), "roughness", "curvature")

@@ -70,3 +70,8 @@ def asymmetric(cube: DataFrame, keys: list[str]) -> DataFrame:
 def pivot_models(scored: DataFrame, models: tuple[str, ...], value: str = "macro_f1") -> DataFrame:
     """One row per profile, one column per model."""
     return scored.groupBy("profile").pivot("model", list(models)).agg(F.first(value))
+
+
+def valid(preds: DataFrame, classes: int = 3) -> DataFrame:
+    """Rows that may be scored: a class of 1 to classes, in the covered area."""
+    return preds.where(F.col("y").between(1, classes) & F.col("covered"))

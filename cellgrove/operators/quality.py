@@ -92,3 +92,29 @@ def roll_up(checks: list[DataFrame]) -> DataFrame:
     """passed, total and the success rate of tables with a passed column; 0 without checks."""
     every = reduce(DataFrame.union, [c.select("passed") for c in checks])
     return every.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), F.coalesce(F.try_divide(100.0 * F.count_if("passed"), F.count("*")), F.lit(0.0)).alias("success_rate"))
+
+
+def schema_check(df: DataFrame, required: dict[str, str]) -> DataFrame:
+    """A row for each required column: whether the table has it with that type. Only the schema is read."""
+    have = dict(df.dtypes)
+    return df.sparkSession.createDataFrame([(c, t, have.get(c) == t) for c, t in required.items()], "column string, type string, passed boolean")
+
+
+def require_schema(df: DataFrame, required: dict[str, str]) -> DataFrame:
+    """df itself; an error that names the columns if some are missing or of another type."""
+    have = dict(df.dtypes)
+    bad = sorted(c for c, t in required.items() if have.get(c) != t)
+    if bad:
+        raise ValueError(f"columns {bad} are missing or of another type")
+    return df
+
+
+def label_cardinality(cells: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """By profile: cells with a label, cells without, labels of unknown cells, and labels beyond the first of a cell."""
+    each = labels.groupBy("profile", "node_id").agg(F.count("*").alias("k"))
+    known = cells.select("node_id", F.lit(1).alias("known"))
+    per = each.join(known, "node_id", "left").groupBy("profile").agg(F.count("known").alias("labelled"), F.count_if(F.col("known").isNull()).alias("unknown"), F.sum(F.col("k") - 1).alias("repeated"))
+    n = cells.agg(F.count("*").alias("n"))  # one row
+    out = profiles.crossJoin(F.broadcast(n)).join(per, "profile", "left").select("profile", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("labelled", "unknown", "repeated")], "n")
+    missing = F.col("n") - F.col("labelled")
+    return out.select("profile", "labelled", missing.alias("missing"), "unknown", "repeated", ((missing == 0) & (F.col("unknown") == 0) & (F.col("repeated") == 0)).alias("passed"))

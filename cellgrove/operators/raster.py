@@ -115,3 +115,25 @@ def border_columns(cells: DataFrame, column: str, share: float) -> DataFrame:
     w = Window.partitionBy("row").orderBy("col")
     moved = cells.withColumn("before", F.lag(column).over(w)).where("before is not null")
     return moved.groupBy("col").agg(F.avg(F.when(F.col(column) != F.col("before"), 1.0).otherwise(0.0)).alias("changed")).where(F.col("changed") > share)
+
+
+def pixel_stats(pixels: DataFrame, column: str, values: tuple[int, ...]) -> DataFrame:
+    """Count and percentage of each of the values (absent ones too), nodata among them."""
+    counts = [F.count_if(F.col(column) == x).alias(f"v{x}") for x in values]
+    one = pixels.agg(F.count("*").alias("total"), *counts)  # one row
+    rows = F.array(*[F.struct(F.lit(x).alias("value"), F.col(f"v{x}").alias("n")) for x in values])
+    return one.select("total", F.inline(rows)).select("value", "n", (100.0 * F.col("n") / F.col("total")).alias("pct"))
+
+
+def in_metres(df: DataFrame, column: str, low: float = 800.0, span: float = 600.0) -> DataFrame:
+    """Elevations that are stored within 0 and 1, or as scores below 10, in metres; others as they are. Nulls stay."""
+    ends = F.broadcast(df.agg(F.min(column).alias("lo_"), F.max(column).alias("hi_")))  # one row
+    x, lo, hi = F.col(column), F.col("lo_"), F.col("hi_")
+    metres = F.when((lo >= 0) & (hi <= 1), x * span + low).when(hi < 10, low + (x - lo) / F.greatest(hi - lo, F.lit(1e-8)) * span).otherwise(x)
+    return df.crossJoin(ends).withColumn(column, metres).drop("lo_", "hi_")
+
+
+def band(pixels: DataFrame, values: DataFrame, column: str, nodata) -> DataFrame:
+    """(row, col, column) of every pixel; nodata, in the band's own type, where there is no value."""
+    kind = values.schema[column].dataType
+    return pixels.join(values, "node_id", "left").select("row", "col", F.coalesce(column, F.lit(nodata).cast(kind)).alias(column))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from cellgrove.functions.scalar import above, clip
 
 
-def full_class() -> Column:
-    """Of a row with a cell's columns and a profile's limits: the most severe test that it meets."""
+def full_class(limit: dict[str, Column] | None = None) -> Column:
+    """Of a row with a cell's columns the most severe test that it meets; limits are columns of the row or given by name."""
+    lim = limit or {c: F.col(c) for c in ("slope_1", "slope_2", "ndvi_1", "ndvi_2", "ndwi_water", "ndwi_wet")}
     degrees = F.col("slope") * 90.0
-    severe = above(degrees, F.col("slope_2")) | above(F.col("ndwi"), F.col("ndwi_water")) | above(F.col("water_mask").cast("double"), 0.5) | above(F.col("ndvi"), F.col("ndvi_2"))
-    slow = above(degrees, F.col("slope_1")) | above(F.col("ndvi"), F.col("ndvi_1")) | above(F.col("ndwi"), F.col("ndwi_wet"))
+    severe = above(degrees, lim["slope_2"]) | above(F.col("ndwi"), lim["ndwi_water"]) | above(F.col("water_mask").cast("double"), 0.5) | above(F.col("ndvi"), lim["ndvi_2"])
+    slow = above(degrees, lim["slope_1"]) | above(F.col("ndvi"), lim["ndvi_1"]) | above(F.col("ndwi"), lim["ndwi_wet"])
     return F.when(severe, 3).when(slow, 2).otherwise(1)
 
 
@@ -28,6 +29,14 @@ def classify(cells: DataFrame, limits: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(limits)).withColumn("y", full_class())
 
 
+def class_columns(cells: DataFrame, limits: tuple) -> DataFrame:
+    """The classes of all profiles as one column each (rows of limits start with the profile's name): no row is multiplied."""
+    from cellgrove.sources.dimensions import LIMIT_COLUMNS
+
+    names = [c.split()[0] for c in LIMIT_COLUMNS.split(", ")]
+    return cells.withColumns({row[0]: full_class(dict(zip(names[1:], map(F.lit, row[1:]), strict=True))) for row in limits})
+
+
 def classify_baseline(cells: DataFrame, limits: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(limits)).withColumn("y", baseline_class())
 

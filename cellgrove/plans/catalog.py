@@ -370,10 +370,10 @@ def _(v):
 
 
 def _label_neighbours(v: Views, self_loops: bool = True) -> DataFrame:
-    """Edges with both ends' classes by profile: profiles ride along as an array, so edges are joined once."""
+    """Edges with both ends' classes by profile: the four classes are columns of the cell, so edges are joined once."""
     _, h, w = v.shape
     wide = v.cells().select("node_id", "row", "col", "slope", "ndvi", "ndwi", "water_mask")
-    one = rules.classify(wide, v.limits()).groupBy("node_id", "row", "col").agg(*[F.max(F.when(F.col("profile") == p, F.col("y"))).alias(p) for p in PROFILES])
+    one = rules.class_columns(wide, dimensions.LIMITS).select("node_id", "row", "col", *PROFILES)
     near = grid.neighbours(one, list(PROFILES), h, w, self_loops)
     rows = F.array(*[F.struct(F.lit(p).alias("profile"), F.col(f"{p}_src").alias("y_src"), F.col(f"{p}_dst").alias("y_dst")) for p in PROFILES])
     return near.select("src", "dst", F.inline(rows))
@@ -464,9 +464,9 @@ def _(v):
 ASYM = "n, dangerous, conservative, under, \"over\", ROUND(100.0E0 * dangerous / n, 6) AS dangerous_pct, ROUND(100.0E0 * conservative / n, 6) AS conservative_pct, ROUND(dangerous / (conservative + 1e-8), 6) AS ratio"
 
 
-@query("asymmetric_error", f"SELECT profile, model, {ASYM} FROM (SELECT profile, model, count(*) AS n, count(*) FILTER (pred = 1 AND y > 1) AS dangerous, count(*) FILTER (pred > 1 AND y = 1) AS conservative, count(*) FILTER (pred < y) AS under, count(*) FILTER (pred > y) AS \"over\" FROM preds GROUP BY profile, model) WHERE conservative > 0")
+@query("asymmetric_error", f"SELECT profile, model, {ASYM} FROM (SELECT profile, model, count(*) AS n, count(*) FILTER (pred = 1 AND y > 1) AS dangerous, count(*) FILTER (pred > 1 AND y = 1) AS conservative, count(*) FILTER (pred < y) AS under, count(*) FILTER (pred > y) AS \"over\" FROM preds GROUP BY profile, model)")
 def _(v):
-    return r6(metrics.asymmetric(metrics.cube(v.preds(), KEYS), KEYS).where("conservative > 0"))
+    return r6(metrics.asymmetric(metrics.cube(v.preds(), KEYS), KEYS))
 
 
 @query("error_types", "SELECT profile, model, CAST(sign(pred - y) AS INTEGER) AS kind, count(*) AS n FROM preds GROUP BY ALL")
@@ -532,12 +532,12 @@ def _(v):
     return r6(grid.mean_gradient(v.neighbours(["ndvi"]), "ndvi"))
 
 
-@query("f1_by_gradient", f", {GRADIENT}, halves AS (SELECT p.*, CASE WHEN ROUND(gradient, 9) > cut THEN 'high' ELSE 'low' END AS half FROM preds p JOIN grad USING (node_id), (SELECT ROUND(quantile_cont(gradient, 0.75), 9) AS cut FROM grad)) {oracle.scores('profile, model, half', 'halves', columns='n, ROUND(macro_f1, 6) AS macro_f1')}")
+@query("f1_by_gradient", f", {GRADIENT}, halves AS (SELECT p.*, CASE WHEN ROUND(gradient, 6) > cut THEN 'high' ELSE 'low' END AS half FROM preds p JOIN grad USING (node_id), (SELECT quantile_cont(ROUND(gradient, 6), 0.75) AS cut FROM grad)) {oracle.scores('profile, model, half', 'halves', columns='n, ROUND(macro_f1, 6) AS macro_f1')}")
 def _(v):
-    g = grid.mean_gradient(v.neighbours(["ndvi"]), "ndvi")
-    cut = g.agg(F.round(F.percentile("gradient", 0.75), 9).alias("cut"))  # one row
-    halves = g.crossJoin(F.broadcast(cut)).select("node_id", F.when(F.round("gradient", 9) > F.col("cut"), "high").otherwise("low").alias("half"))
     keys = ["profile", "model", "half"]
+    g = grid.mean_gradient(v.neighbours(["ndvi"]), "ndvi").select("node_id", F.round("gradient", 6).alias("gradient"))
+    high = analysis.above_quantile(g.groupBy("gradient").agg(F.count("*").alias("k")), "gradient", "k", 0.75)
+    halves = g.join(high, "gradient").select("node_id", F.when(F.col("above"), "high").otherwise("low").alias("half"))
     return r6(metrics.scores(metrics.cube(v.preds().join(halves, "node_id"), keys), keys).select(*keys, "n", "macro_f1"))
 
 
@@ -593,10 +593,10 @@ def _(v):
     return analysis.top_features(r6(analysis.correlations(v.labels(), v.cells(), FEATURES)))
 
 
-@query("imbalance_corr", f", {DIST}, f AS ({oracle.scores('profile, model', 'preds', columns='macro_f1')}) SELECT model, ROUND(corr(pct, macro_f1), 4) AS r FROM f JOIN dist USING (profile) WHERE y = 2 AND model <> 'rule' GROUP BY model")
+@query("imbalance_corr", f", {DIST}, f AS ({oracle.scores('profile, model', 'preds', columns='macro_f1')}) SELECT model, ROUND(corr(pct, macro_f1), 4) AS r FROM f JOIN dist USING (profile) WHERE y = 2 GROUP BY model")
 def _(v):
     share = _distribution(v).where("y = 2").select("profile", "pct")
-    scored = metrics.scores(metrics.cube(v.preds(), KEYS), KEYS).where("model <> 'rule'")
+    scored = metrics.scores(metrics.cube(v.preds(), KEYS), KEYS)
     return scored.join(share, "profile").groupBy("model").agg(F.round(F.corr("pct", "macro_f1"), 4).alias("r"))
 
 
@@ -697,11 +697,15 @@ def _(v):
     return uncertainty.density(_entropy(v).join(v.cells().select("node_id", "ndvi"), "node_id"), "ndvi", "entropy", 40, 40, -1.0, 1.0, 0.0, 1.0)
 
 
-@query("tz_boxplot", f", {ENT}, z AS (SELECT e.profile, least(slope, 0.58E0) AS x, entropy >= cut AS in_zone FROM ent e JOIN cells USING (node_id) JOIN (SELECT profile, quantile_cont(entropy, 0.85) AS cut FROM ent GROUP BY profile) USING (profile)) SELECT profile, in_zone, ROUND(quantile_cont(x, 0.25), 6) AS q1, ROUND(quantile_cont(x, 0.5), 6) AS q2, ROUND(quantile_cont(x, 0.75), 6) AS q3 FROM z GROUP BY profile, in_zone")
+@query("tz_boxplot", f", {ENT}, z AS (SELECT e.profile, least(greatest(slope / ((SELECT quantile_cont(slope, 0.98) FROM cells) + 1e-6), 0.0E0), 1.0E0) AS x, ndvi, entropy >= cut AS in_zone FROM ent e JOIN cells USING (node_id) JOIN (SELECT profile, quantile_cont(entropy, 0.85) AS cut FROM ent GROUP BY profile) USING (profile)) SELECT profile, in_zone, ROUND(quantile_cont(x, 0.25), 6) AS slope_q1, ROUND(quantile_cont(x, 0.5), 6) AS slope_q2, ROUND(quantile_cont(x, 0.75), 6) AS slope_q3, ROUND(quantile_cont(ROUND(ndvi, 6), 0.25), 6) AS ndvi_q1, ROUND(quantile_cont(ROUND(ndvi, 6), 0.5), 6) AS ndvi_q2, ROUND(quantile_cont(ROUND(ndvi, 6), 0.75), 6) AS ndvi_q3 FROM z GROUP BY profile, in_zone")
 def _(v):
-    z = uncertainty.quantile_zone(_entropy(v)).join(v.cells().select("node_id", "slope"), "node_id")
-    q = F.percentile(F.least("slope", F.lit(0.58)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return r6(z.groupBy("profile", "in_zone").agg(q.alias("q")).select("profile", "in_zone", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)]))
+    cells = v.cells().select("node_id", "slope", F.round("ndvi", 6).alias("ndvi"))  # rounding bounds the distinct values
+    top = F.broadcast(cells.agg((F.percentile("slope", 0.98) + 1e-6).alias("top")))  # one row
+    z = uncertainty.quantile_zone(_entropy(v)).join(cells.crossJoin(top), "node_id")
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    of = {"slope": S.clip(F.col("slope") / F.col("top"), 0.0, 1.0), "ndvi": F.col("ndvi")}
+    q = z.groupBy("profile", "in_zone").agg(*[F.percentile(x, quarters).alias(n) for n, x in of.items()])
+    return r6(q.select("profile", "in_zone", *[F.col(n)[i].alias(f"{n}_q{i + 1}") for n in of for i in range(3)]))
 
 
 # raster --------------------------------------------------------------------------------------------------
@@ -740,10 +744,10 @@ def _(v):
     return raster.merge_first(v.scenes(), "scene_id")
 
 
-@query("nearest_fill", """, given AS (SELECT node_id, max_by(elevation, event_id) AS value FROM points WHERE event_id % 3 = 0 GROUP BY node_id), o7 AS (SELECT dr, dc FROM range(-3, 4) a(dr), range(-3, 4) b(dc)),
-spread AS (SELECT g.node_id AS giver, g.value, "row" + dr AS r, col + dc AS c, dr * dr + dc * dc AS d2 FROM given g JOIN cells USING (node_id), o7),
-best AS (SELECT r, c, giver, value, d2 FROM spread QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY d2, giver) = 1)
-SELECT node_id, value, CAST(d2 AS INTEGER) AS d2 FROM cells LEFT JOIN best ON "row" = r AND col = c""")
+@query("nearest_fill", """, given AS (SELECT g.*, "row" AS r, col AS c FROM (SELECT node_id, max_by(elevation, event_id) AS value FROM points GROUP BY node_id) g JOIN cells USING (node_id)),
+gaps AS (SELECT node_id, "row", col FROM cells WHERE node_id NOT IN (SELECT node_id FROM given)),
+best AS (SELECT gaps.node_id, min({'d2': ("row" - r) * ("row" - r) + (col - c) * (col - c), 'giver': given.node_id, 'value': value}) AS b FROM gaps, given GROUP BY gaps.node_id)
+SELECT node_id, value, CAST(0 AS BIGINT) AS d2 FROM given UNION ALL SELECT node_id, b.value, CAST(b.d2 AS BIGINT) FROM best""")
 def _(v):
     given = v.points().groupBy("node_id").agg(F.max_by("elevation", "event_id").alias("value"))
     return raster.nearest_fill(v.cells(), given)
@@ -866,40 +870,58 @@ def _(v):
     return hist.select("epoch", "loss", best.alias("best"), (F.col("loss") <= best).alias("improved"))
 
 
-@query("neighbour_sample")
+@query("neighbour_sample", "SELECT src, dst FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY (src * 7919 + dst * 104729 + 42) % 10007, src) <= 4")
 def _(v):
-    """At most four neighbours of a cell, drawn by hash; degrees are at most nine, so the window is small."""
-    w = Window.partitionBy("dst").orderBy(F.xxhash64("src", "dst", F.lit(42)), "src")
-    return v.edges().select("src", "dst", F.row_number().over(w).alias("rn")).where("rn <= 4").select("src", "dst")
+    """At most four neighbours of a cell, in a pseudo-random order; degrees are at most nine, so the window is small."""
+    order = (F.col("src") * 7919 + F.col("dst") * 104729 + 42) % 10007
+    return v.edges().select("src", "dst", F.row_number().over(Window.partitionBy("dst").orderBy(order, "src")).alias("rn")).where("rn <= 4").select("src", "dst")
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT node_id, ROUND(ndvi, 6) AS ndvi, slope FROM cells ORDER BY (node_id * 7919 + 42) % 10007, node_id LIMIT 500")
 def _(v):
-    return v.cells().select("node_id", "ndvi", "slope").orderBy(F.xxhash64("node_id", F.lit(42)), "node_id").limit(500)
+    return r6(v.cells().select("node_id", "ndvi", "slope").orderBy((F.col("node_id") * 7919 + 42) % 10007, "node_id").limit(500))
 
 
-def _trained(v: Views) -> DataFrame:
-    at = rules.classify(v.cells(), v.limits().where("profile = 'a_pe'")).join(v.cell_splits().select("node_id", "split"), "node_id")
-    return learn.assemble(at, ["slope", "tpi", "tri", "ndvi", "ndwi", "water_mask"]).select("node_id", "split", "y", "features")
+TRAINED = ["slope", "tpi", "tri", "ndvi", "ndwi", "water_mask"]
+
+
+def _trained(v: Views, profile: str) -> DataFrame:
+    at = rules.classify(v.cells(), v.limits().where(F.col("profile") == profile)).join(v.cell_splits().select("node_id", "split"), "node_id")
+    return learn.assemble(at, TRAINED).select("node_id", "profile", "split", "y", "features")
+
+
+def _by_profile(v: Views, fit: Callable[[DataFrame], object], of: Callable[[object, DataFrame], DataFrame]) -> DataFrame:
+    """fit on each profile's training cells, and of(model, cells) of all profiles; the cells are held for the fit's rounds only."""
+    out = None
+    for profile in PROFILES:
+        data = _trained(v, profile)
+        train = data.where("split = 'train'").cache()
+        model = fit(train)
+        train.unpersist()
+        one = of(model, data).withColumn("profile", F.lit(profile))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _tested(model, data: DataFrame) -> DataFrame:
+    return r6(metrics.scores(metrics.cube(learn.predict(model, data.where("split = 'test'")), ["split"]), ["split"]))
 
 
 @query("rf_baseline")
 def _(v):
-    data = _trained(v).cache()
-    model = learn.random_forest(data.where("split = 'train'"), trees=10, depth=8)
-    return metrics.scores(metrics.cube(learn.predict(model, data.where("split = 'test'")), ["split"]), ["split"])
+    """100 trees of depth 20 with balanced weights, for each of the four profiles."""
+    return _by_profile(v, learn.random_forest, _tested)
 
 
 @query("rf_importance")
 def _(v):
-    return learn.importance(learn.random_forest(_trained(v).where("split = 'train'"), trees=10, depth=8), ["slope", "tpi", "tri", "ndvi", "ndwi", "water_mask"])
+    return _by_profile(v, learn.random_forest, lambda model, _data: learn.importance(model, TRAINED))
 
 
 @query("mlp_baseline")
 def _(v):
-    data = _trained(v).cache()
-    model = learn.perceptron(data.where("split = 'train'"), 6, hidden=(16, 8), rounds=20)
-    return metrics.scores(metrics.cube(learn.predict(model, data.where("split = 'test'")), ["split"]), ["split"])
+    """Hidden layers of 64 and 32, 50 rounds, for each of the four profiles."""
+    return _by_profile(v, lambda train: learn.perceptron(train, len(TRAINED)), _tested)
 
 
 @query("pca_embeddings")
@@ -919,8 +941,11 @@ def _(v):
     return r6(pcs.agg(*[F.corr(f"pc{i}", "label").alias(f"pc{i}") for i in range(1, 5)]))
 
 
-@query("point_formats", "SELECT event_id, event_id AS id2, source AS src FROM points WHERE event_id % 10 = 0")
+@query("point_formats", "SELECT event_id, event_id AS id2, source AS src FROM points")
 def _(v):
     """JSON out and in again."""
     js = v.points().select("event_id", F.to_json(F.struct(F.col("event_id").alias("id2"), F.col("source").alias("src"))).alias("j"))
     return js.select("event_id", F.from_json("j", "id2 long, src string").alias("s")).select("event_id", "s.id2", "s.src")
+
+
+from cellgrove.plans import structure  # noqa: E402, F401  registers its queries here
