@@ -35,6 +35,30 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("pred", (F.col("prediction") + 1).cast("int")).drop("prediction", "rawPrediction", "probability")
 
 
+def save_model(model, path: str, about: dict[str, str]) -> None:
+    """The model in path/model, and a manifest beside it: its kind, its parameters and what about says (profile, columns ..)."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    said = {"kind": type(model).__name__, "parameters": str({p.name: v for p, v in sorted(model.extractParamMap().items(), key=lambda x: x[0].name)})} | about
+    spark.createDataFrame([(k, str(v)) for k, v in said.items()], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load_model(path: str):
+    """The model that save_model wrote, and its manifest as a dictionary."""
+    from pyspark.ml import classification
+
+    said = {r["name"]: r["value"] for r in SparkSession.active().read.json(f"{path}/manifest").collect()}  # a row per entry
+    return getattr(classification, said["kind"]).load(f"{path}/model"), said
+
+
+def component_correlations(transformed: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """component, feature and r for the first k components against feature columns, one pass of sums."""
+    at = component_array(transformed).select(*[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)], *[F.col(c).cast("double").alias(c) for c in columns])
+    one = at.agg(*[F.corr(f"pc{i}", c).alias(f"{i}/{c}") for i in range(1, k + 1) for c in columns])
+    rows = F.array(*[F.struct(F.lit(i).alias("component"), F.lit(c).alias("feature"), F.col(f"{i}/{c}").alias("r")) for i in range(1, k + 1) for c in columns])
+    return one.select(F.inline(rows))
+
+
 def importance(model, columns: list[str]) -> DataFrame:
     spark = SparkSession.active()
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
-from cellgrove.operators import analysis, grid, metrics, quality, raster, split, training, uncertainty
+from cellgrove.operators import analysis, grid, learn, metrics, network, quality, raster, split, training, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _entropy, _label_neighbours, long, query, r6
 from cellgrove.sources import dimensions
@@ -234,3 +235,49 @@ ORACLES["early_stopping"] = ORACLES["early_stopping"].replace("WITH ", "WITH REC
 def _(v):
     scored = metrics.scores(metrics.cube(v.preds(), KEYS), KEYS).groupBy("model").agg(F.round(F.avg("macro_f1"), 4).alias("f1"))
     return scored.select("model", F.rank().over(Window.orderBy(F.desc("f1"))).alias("place"))  # a row per model
+
+
+@query("pc_feature_corr")
+def _(v):
+    """The three features that follow each of the first four components of the embeddings most."""
+    e = v.table("embeddings").join(v.cells().select(F.col("node_id").alias("vec_id"), *FEATURES), "vec_id")
+    out, _, _ = learn.principal_components(e, "embedding", 4)
+    r = learn.component_correlations(out, FEATURES, 4).withColumn("r", F.round(F.abs("r"), 6))  # a component's sign is free
+    best = Window.partitionBy("component").orderBy(F.desc_nulls_last("r"), "feature")
+    return r.withColumn("place", F.row_number().over(best)).where("place <= 3")
+
+
+# graph networks with given weights -----------------------------------------------------------------------
+
+NETWORK_FEATURES = ["slope", "tri", "ndvi", "ndwi", "tpi"]
+
+
+def given_weights(width: int = 6, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights of a fixed seed, for passes over networks that are not trained here."""
+    rng = np.random.default_rng(seed)
+    out = {"encoder": rng.normal(size=(width, len(NETWORK_FEATURES))) / 2, "bias": rng.normal(size=width) / 4}
+    for k in range(3):
+        out |= {f"left{k}": rng.normal(size=(width, width)) / 3, f"right{k}": rng.normal(size=(width, width)) / 3, f"scorer{k}": rng.normal(size=width)}
+    out |= {f"relation{k}": rng.normal(size=(width, width)) / 6 for k in range(4)}
+    return out | {p: rng.normal(size=(3, width)) for p in dimensions.PROFILES}
+
+
+@query("attention_forward")
+def _(v):
+    """Encoder, three attention layers and a head for each profile, over all cells."""
+    w = given_weights()
+    nodes, edges = network.encode(v.cells(), NETWORK_FEATURES, w["encoder"], w["bias"]), v.edges().select("src", "dst")
+    for k in range(3):
+        nodes = network.attention_layer(nodes, edges, w[f"left{k}"], w[f"right{k}"], w[f"scorer{k}"])
+    return r6(network.class_heads(nodes, {p: w[p] for p in dimensions.PROFILES}))
+
+
+@query("relation_forward")
+def _(v):
+    """Encoder and one layer over four relations: neighbours along rows, along columns, across, and the cell itself."""
+    w, (_, _, width) = given_weights(), v.shape
+    nodes, e = network.encode(v.cells(), NETWORK_FEATURES, w["encoder"], w["bias"]), v.edges().select("src", "dst")
+    step = F.abs(F.col("src") - F.col("dst"))
+    relations = {"relation0": e.where(step == 1), "relation1": e.where(step == width), "relation2": e.where((step != 1) & (step != width) & (step != 0)), "relation3": e.where(step == 0)}
+    out = network.relation_layer(nodes, relations, w)
+    return r6(out.select("node_id", *[F.col("h")[i].alias(f"h{i}") for i in range(len(w["bias"]))]))

@@ -1,4 +1,4 @@
-"""Incremental ingest of point files, and running means by pixel, as streams that drain what is there and stop."""
+"""Incremental ingest of files, windowed counts and running means by pixel: streams that drain what is there and stop."""
 
 from __future__ import annotations
 
@@ -26,3 +26,29 @@ def windowed_counts(spark: SparkSession, source: str, target: str, checkpoint: s
     counts = stream.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     query = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
     query.awaitTermination()
+
+
+def ingest_by_batch(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+    """Write every micro-batch to a folder of its number, replacing it: a batch that runs again leaves its rows once."""
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def running_means(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    """row, col, mean and scenes of all valid values (dn > 0) seen so far, as one table that every batch replaces.
+
+    Sums and counts by pixel are the stream's state; a further call goes on from the checkpoint.
+    """
+    schema = spark.read.parquet(source).schema
+    seen = spark.readStream.schema(schema).parquet(source).where("dn > 0")
+    means = seen.groupBy("row", "col").agg(F.avg("dn").alias("mean"), F.count("*").alias("scenes"))
+
+    def put(batch: DataFrame, _number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    means.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
