@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from cellgrove.llm.common import col, stage
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+# Common public suffixes of two labels, under which everyone may register a name.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "co.in", "co.jp", "co.kr", "co.nz", "co.za",
+    "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "herokuapp.com",
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,12 +42,14 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the public suffix and the label before it."""
+    return F.when(F.substring_index(host, ".", -2).isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix: one of SUFFIXES, else the last label."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def _strength(groups: DataFrame, by: list[str]) -> DataFrame:

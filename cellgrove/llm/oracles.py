@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellgrove.llm.hosts import RULES
+from cellgrove.llm.hosts import RULES, SUFFIXES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,6 +18,12 @@ def _strength(source: str, by: str) -> str:
  FROM (SELECT *, kk / nn AS rate, nn - n2 / nn - (g - 1) AS room FROM (SELECT {keys}CAST(sum(n) AS DOUBLE) AS nn, CAST(sum(k) AS DOUBLE) AS kk, count(*) AS g, CAST(sum(n * n) AS DOUBLE) AS n2, sum(k * k / n) AS k2n FROM {source}{' GROUP BY ' + by if by else ''})))"""
 
 
+_TWO = "array_to_string(string_split(host, '.')[-2:], '.')"
+_IS = f"{_TWO} IN ({', '.join(repr(x) for x in SUFFIXES)})"
+_DOMAIN = f"CASE WHEN {_IS} THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {_TWO} END"
+_SUFFIX = f"CASE WHEN {_IS} THEN {_TWO} ELSE string_split(host, '.')[-1] END"
+
+
 def op8() -> str:
     rules = ", ".join(f"('{kind}', '{host}', '{path}')" for kind, host, path in RULES)
     return f"""WITH p AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -25,13 +31,13 @@ q AS (SELECT page_id, url, COALESCE(translate(regexp_extract(rest, '^[^/?#]*'),
 rules AS (SELECT * FROM (VALUES {rules}) AS t(kind, rh, rp)),
 hit AS (SELECT page_id, rh || rp AS rule, kind FROM q JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC, kind DESC) = 1),
 o AS (SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM q JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT)),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM o GROUP BY host),
+hosts AS (SELECT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM o GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix),
 whole AS (SELECT COALESCE(sum(k) / sum(n), 0.5E0) AS rate FROM hosts),
 s AS (SELECT suffix, k + strength * rate AS alpha, n - k + strength * (1 - rate) AS beta FROM suffixes, whole, {_strength('suffixes', '')}),
 d AS (SELECT domain, d.k + COALESCE(strength, 99) * (s.alpha / (s.alpha + s.beta)) AS alpha, d.n - d.k + COALESCE(strength, 99) * (1 - s.alpha / (s.alpha + s.beta)) AS beta FROM domains d JOIN s USING (suffix) LEFT JOIN {_strength('domains', 'suffix')} USING (suffix)),
 h AS (SELECT host, h.k + COALESCE(strength, 99) * (d.alpha / (d.alpha + d.beta)) AS alpha, h.n - h.k + COALESCE(strength, 99) * (1 - d.alpha / (d.alpha + d.beta)) AS beta FROM hosts h JOIN d USING (domain) LEFT JOIN {_strength('hosts', 'domain')} USING (domain)),
-risk AS (SELECT host, COALESCE(h.alpha, d.alpha, s.alpha, rate * 99) AS a, COALESCE(h.beta, d.beta, s.beta, (1 - rate) * 99) AS b FROM (SELECT DISTINCT host FROM q) LEFT JOIN h USING (host) LEFT JOIN d ON d.domain = array_to_string(string_split(host, '.')[-2:], '.') LEFT JOIN s ON s.suffix = string_split(host, '.')[-1], whole)
+risk AS (SELECT host, COALESCE(h.alpha, d.alpha, s.alpha, rate * 99) AS a, COALESCE(h.beta, d.beta, s.beta, (1 - rate) * 99) AS b FROM (SELECT DISTINCT host, {_DOMAIN} AS own_domain, {_SUFFIX} AS own_suffix FROM q) LEFT JOIN h USING (host) LEFT JOIN d ON d.domain = own_domain LEFT JOIN s ON s.suffix = own_suffix, whole)
 SELECT page_id, host, path, rule, COALESCE(kind, CASE WHEN a / (a + b) - 1.645E0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.25E0 THEN 'block' ELSE 'allow' END) AS verdict FROM q LEFT JOIN hit USING (page_id) JOIN risk USING (host)"""
 
 
