@@ -199,15 +199,17 @@ def _cut(batch: pa.RecordBatch, segments_per_doc: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": pa.array(out_lang, pa.string()), "bytes": pa.array(out_bytes, pa.binary())})
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, segments_per_doc: int = 8, **params) -> BiGRU:
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, segments_per_doc: int = 8, max_languages: int = 500, **params) -> BiGRU:
     """Train on at most about sample_docs documents of each language among the usable rows.
 
     The sample is drawn by a hash of the id at a rate of sample_docs over the language's count, so what
-    reaches the driver is bounded by the parameters, not by the table.
+    reaches the driver is bounded by the parameters, not by the table. More than max_languages languages are an error.
     """
     ship(docs.sparkSession)
     rows = docs.where(usable & col(lang_col).isNotNull() & col(text_col).isNotNull() & (F.length(col(text_col)) > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages in {lang_col}")
     classes = tuple(sorted(counts))
     if not classes:
         return BiGRU((), *(np.zeros((0, 0), np.float32) for _ in range(4)))

@@ -13,6 +13,7 @@ of one length go by document id and piece number. A null id is kept.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -35,6 +36,17 @@ _BEYOND = re.compile("[^\x00-ɏ]")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _MODELS: dict[str, tuple] = {}
 _TAIL = frozenset(".,;:!?|*#%&$")
+# The rules of the vocabulary file that _PARTS and _plain restate; with others the library takes whole texts.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _PARTS_MAX, _WORDS_MAX = 200_000, 60_000
 
 
@@ -52,12 +64,16 @@ _VISIBLE = _visible_bytes()
 
 
 def _tokenizer(path: str) -> tuple:
-    """The library's tokenizer, its model, and the bounded caches of parts and of words, kept over batches."""
+    """The library's tokenizer, its model, whether its rules are the expected ones, and the bounded caches of parts and
+    of words, kept over batches."""
     if path not in _MODELS:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        _MODELS[path] = (whole, whole.model, {}, {})
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        expected = all(said.get(k) == v for k, v in _RULES.items()) and all(t["content"].startswith("<|") for t in said.get("added_tokens") or [])
+        _MODELS[path] = (whole, whole.model, expected, {}, {})
     return _MODELS[path]
 
 
@@ -79,12 +95,12 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     Words and their parts are looked up in caches of a bounded size, so the library encodes each new part
     once and a frequent word costs one dictionary access.
     """
-    whole, model, parts, words = _tokenizer(path)
+    whole, model, expected, parts, words = _tokenizer(path)
     if len(parts) > _PARTS_MAX:
         parts.clear()
     if len(words) > _WORDS_MAX:
         words.clear()
-    plain = [_plain(t) for t in texts]
+    plain = [expected and _plain(t) for t in texts]
     split = [(t.lower().replace("\x85", " ").replace("\xa0", " ") if not t.isascii() else t.lower()).split() if p else [] for t, p in zip(texts, plain, strict=True)]
     for w in set().union(*split).difference(words):
         if w.isalpha():
