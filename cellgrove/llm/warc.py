@@ -13,18 +13,19 @@ in one split; those that run over false boundaries or splits are put together in
 
 Null payloads are empty, null urls leave out the url header, null ids the id header; control characters and
 spaces in urls are percent-encoded. Very long payloads may span splits. Rows that repeat an id are records
-of their own. An empty table writes no records; a file without a valid first record gives none. Archives
+of their own; of those that hold the largest id of a payload all are responses. An empty table writes no records; a file without a valid first record gives none. Archives
 that are cut off lose the last record.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import col, scratch, ship, stage
@@ -36,21 +37,22 @@ _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(id, refers_to) of the records whose payload is stored under another id: ids and digests only."""
+    """(id, digest, refers_to) of the records whose payload is stored under another id: ids and digests only."""
     payload = col(payload_col).cast("binary")
     rows = pages.where(F.octet_length(col(payload_col)) >= MIN_REVISIT).select(col(id_col).cast("long").alias("id"), F.unhex(F.sha1(payload)).alias("digest"))
     rows = stage(rows, "warc-digests")
     last = stage(rows.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").select("digest", "refers_to"), "warc-repeated")
-    return stage(rows.join(last, "digest").where("id <> refers_to").select("id", "refers_to").distinct(), "warc-revisits")
+    return stage(rows.join(last, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct(), "warc-revisits")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write the archives: one file per task, without a shuffle of the payloads unless there are many revisits."""
+    """Write the archives: one file per task. Payloads stay in place where the table of revisits is small enough for the
+    session's broadcast threshold; else they are shuffled once, by id and digest."""
     again = revisits(pages, id_col, payload_col)
     rows = pages.select(col(id_col).cast("long").alias("id"), F.regexp_replace(col(url_col), "[\\x00-\\x20\\x7F]", "%20").alias("url"), F.coalesce(col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.join(again, "id", "left")
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary")))).join(again, ["id", "digest"], "left")
     is_revisit = F.col("refers_to").isNotNull()
-    digest, size = F.sha1(F.col("payload").cast("binary")), F.octet_length("payload")
+    digest, size = F.lower(F.hex("digest")), F.octet_length("payload")
 
     def record_id(c):
         h = F.md5(c.cast("string").cast("binary"))
@@ -127,11 +129,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     magic = len(MAGIC)
     for file, split, pieces in _runs(batches):
         rows: list[list] = []
-        waiting: list[tuple[list, int, list[bytes], int]] = []  # row, bytes wanted, bytes so far, how many
+        waiting: list[tuple[int, int, int, list]] = []  # heap of open blocks: end and start in the split, a number, row
+        buffer, base = bytearray(), 0  # the split's bytes from the first open block's start on: one copy for all
         heads: list[tuple[list, list[bytes]]] = []  # row, bytes so far of a header without its end
         total, first = 0, True
 
-        def begin(row: list, piece: bytes, waiting: list) -> bool:
+        def begin(row: list, piece: bytes) -> bool:
+            nonlocal buffer, base
             head = _parse(piece)
             if head is None:
                 return False
@@ -145,34 +149,32 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(body) >= need:
                 _close(row, body, need)
             else:
-                waiting.append((row, need, [body], len(body)))
+                if not waiting:
+                    buffer, base = bytearray(body), row[2] + start
+                heapq.heappush(waiting, (row[2] + start + need, row[2] + start, row[2], row))
             return True
 
         for piece in pieces:
             # the first piece of a file is empty; later splits start behind a magic line that the split before read
             at, skip = total, first and split == 0
             total += len(piece) + magic
-            still = []
-            for row, need, parts, got in waiting:
-                parts.append(MAGIC.encode() + piece)
-                got += magic + len(piece)
-                if got >= need + 4:
-                    _close(row, b"".join(parts), need)
-                else:
-                    still.append((row, need, parts, got))
-            waiting = still
+            if waiting:
+                buffer += MAGIC.encode() + piece
+            while waiting and waiting[0][0] + 4 <= base + len(buffer):
+                to, since, _, row = heapq.heappop(waiting)
+                _close(row, bytes(buffer[since - base : to + 4 - base]), to - since)
             for _, parts in heads:
                 parts.append(piece)
             if b"\r\n\r\n" in piece or piece.startswith(b"\r\n"):  # a magic line ends in a line break itself
                 for row, parts in heads:
-                    begin(row, MAGIC.encode().join(parts), waiting)
+                    begin(row, MAGIC.encode().join(parts))
                 heads = []
             first = False
             if skip:
                 continue
             row = [file, split, at, None, None, None, None, None, None, None, False]
             rows.append(row)
-            if not begin(row, piece, waiting) and b"\r\n\r\n" not in piece and b":" in piece.split(b"\r\n", 1)[0]:
+            if not begin(row, piece) and b"\r\n\r\n" not in piece and b":" in piece.split(b"\r\n", 1)[0]:
                 heads.append((row, [piece]))
         starts = {row[2]: row for row in rows}
         for row in reversed(rows):  # where the chain from here leaves the split (total and beyond)
@@ -203,8 +205,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # at counts from the split's first piece; a record's true offset is that plus what the splits before span
     found = stage(_pieces(spark, path).mapInArrow(_candidates, _CANDIDATE), "warc-candidates")
     spans = found.where("at = -1").select("file", "split", F.col("next").alias("span"))
-    before = spans.alias("l").join(spans.alias("r"), (F.col("l.file") == F.col("r.file")) & (F.col("r.split") < F.col("l.split")), "left")
-    base = before.groupBy("l.file", "l.split", "l.span").agg(F.coalesce(F.sum("r.span"), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    base = spans.select("file", "split", "span", F.coalesce(F.sum("span").over(earlier), F.lit(0)).alias("base"))
     base = stage(base, "warc-splits")
     placed = found.where("at >= 0").join(base, ["file", "split"]).select("file", "split", "span", "base", (F.col("at") + F.col("base")).alias("at"), (F.col("next") + F.col("base")).alias("next"), (F.col("exit") + F.col("base")).alias("exit"), "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "whole")
     placed = stage(placed, "warc-placed")
