@@ -16,9 +16,21 @@ def cube(preds: DataFrame, keys: list[str]) -> DataFrame:
     return preds.groupBy(*keys, "y", "pred").agg(F.count("*").alias("n"))
 
 
-def dense_confusion(preds: DataFrame, keys: list[str]) -> DataFrame:
+def cube_of_models(wide: DataFrame, keys: list[str], models: tuple[str, ...]) -> DataFrame:
+    """The cube by keys, model among them, from a column of predictions for each model.
+
+    Rows are counted by all models' classes at once (a few hundred combinations for each of the other keys) and only the
+    counts are spread over the models.
+    """
+    others = [k for k in keys if k != "model"]
+    counted = wide.groupBy(*others, "y", *models).agg(F.count("*").alias("n"))
+    spread = counted.select(*others, "y", "n", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in models])))
+    return spread.groupBy(*keys, "y", "pred").agg(F.sum("n").alias("n"))
+
+
+def dense_confusion(cube: DataFrame, keys: list[str]) -> DataFrame:
     """All nine cells of each group's matrix, zeros included."""
-    one = preds.groupBy(*keys).agg(*[F.sum(F.when((F.col("y") == a) & (F.col("pred") == b), 1).otherwise(0)).alias(f"n{a}{b}") for a in CLASSES for b in CLASSES])
+    one = cube.groupBy(*keys).agg(*[F.sum(F.when((F.col("y") == a) & (F.col("pred") == b), F.col("n")).otherwise(0)).alias(f"n{a}{b}") for a in CLASSES for b in CLASSES])
     cells = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("pred"), F.col(f"n{a}{b}").alias("n")) for a in CLASSES for b in CLASSES])
     return one.select(*keys, F.inline(cells))
 

@@ -418,29 +418,33 @@ def _(v):
 KEYS = ["profile", "model"]
 
 
+def _cube(v: Views) -> DataFrame:
+    return metrics.cube_of_models(v.wide(), KEYS, MODELS)
+
+
 @query("confusion", "SELECT profile, model, CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS pred, count(p.node_id) AS n FROM (SELECT DISTINCT profile, model FROM preds) k CROSS JOIN range(1, 4) t(a) CROSS JOIN range(1, 4) u(b) LEFT JOIN preds p USING (profile, model) WHERE p.y = a AND p.pred = b GROUP BY profile, model, a, b UNION ALL SELECT profile, model, CAST(a AS INTEGER), CAST(b AS INTEGER), 0 FROM (SELECT DISTINCT profile, model FROM preds) k CROSS JOIN range(1, 4) t(a) CROSS JOIN range(1, 4) u(b) WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.profile = k.profile AND p.model = k.model AND p.y = a AND p.pred = b)")
 def _(v):
-    return metrics.dense_confusion(v.preds(), KEYS).select("profile", "model", "y", "pred", long("n").alias("n"))
+    return metrics.dense_confusion(_cube(v), KEYS).select("profile", "model", "y", "pred", long("n").alias("n"))
 
 
 @query("model_scores", oracle.scores("profile, model", "preds"))
 def _(v):
-    return r6(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS))
+    return r6(metrics.scores(_cube(v), KEYS))
 
 
 @query("accuracy", "SELECT profile, model, ROUND(avg(CASE WHEN y = pred THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy FROM preds GROUP BY profile, model")
 def _(v):
-    return r6(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS).select(*KEYS, "accuracy"))
+    return r6(metrics.scores(_cube(v), KEYS).select(*KEYS, "accuracy"))
 
 
 @query("macro_f1", oracle.scores("profile, model", "preds", columns="ROUND(macro_f1, 6) AS macro_f1"))
 def _(v):
-    return r6(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS).select(*KEYS, "macro_f1"))
+    return r6(metrics.scores(_cube(v), KEYS).select(*KEYS, "macro_f1"))
 
 
 @query("weighted_f1", oracle.scores("profile, model", "preds", columns="ROUND(weighted_f1, 6) AS weighted_f1"))
 def _(v):
-    return r6(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS).select(*KEYS, "weighted_f1"))
+    return r6(metrics.scores(_cube(v), KEYS).select(*KEYS, "weighted_f1"))
 
 
 PRF = ", prf AS (SELECT profile, model, c AS class, count(*) FILTER (y = c AND pred = c) AS t, count(*) FILTER (y = c) AS s, count(*) FILTER (pred = c) AS q FROM preds, (VALUES (1), (2), (3)) AS k(c) GROUP BY profile, model, c), pr AS (SELECT *, CASE WHEN q > 0 THEN t / (q + {eps}) ELSE 0.0E0 END AS precision, CASE WHEN s > 0 THEN t / (s + {eps}) ELSE 0.0E0 END AS recall FROM prf) "
@@ -448,17 +452,17 @@ PRF = ", prf AS (SELECT profile, model, c AS class, count(*) FILTER (y = c AND p
 
 @query("per_class_prf", PRF.format(eps="1e-9") + "SELECT profile, model, class, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall + 1e-9) ELSE 0.0E0 END, 6) AS f1 FROM pr")
 def _(v):
-    return r6(metrics.per_class(metrics.cube(v.preds(), KEYS), KEYS))
+    return r6(metrics.per_class(_cube(v), KEYS))
 
 
 @query("slowgo_f1", PRF.format(eps="1e-8") + "SELECT profile, model, ROUND(2 * precision * recall / (precision + recall + 1e-8), 6) AS f1 FROM pr WHERE class = 2")
 def _(v):
-    return r6(metrics.per_class(metrics.cube(v.preds(), KEYS), KEYS, 1e-8).where("class = 2").select(*KEYS, "f1"))
+    return r6(metrics.per_class(_cube(v), KEYS, 1e-8).where("class = 2").select(*KEYS, "f1"))
 
 
 @query("model_comparison_pivot", f"SELECT profile, {', '.join(f'''max(CASE WHEN model = '{m}' THEN macro_f1 END) AS {m}''' for m in MODELS)} FROM ({oracle.scores('profile, model', 'preds', columns='ROUND(macro_f1, 6) AS macro_f1')}) GROUP BY profile")
 def _(v):
-    return r6(metrics.pivot_models(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS), MODELS))
+    return r6(metrics.pivot_models(metrics.scores(_cube(v), KEYS), MODELS))
 
 
 ASYM = "n, dangerous, conservative, under, \"over\", ROUND(100.0E0 * dangerous / n, 6) AS dangerous_pct, ROUND(100.0E0 * conservative / n, 6) AS conservative_pct, ROUND(dangerous / (conservative + 1e-8), 6) AS ratio"
@@ -466,18 +470,18 @@ ASYM = "n, dangerous, conservative, under, \"over\", ROUND(100.0E0 * dangerous /
 
 @query("asymmetric_error", f"SELECT profile, model, {ASYM} FROM (SELECT profile, model, count(*) AS n, count(*) FILTER (pred = 1 AND y > 1) AS dangerous, count(*) FILTER (pred > 1 AND y = 1) AS conservative, count(*) FILTER (pred < y) AS under, count(*) FILTER (pred > y) AS \"over\" FROM preds GROUP BY profile, model)")
 def _(v):
-    return r6(metrics.asymmetric(metrics.cube(v.preds(), KEYS), KEYS))
+    return r6(metrics.asymmetric(_cube(v), KEYS))
 
 
 @query("error_types", "SELECT profile, model, CAST(sign(pred - y) AS INTEGER) AS kind, count(*) AS n FROM preds GROUP BY ALL")
 def _(v):
-    return v.preds().groupBy(*KEYS, F.signum(F.col("pred") - F.col("y")).cast("int").alias("kind")).agg(F.count("*").alias("n"))
+    return _cube(v).groupBy(*KEYS, F.signum(F.col("pred") - F.col("y")).cast("int").alias("kind")).agg(F.sum("n").alias("n"))
 
 
 @query("test_only_scores", oracle.scores("profile, model", "(SELECT p.* FROM preds p JOIN cell_splits s USING (node_id) WHERE s.split = 'test')"))
 def _(v):
-    tested = v.preds().join(v.cell_splits().where("split = 'test'").select("node_id"), "node_id", "left_semi")
-    return r6(metrics.scores(metrics.cube(tested, KEYS), KEYS))
+    tested = v.wide().join(v.cell_splits().where("split = 'test'").select("node_id"), "node_id", "left_semi")
+    return r6(metrics.scores(metrics.cube_of_models(tested, KEYS, MODELS), KEYS))
 
 
 # analysis ------------------------------------------------------------------------------------------------
@@ -486,24 +490,24 @@ def _(v):
 def _zoned(v: Views) -> DataFrame:
     cells = v.cells().select("node_id", "ndvi", "slope")
     limits = F.broadcast(v.limits().select("profile", "ndvi_1"))  # four rows
-    return v.preds().join(cells, "node_id").join(limits, "profile").withColumns({"zone": analysis.ndvi_zone(F.col("ndvi"), F.col("ndvi_1")), "slope_zone": analysis.slope_zone(F.col("slope"))})
+    return v.wide().join(cells, "node_id").join(limits, "profile").withColumns({"zone": analysis.ndvi_zone(F.col("ndvi"), F.col("ndvi_1")), "slope_zone": analysis.slope_zone(F.col("slope"))})
 
 
 @query("f1_by_ndvi_band", oracle.scores("profile, zone, model", "zones", columns="n, ROUND(macro_f1, 6) AS macro_f1"))
 def _(v):
     keys = ["profile", "zone", "model"]
-    return r6(metrics.scores(metrics.cube(_zoned(v), keys), keys).select(*keys, "n", "macro_f1"))
+    return r6(metrics.scores(metrics.cube_of_models(_zoned(v), keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 
 @query("f1_by_slope_band", oracle.scores("profile, slope_zone, model", "zones", columns="n, ROUND(macro_f1, 6) AS macro_f1"))
 def _(v):
     keys = ["profile", "slope_zone", "model"]
-    return r6(metrics.scores(metrics.cube(_zoned(v), keys), keys).select(*keys, "n", "macro_f1"))
+    return r6(metrics.scores(metrics.cube_of_models(_zoned(v), keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 
 @query("f1_cumulative_band", "SELECT * FROM (" + " UNION ALL ".join(oracle.scores("profile, model", "zones", w, f"'{b}' AS band, n, ROUND(macro_f1, 6) AS macro_f1") for b, w in (("far", "zone = 'far'"), ("transition", "zone <> 'far'"), ("core", "zone = 'close'"))) + ")")
 def _(v):
-    c = metrics.cube(_zoned(v), ["profile", "model", "zone"])
+    c = metrics.cube_of_models(_zoned(v), ["profile", "model", "zone"], MODELS)
     # a row counts in every band that it lies in: core is part of transition
     banded = c.select("*", F.explode(F.when(F.col("zone") == "far", F.array(F.lit("far"))).when(F.col("zone") == "close", F.array(F.lit("transition"), F.lit("core"))).otherwise(F.array(F.lit("transition")))).alias("band"))
     keys = ["profile", "model", "band"]
@@ -511,7 +515,7 @@ def _(v):
 
 
 def _wide(v: Views) -> DataFrame:
-    return analysis.wide_models(v.preds(), MODELS).join(v.cells().select("node_id", *FEATURES), "node_id")
+    return v.wide().join(v.cells().select("node_id", *FEATURES), "node_id")
 
 
 @query("model_agreement", "SELECT profile, count(*) AS n, count(*) FILTER (gnn <> rf) AS differ, ROUND(100.0E0 * count(*) FILTER (gnn <> rf) / count(*), 6) AS differ_pct, count(*) FILTER (gnn > rf) AS more_restrictive, count(*) FILTER (gnn < rf) AS less_restrictive, ROUND(avg(CASE WHEN gnn <> rf THEN ndvi END), 6) AS ndvi_there, ROUND(avg(CASE WHEN gnn <> rf THEN slope END), 6) AS slope_there FROM wide JOIN cells USING (node_id) GROUP BY profile")
@@ -538,7 +542,7 @@ def _(v):
     g = grid.mean_gradient(v.neighbours(["ndvi"]), "ndvi").select("node_id", F.round("gradient", 6).alias("gradient"))
     high = analysis.above_quantile(g.groupBy("gradient").agg(F.count("*").alias("k")), "gradient", "k", 0.75)
     halves = g.join(high, "gradient").select("node_id", F.when(F.col("above"), "high").otherwise("low").alias("half"))
-    return r6(metrics.scores(metrics.cube(v.preds().join(halves, "node_id"), keys), keys).select(*keys, "n", "macro_f1"))
+    return r6(metrics.scores(metrics.cube_of_models(v.wide().join(halves, "node_id"), keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 
 BASINS = "basin AS (SELECT DISTINCT dst AS node_id FROM edges JOIN cells a ON src = a.node_id JOIN cells b ON dst = b.node_id WHERE b.tpi < 0 AND a.tpi > 0)"
@@ -554,7 +558,7 @@ def _(v):
     flat = v.cells().where(F.abs("tpi") <= 0.05).select("node_id", F.lit("flat").alias("place"))
     places = analysis.basins(v.neighbours(["tpi"])).select("node_id", F.lit("basin").alias("place")).union(flat)
     keys = ["profile", "model", "place"]
-    return r6(metrics.scores(metrics.cube(v.preds().join(places, "node_id"), keys), keys).select(*keys, "n", "macro_f1"))
+    return r6(metrics.scores(metrics.cube_of_models(v.wide().join(places, "node_id"), keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 
 @query("isolated_cells", f"SELECT profile, count(*) AS n, count(*) FILTER (2 * other > degree) AS isolated, ROUND(100.0E0 * count(*) FILTER (2 * other > degree) / count(*), 6) AS pct, ROUND(avg(other / degree), 6) AS mean_discordance FROM (SELECT a.profile, dst, count(*) AS degree, count(*) FILTER (a.y <> b.y) AS other {LABEL_EDGES} GROUP BY a.profile, dst) GROUP BY profile")
@@ -566,18 +570,17 @@ def _(v):
 def _(v):
     lit = v.neighbours(["lidar_available"]).where("lidar_available_src = 1").select(F.col("dst").alias("node_id"), F.lit(True).alias("lidar")).distinct()
     keys = ["profile", "model", "lidar"]
-    at = v.preds().join(lit, "node_id", "left").withColumn("lidar", F.coalesce("lidar", F.lit(False)))
-    return r6(metrics.scores(metrics.cube(at, keys), keys).select(*keys, "n", "macro_f1"))
+    at = v.wide().join(lit, "node_id", "left").withColumn("lidar", F.coalesce("lidar", F.lit(False)))
+    return r6(metrics.scores(metrics.cube_of_models(at, keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 
 @query("consensus_hard", f", hard AS (SELECT p.*, CASE WHEN w.rf <> w.y AND w.mlp <> w.y THEN 'hard' WHEN w.rf = w.y AND w.mlp = w.y THEN 'easy' ELSE 'mixed' END AS kind FROM preds p JOIN wide w USING (node_id, profile)) {oracle.scores('profile, model, kind', 'hard', columns='n, ROUND(macro_f1, 6) AS macro_f1')}")
 def _(v):
-    wide = analysis.wide_models(v.preds(), MODELS)
+    wide = v.wide()
     y = F.col("y")
     kind = F.when((F.col("rf") != y) & (F.col("mlp") != y), "hard").when((F.col("rf") == y) & (F.col("mlp") == y), "easy").otherwise("mixed")
-    long_ = wide.withColumn("kind", kind).unpivot(["profile", "kind", "y"], list(MODELS), "model", "pred")
     keys = ["profile", "model", "kind"]
-    return r6(metrics.scores(metrics.cube(long_, keys), keys).select(*keys, "n", "macro_f1"))
+    return r6(metrics.scores(metrics.cube_of_models(wide.withColumn("kind", kind), keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 
 CORR = f", {LONG}, cor AS (SELECT profile, feature, corr(value, CAST(y AS DOUBLE)) AS r FROM labels_cell JOIN flat USING (node_id) GROUP BY profile, feature) "
@@ -596,7 +599,7 @@ def _(v):
 @query("imbalance_corr", f", {DIST}, f AS ({oracle.scores('profile, model', 'preds', columns='macro_f1')}) SELECT model, ROUND(corr(pct, macro_f1), 4) AS r FROM f JOIN dist USING (profile) WHERE y = 2 GROUP BY model")
 def _(v):
     share = _distribution(v).where("y = 2").select("profile", "pct")
-    scored = metrics.scores(metrics.cube(v.preds(), KEYS), KEYS)
+    scored = metrics.scores(_cube(v), KEYS)
     return scored.join(share, "profile").groupBy("model").agg(F.round(F.corr("pct", "macro_f1"), 4).alias("r"))
 
 
@@ -605,19 +608,19 @@ TZ = "JOIN (SELECT DISTINCT node_id, profile, zone FROM zones) USING (node_id, p
 
 @query("tz_outcome_table", f"SELECT profile, n1, n2, n3, n4, ROUND(100.0E0 * (n1 - n3) / greatest(n1 + n2 + n3 + n4, 1), 6) AS advantage_pct FROM (SELECT profile, count(*) FILTER (gnn = y AND rf <> y) AS n1, count(*) FILTER (gnn = y AND rf = y) AS n2, count(*) FILTER (gnn <> y AND rf = y) AS n3, count(*) FILTER (gnn <> y AND rf <> y) AS n4 FROM wide {TZ} GROUP BY profile)")
 def _(v):
-    at = analysis.wide_models(_zoned(v).where("zone <> 'far'"), MODELS)
+    at = _zoned(v).where("zone <> 'far'")
     return r6(analysis.outcome(at, "gnn", "rf"))
 
 
 @query("divergence_pct", "SELECT profile, ROUND(100.0E0 * avg(CASE WHEN rule <> gnn THEN 1.0E0 ELSE 0.0E0 END), 6) AS rule_pct, ROUND(100.0E0 * avg(CASE WHEN rf <> gnn THEN 1.0E0 ELSE 0.0E0 END), 6) AS rf_pct, ROUND(100.0E0 * avg(CASE WHEN mlp <> gnn THEN 1.0E0 ELSE 0.0E0 END), 6) AS mlp_pct FROM wide GROUP BY profile")
 def _(v):
-    w = analysis.wide_models(v.preds(), MODELS)
+    w = v.wide()
     return r6(w.groupBy("profile").agg(*[(100.0 * F.avg(F.when(F.col(m) != F.col("gnn"), 1.0).otherwise(0.0))).alias(f"{m}_pct") for m in ("rule", "rf", "mlp")]))
 
 
 @query("disagreement_map", "SELECT \"row\", col, CAST(CASE WHEN gnn = rf THEN 0 WHEN gnn > rf THEN 1 ELSE 2 END AS INTEGER) AS code FROM wide JOIN cells USING (node_id) WHERE profile = 'a_pe'")
 def _(v):
-    w = analysis.wide_models(v.preds().where("profile = 'a_pe'"), MODELS).join(v.cells().select("node_id", "row", "col"), "node_id")
+    w = v.wide().where("profile = 'a_pe'").join(v.cells().select("node_id", "row", "col"), "node_id")
     return w.select("row", "col", F.when(F.col("gnn") == F.col("rf"), 0).when(F.col("gnn") > F.col("rf"), 1).otherwise(2).alias("code"))
 
 
@@ -858,7 +861,7 @@ def _(v):
 
 @query("model_vs_reference_rank", "SELECT profile, model, CAST(row_number() OVER (PARTITION BY profile ORDER BY macro_f1 DESC, model) AS INTEGER) AS place FROM (" + oracle.scores("profile, model", "preds", columns="ROUND(macro_f1, 6) AS macro_f1") + ")")
 def _(v):
-    scored = r6(metrics.scores(metrics.cube(v.preds(), KEYS), KEYS))
+    scored = r6(metrics.scores(_cube(v), KEYS))
     w = Window.partitionBy("profile").orderBy(F.desc("macro_f1"), "model")
     return scored.select("profile", "model", F.row_number().over(w).alias("place"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions import scalar as S
 from cellgrove.operators import analysis, grid, learn, metrics, network, quality, raster, split, training, uncertainty
 from cellgrove.plans import oracle
-from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _entropy, _label_neighbours, long, query, r6
+from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
 from cellgrove.sources import dimensions
 
 # what a table must hold ----------------------------------------------------------------------------------
@@ -106,7 +106,7 @@ _TILE = 20
 
 @query("window_disagreement", f"SELECT profile, CAST(FLOOR(\"row\" / {_TILE}) AS BIGINT) AS window_row, CAST(FLOOR(col / {_TILE}) AS BIGINT) AS window_col, count(*) AS n, ROUND(100.0E0 * count(*) FILTER (gnn = rf) / count(*), 6) AS agree_pct, ROUND(100.0E0 * count(*) FILTER (gnn > rf) / count(*), 6) AS more_pct, ROUND(100.0E0 * count(*) FILTER (gnn < rf) / count(*), 6) AS less_pct FROM wide JOIN cells USING (node_id) GROUP BY ALL")
 def _(v):
-    wide = analysis.wide_models(v.preds().where(F.col("model").isin("gnn", "rf")), ("gnn", "rf"))
+    wide = v.wide()
     _, _, w = v.shape
     signs = {"agree": F.col("gnn") == F.col("rf"), "more": F.col("gnn") > F.col("rf"), "less": F.col("gnn") < F.col("rf")}
     return r6(analysis.window_shares(wide, w, _TILE, ["profile"], signs))
@@ -233,7 +233,7 @@ ORACLES["early_stopping"] = ORACLES["early_stopping"].replace("WITH ", "WITH REC
 
 @query("models_ranked", f"SELECT model, CAST(rank() OVER (ORDER BY ROUND(avg(macro_f1), 4) DESC) AS INTEGER) AS place FROM ({oracle.scores('profile, model', 'preds', columns='macro_f1')}) GROUP BY model")
 def _(v):
-    scored = metrics.scores(metrics.cube(v.preds(), KEYS), KEYS).groupBy("model").agg(F.round(F.avg("macro_f1"), 4).alias("f1"))
+    scored = metrics.scores(_cube(v), KEYS).groupBy("model").agg(F.round(F.avg("macro_f1"), 4).alias("f1"))
     return scored.select("model", F.rank().over(Window.orderBy(F.desc("f1"))).alias("place"))  # a row per model
 
 

@@ -93,8 +93,8 @@ class Views:
         sets = F.array(*[F.struct(F.lit(name).alias("profile"), *[(F.col(c) / total).alias(f"p{i}") for i, c in enumerate(order, 1)]) for name, order in _ORDERS])
         return self.weights().select("node_id", F.inline(sets))
 
-    def preds(self) -> DataFrame:
-        """node_id, profile, model, pred of four models, and y: all from one pass over the cells, without a shuffle."""
+    def wide(self) -> DataFrame:
+        """node_id, profile, y and a column of predicted classes for each of four models: one pass over the cells, no shuffle."""
         y, p, profile = F.col("y"), F.col("p"), F.col("profile")
         full = rules.classify(self.cells(), self.limits()).select("node_id", "profile", "y", "p", "slope", "ndvi", "ndwi", "water_mask")
         joined = full.join(F.broadcast(dimensions.baseline_limits(self.spark)), "profile")  # four rows
@@ -105,13 +105,18 @@ class Views:
             for name, order in _ORDERS:
                 c = F.when(profile == name, w[order[i]]).otherwise(c)
             ranked.append(c)
-        models = F.array(
-            F.struct(F.lit("gnn").alias("model"), F.when(p % 5 == 0, S.first_argmax(ranked)).otherwise(y).alias("pred")),
-            F.struct(F.lit("rule").alias("model"), rules.baseline_class().alias("pred")),
-            F.struct(F.lit("rf").alias("model"), F.when(p % 11 == 0, 1 + y % 3).otherwise(y).cast("int").alias("pred")),
-            F.struct(F.lit("mlp").alias("model"), F.when(p % 7 == 0, 1 + (y + 1) % 3).otherwise(y).cast("int").alias("pred")),
-        )
-        return joined.select("node_id", "profile", "y", F.inline(models))
+        models = {
+            "gnn": F.when(p % 5 == 0, S.first_argmax(ranked)).otherwise(y),
+            "rule": rules.baseline_class(),
+            "rf": F.when(p % 11 == 0, 1 + y % 3).otherwise(y).cast("int"),
+            "mlp": F.when(p % 7 == 0, 1 + (y + 1) % 3).otherwise(y).cast("int"),
+        }
+        return joined.select("node_id", "profile", "y", *[c.alias(m) for m, c in models.items()])
+
+    def preds(self) -> DataFrame:
+        """node_id, profile, y, model, pred: a row for each model."""
+        models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in dimensions.MODELS])
+        return self.wide().select("node_id", "profile", "y", F.inline(models))
 
     def scenes(self) -> DataFrame:
         lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
