@@ -55,3 +55,27 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """File name, size and SHA-256 of every file of a folder, a file per row."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _columns_of(df: DataFrame, profiles: tuple[str, ...], prefix: str) -> dict[str, str]:
+    """The column of each profile: its name, or the prefix and its name; profiles without either are left out."""
+    return {p: c for p in profiles for c in (p, prefix + p) if c in df.columns}
+
+
+def read_predictions(spark: SparkSession, path: str, profiles: tuple[str, ...]) -> DataFrame:
+    """Stored classes, a column a profile (named P or y_P) and node_id, as rows (node_id, profile, pred)."""
+    df = spark.read.parquet(path)
+    found = _columns_of(df, profiles, "y_")
+    return df.select("node_id", *[F.col(c).cast("int").alias(p) for p, c in found.items()]).unpivot(["node_id"], list(found), "profile", "pred")
+
+
+def read_probabilities(spark: SparkSession, path: str, profiles: tuple[str, ...]) -> DataFrame:
+    """Stored probabilities, an array of three a profile (named P or probs_P) and node_id, as rows (node_id, profile, p1, p2, p3)."""
+    df = spark.read.parquet(path)
+    rows = F.array(*[F.struct(F.lit(p).alias("profile"), *[F.col(c)[i].cast("double").alias(f"p{i + 1}") for i in range(3)]) for p, c in _columns_of(df, profiles, "probs_").items()])
+    return df.select("node_id", F.inline(rows))
+
+
+def slim(cells: DataFrame, keep: list[str], every: list[str]) -> DataFrame:
+    """node_id and every feature, those not kept as null: readers find the same columns whatever was kept."""
+    return cells.select("node_id", *[F.col(c).cast("double").alias(c) if c in keep else F.lit(None).cast("double").alias(c) for c in every])

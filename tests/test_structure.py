@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.operators import grid, learn, quality, training
 from cellgrove.plans import catalog, structure
+from cellgrove.sources import dimensions, files
 from cellgrove.sources.views import Views
 from cellgrove.streaming import ingest
 
@@ -155,3 +156,21 @@ def test_early_stopping_without_gain_and_without_rows(spark):
     got = training.early_stopping(hist, patience=3, min_delta=0.1).orderBy("epoch").collect()
     assert [r["counter"] for r in got] == [0, 1, 2, 3] and got[-1]["stop"]
     assert training.early_stopping(hist.limit(0), patience=3).count() == 0
+
+
+def test_stored_predictions_come_back_as_rows(spark, tmp_path):
+    v = Views(spark, SMALL)
+    wide = v.wide().groupBy("node_id").pivot("profile", list(dimensions.PROFILES)).agg(F.first("gnn"))
+    wide.withColumnRenamed("a_pe", "y_a_pe").write.parquet(str(tmp_path / "p"))
+    got = files.read_predictions(spark, str(tmp_path / "p"), dimensions.PROFILES)
+    assert got.exceptAll(v.wide().select("node_id", "profile", F.col("gnn").alias("pred"))).count() == 0 and got.count() == 6000
+    probs = v.profile_probs()
+    arrays = probs.groupBy("node_id").pivot("profile", list(dimensions.PROFILES)).agg(F.first(F.array("p1", "p2", "p3")))
+    arrays.withColumnRenamed("blindada", "probs_blindada").write.parquet(str(tmp_path / "q"))
+    back = files.read_probabilities(spark, str(tmp_path / "q"), dimensions.PROFILES)
+    assert back.exceptAll(probs).count() == 0 and back.count() == probs.count()
+
+
+def test_slim_tables_keep_their_columns(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "node_id long, slope double, ndvi double")
+    assert files.slim(df, ["slope"], ["slope", "ndvi", "tri"]).first() == (1, 2.0, None, None)
