@@ -3,7 +3,7 @@
 Every whole text gives ``FEATURES`` statistics (lengths, character classes, word and line repetition, byte
 entropy). They are standardised with the labelled rows' mean and deviation and mapped to ``components``
 random Fourier features, which approximate a Gaussian kernel. Each partition sums its share of the normal
-equations; the sums are added up in a tree and the ridge system of a fixed size is solved on the driver.
+equations; the sums are added up in two steps and the ridge system of a fixed size is solved on the driver.
 Scores of a calibration fold (a fifth of the labelled rows, which the ridge fit does not see) are summed
 on a grid and made monotone by pooling adjacent violators; scores in between are interpolated.
 
@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import arrow_rows, col, ship, stage, texts_of
+from cellgrove.llm.common import arrow_rows, col, partitions, ship, stage, texts_of
 
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "letters", "uppercase", "digits", "marks", "spaces", "high_bytes", "entropy",
@@ -111,17 +112,28 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _sums(df: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all rows of the vectors that add(batch, total) builds up in each partition, added in a tree."""
+    """Sum over all rows of the vectors that add(batch, total) builds up in each partition.
 
-    def run(batches):
+    The partitions' vectors are added in as many tasks as the root of the shuffle partitions, then their sums in one.
+    """
+    tasks = max(1, round(partitions(df) ** 0.5))
+
+    def summed(batches):
         total = np.zeros(size)
+        for b in batches:
+            for v in b.column("v"):
+                total += np.frombuffer(v.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int32())], names=["v", "part"])
+
+    def run(batches):
+        total, part = np.zeros(size), TaskContext.get().partitionId() % tasks
         for b in batches:
             if b.num_rows:
                 add(b, total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([part], pa.int32())], names=["v", "part"])
 
-    parts = df.mapInArrow(run, "v binary").rdd.map(lambda r: np.frombuffer(r[0]))
-    return parts.treeReduce(np.add, depth=3) if parts.getNumPartitions() else np.zeros(size)
+    parts = df.mapInArrow(run, "v binary, part int").repartition(tasks, "part").mapInArrow(summed, "v binary, part int")
+    return np.frombuffer(parts.repartition(1).mapInArrow(summed, "v binary, part int").first()["v"])
 
 
 def pool_adjacent_violators(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
