@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: bytes of an Arrow batch on its way to Python, unless the session has another setting than Spark's own
+BATCH_BYTES = 4 << 20
+_BYTES_SETTING, _BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def col(name: str) -> Column:
@@ -24,8 +27,13 @@ def col(name: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, wherever the driver found it (once per application)."""
+    """Let the executors' Python import this package, wherever the driver found it (once per application).
+
+    Also bounds the bytes of the batches that reach Python, so a task holds few of its rows, however long they are.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BYTES_SETTING) in (str(_BYTES_DEFAULT), f"{_BYTES_DEFAULT}b"):
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -43,21 +51,48 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a single machine, tests), a folder of this machine is set.
+    Where the setting is absent, a folder of this machine serves, but only if all tasks run on it (local mode);
+    on a cluster that is an error.
     """
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = sc._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cellgrove-checkpoints-")
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/cellgrove/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of the shared folder, once no result that was read from them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "any")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores behind those that are columns of df already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and lost executors cost nothing."""
-    path = scratch(df.sparkSession, label)
+    """Write df to the shared folder and read it again: lineage ends here and lost executors cost nothing.
+
+    Partitions are written by four tasks a core at most, which take several in turn: many small files cost more than they
+    give. Where executors come and go (dynamic allocation) the cores are not known before, and every partition has its task.
+    """
+    path, sc = scratch(df.sparkSession, label), df.sparkSession.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
+        df = df.coalesce(4 * sc.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

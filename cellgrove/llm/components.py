@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step is a minimum per node and a join; links first shrink to a spanning forest inside every partition.
-Every round is written to the shared folder, so lost executors cost one round at most, and nothing but two
-numbers a round reaches the driver. A node with a million links is a partial minimum and a join that Spark
+Every step is written to the shared folder, so lost executors cost one step at most, and nothing but whether
+all components are stars reaches the driver. A node with a million links is a partial minimum and a join that Spark
 can split. Null ends and self-links are ignored; repeated links count once; no links give an empty table.
 """
 
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from cellgrove.llm.common import ship, stage
 
 
+#: nodes that a task holds at once; beyond, it sends its forest so far and starts another
+_HELD = 1 << 18
+
+
 def _forest(batches):
     """Every node of one partition's links with the smallest node of its local component."""
     parent: dict[int, int] = {}
@@ -28,6 +32,11 @@ def _forest(batches):
             parent[x], x = root, p
         return root
 
+    def ends():
+        found = np.array([(x, find(x)) for x in parent], np.int64).reshape(-1, 2)
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["hi", "lo"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parent.setdefault(a, a)
@@ -35,36 +44,29 @@ def _forest(batches):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    ends = np.array([(x, find(x)) for x in parent], np.int64).reshape(-1, 2)
-    for lo in range(0, len(ends), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(ends[lo : lo + 65536, 0]), pa.array(ends[lo : lo + 65536, 1])], names=["hi", "lo"])
+        if len(parent) > _HELD:
+            yield ends()
+    yield ends()
 
 
-def _mark(df: DataFrame) -> tuple:
-    r = df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
-    return r[0], r[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, or is the smaller end of all of its links."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("lo", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where("up > 1 or (up > 0 and down > 0)").limit(1).count()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 300_000) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node it is connected to."""
     ship(links.sparkSession)
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    local = stage(pairs.mapInArrow(_forest, "hi long, lo long"), "components-local")
-    if local.count() <= few:
-        return stage(local.repartition(1).mapInArrow(_forest, "node long, component long"), "components")
-    edges = stage(local.where("hi <> lo").distinct(), "components-links")
-    mark = _mark(edges)
-    while mark[0]:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+    edges = stage(pairs.mapInArrow(_forest, "hi long, lo long").where("hi <> lo").distinct(), "components-links")
+    while not _stars(edges):
+        both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stage(large, "components-large")
-        down = stage(large.groupBy("hi").agg(F.min("lo").alias("m")), "components-down")
-        moved = large.join(down, "hi")
-        small = moved.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down.select("hi", F.col("m").alias("lo"))).distinct()
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(down, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).distinct()
         edges = stage(small, "components-small")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
-    nodes = edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
-    return stage(nodes.union(edges.select("lo", "lo").distinct().toDF("node", "component")), "components")
+    return edges.union(edges.select("lo", "lo").distinct()).toDF("node", "component")

@@ -26,48 +26,19 @@ from pyspark.sql import functions as F
 
 from cellgrove.llm.common import arrow_rows, by_group, ship, stage
 from cellgrove.llm.components import components
+from cellgrove.llm.words import mix
 
-SKETCH, FILTER_WORDS = 35, 1 << 20
-_LONGS = [f"s{i}" for i in range(SKETCH // 7)]
+SKETCH = 35
+LONGS = [f"s{i}" for i in range(SKETCH // 7)]
+#: of a Bloom filter: bits per id, and its largest size in 64-bit words (32 MB)
+FILTER_BITS, FILTER_WORDS = 32, 1 << 22
 _ALL, _TOP = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 _MULT = np.random.default_rng(2024).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(2025).integers(1, 1 << 63, SKETCH, dtype=np.uint64)
 _SH = np.uint64(32)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z lower-cased, in order."""
-    words = data.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - np.repeat(starts, sizes)
-    value = _BYTES[flat] * _powers(int(sizes.max()))[place]
-    return mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64))
-
-
-_BYTES = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS = [np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        base = np.full(max(64, 2 * n), np.uint64(0x9E3779B97F4A7C15 | 1))
-        base[0] = 1
-        _POWERS[0] = np.multiply.accumulate(base)
-    return _POWERS[0]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers (shifts and odd multipliers)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_FIVE = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+FIVE = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -76,64 +47,58 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     if not n:
         return words
     if n < size:
-        return mix(np.array([(words * _FIVE[32 : 32 + n]).sum() + np.uint64(n)], np.uint64))
-    total = words[: n - size + 1] * _FIVE[0]
+        return mix(np.array([(words * FIVE[32 : 32 + n]).sum() + np.uint64(n)], np.uint64))
+    total = words[: n - size + 1] * FIVE[0]
     for j in range(1, size):
-        total = total + words[j : n - size + 1 + j] * _FIVE[j]
+        total = total + words[j : n - size + 1 + j] * FIVE[j]
     return np.unique(mix(total))
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """The three bits of 64 * FILTER_WORDS that stand for each id, (3, n)."""
-    return np.stack([mix(ids.astype(np.uint64) + np.uint64(k << 56)) % np.uint64(64 * FILTER_WORDS) for k in (1, 2, 3)])
+def _bits(ids: np.ndarray, words: int) -> np.ndarray:
+    """The three bits of 64 * words that stand for each id, (3, n)."""
+    return np.stack([mix(ids.astype(np.uint64) + np.uint64(k << 56)) % np.uint64(64 * words) for k in (1, 2, 3)])
 
 
 def bloom(ids: DataFrame, name: str) -> Callable[[np.ndarray], np.ndarray]:
     """A test of arrays of longs: true for every id in a column, and for few that are not there.
 
-    The Bloom filter has 8 MB whatever the table's size, and passes 3 in 100 strangers when it holds ten
-    million ids, more beyond: it only thins out what is shuffled, so an exact join must follow. Null ids are
-    not in it; of an empty column nothing passes.
+    The Bloom filter has 32 bits an id and passes 1 in 1,000 strangers, up to 32 MB (8 million ids), the bound of
+    what is broadcast; beyond, it passes more. It only thins out what is shuffled, so an exact join must
+    follow. Null ids are not in it; of an empty column nothing passes.
     """
     ship(ids.sparkSession)
+    n = ids.count()
+    words = min(FILTER_WORDS, 1 << max(6, (FILTER_BITS * n // 64).bit_length()))
 
     def collect(batches):
-        words = np.zeros(FILTER_WORDS, np.uint64)
+        bits = np.zeros(words, np.uint64)
         for b in batches:
-            at = _bits(b.column(0).drop_null().to_numpy()).reshape(-1)
-            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        used = np.flatnonzero(words)
+            at = _bits(b.column(0).drop_null().to_numpy(), words).reshape(-1)
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(bits)
         for lo in range(0, len(used), 65536):
             some = used[lo : lo + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bits[some].view(np.int64))], names=["word", "bits"])
 
     # at most FILTER_WORDS rows of two numbers
     table = ids.select(F.col(name).cast("long")).mapInArrow(collect, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(FILTER_WORDS, np.uint64)
-    words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    shared = ids.sparkSession.sparkContext.broadcast(words)
+    bits = np.zeros(words, np.uint64)
+    bits[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
 
     def test(x: np.ndarray) -> np.ndarray:
-        at = _bits(x)
-        return ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+        at = _bits(x, words)
+        return ((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=0)
 
     return test
 
 
-def minima(sets: list[np.ndarray], at_once: int = 1 << 15) -> np.ndarray:
-    """The SKETCH minhash coordinates (32 bits each) of every set of hashes, (n, SKETCH); of an empty set the largest."""
-    out = np.full((len(sets), SKETCH), np.iinfo(np.uint32).max, np.uint32)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    lo = 0
-    while lo < len(sets):
-        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), at_once)))
-        some = np.flatnonzero(sizes[lo:hi]) + lo
-        if len(some):
-            flat = np.concatenate([sets[i] for i in some])
-            starts = np.cumsum(sizes[some]) - sizes[some]
-            for j in range(SKETCH):
-                out[some, j] = np.minimum.reduceat((flat * _MULT[j] + _ADD[j]) >> _SH, starts)
-        lo = hi
+def minima(values: np.ndarray, begin: np.ndarray, hashes: int = SKETCH) -> np.ndarray:
+    """The minhash coordinates (32 bits each) of sets of hashes that begin at begin and are not empty, (n, hashes)."""
+    out = np.empty((len(begin), hashes), np.uint32)
+    if len(begin):
+        for j in range(hashes):
+            out[:, j] = np.minimum.reduceat((values * _MULT[j] + _ADD[j]) >> _SH, begin)
     return out
 
 
@@ -197,7 +162,7 @@ def _meeting(least: int, percent: int):
 
     def run(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
         comp, n, side = (t.column(c).to_numpy() for c in ("comp", "n", "side"))
-        s = np.stack([t.column(c).to_numpy() for c in _LONGS], axis=1)
+        s = np.stack([t.column(c).to_numpy() for c in LONGS], axis=1)
         keep = np.zeros(len(n), bool)
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             zero = side[a:b] == 0
@@ -267,19 +232,18 @@ def _linked(percent: int):
     return run
 
 
-def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], DataFrame], least: int, percent: int = 75, block: int = 512, label: str = "near") -> DataFrame:
+def connect(shared: DataFrame, items: DataFrame, sets: Callable[[DataFrame], DataFrame], least: int, percent: int = 75, block: int = 512, label: str = "near") -> DataFrame:
     """(node, component) of the items that have a similar item.
 
-    postings: (token, rep); items: (rep, n, s0..) with n the set's size and the sketch; sets: gives (rep, x)
-    with the shingle sets of a table of reps; least: equal sketch coordinates that a pair must have.
+    shared: (token, rep, pivot), the lists of items with a common token, the least one apart, which is the pivot;
+    items: (rep, n, s0..) with n the set's size and the sketch; sets: gives (rep, x) with the shingle sets of a
+    table of reps; least: equal sketch coordinates that a pair must have.
     """
     ship(items.sparkSession)
-    firsts = stage(postings.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("g")).where("g > 1"), f"{label}-firsts")
-    shared = stage(postings.join(firsts, "token").select("token", "rep", "pivot"), f"{label}-lists")
-    pairs = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    la = items.select(F.col("rep").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}a") for c in _LONGS])
-    lb = items.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}b") for c in _LONGS])
-    equal = matches([F.col(f"{c}a") for c in _LONGS], [F.col(f"{c}b") for c in _LONGS])
+    pairs = shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    la = items.select(F.col("rep").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}a") for c in LONGS])
+    lb = items.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}b") for c in LONGS])
+    equal = matches([F.col(f"{c}a") for c in LONGS], [F.col(f"{c}b") for c in LONGS])
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     found = pairs.join(la, "a").join(lb, "b").where(sized).select("a", "b", equal.alias("equal")).where(F.col("equal") >= least)
     found = stage(found, f"{label}-candidates")
@@ -299,8 +263,8 @@ def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], D
         links = links.union(more)
         comp = components(links)
 
-    # lists whose members (the first item apart: its pairs are done) are in several components
-    named = shared.where("rep <> pivot").join(comp, shared["rep"] == comp["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
+    # lists whose members (the pivot apart: its pairs are done) are in several components
+    named = shared.join(comp, shared["rep"] == comp["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
     named = stage(named, f"{label}-named")
     sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = stage(sizes.groupBy("token").agg(F.count("*").alias("comps"), F.sum("k").alias("g"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1").select("token", "g", F.col("top.comp").alias("main"), (F.col("g") - F.col("top.k")).alias("odd")), f"{label}-mixed")
@@ -311,7 +275,7 @@ def connect(postings: DataFrame, items: DataFrame, sets: Callable[[DataFrame], D
         # the odd ones of a list, in blocks, meet all blocks of the list
         odd = rows.where("comp <> main").select("*", F.pmod(cut, n_odd).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(0).alias("side"))
         every = rows.select("*", F.explode(F.sequence(F.lit(0), n_odd - 1)).alias("i"), F.pmod(cut, n_all).cast("int").alias("j"), F.lit(1).alias("side"))
-        columns = ["token", "i", "j", "side", "rep", "comp", "n", *_LONGS]
+        columns = ["token", "i", "j", "side", "rep", "comp", "n", *LONGS]
         met = by_group(odd.select(columns).union(every.select(columns)), ["token", "i", "j"], _meeting(least, percent), "token long, i int, j int, side int, rep long, comp long")
         met = stage(met, f"{label}-meeting")
         if met.limit(1).count():

@@ -1,20 +1,21 @@
 """Substring deduplication by paragraph: MinHash banding, exact Jaccard, components, removal.
 
-A paragraph is a line of at least ``min_words`` words. Paragraphs of equal words are one class; classes that
-agree in a whole band of minhash values collide, and colliding ones are compared on their full sets of
-five-word shingles (Jaccard of 0.75 or more) until the components of similar paragraphs are known (see
-``neighbours``). The first paragraph of a component, by document id and position, stays; the others go.
-``tune_bands`` picks the bands for the wanted recall at the threshold.
-
-A shorter line belongs to windows: the line and those after it, or before it, up to ``min_words`` words, blank
-lines passed over. A short line goes if all words of such a window occur, in order, in an earlier place that
-does not overlap it. Windows start at every short line, so no text around a passage moves their borders; they
-are compared by their words alone, and exactly: a line with a changed word stays, and so do the others of the
-windows that it lies in where no other window of theirs repeats.
-
-Null and empty texts and those of fewer than ``min_words`` words have no paragraphs. Very long texts are cut whole; up to 2^24 lines a
-document and ids below 2^38 are told apart. Repeats within one document count like repeats between
-documents. Rows that repeat a document id are treated as one document. An empty table gives an empty table.
+Paragraphs are cut by content, over the words of the whole text; line breaks are blanks. A new paragraph
+starts where the hash of a three-word window is the least within ``RADIUS`` words to either side, so cuts
+recur wherever a passage does, whatever stands around it: a passage of over 50 words holds at least one
+whole paragraph (about 13 words, 7 at least). Every word belongs to one paragraph.
+
+A paragraph is posted under the bands of its minhash values; ``tune_bands`` picks them for the wanted recall
+at the threshold. Colliding paragraphs are equal (then only counted) or are compared on their full sets of
+five-word shingles (Jaccard of 0.75 or more, see ``neighbours``); components of similar paragraphs follow.
+The first paragraph of a component, by document and position, stays; the others go. Paragraphs count only
+in runs of neighbours of ``least_run`` words or more that occur again, so notices of a line stay alone.
+
+Null, empty and wordless texts and those below 7 words have no paragraphs. Very long texts are cut whole. Repeats within
+one document count like repeats between documents. Rows are told apart by id and text: rows that repeat an
+id with another text are documents of their own, rows that repeat both are one document. Rows without id are
+passed over (they keep their text). Ids are whole numbers of any size up to 64 bits; others are refused. In
+the candidate search paragraphs go by a digest of 64 bits, equal ones by 128. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,19 +23,24 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
-from cellgrove.llm.common import arrow_rows, col, stage, texts_of
-from cellgrove.llm.neighbours import SKETCH, as_column, bloom, connect, minima, mix, shingles, sketch, word_hashes
+from cellgrove.llm.common import arrow_rows, col, ship, stage, unused
+from cellgrove.llm.neighbours import FIVE, LONGS, SKETCH, as_column, bloom, connect, minima, sketch
+from cellgrove.llm.words import chunks, hash_words, mix, places
 
-MIN_WORDS = 20
-_POS = 24
+RADIUS, LEAST_RUN = 6, 20
+LEAST_WORDS = RADIUS + 1
+_BAND_BITS = np.uint64(15)  # the last bits of a token are the band's number
+_THREE = np.random.default_rng(31).integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+_SEEN = 1 << 16
 
 
-def tune_bands(threshold: float = 0.75, recall: float = 0.9999, hashes: int = SKETCH) -> tuple[int, int]:
-    """(bands, rows): the longest bands that still reach the recall at the threshold with so many hashes."""
-    for rows in range(hashes, 0, -1):
+def tune_bands(threshold: float = 0.75, recall: float = 0.98, hashes: int = 12, longest: int = 2) -> tuple[int, int]:
+    """(bands, rows): the longest bands, of at most longest rows, that still reach the recall at the threshold with so many hashes."""
+    for rows in range(min(longest, hashes), 0, -1):
         bands = hashes // rows
         if 1 - (1 - threshold**rows) ** bands >= recall:
             while bands > 1 and 1 - (1 - threshold**rows) ** (bands - 1) >= recall:
@@ -43,167 +49,207 @@ def tune_bands(threshold: float = 0.75, recall: float = 0.9999, hashes: int = SK
     return hashes, 1
 
 
-def _words(line: str, min_words: int) -> np.ndarray | None:
-    """Hashes of the words of a line if it is a paragraph."""
-    data = line.encode("utf-8", "replace")
-    return word_hashes(data) if len(data.split(None, min_words)) >= min_words else None
-
-
-def _paragraphs(text: str, min_words: int):
-    """(line number, shingle set, digest of the word sequence) of each paragraph."""
-    for k, line in enumerate(text.split("\n")):
-        words = _words(line, min_words)
-        if words is not None:
-            place = np.arange(1, len(words) + 1, dtype=np.uint64)
-            yield k, shingles(words), (int(mix(words + mix(place)).sum(dtype=np.uint64).astype(np.int64)), int(mix(words ^ mix(place + np.uint64(1 << 40))).sum(dtype=np.uint64).astype(np.int64)))
-
-
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """pid (document id and line in one number), n, d1, d2 and m (minhash values as bytes) of every paragraph."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        pid, d1, d2, sets = [], [], [], []
-        for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
-            if doc is not None:
-                for k, x, (h1, h2) in _paragraphs(text, min_words):
-                    pid.append((doc << _POS) + k), d1.append(h1), d2.append(h2), sets.append(x)
-        m = [r.tobytes() for r in minima(sets).astype("<u4")]
-        return pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(m, pa.binary())], names=["pid", "n", "d1", "d2", "m"])
-
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    return arrow_rows(rows, run, "pid long, n int, d1 long, d2 long, m binary")
-
-
-_ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_FLUSH = 1 << 20
-
-
-def _windows(ids: list[int], texts: list[str], min_words: int) -> pa.RecordBatch:
-    """doc_id, first and last line, n, d1, d2 and the short lines of every window around a short line."""
-    doc, line, count, parts = [], [], [], []
-    for i, text in enumerate(texts):
-        rows = text.encode("utf-8", "replace").split(b"\n")
-        sizes = [len(x.split()) for x in rows]
-        if sum(sizes) >= min_words and any(0 < n < min_words for n in sizes):
-            for k, (x, n) in enumerate(zip(rows, sizes, strict=True)):
-                if n:
-                    doc.append(i), line.append(k), count.append(n), parts.append(x)
-    doc, line, count = (np.array(x, np.int64) for x in (doc, line, count))
-    end = np.cumsum(count)
-    start = end - count
-    short = count < min_words
-    own = np.flatnonzero(short)
-    ahead = np.searchsorted(end, start[own] + min_words)  # first line where enough words are reached
-    back = np.searchsorted(start, end[own] - min_words, "right") - 1
-    first, last = np.concatenate([own, back]), np.concatenate([ahead, own])
-    inside = (first >= 0) & (last < len(doc))
-    first, last = first[inside], last[inside]
-    same = doc[first] == doc[last] if len(doc) else np.zeros(0, bool)
-    first, last = np.unique(np.stack([first[same], last[same]]), axis=1)
-    words = word_hashes(b"\n".join(parts))
-    lo, hi = (start[first], end[last]) if len(first) else (first, last)
-    digests = []
-    for odd, x in zip(_ODD, (words, mix(words ^ np.uint64(1 << 40))), strict=True):
-        power = np.full(len(words) + 1, np.uint64(odd))
-        unpower = np.full(len(words) + 1, np.uint64(pow(odd, -1, 1 << 64)))
-        power[0] = unpower[0] = 1
-        power, unpower = np.multiply.accumulate(power), np.multiply.accumulate(unpower)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1], dtype=np.uint64)])
-        digests.append(mix((sums[hi] - sums[lo]) * unpower[lo]).astype(np.int64))
-    before = np.concatenate([[0], np.cumsum(short)])
-    a, b = before[first], before[last + 1]
-    offsets = np.concatenate([[0], np.cumsum(b - a)])
-    members = line[own][np.arange(offsets[-1]) - np.repeat(offsets[:-1] - a, b - a)]
-    names = np.array(ids, np.int64)[doc[first]] if len(first) else np.zeros(0, np.int64)
-    columns = [pa.array(names), pa.array(line[first].astype(np.int32)), pa.array(line[last].astype(np.int32)), pa.array((hi - lo).astype(np.int32)), *map(pa.array, digests), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(members.astype(np.int32)))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "first", "last", "n", "d1", "d2", "lines"])
-
-
-def _repeated_short(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, line, component, kept_in, removed) of the short lines whose windows occur again."""
+def cut(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first word of every paragraph; text k has the words at[k] to at[k + 1]."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    ahead = np.concatenate([words, np.zeros(2, np.uint64)])
+    f = mix(words * _THREE[0] + ahead[1 : n + 1] * _THREE[1] + ahead[2:] * _THREE[2])
+    least = np.ones(n, bool)
+    for k in range(1, RADIUS + 1):
+        least[k:] &= f[k:] < f[:-k]
+        least[:-k] &= f[:-k] <= f[k:]
+    found = np.flatnonzero(least)
+    text = np.searchsorted(at, found, "right") - 1
+    # no cut whose window would reach beyond the text
+    found = found[(found - at[text] > RADIUS) & (at[text + 1] - found > RADIUS + 2)]
+    return np.union1d(at[:-1][np.diff(at) > 0], found)
+
+
+class Paragraphs:
+    """Those of some texts: text, start and n (in words), two digests each, and a digest of each text's words."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray):
+        first = cut(words, at)
+        self.words, self.first = words, first
+        self.n = np.diff(first, append=len(words))
+        self.text = np.searchsorted(at, first, "right") - 1
+        self.start = first - at[self.text]
+        place = places(self.n).astype(np.uint64)
+        total = [np.add.reduceat(mix(words + mix(place + np.uint64(1))), first), np.add.reduceat(mix(words ^ mix(place + np.uint64(1 << 40))), first)] if len(first) else [words, words]
+        self.d1, self.d2 = (mix(x + self.n.astype(np.uint64)) for x in total)
+        self.whole = np.zeros(len(at) - 1, np.uint64)
+        np.add.at(self.whole, self.text, mix(self.d1 ^ mix(self.start.astype(np.uint64))))
+
+    def shingles(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the five-word shingles of some paragraphs of at least 5 words, and where each one's begin."""
+        counts = self.n[some] - 4
+        i = np.repeat(self.first[some], counts) + places(counts)
+        total = self.words[i] * FIVE[0]
+        for j in range(1, 5):
+            total += self.words[i + j] * FIVE[j]
+        return mix(total), np.cumsum(counts) - counts
+
+
+def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    if not isinstance(docs.schema[id_col].dataType, ByteType | ShortType | IntegerType | LongType):
+        raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 5, rows: int = 2) -> DataFrame:
+    """doc_id, td (digest of the text's words), start, n, d1, d2 and tokens (one per band) of every paragraph that is compared."""
 
     def run(b: pa.RecordBatch) -> pa.Table:
-        out, ids, texts, size = [], [], [], 0
-        for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
-            if doc is not None:
-                ids.append(doc), texts.append(text)
-                size += len(text)
-            if size >= _FLUSH:
-                out.append(_windows(ids, texts, min_words))
-                ids, texts, size = [], [], 0
-        return pa.Table.from_batches([*out, _windows(ids, texts, min_words)])
-
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    found = stage(arrow_rows(rows, run, "doc_id long, first int, last int, n int, d1 long, d2 long, lines array<int>"), "paragraphs-windows")
-    places = found.groupBy("d1", "d2", "n").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "first", "last")).alias("kept"))
-    again = found.join(stage(places.where("k > 1"), "paragraphs-window-classes"), ["d1", "d2", "n"])
-    component = F.shiftleft(F.col("kept.doc_id"), _POS) + F.col("kept.first")
-    removed = ~((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("first") <= F.col("kept.last")))
-    named = again.select("doc_id", "lines", (~removed).alias("stays"), component.alias("component"), F.col("kept.doc_id").alias("kept_in"))
-    spread = named.select("doc_id", F.struct("stays", "component", "kept_in").alias("w"), F.explode("lines").alias("line"))
-    return spread.groupBy("doc_id", "line").agg(F.min("w").alias("w")).select("doc_id", "line", "w.component", "w.kept_in", (~F.col("w.stays")).alias("removed"))
-
-
-def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int):
-    """A function from a table of paragraphs to their full sets. It reads the texts in place; a filter of the
-    wanted paragraphs decides whose sets are computed and shuffled, the join then is exact."""
-
-    def sets(reps: DataFrame) -> DataFrame:
-        wanted = bloom(reps, "rep")
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, lines = b.column("doc_id").to_numpy(), [t.split("\n") for t in texts_of(b)]
-            counts = np.array([len(x) for x in lines], np.int64)
-            line = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            row = np.repeat(np.arange(len(ids)), counts)
-            pid = (ids[row] << _POS) + line
-            rep, sets = [], []
-            for at in np.flatnonzero(wanted(pid)).tolist():
-                words = _words(lines[row[at]][line[at]], min_words)
-                if words is not None:
-                    rep.append(pid[at]), sets.append(shingles(words))
-            return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), as_column(sets)], names=["rep", "x"])
-
-        rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).where("doc_id is not null")
-        return arrow_rows(rows, run, "rep long, x array<long>").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
-
-    return sets
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, percent: int = 75, recall: float = 0.9999) -> DataFrame:
-    """Every paragraph that occurs again, alike or nearly, and every short line of a window that does: id, line,
-    component_id, kept_in, removed.
-
-    component_id names the component (its first paragraph or window), kept_in is the document of that first one.
+        out, names = [], ["doc_id", "td", "start", "n", "d1", "d2", "tokens"]
+        ids = b.column("doc_id")
+        for lo, hi, data, offsets in chunks(b.column("text")):
+            words, _, _, at = hash_words(data, offsets)
+            p = Paragraphs(words, at)
+            some = np.flatnonzero(p.n >= LEAST_WORDS)
+            values, begin = p.shingles(some)
+            m = minima(values, begin, bands * rows).astype(np.uint64).reshape(len(some), bands, rows)
+            token = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40), (len(some), bands))
+            for j in range(rows):
+                token = mix(token + m[:, :, j])
+            token = (token & ~_BAND_BITS) | np.arange(bands, dtype=np.uint64)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * bands), len(some), [None, pa.py_buffer(np.ascontiguousarray(token))]).cast(pa.binary())
+            text = p.text[some]
+            out.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(text)), _long(p.whole[text]), pa.array(p.start[some].astype(np.int32)), pa.array(p.n[some].astype(np.int32)), _long(p.d1[some]), _long(p.d2[some]), raw], names=names))
+        return pa.Table.from_batches(out) if out else None
+
+    return arrow_rows(_ids(docs, id_col, text_col).where("doc_id is not null"), run, "doc_id long, td long, start int, n int, d1 long, d2 long, tokens binary")
+
+
+def _postings(found: DataFrame, bands: int) -> DataFrame:
+    """(token, rep): every paragraph under its bands, rep its digest.
+
+    A task posts a paragraph that it meets again only once more, in the first band, as a sign that it repeats; it
+    remembers the last ``_SEEN`` paragraphs or so, which is what takes very common ones out of the shuffle.
+    """
+    ship(found.sparkSession)
+
+    def run(batches):
+        key, state = np.zeros(_SEEN, np.int64), np.zeros(_SEEN, np.int8)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rep, at, count = np.unique(b.column("d1").to_numpy(), return_index=True, return_counts=True)
+            token = np.frombuffer(b"".join(b.column("tokens").take(pa.array(at)).to_pylist()), np.int64).reshape(len(rep), bands)
+            slot = (rep & (_SEEN - 1)).astype(np.int64)
+            known = np.where(key[slot] == rep, state[slot], 0)
+            new, again = known == 0, (known < 2) & (known + count > 1)
+            key[slot], state[slot] = rep, np.minimum(2, known + count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token[new].reshape(-1), token[again, 0]])), pa.array(np.concatenate([np.repeat(rep[new], bands), rep[again]]))], names=["token", "rep"])
+
+    return found.select("d1", "tokens").mapInArrow(run, "token long, rep long")
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """(token, rep, pivot): pivot is the least of a token's paragraphs; rep is another one under it, or, in the
+    first band, the paragraph that occurs again itself is both. Lists are read as a sorted stream, never held."""
+    ship(posted.sparkSession)
+
+    def run(batches):
+        last, pivot = None, np.zeros(1, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if last is None:
+                same = np.concatenate([[False], token[1:] == token[:-1]])
+                equal = same & np.concatenate([[False], rep[1:] == rep[:-1]])
+            else:
+                before = np.concatenate([[last[0]], token[:-1]]), np.concatenate([[last[1]], rep[:-1]])
+                same = token == before[0]
+                equal = same & (rep == before[1])
+            starts = np.flatnonzero(~same)
+            own = np.concatenate([pivot, rep[starts]])[np.cumsum(~same)]
+            take = (same & ~equal & (rep != own)) | (equal & (token & int(_BAND_BITS) == 0))
+            own_out = np.where(equal, rep, own)
+            last, pivot = (token[-1], rep[-1]), own[-1:].copy()
+            yield pa.RecordBatch.from_arrays([pa.array(token[take]), pa.array(rep[take]), pa.array(own_out[take])], names=["token", "rep", "pivot"])
+
+    return posted.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(run, "token long, rep long, pivot long")
+
+
+def _full(docs: DataFrame, found: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rep, n, sketch and set x of the paragraphs in ends. Only documents that hold one for the first time are cut again."""
+    wanted = bloom(ends, "rep")
+
+    def held(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(wanted(b.column("rep").to_numpy())))
+
+    holders = arrow_rows(found.select(F.col("d1").alias("rep"), "doc_id"), held, "rep long, doc_id long").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    holders = stage(holders.select("doc_id").distinct(), "paragraphs-holders")
+    reading = bloom(holders, "doc_id")
+
+    def run(b: pa.RecordBatch) -> pa.Table | None:
+        b = b.filter(pa.array(reading(b.column("doc_id").to_numpy())))
+        out = []
+        for _, _, data, offsets in chunks(b.column("text")):
+            words, _, _, at = hash_words(data, offsets)
+            p = Paragraphs(words, at)
+            some = np.flatnonzero((p.n >= LEAST_WORDS) & wanted(p.d1.view(np.int64)))
+            values, begin = p.shingles(some)
+            sets = [np.unique(x) for x in np.split(values, begin[1:])] if len(some) else []
+            longs = sketch(minima(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), SKETCH)) if sets else np.zeros((0, len(LONGS)), np.int64)
+            out.append(pa.RecordBatch.from_arrays([_long(p.d1[some]), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(longs[:, j]) for j in range(len(LONGS))), as_column(sets)], names=["rep", "n", *LONGS, "x"]))
+        return pa.Table.from_batches(out) if out else None
+
+    rows = _ids(docs, id_col, text_col).where("doc_id is not null")
+    schema = f"rep long, n int, {', '.join(f'{c} long' for c in LONGS)}, x array<long>"
+    return arrow_rows(rows, run, schema).join(ends, "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.98, least_run: int = LEAST_RUN) -> DataFrame:
+    """Every paragraph that occurs again, alike or nearly: id, text_digest, start and length (in words), component_id, kept_in, removed.
+
+    component_id names the component (a paragraph's digest), kept_in is the document of its first paragraph;
+    text_digest tells rows of one id apart.
     """
     bands, rows = tune_bands(percent / 100, recall)
-    found = stage(paragraphs(docs, id_col, text_col, min_words), "paragraphs")
-    classes = stage(found.groupBy("d1", "d2", "n").agg(F.min("pid").alias("rep"), F.count("*").alias("k"), F.min("m").alias("m")), "paragraphs-classes")
-
-    def read(b: pa.RecordBatch) -> np.ndarray:
-        return np.frombuffer(b"".join(b.column("m").to_pylist()), "<u4").reshape(b.num_rows, SKETCH)
-
-    def sketched(b: pa.RecordBatch) -> pa.RecordBatch:
-        longs = sketch(read(b))
-        return pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), *(pa.array(longs[:, j]) for j in range(longs.shape[1]))], names=["rep", "n", *(f"s{j}" for j in range(longs.shape[1]))])
-
-    def banded(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = read(b)[:, : bands * rows].astype(np.uint64).reshape(b.num_rows, bands, rows)
-        token = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40), (b.num_rows, bands))
-        for j in range(rows):
-            token = mix(token + m[:, :, j])
-        return pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64).reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), bands))], names=["token", "rep"])
-
-    longs = ", ".join(f"s{j} long" for j in range(SKETCH // 7))
-    items = stage(arrow_rows(classes.select("rep", "n", "m"), sketched, f"rep long, n int, {longs}"), "paragraphs-sketches")
-    posted = arrow_rows(classes.select("rep", "m"), banded, "token long, rep long")
+    found = stage(paragraphs(docs, id_col, text_col, bands, rows), "paragraphs")
+    lists = stage(_lists(_postings(found, bands)), "paragraphs-lists")
+    near = lists.where("rep <> pivot")
+    ends = stage(near.select("rep").union(near.select("pivot")).distinct(), "paragraphs-ends")
+    full = stage(_full(docs, found, ends, id_col, text_col), "paragraphs-sets")
     # the sketch only filters: 10 of 35 equal coordinates is over six deviations below 0.75
-    comp = connect(posted, items, _sets_of(docs, id_col, text_col, min_words), least=10, percent=percent, label="paragraphs")
-    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("d1", "d2", "n", "k", F.coalesce("component", "rep").alias("component"), F.col("component").isNotNull().alias("linked"))
-    named = stage(named.where("k > 1 or linked"), "paragraphs-components")
-    out = found.select("pid", "n", "d1", "d2").join(named, ["d1", "d2", "n"])
-    long = out.select(F.shiftright("pid", _POS).alias(id_col), F.col("pid").bitwiseAND((1 << _POS) - 1).cast("int").alias("line"), F.col("component").alias("component_id"), F.shiftright("component", _POS).alias("kept_in"), (F.col("pid") != F.col("component")).alias("removed"))
-    return long.union(_repeated_short(docs, id_col, text_col, min_words))
+    comp = connect(near, full.drop("x"), lambda reps: full.select("rep", "x").join(reps, "rep", "left_semi"), least=10, percent=percent, label="paragraphs")
+    equal = lists.where("rep = pivot").select(F.col("rep").alias("node")).distinct()
+    named = stage(equal.join(comp, "node", "full").select(F.col("node").alias("d1"), "component"), "paragraphs-named")
+    some = bloom(named, "d1")
+
+    def held(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(some(b.column("d1").to_numpy())))
+
+    kept = ["doc_id", "td", "start", "n", "d1", "d2"]
+    again = arrow_rows(found.select(kept), held, "doc_id long, td long, start int, n int, d1 long, d2 long").join(named, "d1")
+    again = again.groupBy("doc_id", "td", "start").agg(F.first("n").alias("n"), F.first(F.coalesce("component", "d1")).alias("component"), F.first(F.when(F.col("component").isNull(), F.col("d2"))).alias("other"))
+    again = stage(again.withColumn("other", F.coalesce("other", F.lit(0))), "paragraphs-again")
+    here = F.struct("doc_id", "td", "start")
+    first = again.groupBy("component", "other").agg(F.count("*").alias("k"), F.min(here).alias("first")).where("k > 1").drop("k")
+    out = again.join(stage(first, "paragraphs-first"), ["component", "other"])
+    own = Window.partitionBy("doc_id", "td").orderBy("start")
+    out = out.withColumn("run", F.sum(F.when(F.lag(F.col("start") + F.col("n")).over(own) == F.col("start"), 0).otherwise(1)).over(own))
+    out = out.withColumn("run_words", F.sum("n").over(Window.partitionBy("doc_id", "td", "run"))).where(F.col("run_words") >= least_run)
+    return out.select(F.col("doc_id").alias(id_col), F.col("td").alias("text_digest"), "start", F.col("n").alias("length"), F.col("component").alias("component_id"), F.col("first.doc_id").alias("kept_in"), (here != F.col("first")).alias("removed"))
+
+
+def _without(data: np.ndarray, begin: np.ndarray, end: np.ndarray, gone: list[tuple[int, int]]) -> str:
+    """A text without some runs of words, each with the blanks behind it; at the text's end with those before it."""
+    out, here = [], 0
+    for start, n in sorted(gone):
+        last = start + n >= len(begin)
+        upto = (int(end[start - 1]) if start else 0) if last else int(begin[start])
+        out.append(data[here : max(here, upto)].tobytes())
+        here = len(data) if last else int(begin[start + n])
+    return b"".join([*out, data[here:].tobytes()]).decode()
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -211,13 +257,11 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Only documents that may lose a paragraph, by a filter of their ids, are shuffled; the others pass through.
     """
-    gone = repeated(docs, id_col, text_col, **params).where("removed").groupBy(col(id_col).alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    gone = stage(gone, "paragraphs-gone")
-    names = docs.columns
-    clash = {"gone_id", "gone_lines"} & set(names)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    touched = bloom(gone, "gone_id")
+    gone = repeated(docs, id_col, text_col, **params).where("removed")
+    spans = F.collect_list(F.struct("start", "length"))  # a document's own paragraphs
+    digest, key, cuts = unused(docs, "digest", "key", "cuts")
+    gone = stage(gone.groupBy(col(id_col).cast("long").alias(key), F.col("text_digest").alias(digest)).agg(spans.alias(cuts)), "paragraphs-gone")
+    touched = bloom(gone, key)
 
     @F.pandas_udf("boolean")
     def may_lose(ids: pd.Series) -> pd.Series:
@@ -225,8 +269,26 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     number = col(id_col).cast("long")
     some = F.coalesce(may_lose(F.coalesce(number, F.lit(-1))), F.lit(False))
-    lines = F.filter(F.split(col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone_lines"), i))
-    joined = docs.where(some).join(gone, number == F.col("gone_id"), "left")
-    text = F.when(F.col("gone_lines").isNull() | col(text_col).isNull(), col(text_col)).otherwise(F.array_join(lines, "\n"))
-    cut = joined.select(*[text.alias(text_col) if c == text_col else col(c) for c in names])
-    return docs.where(~some).union(cut)
+    at, width, names = docs.columns.index(text_col), len(docs.columns), list(docs.columns)
+
+    def digested(b: pa.RecordBatch) -> pa.RecordBatch:
+        whole = [np.zeros(0, np.uint64)]
+        for _, _, data, offsets in chunks(b.column(at)):
+            words, _, _, first = hash_words(data, offsets)
+            whole.append(Paragraphs(words, first).whole)
+        return pa.RecordBatch.from_arrays([*b.columns, _long(np.concatenate(whole))], names=[*b.schema.names, digest])
+
+    def shortened(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, lists = b.column(at).to_pylist(), b.column(width).to_pylist()
+        for i, spans in enumerate(lists):
+            if spans:
+                raw = np.frombuffer(texts[i].encode(), np.uint8)
+                _, begin, end, _ = hash_words(raw, np.array([0, len(raw)]))
+                texts[i] = _without(raw, begin, end, [(s["start"], s["length"]) for s in spans])
+        columns = list(b.columns[:width])
+        columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    marked = arrow_rows(docs.where(some), digested, StructType([*docs.schema.fields]).add(digest, "long"))
+    joined = marked.join(gone, (marked[digest] == gone[digest]) & (col(id_col).cast("long") == gone[key]), "left").select(*[marked[f"`{c}`"] for c in docs.columns], gone[cuts])
+    return docs.where(~some).union(arrow_rows(joined, shortened, docs.schema))

@@ -9,18 +9,24 @@ Collisions give candidates (see ``neighbours``), links are confirmed on the full
 
 A pair at the similarity 0.75 is missed if fewer than ``least`` = 15 of 35 coordinates agree: about 3 in
 100,000, fewer above. Null, empty and wordless texts have an empty set and link with nothing. Long texts are
-hashed whole. Repeated rows are equal documents. Null ids stay alone. An empty table gives an empty table.
+hashed whole. Repeated rows are equal documents. Null ids stay alone. Ids are whole numbers; others are
+refused. Rows that repeat an id with different texts are compared each, and form one node of the components.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from cellgrove.llm.common import arrow_rows, col, ship, stage, texts_of
-from cellgrove.llm.neighbours import SKETCH, as_column, connect, minima, mix, shingles, sketch, word_hashes
+from cellgrove.llm.common import arrow_rows, col, ship, stage
+from cellgrove.llm.neighbours import LONGS, SKETCH, as_column, bloom, connect, minima, shingles, sketch
+from cellgrove.llm.words import chunks, hash_words, mix, word_hashes
 
 LEAST, BUCKETS = 15, 1 << 20
 
@@ -29,37 +35,56 @@ def shingle_set(text: str) -> np.ndarray:
     return shingles(word_hashes(text.encode("utf-8", "replace")))
 
 
+def _sets(column: pa.Array):
+    """The shingle sets of some texts at a time: first row, sets."""
+    for lo, _, data, offsets in chunks(column):
+        words, _, _, at = hash_words(data, offsets)
+        yield lo, [shingles(words[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    if not isinstance(docs.schema[id_col].dataType, ByteType | ShortType | IntegerType | LongType):
+        raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (set size), d1 and d2 (digest of the set), m (minima as bytes) and the sketch s0.."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, d1, d2, sets = [], [], [], []
-        for t in texts_of(b):
-            x = shingle_set(t)
-            n.append(len(x))
-            d1.append(int(mix(x ^ np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(x) else 0)
-            d2.append(int(mix(x + np.uint64(7)).sum(dtype=np.uint64).astype(np.int64)) if len(x) else 0)
-            sets.append(x)
-        rows = minima(sets)
-        longs = sketch(rows)
-        raw = pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), raw, *(pa.array(longs[:, j]) for j in range(longs.shape[1]))], names=["doc_id", "n", "d1", "d2", "m", *(f"s{j}" for j in range(longs.shape[1]))])
-
-    longs = ", ".join(f"s{j} long" for j in range(SKETCH // 7))
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    return arrow_rows(rows, run, f"doc_id long, n int, d1 long, d2 long, m binary, {longs}")
+    def run(b: pa.RecordBatch) -> pa.Table | None:
+        out = []
+        for lo, sets in _sets(b.column("text")):
+            n = np.array([len(x) for x in sets], np.int64)
+            some = np.flatnonzero(n)
+            flat = np.concatenate([sets[i] for i in some]) if len(some) else np.zeros(0, np.uint64)
+            begin = np.cumsum(n[some]) - n[some]
+            rows, digests = np.full((len(n), SKETCH), np.iinfo(np.uint32).max, np.uint32), np.zeros((2, len(n)), np.int64)
+            rows[some] = minima(flat, begin)
+            for k, x in enumerate((flat ^ np.uint64(1), flat + np.uint64(7))):
+                if len(some):
+                    digests[k, some] = np.add.reduceat(mix(x), begin).view(np.int64)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SKETCH), len(n), [None, pa.py_buffer(rows.astype("<u4"))]).cast(pa.binary())
+            longs = sketch(rows)
+            columns = [b.column("doc_id").slice(lo, len(n)), pa.array(n.astype(np.int32)), *map(pa.array, digests), raw, *(pa.array(longs[:, j]) for j in range(len(LONGS)))]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "m", *LONGS]))
+        return pa.Table.from_batches(out) if out else None
+
+    return arrow_rows(_ids(docs, id_col, text_col), run, f"doc_id long, n int, d1 long, d2 long, m binary, {', '.join(f'{c} long' for c in LONGS)}")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str):
     """A function from a table of reps to their full shingle sets."""
 
     def sets(reps: DataFrame) -> DataFrame:
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            x = as_column([shingle_set(t) for t in texts_of(b)])
-            return pa.RecordBatch.from_arrays([b.column("rep"), x], names=["rep", "x"])
+        wanted = bloom(reps, "rep")
 
-        rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text")).join(reps, "rep", "left_semi")
-        return arrow_rows(rows, run, "rep long, x array<long>").dropDuplicates(["rep"])
+        def run(b: pa.RecordBatch) -> pa.Table | None:
+            b = b.filter(pa.array(wanted(b.column("rep").to_numpy())))
+            out = [pa.RecordBatch.from_arrays([b.column("rep").slice(lo, len(x)), as_column(x)], names=["rep", "x"]) for lo, x in _sets(b.column("text"))]
+            return pa.Table.from_batches(out) if out else None
+
+        rows = _ids(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").where("rep is not null")
+        return arrow_rows(rows, run, "rep long, x array<long>").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
 
     return sets
 
@@ -70,8 +95,8 @@ def _tokens(b: pa.RecordBatch) -> np.ndarray:
     return mix(m + (np.arange(1, SKETCH + 1, dtype=np.uint64) << np.uint64(40)))
 
 
-def postings(reps: DataFrame, least: int = LEAST) -> DataFrame:
-    """(token, rep): the SKETCH - least + 1 rarest coordinate-value pairs of every class."""
+def rarity(reps: DataFrame) -> np.ndarray:
+    """How often tokens occur, by hash: BUCKETS counts."""
     ship(reps.sparkSession)
 
     def count(batches):
@@ -87,6 +112,11 @@ def postings(reps: DataFrame, least: int = LEAST) -> DataFrame:
     table = reps.select("m").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where("c > 3").toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[table.column("bucket").to_numpy()] = table.column("c").to_numpy()
+    return counts
+
+
+def postings(reps: DataFrame, counts: np.ndarray, least: int = LEAST, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(token, rep): the SKETCH - least + 1 rarest coordinate-value pairs of every class, or those of them that are wanted."""
     shared = reps.sparkSession.sparkContext.broadcast(counts)  # BUCKETS longs
 
     def prefix(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,21 +124,35 @@ def postings(reps: DataFrame, least: int = LEAST) -> DataFrame:
         c = shared.value[(t % np.uint64(BUCKETS)).astype(np.int64)]
         order = np.lexsort((t, c), axis=1)[:, : SKETCH - least + 1]
         first = np.take_along_axis(t, order, axis=1).astype(np.int64)
-        rep = np.repeat(b.column("rep").to_numpy(), first.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(first.reshape(-1)), pa.array(rep)], names=["token", "rep"])
+        token, rep = first.reshape(-1), np.repeat(b.column("rep").to_numpy(), first.shape[1])
+        if wanted is not None:
+            some = wanted(token)
+            token, rep = token[some], rep[some]
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(rep)], names=["token", "rep"])
 
     return arrow_rows(reps.select("rep", "m"), prefix, "token long, rep long")
 
 
+def lists(reps: DataFrame, least: int = LEAST) -> DataFrame:
+    """(token, rep, pivot): the classes under every token that several share; the least, the pivot, apart.
+
+    Counts per token come first, from partial counts; only postings whose token may be shared are then shuffled.
+    """
+    counts = rarity(reps)
+    firsts = postings(reps, counts, least).groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("g"))
+    firsts = stage(firsts.where("g > 1").select("token", "pivot"), "shingles-firsts")
+    some = postings(reps, counts, least, bloom(firsts, "token"))
+    return stage(some.join(firsts, "token").where("rep <> pivot").select("token", "rep", "pivot"), "shingles-lists")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = LEAST) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept."""
     docs_sig = stage(signatures(docs, id_col, text_col), "shingles-signatures")
-    longs = [c for c in docs_sig.columns if c.startswith("s")]
     some = docs_sig.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("m").alias("m"), *[F.min(c).alias(c) for c in longs])
+    reps = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("m").alias("m"), *[F.min(c).alias(c) for c in LONGS])
     reps = stage(reps, "shingles-classes")
-    items = reps.select("rep", "n", *longs)
-    comp = connect(postings(reps, least), items, sets_of(docs, id_col, text_col), least, percent, label="shingles")
+    items = reps.select("rep", "n", *LONGS)
+    comp = connect(lists(reps, least), items, sets_of(docs, id_col, text_col), least, percent, label="shingles")
     classes = reps.join(comp, reps["rep"] == comp["node"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     classes = stage(classes, "shingles-result")
     out = docs_sig.join(classes, ["d1", "d2", "n"], "left")

@@ -3,11 +3,11 @@
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from cellgrove.llm import neighbours, paragraphs, shingles, vectors
 from cellgrove.llm.components import components
+from cellgrove.llm.words import mix, word_hashes
 
 
 def _roots(nodes, links):
@@ -76,7 +76,7 @@ def test_small_blocks_give_the_same_components(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     sig = shingles.signatures(df).cache()
     items = sig.select(F.col("doc_id").alias("rep"), "n", *[f"s{i}" for i in range(5)])
-    posted = shingles.postings(sig.withColumnRenamed("doc_id", "rep"))
+    posted = shingles.lists(sig.withColumnRenamed("doc_id", "rep"))
     comp = neighbours.connect(posted, items, shingles.sets_of(df, "doc_id", "text"), shingles.LEAST, block=8)
     _, roots = _near(docs)
     found = {i: i for i in roots} | {r["node"]: r["component"] for r in comp.collect()}
@@ -107,12 +107,20 @@ def test_sketch_matches_equal_plain_counts(spark):
 def test_components_of_paths_stars_and_nulls(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
     want = _roots({x for p in links for x in p if x is not None}, [p for p in links if None not in p])
-    for few in (0, 300_000):  # by rounds alone, and finished by one task
-        got = components(spark.createDataFrame(links, "a long, b long").repartition(3), few=few)
-        assert {r["node"]: r["component"] for r in got.collect()} == want
+    for parts in (1, 3, 9):
+        got = components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()
+        assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_forests_may_be_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("cellgrove.llm.components._HELD", 5)
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    assert got == _roots({x for p in links for x in p if p[0] != p[1]}, links)
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))
@@ -134,8 +142,8 @@ def test_vectors_against_all_pairs(spark):
 
 
 def test_bands_reach_the_recall():
-    bands, rows = paragraphs.tune_bands(0.75, 0.9999)
-    assert 1 - (1 - 0.75**rows) ** bands >= 0.9999 and bands * rows <= neighbours.SKETCH
+    bands, rows = paragraphs.tune_bands()
+    assert 1 - (1 - 0.75**rows) ** bands >= 0.98 and bands * rows <= 12
 
 
 def _passages():
@@ -160,37 +168,63 @@ def _passages():
     return docs
 
 
+def _cut(words, radius=paragraphs.RADIUS):
+    """The paragraphs of a text by the definition: start, words."""
+    w = words_of(words)
+    f = [int(mix(np.array([sum(int(a) * int(b) for a, b in zip(paragraphs._THREE, [*w[i : i + 3], 0, 0][:3], strict=True)) % (1 << 64)], np.uint64))[0]) for i in range(len(w))]
+    cuts = [0]
+    for i in range(radius + 1, len(w) - radius - 2):
+        if all(f[i] < f[i - k] for k in range(1, radius + 1)) and all(f[i] <= f[i + k] for k in range(1, radius + 1)):
+            cuts.append(i)
+    return [(a, words[a:b]) for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True) if b - a >= radius + 1]
+
+
+def words_of(words):
+    return word_hashes(" ".join(words).encode())
+
+
 def test_repeated_paragraphs_against_all_pairs(spark):
     docs = _passages()
-    units = {(i, k): _set(x) for i, t in docs for k, x in enumerate((t or "").split("\n")) if len(x.split()) >= paragraphs.MIN_WORDS}
-    keys = sorted(units)
-    links = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if 100 * len(units[a] & units[b]) >= 75 * len(units[a] | units[b])]
-    roots = _roots(keys, links)
+    units = {(i, start): tuple(w) for i, t in docs for start, w in _cut((t or "").split())}
+    sets = {k: _set(" ".join(w)) for k, w in units.items()}
+    index = {}
+    for k, x in sets.items():
+        for g in x:
+            index.setdefault(g, []).append(k)
+    links = {(min(a, b), max(a, b)) for ks in index.values() for a in ks for b in ks if a != b}
+    links = [(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    roots = _roots(units, links)
     members = {}
     for k, r in roots.items():
         members.setdefault(r, []).append(k)
-    want = {(i, k, r[0], (i, k) != r) for (i, k), r in roots.items() if len(members[r]) > 1}
+    again = {k for k, r in roots.items() if len(members[r]) > 1}
+    want, run = set(), []
+    for k in [*sorted(again), None]:  # runs of neighbours of LEAST_RUN words or more
+        if run and (k is None or k[0] != run[-1][0] or k[1] != run[-1][1] + len(units[run[-1]])):
+            if sum(len(units[x]) for x in run) >= paragraphs.LEAST_RUN:
+                want |= {(*x, len(units[x]), roots[x][0], x != roots[x]) for x in run}
+            run = []
+        run.append(k)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"], r["line"], r["kept_in"], r["removed"]) for r in paragraphs.repeated(df).collect()}
-    assert got == want
+    got = {(r["doc_id"], r["start"], r["length"], r["kept_in"], r["removed"]) for r in paragraphs.repeated(df).collect()}
+    assert got == want and len(want) > 40
 
 
 def test_removal_cuts_only_the_repeats(spark):
     docs = _passages()
     df = spark.createDataFrame([(i, t, i * 2) for i, t in docs], "doc_id long, text string, line int")
-    gone = {(r["doc_id"], r["line"]) for r in paragraphs.repeated(df).where("removed").collect()}
+    gone = {}
+    for r in paragraphs.repeated(df).where("removed").collect():
+        gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["length"]))
     out = {r["doc_id"]: r["text"] for r in paragraphs.remove_repeated(df).collect()}
     for i, t in docs:
-        want = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
-        assert out[i] == want
+        if i not in gone:
+            assert out[i] == t
+        else:
+            assert out[i].split() == [w for k, w in enumerate(t.split()) if k not in gone[i]]
     assert paragraphs.remove_repeated(df).columns == df.columns
 
 
-def test_clashing_result_names_are_refused(spark):
-    with pytest.raises(ValueError):
-        paragraphs.remove_repeated(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, gone_id int"))
-
-
 def test_filter_passes_its_ids_and_few_others(spark):
     rng = np.random.default_rng(8)
     ids = rng.integers(-(1 << 62), 1 << 62, 5000)
