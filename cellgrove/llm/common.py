@@ -87,12 +87,12 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and lost executors cost nothing.
 
-    Partitions are written by four tasks a core at most, which take several in turn: many small files cost more than they
-    give. Where executors come and go (dynamic allocation) the cores are not known before, and every partition has its task.
+    Partitions are written by four tasks a core at most (or an eighth of the shuffle partitions, where those are more), which
+    take several in turn: many small files cost more than they give. Where executors come and go (dynamic allocation) the cores are not known before, and every partition has its task.
     """
     path, sc = scratch(df.sparkSession, label), df.sparkSession.sparkContext
     if sc.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(4 * sc.defaultParallelism)
+        df = df.coalesce(max(4 * sc.defaultParallelism, -(-partitions(df) // 8)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

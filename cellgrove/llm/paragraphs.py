@@ -9,7 +9,8 @@ A paragraph is posted under the bands of its minhash values; ``tune_bands`` pick
 at the threshold. Colliding paragraphs are equal (then only counted) or are compared on their full sets of
 five-word shingles (Jaccard of 0.75 or more, see ``neighbours``); components of similar paragraphs follow.
 The first paragraph of a component, by document and position, stays; the others go. Paragraphs count only
-in runs of neighbours of ``least_run`` words or more that occur again, so notices of a line stay alone.
+in runs of neighbours of ``least_run`` words or more that occur again, so notices of a line stay alone; those
+whose neighbours collide with nothing are left out before any are compared.
 
 Null, empty and wordless texts and those below 7 words have no paragraphs. Very long texts are cut whole. Repeats within
 one document count like repeats between documents. Rows are told apart by id and text: rows that repeat an
@@ -207,6 +208,32 @@ def _full(docs: DataFrame, found: DataFrame, ends: DataFrame, id_col: str, text_
     return arrow_rows(rows, run, schema).join(ends, "rep", "left_semi").dropDuplicates(["rep"])
 
 
+def _in_runs(rows: DataFrame, least_run: int) -> DataFrame:
+    """The rows (doc_id, td, start, n, ..) that lie in runs of neighbours of least_run words or more. A window holds one document's rows."""
+    own = Window.partitionBy("doc_id", "td").orderBy("start")
+    run = F.sum(F.when(F.lag(F.col("start") + F.col("n")).over(own) == F.col("start"), 0).otherwise(1)).over(own)
+    words = F.sum("n").over(Window.partitionBy("doc_id", "td", "run"))
+    return rows.withColumn("run", run).withColumn("run_words", words).where(F.col("run_words") >= least_run).drop("run", "run_words")
+
+
+def _held(found: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """The paragraphs whose digest is among the names, once for each place; a filter thins them out before the shuffle."""
+    some = bloom(names, name)
+
+    def held(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(some(b.column("d1").to_numpy())))
+
+    kept = ["doc_id", "td", "start", "n", "d1", "d2"]
+    rows = arrow_rows(found.select(kept), held, "doc_id long, td long, start int, n int, d1 long, d2 long")
+    return rows.join(names.select(F.col(name).alias("d1")), "d1", "left_semi")
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """(token, rep) of the lists with several paragraphs, pivots among them."""
+    near = lists.where("rep <> pivot")
+    return near.select("token", "rep").union(near.select("token", "pivot")).distinct()
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.98, least_run: int = LEAST_RUN) -> DataFrame:
     """Every paragraph that occurs again, alike or nearly: id, text_digest, start and length (in words), component_id, kept_in, removed.
 
@@ -216,28 +243,25 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     bands, rows = tune_bands(percent / 100, recall)
     found = stage(paragraphs(docs, id_col, text_col, bands, rows), "paragraphs")
     lists = stage(_lists(_postings(found, bands)), "paragraphs-lists")
-    near = lists.where("rep <> pivot")
-    ends = stage(near.select("rep").union(near.select("pivot")).distinct(), "paragraphs-ends")
-    full = stage(_full(docs, found, ends, id_col, text_col), "paragraphs-sets")
+    colliding = stage(lists.select("rep").union(_members(lists).select("rep")).distinct(), "paragraphs-colliding")
+    # what stands alone, or beside paragraphs that collide with none, can never lie in a run that counts
+    once = _held(found, colliding, "rep").repartition("doc_id", "td").groupBy("doc_id", "td", "start").agg(*[F.first(c).alias(c) for c in ("n", "d1", "d2")])
+    touched = stage(_in_runs(once, least_run), "paragraphs-touched")
+    able = stage(touched.select(F.col("d1").alias("rep")).distinct(), "paragraphs-able")
+    members = stage(_members(lists).join(able, "rep", "left_semi"), "paragraphs-members")
+    pivots = members.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("g")).where("g > 1").select("token", "pivot")
+    shared = stage(members.join(pivots, "token").where("rep <> pivot").select("token", "rep", "pivot"), "paragraphs-shared")
+    ends = stage(shared.select("rep").union(shared.select("pivot")).distinct(), "paragraphs-ends")
+    full = stage(_full(docs, touched, ends, id_col, text_col), "paragraphs-sets")
     # the sketch only filters: 10 of 35 equal coordinates is over six deviations below 0.75
-    comp = connect(near, full.drop("x"), lambda reps: full.select("rep", "x").join(reps, "rep", "left_semi"), least=10, percent=percent, label="paragraphs")
+    comp = connect(shared, full.drop("x"), lambda reps: full.select("rep", "x").join(reps, "rep", "left_semi"), least=10, percent=percent, label="paragraphs")
     equal = lists.where("rep = pivot").select(F.col("rep").alias("node")).distinct()
     named = stage(equal.join(comp, "node", "full").select(F.col("node").alias("d1"), "component"), "paragraphs-named")
-    some = bloom(named, "d1")
-
-    def held(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array(some(b.column("d1").to_numpy())))
-
-    kept = ["doc_id", "td", "start", "n", "d1", "d2"]
-    again = arrow_rows(found.select(kept), held, "doc_id long, td long, start int, n int, d1 long, d2 long").join(named, "d1")
-    again = again.groupBy("doc_id", "td", "start").agg(F.first("n").alias("n"), F.first(F.coalesce("component", "d1")).alias("component"), F.first(F.when(F.col("component").isNull(), F.col("d2"))).alias("other"))
-    again = stage(again.withColumn("other", F.coalesce("other", F.lit(0))), "paragraphs-again")
+    again = touched.join(named, "d1").withColumn("other", F.when(F.col("component").isNull(), F.col("d2")).otherwise(F.lit(0)))
+    again = stage(again.withColumn("component", F.coalesce("component", "d1")), "paragraphs-again")
     here = F.struct("doc_id", "td", "start")
     first = again.groupBy("component", "other").agg(F.count("*").alias("k"), F.min(here).alias("first")).where("k > 1").drop("k")
-    out = again.join(stage(first, "paragraphs-first"), ["component", "other"])
-    own = Window.partitionBy("doc_id", "td").orderBy("start")
-    out = out.withColumn("run", F.sum(F.when(F.lag(F.col("start") + F.col("n")).over(own) == F.col("start"), 0).otherwise(1)).over(own))
-    out = out.withColumn("run_words", F.sum("n").over(Window.partitionBy("doc_id", "td", "run"))).where(F.col("run_words") >= least_run)
+    out = _in_runs(again.join(stage(first, "paragraphs-first"), ["component", "other"]), least_run)
     return out.select(F.col("doc_id").alias(id_col), F.col("td").alias("text_digest"), "start", F.col("n").alias("length"), F.col("component").alias("component_id"), F.col("first.doc_id").alias("kept_in"), (here != F.col("first")).alias("removed"))
 
 

@@ -183,29 +183,42 @@ def words_of(words):
     return word_hashes(" ".join(words).encode())
 
 
+def _in_runs(keys, units):
+    """The keys (document, start) that lie in runs of neighbours of LEAST_RUN words or more."""
+    out, run = set(), []
+    for k in [*sorted(keys), None]:
+        if run and (k is None or k[0] != run[-1][0] or k[1] != run[-1][1] + len(units[run[-1]])):
+            if sum(len(units[x]) for x in run) >= paragraphs.LEAST_RUN:
+                out |= set(run)
+            run = []
+        run.append(k)
+    return out
+
+
 def test_repeated_paragraphs_against_all_pairs(spark):
     docs = _passages()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
     units = {(i, start): tuple(w) for i, t in docs for start, w in _cut((t or "").split())}
-    sets = {k: _set(" ".join(w)) for k, w in units.items()}
+    rows = paragraphs.paragraphs(df).collect()
+    assert {(r["doc_id"], r["start"], r["n"]) for r in rows} == {(*k, len(w)) for k, w in units.items()}
+    posted = {}
+    for r in rows:
+        for k in range(0, len(r["tokens"]), 8):
+            posted.setdefault(r["tokens"][k : k + 8], []).append((r["doc_id"], r["start"]))
+    touched = _in_runs({x for ks in posted.values() if len(ks) > 1 for x in ks}, units)
+    sets = {k: _set(" ".join(units[k])) for k in touched}
     index = {}
     for k, x in sets.items():
         for g in x:
             index.setdefault(g, []).append(k)
-    links = {(min(a, b), max(a, b)) for ks in index.values() for a in ks for b in ks if a != b}
-    links = [(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    roots = _roots(units, links)
+    pairs = {(min(a, b), max(a, b)) for ks in index.values() for a in ks for b in ks if a != b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    roots = _roots(touched, links)
     members = {}
     for k, r in roots.items():
         members.setdefault(r, []).append(k)
-    again = {k for k, r in roots.items() if len(members[r]) > 1}
-    want, run = set(), []
-    for k in [*sorted(again), None]:  # runs of neighbours of LEAST_RUN words or more
-        if run and (k is None or k[0] != run[-1][0] or k[1] != run[-1][1] + len(units[run[-1]])):
-            if sum(len(units[x]) for x in run) >= paragraphs.LEAST_RUN:
-                want |= {(*x, len(units[x]), roots[x][0], x != roots[x]) for x in run}
-            run = []
-        run.append(k)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = _in_runs({k for k, r in roots.items() if len(members[r]) > 1}, units)
+    want = {(*k, len(units[k]), roots[k][0], k != roots[k]) for k in out}
     got = {(r["doc_id"], r["start"], r["length"], r["kept_in"], r["removed"]) for r in paragraphs.repeated(df).collect()}
     assert got == want and len(want) > 40
 
