@@ -10,7 +10,7 @@ from cellgrove.functions import scalar as S
 from cellgrove.operators import analysis, grid, learn, metrics, network, quality, raster, split, training, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
-from cellgrove.sources import dimensions
+from cellgrove.sources import dimensions, files
 
 # what a table must hold ----------------------------------------------------------------------------------
 
@@ -281,3 +281,80 @@ def _(v):
     relations = {"relation0": e.where(step == 1), "relation1": e.where(step == width), "relation2": e.where((step != 1) & (step != width) & (step != 0)), "relation3": e.where(step == 0)}
     out = network.relation_layer(nodes, relations, w)
     return r6(out.select("node_id", *[F.col("h")[i].alias(f"h{i}") for i in range(len(w["bias"]))]))
+
+
+# stored tables: out to files and in again ----------------------------------------------------------------
+
+
+@query("labels_stored", "SELECT node_id, profile, y FROM labels_cell WHERE profile IN ('a_pe', 'blindada')")
+def _(v):
+    path = files.work_path(v.spark, "labels")
+    files.write_labels(v.labels(), path)
+    return files.read_labels(v.spark, path, ["a_pe", "blindada"]).select("node_id", "profile", "y")
+
+
+@query("raster_window_stored", "SELECT \"row\", col, elevation_m FROM cells WHERE \"row\" BETWEEN 3 AND 9 AND col BETWEEN 5 AND 20")
+def _(v):
+    path = files.work_path(v.spark, "raster")
+    files.write_raster(v.cells().select("row", "col", "elevation_m"), path, 8)
+    return files.read_window(v.spark, path, 3, 10, 5, 21, 8).select("row", "col", "elevation_m")
+
+
+@query("points_stored", "SELECT source, count(*) AS n, ROUND(avg(elevation), 6) AS mean FROM points GROUP BY source")
+def _(v):
+    """Two appends of one file format, read back as one table."""
+    path = files.work_path(v.spark, "points")
+    points = v.points().select("lat", "lon", F.col("elevation").cast("double").alias("elevation"), "source", F.lit("b").alias("beam"))
+    for source in ("GEDI", "ICESat-2"):
+        files.append_points_csv(points.where(F.col("source") == source), path)
+    return r6(files.read_points_csv(v.spark, path).groupBy("source").agg(F.count("*").alias("n"), F.avg("elevation").alias("mean")))
+
+
+@query("report_stored", oracle.scores("profile, model", "preds", columns="n, ROUND(macro_f1, 6) AS macro_f1"))
+def _(v):
+    """A report as JSON lines; of the candidate paths the first that exists is read."""
+    path = files.work_path(v.spark, "report")
+    files.write_report(r6(metrics.scores(_cube(v), KEYS).select(*KEYS, "n", "macro_f1")), path)
+    return files.read_report(v.spark, [path + "-absent", path]).select("profile", "model", "n", "macro_f1")
+
+
+@query("predictions_stored", "SELECT node_id, profile, pred FROM preds WHERE model = 'gnn'")
+def _(v):
+    path = files.work_path(v.spark, "predictions")
+    wide = v.wide().groupBy("node_id").pivot("profile", list(dimensions.PROFILES)).agg(F.first("gnn"))
+    wide.withColumnRenamed("a_pe", "y_a_pe").write.parquet(path)
+    return files.read_predictions(v.spark, path, dimensions.PROFILES)
+
+
+@query("probabilities_stored", "SELECT node_id, profile, ROUND(p1, 6) AS p1, ROUND(p2, 6) AS p2, ROUND(p3, 6) AS p3 FROM profile_probs")
+def _(v):
+    path = files.work_path(v.spark, "probabilities")
+    arrays = v.profile_probs().groupBy("node_id").pivot("profile", list(dimensions.PROFILES)).agg(F.first(F.array("p1", "p2", "p3")))
+    arrays.withColumnRenamed("blindada", "probs_blindada").write.parquet(path)
+    return r6(files.read_probabilities(v.spark, path, dimensions.PROFILES))
+
+
+@query("slim_features", "SELECT node_id, ROUND(slope, 6) AS slope, ROUND(ndvi, 6) AS ndvi, CAST(NULL AS DOUBLE) AS tri FROM cells")
+def _(v):
+    return r6(files.slim(v.cells(), ["slope", "ndvi"], ["slope", "ndvi", "tri"]))
+
+
+@query("manifest_stored", "SELECT 1 AS folders, true AS named, true AS hashed")
+def _(v):
+    """Every file of a folder with its size and SHA-256."""
+    path = files.work_path(v.spark, "manifest")
+    v.limits().write.parquet(path)
+    m = files.manifest(v.spark, path)
+    return m.agg(F.countDistinct(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).cast("int").alias("folders"), F.bool_and(F.col("bytes") > 0).alias("named"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+
+
+@query("map_window", "SELECT ROUND(50000 * 10 * 0.0254E0 / (111320.0E0 * cos(radians(4.4E0))) / 2, 6) AS half_lon, ROUND(50000 * 8 * 0.0254E0 / 111320.0E0 / 2, 6) AS half_lat")
+def _(v):
+    lon, lat = S.half_window(50_000, 10, 8, 4.4)
+    return v.spark.createDataFrame([(lon, lat)], "half_lon double, half_lat double")
+
+
+@query("softmax_gelu", "SELECT node_id, ROUND(exp(slope - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s1, ROUND(exp(tri - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s3, ROUND(0.5E0 * ndvi * (1 + tanh(sqrt(2 / pi()) * (ndvi + 0.044715E0 * ndvi * ndvi * ndvi))), 6) AS g FROM (SELECT *, greatest(slope, ndvi, tri) AS m FROM cells)")
+def _(v):
+    s = S.softmax([F.col("slope"), F.col("ndvi"), F.col("tri")])
+    return r6(v.cells().select("node_id", s[0].alias("s1"), s[2].alias("s3"), S.gelu(F.col("ndvi")).alias("g")))

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTS = "lat double, lon double, elevation double, source string, beam string"
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; in local mode a temporary one will do."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cellgrove-files-")
+    return f"{root.rstrip('/')}/cellgrove-files/{label}-{uuid.uuid4().hex}"
+
+
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POINTS).option("header", True).csv(path)
 
@@ -42,15 +55,24 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first of the candidate JSON files that exists."""
+def _first_that_exists(spark: SparkSession, paths: list[str]) -> str:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-            return spark.read.option("multiLine", True).json(path)
+            return path
     raise FileNotFoundError(f"none of {paths}")
 
 
+def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first of the candidate JSON files (each one document) that exists."""
+    return spark.read.option("multiLine", True).json(_first_that_exists(spark, paths))
+
+
+def read_report(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first of the candidate reports (JSON lines, as write_report leaves them) that exists."""
+    return spark.read.json(_first_that_exists(spark, paths))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """File name, size and SHA-256 of every file of a folder, a file per row."""
     files = spark.read.format("binaryFile").load(path)
