@@ -32,7 +32,7 @@ def ship(spark: SparkSession) -> None:
     Also bounds the bytes of the batches that reach Python, so a task holds few of its rows, however long they are.
     """
     sc = spark.sparkContext
-    if spark.conf.get(_BYTES_SETTING) in (str(_BYTES_DEFAULT), f"{_BYTES_DEFAULT}b"):
+    if spark.conf.get(_BYTES_SETTING, None) in (str(_BYTES_DEFAULT), f"{_BYTES_DEFAULT}b"):
         spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
