@@ -174,3 +174,17 @@ def test_stored_predictions_come_back_as_rows(spark, tmp_path):
 def test_slim_tables_keep_their_columns(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "node_id long, slope double, ndvi double")
     assert files.slim(df, ["slope"], ["slope", "ndvi", "tri"]).first() == (1, 2.0, None, None)
+
+
+def test_baselines_learn_the_rules(spark):
+    """At full size, held out: far above the commonest class; steep slopes and vegetation matter most."""
+    data = catalog._trained(Views(spark, SMALL), "a_pe")
+    train, test = data.where("split = 'train'").cache(), data.where("split = 'test'").cache()
+    common = test.groupBy("y").count().agg(F.max("count")).first()[0] / test.count()
+    forest = learn.random_forest(train)
+    assert learn.predict(forest, test).where("pred = y").count() / test.count() >= max(0.9, common)
+    ranked = [r["feature"] for r in learn.importance(forest, catalog.TRAINED).orderBy(F.desc("importance")).collect()]
+    assert set(ranked[:2]) <= {"slope", "ndvi", "ndwi"}
+    net = learn.perceptron(train, len(catalog.TRAINED))
+    assert learn.predict(net, test).where("pred = y").count() / test.count() >= common + 0.1
+    train.unpersist(), test.unpersist()
