@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import hosts, langid, media, oracles, packing, paragraphs, pieces, quality, shingles, vectors, warc
+from cellgrove.llm import hosts, interplay, langid, media, nearest, oracles, packing, paragraphs, pieces, quality, shingles, vectors, warc, whitening
 from cellgrove.llm.common import crc_mod
 
 
@@ -69,6 +69,18 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_interplay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_media": op2_media,
@@ -80,5 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hosts": op8_hosts,
     "op9_vectors": op9_vectors,
     "op10_minhash": op10_minhash,
+    "op11_nearest": op11_nearest,
+    "op12_whitening": op12_whitening,
+    "op13_interplay": op13_interplay,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
