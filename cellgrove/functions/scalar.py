@@ -26,9 +26,25 @@ def leaky_relu(x: Column, slope: float = 0.2) -> Column:
     return F.when(x > 0, x).otherwise(x * slope)
 
 
+#: terms of erf's series and the end beyond which it is 1 in double precision
+ERF_TERMS, ERF_END = 110, 6.0
+
+
+def erf(x: Column) -> Column:
+    """The error function: 2 x exp(-x^2) / sqrt(pi) times the sum of (2 x^2)^n / (2n + 1)!!, within 1e-14 of the true value.
+
+    All terms have one sign, so no digits are lost; the sum is nested, from the last term inwards.
+    """
+    z = clip(x, -ERF_END, ERF_END)
+    t, s = 2.0 * z * z, F.lit(1.0)
+    for n in range(ERF_TERMS, 0, -1):
+        s = 1.0 + t / float(2 * n + 1) * s
+    return 2 / math.sqrt(math.pi) * z * F.exp(-z * z) * s
+
+
 def gelu(x: Column) -> Column:
-    """The tanh form."""
-    return 0.5 * x * (1 + F.tanh(F.lit(math.sqrt(2 / math.pi)) * (x + 0.044715 * x * x * x)))
+    """x times the normal distribution function of x."""
+    return 0.5 * x * (1.0 + erf(x / math.sqrt(2)))
 
 
 def sanitize(x: Column) -> Column:

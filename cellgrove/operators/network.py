@@ -1,7 +1,8 @@
-"""Forward passes of graph networks with given weights, as DataFrames: node states are arrays of a small fixed width.
+"""One layer of a graph network with given weights over any relations between nodes, as DataFrames.
 
-A layer is two joins of the edges with the nodes' states and grouped sums by target; no batches, no sampling.
-Weights are numpy arrays, (outputs, inputs), and become literals of the plan.
+Node states are arrays of a small fixed width. A layer is a join of the edges with the sources' states and grouped
+sums by target. Weights are numpy arrays, (outputs, inputs), and become literals of the plan. Several layers over a
+raster's neighbours go tile by tile instead (``models.AttentionNet``), where the plan does not grow with them.
 """
 
 from __future__ import annotations
@@ -35,34 +36,10 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    src = nodes.select(F.col("node_id").alias("src"), F.col("h").alias("h_src"))
-    dst = nodes.select(F.col("node_id").alias("dst"), F.col("h").alias("h_dst"))
-    return edges.select("src", "dst").join(src, "src").join(dst, "dst")
-
-
-def _summed(rows: DataFrame, vector: Column, width: int, by: Column | None = None) -> DataFrame:
-    """Sums of an array column by dst, element by element, over the sum of by: partial sums."""
-    parts = [F.sum(vector[i]).alias(f"v{i}") for i in range(width)]
-    out = rows.groupBy("dst").agg(*parts, *([] if by is None else [F.sum(by).alias("total")]))
-    values = [F.col(f"v{i}") if by is None else F.col(f"v{i}") / F.col("total") for i in range(width)]
-    return out.select(F.col("dst").alias("node_id"), F.array(*values).alias("m"))
-
-
-def attention_layer(nodes: DataFrame, edges: DataFrame, left: np.ndarray, right: np.ndarray, scorer: np.ndarray, slope: float = 0.2) -> DataFrame:
-    """One head of dynamic attention, residual, LayerNorm and GELU over (node_id, h).
-
-    A score is scorer . leaky(left h_src + right h_dst); softmax by target (its largest score taken out first), weighted
-    sum of left h_src. Nodes without edges keep the residual alone.
-    """
-    ends = _ends(nodes, edges)
-    sent, width = linear(F.col("h_src"), left), len(left)
-    mixed = F.transform(add(sent, linear(F.col("h_dst"), right)), lambda v: F.when(v > 0, v).otherwise(slope * v))
-    scored = ends.select("dst", sent.alias("sent"), S.dot(mixed, F.array(*[F.lit(float(w)) for w in scorer])).alias("e"))
-    top = scored.groupBy("dst").agg(F.max("e").alias("top"))
-    weighted = scored.join(top, "dst").select("dst", "sent", F.exp(F.col("e") - F.col("top")).alias("w"))
-    message = _summed(weighted.select("dst", "w", F.transform("sent", lambda v: v * F.col("w")).alias("s")), F.col("s"), width, F.col("w"))
-    return _updated(nodes, message, width)
+def _summed(rows: DataFrame, vector: Column, width: int) -> DataFrame:
+    """Sums of an array column by dst, element by element: partial sums."""
+    out = rows.groupBy("dst").agg(*[F.sum(vector[i]).alias(f"v{i}") for i in range(width)])
+    return out.select(F.col("dst").alias("node_id"), F.array(*[F.col(f"v{i}") for i in range(width)]).alias("m"))
 
 
 def relation_layer(nodes: DataFrame, relations: dict[str, DataFrame], weights: dict[str, np.ndarray]) -> DataFrame:
@@ -83,11 +60,3 @@ def _updated(nodes: DataFrame, message: DataFrame, width: int) -> DataFrame:
 def encode(cells: DataFrame, columns: list[str], weight: np.ndarray, bias: np.ndarray) -> DataFrame:
     """(node_id, h): a linear map of feature columns and GELU."""
     return cells.select("node_id", gelu(linear(F.array(*[F.col(c).cast("double") for c in columns]), weight, bias)).alias("h"))
-
-
-def class_heads(nodes: DataFrame, heads: dict[str, np.ndarray]) -> DataFrame:
-    """node_id, profile, p1, p2, p3: a head of three logits for each profile, softmax."""
-    rows = F.array(*[F.struct(F.lit(name).alias("profile"), linear(F.col("h"), w).alias("z")) for name, w in heads.items()])
-    z = nodes.select("node_id", F.inline(rows))
-    p = S.softmax([F.col("z")[i] for i in range(3)])
-    return z.select("node_id", "profile", *[x.alias(f"p{i}") for i, x in enumerate(p, 1)])

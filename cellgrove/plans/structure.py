@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
-from cellgrove.operators import analysis, grid, learn, metrics, network, quality, raster, split, training, uncertainty
+from cellgrove.operators import analysis, descent, grid, learn, metrics, models, network, quality, raster, rules, split, training, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
-from cellgrove.sources import dimensions, files
+from cellgrove.sources import checkpoints, dimensions, files
 
 # what a table must hold ----------------------------------------------------------------------------------
 
@@ -264,12 +264,45 @@ def given_weights(width: int = 6, seed: int = 7) -> dict[str, np.ndarray]:
 
 @query("attention_forward")
 def _(v):
-    """Encoder, three attention layers and a head for each profile, over all cells."""
-    w = given_weights()
-    nodes, edges = network.encode(v.cells(), NETWORK_FEATURES, w["encoder"], w["bias"]), v.edges().select("src", "dst")
-    for k in range(3):
-        nodes = network.attention_layer(nodes, edges, w[f"left{k}"], w[f"right{k}"], w[f"scorer{k}"])
-    return r6(network.class_heads(nodes, {p: w[p] for p in dimensions.PROFILES}))
+    """Encoder, three attention layers and a head for each profile, over all cells, tile by tile."""
+    _, height, width = v.shape
+    net = models.AttentionNet(dimensions.PROFILES, NETWORK_FEATURES)
+    return r6(net.infer(given_weights(), v.cells(), net.tiling(height, width)))
+
+
+def _labelled(v) -> DataFrame:
+    """Cells with a class for each profile (y_<profile>) and their split."""
+    cells = rules.class_columns(v.cells(), dimensions.LIMITS).withColumnsRenamed({p: f"y_{p}" for p in dimensions.PROFILES})
+    return cells.join(v.cell_splits().select("node_id", "split"), "node_id")
+
+
+def _test_scores(v, preds: DataFrame) -> DataFrame:
+    """Scores by profile of (node_id, profile, pred) over the test cells."""
+    tested = v.labels().join(v.cell_splits().where("split = 'test'").select("node_id"), "node_id", "left_semi")
+    return r6(metrics.scores(metrics.cube(preds.join(tested, ["node_id", "profile"]), ["profile"]), ["profile"]))
+
+
+def perceptron_scores(v, features: list[str], epochs: int = 50) -> DataFrame:
+    net = models.Perceptron(dimensions.PROFILES, features)
+    train = _labelled(v).where("split = 'train'")
+    packs = descent.write_packs(models.perceptron_batches(net, train, train.count()), 1)
+    trained = descent.descend(net, descent.State(net.start()), packs, epochs)
+    return _test_scores(v, net.predict(trained.weights, v.cells())).withColumn("split", F.lit("test"))
+
+
+@query("attention_trained")
+def _(v):
+    """Trains the network on the training cells and scores the epoch of the least validation loss on the test cells."""
+    _, height, width = v.shape
+    net = models.AttentionNet(dimensions.PROFILES, NETWORK_FEATURES, layers=2)
+    t = net.tiling(height, width, tile=32)
+    cells = _labelled(v)
+    packs = {s: descent.write_packs(net.packs(cells.withColumn("counted", F.col("split") == s), t), 1) for s in ("train", "val")}
+    at = checkpoints.Checkpoints(v.spark, files.work_path(v.spark, "attention"))
+    descent.descend(net, descent.State(net.start(16)), packs["train"], 8, 2e-2, descent.cosine, clip=1.0, validation=packs["val"], patience=6, checkpoints=at)
+    best = descent.load_state(at, "best")
+    probs = net.infer(best.weights, v.cells(), net.tiling(height, width))
+    return _test_scores(v, probs.select("node_id", "profile", S.first_argmax([F.col(f"p{i}") for i in (1, 2, 3)]).alias("pred")))
 
 
 @query("relation_forward")
@@ -354,7 +387,7 @@ def _(v):
     return v.spark.createDataFrame([(lon, lat)], "half_lon double, half_lat double")
 
 
-@query("softmax_gelu", "SELECT node_id, ROUND(exp(slope - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s1, ROUND(exp(tri - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s3, ROUND(0.5E0 * ndvi * (1 + tanh(sqrt(2 / pi()) * (ndvi + 0.044715E0 * ndvi * ndvi * ndvi))), 6) AS g FROM (SELECT *, greatest(slope, ndvi, tri) AS m FROM cells)")
+@query("softmax_gelu", "SELECT node_id, ROUND(exp(slope - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s1, ROUND(exp(tri - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s3, ROUND(0.5E0 * ndvi * (1 + 2 / sqrt(pi()) * list_sum(list_transform(range(0, 30), lambda n: pow(-1, n) * pow(z, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))), 6) AS g FROM (SELECT *, greatest(slope, ndvi, tri) AS m, CAST(ndvi AS DOUBLE) / sqrt(2) AS z FROM cells)")
 def _(v):
     s = S.softmax([F.col("slope"), F.col("ndvi"), F.col("tri")])
     return r6(v.cells().select("node_id", s[0].alias("s1"), s[2].alias("s3"), S.gelu(F.col("ndvi")).alias("g")))

@@ -25,7 +25,7 @@ def cells(spark):
 
 
 def _gelu(x):
-    return 0.5 * x * (1 + np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x**3)))
+    return 0.5 * x * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
 
 
 def _norm(x):
