@@ -163,9 +163,8 @@ def descend(
     if checkpoints is not None:
         state = load_state(checkpoints) or state
     while state.epoch < epochs:
-        best = min((h["validation"] for h in state.history), default=math.inf)
-        since = next((i for i, h in enumerate(reversed(state.history)) if h["validation"] <= best), 0)
-        if patience and state.history and since >= patience:
+        losses = [h["validation"] for h in state.history]
+        if patience and losses and len(losses) - 1 - losses.index(min(losses)) >= patience:
             break
         now = schedule(rate, state.epoch, epochs) if schedule else rate
         loss = rows = skipped = 0
