@@ -97,6 +97,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(classes: DataFrame, first: str, label: str) -> tuple[DataFrame, bool]:
+    """Classes with rep, a number of their own, and whether it is another than first, the smallest id of their rows.
+
+    It is another one only where an id stands for rows of several classes.
+    """
+    repeated = not classes.groupBy(first).agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    if not repeated:
+        return classes.withColumn("rep", F.col(first)), False
+    return stage(classes.withColumn("rep", F.monotonically_increasing_id()), label), True  # written once: the numbers stay
+
+
+def smallest_ids(comp: DataFrame, classes: DataFrame, first: str, repeated: bool) -> DataFrame:
+    """(node, component) with the smallest id of a component's classes for the smallest of their numbers."""
+    if not repeated:
+        return comp
+    at = comp.join(classes.select(F.col("rep").alias("node"), first), "node")
+    least = at.groupBy("component").agg(F.min(first).alias("least"))
+    return at.select("node", "component").join(least, "component").select("node", F.col("least").alias("component"))
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -199,25 +199,24 @@ def _cut(batch: pa.RecordBatch, segments_per_doc: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": pa.array(out_lang, pa.string()), "bytes": pa.array(out_bytes, pa.binary())})
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, segments_per_doc: int = 8, max_languages: int = 500, **params) -> BiGRU:
-    """Train on at most about sample_docs documents of each language among the usable rows.
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, segments_per_doc: int = 8, most_docs: int = 200_000, **params) -> BiGRU:
+    """Train on at most about sample_docs documents of each language among the usable rows, and most_docs in all.
 
-    The sample is drawn by a hash of the id at a rate of sample_docs over the language's count, so what
-    reaches the driver is bounded by the parameters, not by the table. More than max_languages languages are an error.
+    The sample is drawn by a hash of the id at a rate of that number over the language's count, so what
+    reaches the driver is bounded by the parameters and the number of languages, which the model has weights for, not by the
+    table. All languages are classes, but one of which no document is drawn is never predicted.
     """
     ship(docs.sparkSession)
     rows = docs.where(usable & col(lang_col).isNotNull() & col(text_col).isNotNull() & (F.length(col(text_col)) > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages in {lang_col}")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row for each class of the model
     classes = tuple(sorted(counts))
     if not classes:
         return BiGRU((), *(np.zeros((0, 0), np.float32) for _ in range(4)))
-    rate = F.lit(1.0)
-    for lang, n in counts.items():
-        rate = F.when(col(lang_col) == F.lit(lang), F.lit(min(1.0, sample_docs / n))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64(col(id_col), F.lit(17)), F.lit(1_000_003)) < rate * F.lit(1_000_003)
-    picked = rows.where(drawn).select(col(lang_col).alias("lang"), col(text_col).alias("text"))
+    each = min(sample_docs, max(1, most_docs // len(classes)))
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "lang string, rate double")
+    drawn = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_003)) < F.col("rate") * F.lit(1_000_003)
+    named = rows.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text"))
+    picked = named.join(F.broadcast(rates), "lang").where(drawn).select("lang", "text")  # a row for each class of the model
     cut = arrow_rows(picked, lambda b: _cut(b, segments_per_doc), "lang string, bytes binary").toArrow()
     pieces, langs = cut.column("bytes").to_pylist(), cut.column("lang").to_pylist()
     if not pieces:
@@ -227,7 +226,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     for row, i in enumerate(order):
         x[row, : len(pieces[i])] = np.frombuffer(pieces[i], np.uint8)
     lengths = np.array([len(pieces[i]) for i in order])
-    labels = np.array([classes.index(langs[i]) for i in order])
+    number = {lang: k for k, lang in enumerate(classes)}
+    labels = np.array([number[langs[i]] for i in order])
     # every language weighs the same: the rarer ones are repeated up to the commonest
     most = np.bincount(labels).max()
     again = np.concatenate([np.resize(np.flatnonzero(labels == k), most) for k in range(len(classes)) if (labels == k).any()])

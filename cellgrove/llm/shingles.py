@@ -10,8 +10,8 @@ Collisions give candidates (see ``neighbours``), links are confirmed on the full
 A pair at the similarity 0.75 is missed if fewer than ``least`` = 15 of 35 coordinates agree: about 3 in
 100,000, fewer above. Null, empty and wordless texts have an empty set and link with nothing. Long texts are
 hashed whole. Repeated rows are equal documents. Null ids stay alone. Ids are whole numbers; others are
-refused. Rows that repeat an id with different texts are compared each, and form one node of the components.
-An empty table gives an empty table.
+refused. Rows that repeat an id with different texts are documents of their own: each has the smallest id that its
+own text reaches. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from cellgrove.llm.common import arrow_rows, col, ship, stage
+from cellgrove.llm.common import arrow_rows, col, named, ship, smallest_ids, stage
 from cellgrove.llm.neighbours import LONGS, SKETCH, as_column, bloom, connect, minima, shingles, sketch
 from cellgrove.llm.words import chunks, hash_words, mix, word_hashes
 
@@ -45,11 +45,18 @@ def _sets(column: pa.Array):
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not isinstance(docs.schema[id_col].dataType, ByteType | ShortType | IntegerType | LongType):
         raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h"))
+
+
+def _digests(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Two longs for each of some sets of hashes, (2, sets); begin has no empty ones."""
+    if not len(begin):
+        return np.zeros((2, 0), np.int64)
+    return np.stack([np.add.reduceat(mix(x), begin).view(np.int64) for x in (flat ^ np.uint64(1), flat + np.uint64(7))])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (digest of the set), m (minima as bytes) and the sketch s0.."""
+    """doc_id, h (hash of the text), n (set size), d1 and d2 (digest of the set), m (minima as bytes) and the sketch s0.."""
 
     def run(b: pa.RecordBatch) -> pa.Table | None:
         out = []
@@ -60,31 +67,36 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             begin = np.cumsum(n[some]) - n[some]
             rows, digests = np.full((len(n), SKETCH), np.iinfo(np.uint32).max, np.uint32), np.zeros((2, len(n)), np.int64)
             rows[some] = minima(flat, begin)
-            for k, x in enumerate((flat ^ np.uint64(1), flat + np.uint64(7))):
-                if len(some):
-                    digests[k, some] = np.add.reduceat(mix(x), begin).view(np.int64)
+            digests[:, some] = _digests(flat, begin)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SKETCH), len(n), [None, pa.py_buffer(rows.astype("<u4"))]).cast(pa.binary())
             longs = sketch(rows)
-            columns = [b.column("doc_id").slice(lo, len(n)), pa.array(n.astype(np.int32)), *map(pa.array, digests), raw, *(pa.array(longs[:, j]) for j in range(len(LONGS)))]
-            out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "m", *LONGS]))
+            columns = [b.column("doc_id").slice(lo, len(n)), b.column("h").slice(lo, len(n)), pa.array(n.astype(np.int32)), *map(pa.array, digests), raw, *(pa.array(longs[:, j]) for j in range(len(LONGS)))]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "d1", "d2", "m", *LONGS]))
         return pa.Table.from_batches(out) if out else None
 
-    return arrow_rows(_ids(docs, id_col, text_col), run, f"doc_id long, n int, d1 long, d2 long, m binary, {', '.join(f'{c} long' for c in LONGS)}")
+    return arrow_rows(_ids(docs, id_col, text_col), run, f"doc_id long, h long, n int, d1 long, d2 long, m binary, {', '.join(f'{c} long' for c in LONGS)}")
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str):
-    """A function from a table of reps to their full shingle sets."""
+def sets_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str):
+    """A function from a table of reps to their full shingle sets; classes: (rep, first, d1, d2) tells which document has them."""
 
     def sets(reps: DataFrame) -> DataFrame:
-        wanted = bloom(reps, "rep")
+        asked = stage(classes.select("rep", "first", "d1", "d2").join(reps, "rep"), "shingles-asked")
+        wanted = bloom(asked, "first")
 
         def run(b: pa.RecordBatch) -> pa.Table | None:
-            b = b.filter(pa.array(wanted(b.column("rep").to_numpy())))
-            out = [pa.RecordBatch.from_arrays([b.column("rep").slice(lo, len(x)), as_column(x)], names=["rep", "x"]) for lo, x in _sets(b.column("text"))]
+            b = b.filter(pa.array(wanted(b.column("first").to_numpy())))
+            out = []
+            for lo, x in _sets(b.column("text")):
+                n = np.array([len(y) for y in x], np.int64)
+                some = np.flatnonzero(n)
+                d = _digests(np.concatenate([x[i] for i in some]) if len(some) else np.zeros(0, np.uint64), np.cumsum(n[some]) - n[some])
+                out.append(pa.RecordBatch.from_arrays([b.column("first").take(pa.array(lo + some)), *map(pa.array, d), as_column([x[i] for i in some])], names=["first", "d1", "d2", "x"]))
             return pa.Table.from_batches(out) if out else None
 
-        rows = _ids(docs, id_col, text_col).withColumnRenamed("doc_id", "rep").where("rep is not null")
-        return arrow_rows(rows, run, "rep long, x array<long>").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
+        rows = _ids(docs, id_col, text_col).select(F.col("doc_id").alias("first"), "text").where("first is not null")
+        found = arrow_rows(rows, run, "first long, d1 long, d2 long, x array<long>")
+        return found.join(asked, ["first", "d1", "d2"]).select("rep", "x").dropDuplicates(["rep"])
 
     return sets
 
@@ -145,16 +157,21 @@ def lists(reps: DataFrame, least: int = LEAST) -> DataFrame:
     return stage(some.join(firsts, "token").where("rep <> pivot").select("token", "rep", "pivot"), "shingles-lists")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = LEAST) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, least: int = LEAST, hashed: str | None = None) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept.
+
+    hashed: name of a further column with xxhash64 of the text, which tells rows of one id apart.
+    """
     docs_sig = stage(signatures(docs, id_col, text_col), "shingles-signatures")
     some = docs_sig.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("m").alias("m"), *[F.min(c).alias(c) for c in LONGS])
-    reps = stage(reps, "shingles-classes")
+    classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.min("m").alias("m"), *[F.min(c).alias(c) for c in LONGS])
+    reps, repeated = named(stage(classes, "shingles-classes"), "first", "shingles-named")
     items = reps.select("rep", "n", *LONGS)
-    comp = connect(lists(reps, least), items, sets_of(docs, id_col, text_col), least, percent, label="shingles")
-    classes = reps.join(comp, reps["rep"] == comp["node"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    comp = connect(lists(reps, least), items, sets_of(docs, reps, id_col, text_col), least, percent, label="shingles")
+    comp = smallest_ids(comp, reps, "first", repeated)
+    classes = reps.join(comp, reps["rep"] == comp["node"], "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component"))
     classes = stage(classes, "shingles-result")
     out = docs_sig.join(classes, ["d1", "d2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    extra = [F.col("h").alias(hashed)] if hashed else []
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *extra)

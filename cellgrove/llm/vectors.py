@@ -9,7 +9,8 @@ vectors are dealt out as pairs of blocks. Vectors travel once a table (14 tables
 beyond 2^24 times ``bucket`` classes buckets grow, and with them the cosines, but no link is lost.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
-different lengths. Repeated ids are rows of their own. An empty table gives an empty table.
+different lengths. Rows that repeat an id are rows of their own, each with its own links and the smallest id that its own
+vector reaches. Ids are whole numbers; others are refused. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from cellgrove.llm.common import arrow_rows, col, stage
+from cellgrove.llm.common import arrow_rows, col, named, smallest_ids, stage
 from cellgrove.llm.components import components
 
 
@@ -59,6 +61,8 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             out.append(raw)
         return pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "h1", "h2", "v"])
 
+    if not isinstance(vectors.schema[id_col].dataType, ByteType | ShortType | IntegerType | LongType):
+        raise TypeError(f"{id_col} must be a whole number, not {vectors.schema[id_col].dataType.simpleString()}")
     rows = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<double>").alias("v"))
     return stage(arrow_rows(rows, run, "vec_id long, h1 long, h2 long, v binary"), "vectors-rows")
 
@@ -100,8 +104,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bucket should hold on average.
     """
     rows = _classes(vectors, id_col, vector_col)
-    classes = rows.where("v is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min("v").alias("v"))
-    classes = stage(classes, "vectors-classes")
+    classes = rows.where("v is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.min("v").alias("v"))
+    classes, repeated = named(stage(classes, "vectors-classes"), "first", "vectors-named")
     bits = min(24, max(6, math.ceil(math.log2(max(1, classes.count()) / bucket))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
@@ -129,9 +133,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = both.groupBy(*at, "i", "j").applyInArrow(_join_block(tables, bits, threshold), "rep long, links long, root long")
     found = stage(found, "vectors-links")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found, "rep", "root")
-    done = classes.select("h1", "h2", "rep", "mult").join(degree, "rep", "left").join(comp, classes["rep"] == comp["node"], "left")
-    done = stage(done.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "vectors-result")
+    comp = smallest_ids(components(found, "rep", "root"), classes, "first", repeated)
+    done = classes.select("h1", "h2", "rep", "first", "mult").join(degree, "rep", "left").join(comp, classes["rep"] == comp["node"], "left")
+    done = stage(done.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "first").alias("component")), "vectors-result")
     out = rows.select("vec_id", "h1", "h2").join(done, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select(F.col("vec_id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

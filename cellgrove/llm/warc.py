@@ -34,6 +34,16 @@ MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 MIN_REVISIT = 1000
 _DATE = "2024-01-01T00:00:00Z"
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
+#: a block of more bytes than this is none: such a length stands in a payload only
+_MOST = 1 << 40
+
+
+def _number(text: str | bytes | None) -> int | None:
+    """A whole number as Spark's long holds it; None for anything else."""
+    if text is None or not re.fullmatch(rb"-?[0-9]{1,19}", text.encode("utf-8", "replace") if isinstance(text, str) else text):
+        return None
+    n = int(text)
+    return n if -(1 << 63) <= n < 1 << 63 else None
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
@@ -96,13 +106,14 @@ def _parse(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
     if end < 0:
         return None
     found = _LENGTH.search(piece, 0, end)
-    if not found:
+    need = _number(found[1]) if found else None
+    if need is None or need > _MOST:
         return None
     fields = {}
     for line in piece[:end].split(b"\r\n"):
         name, _, value = line.partition(b":")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return end + 4, int(found[1]), fields
+    return end + 4, need, fields
 
 
 def _payload(block: bytes) -> tuple[int, bytes, str | None]:
@@ -141,9 +152,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return False
             start, need, fields = head
             row[3] = row[2] + start + need + 4 + magic
-            row[5] = int(fields["x-page-id"]) if fields.get("x-page-id", "").lstrip("-").isdigit() else None
+            row[5] = _number(fields.get("x-page-id"))
             row[6] = fields.get("warc-type")
-            row[7] = int(fields["x-refers-to-page-id"]) if fields.get("x-refers-to-page-id", "").lstrip("-").isdigit() else None
+            row[7] = _number(fields.get("x-refers-to-page-id"))
             row[9] = fields.get("warc-payload-digest", "").removeprefix("sha1:") if row[6] == "revisit" else None
             body = piece[start:]
             if len(body) >= need:
@@ -193,7 +204,7 @@ def _close(row: list, body: bytes, need: int) -> None:
         return
     _, payload, said = _payload(body[:need])
     if row[6] == "revisit":
-        row[8] = int(said) if said else None
+        row[8] = _number(said)
     else:
         row[8], row[9] = len(payload), hashlib.sha1(payload).hexdigest()
     row[10] = True

@@ -77,7 +77,7 @@ def test_small_blocks_give_the_same_components(spark):
     sig = shingles.signatures(df).cache()
     items = sig.select(F.col("doc_id").alias("rep"), "n", *[f"s{i}" for i in range(5)])
     posted = shingles.lists(sig.withColumnRenamed("doc_id", "rep"))
-    comp = neighbours.connect(posted, items, shingles.sets_of(df, "doc_id", "text"), shingles.LEAST, block=8)
+    comp = neighbours.connect(posted, items, shingles.sets_of(df, sig.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("first"), "d1", "d2"), "doc_id", "text"), shingles.LEAST, block=8)
     _, roots = _near(docs)
     found = {i: i for i in roots} | {r["node"]: r["component"] for r in comp.collect()}
     assert found == roots

@@ -52,5 +52,14 @@ def test_records_over_many_splits(spark):
     _round_trip(spark, rows, "2000")
 
 
+def test_numbers_that_do_not_fit_are_no_records(spark):
+    huge = ["99999999999999999999999", "9223372036854775800", "9223372036854775807", "1" * 5000, "\u00b2", "-5", "1099511627777"]
+    rows = [(i, "u", f"a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: {i}\r\nContent-Length: {x}\r\n\r\nb\r\n\r\n") for i, x in enumerate(huge)]
+    rows += [(20 + i, "u", f"WARC/1.0\r\nWARC-Type: revisit\r\nX-Page-ID: {x}\r\nX-Refers-To-Page-ID: {x}\r\nContent-Length: 5\r\n\r\nHTTP/\r\n\r\nWARC/1.0\r\n") for i, x in enumerate(huge)]
+    rows += [(40 + i, "u", f"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 60\r\n\r\nHTTP/1.1 200 OK\r\nX-Payload-Length: {x}\r\n\r\n\r\n\r\nWARC/1.0\r\n") for i, x in enumerate(huge)]
+    _round_trip(spark, rows, "128m")
+    _round_trip(spark, rows, "1500")
+
+
 def test_empty(spark):
     _round_trip(spark, [], "128m")
