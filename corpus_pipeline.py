@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrove.llm import langid, packing, paragraphs, quality, shingles
-from cellgrove.llm.common import crc_mod, stage
+from cellgrove.llm.common import crc_mod, stage, unused
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    gone = shingles.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(stage(gone, "near-duplicates-gone"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest id; rows of one id are told apart by their text."""
+    (h,) = unused(docs, "text_hash")
+    gone = shingles.near_duplicates(docs, hashed=h).where(~F.col("kept")).select("doc_id", h)
+    return docs.withColumn(h, F.xxhash64("text")).join(stage(gone, "near-duplicates-gone"), ["doc_id", h], "left_anti").select(docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
