@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellgrove.operators import nearest
+
 CELL_M = 30.0
 
 
@@ -88,30 +90,60 @@ def chunk_rectangles(spark: SparkSession, height: int, width: int, size: int, ov
 
 
 def nearest_points(points: DataFrame, cells: DataFrame, width: int, height: int, k: int = 8, reach: int = 2) -> DataFrame:
-    """The k nearest cells of each point, ties to the smaller id; fewer only where there are fewer cells.
+    """The k nearest cells (node_id) of each point (event_id, node_id of its own place), ties to the smaller id; fewer only where there are fewer cells."""
+    def at(df: DataFrame, name: str, alias: str) -> DataFrame:
+        return df.select(F.col(name).cast("long").alias(alias), F.floor(F.col("node_id") / width).alias("row"), (F.col("node_id") % width).alias("col"))
+
+    found = nearest.k_nearest(at(points, "event_id", "id"), at(cells, "node_id", "cell_id"), height, width, k, reach)
+    return found.select("cell_id", F.col("id").alias("event_id"), "d2")
+
+
+def chunked(cells: DataFrame, height: int, width: int, size: int, overlap: int, crop: int) -> DataFrame:
+    """Cells once for every overlapping chunk (cr, cc) that holds them: id, their number in it, and kept, whether the cropped chunk has them.
 
-    The search starts within reach rows and columns of the point's own cell. Points whose k-th cell could lie
-    further out search again within twice that, until the raster is covered.
+    Chunks start every size - overlap rows and columns, the last one where it reaches the border; each cell is kept by at least one chunk, and by
+    one alone where 2 crop = overlap. A chunk has size x size cells at most, so its cells are ranked in one task.
     """
-    left, done = points.select("event_id", "node_id"), None
-    there = cells.select(F.col("node_id").alias("cell_id"))
-    while True:
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        near = left.select("event_id", "node_id", F.explode(span).alias("dr")).select("event_id", "node_id", "dr", F.explode(span).alias("dc"))
-        r, c = F.floor(F.col("node_id") / width) + F.col("dr"), F.col("node_id") % width + F.col("dc")
-        near = near.where((r >= 0) & (r < height) & (c >= 0) & (c < width)).select("event_id", "node_id", (r * width + c).alias("cell_id"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2")).join(there, "cell_id", "left_semi")
-        best = near.groupBy("event_id", "node_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "cell_id"))), 1, k).alias("best"))  # at most (2 reach + 1)^2 a point
-        if reach >= max(width, height) - 1:
-            found = best
-        else:  # cells outside the square are at least reach + 1 away
-            sure = (F.size("best") == k) & (F.col("best")[k - 1]["d2"] < (reach + 1) ** 2)
-            found = best.where(sure)
-            left = left.join(found.select("event_id"), "event_id", "left_anti")
-        found = found.select("event_id", F.inline("best"))
-        done = found if done is None else done.unionByName(found)
-        if reach >= max(width, height) - 1 or left.isEmpty():
-            return done.select("cell_id", "event_id", "d2")
-        reach *= 2
+    step = size - overlap
+
+    def starts(n: int) -> int:
+        return 0 if n <= size else -(-(n - size) // step)  # number of the last chunk
+
+    def of(at: str, n: int) -> Column:
+        low = F.greatest(F.ceil((F.col(at) - size + 1) / step), F.lit(0))
+        return F.sequence(low.cast("int"), F.least(F.floor(F.col(at) / step), F.lit(starts(n))).cast("int"))
+
+    rows = cells.select("*", F.explode(of("row", height)).alias("cr"))
+    both = rows.select("*", F.explode(of("col", width)).alias("cc"))
+
+    def inside(at: str, chunk: str, n: int) -> Column:
+        first, last = F.col(chunk) == 0, F.col(chunk) == starts(n)
+        begin = F.col(chunk) * step
+        return (first | (F.col(at) >= begin + crop)) & (last | (F.col(at) < begin + size - crop))
+
+    number = F.row_number().over(Window.partitionBy("cr", "cc").orderBy("node_id")) - 1
+    return both.withColumns({"id": number.cast("bigint"), "kept": inside("row", "cr", height) & inside("col", "cc", width)})
+
+
+def chunked_edges(chunks: DataFrame, height: int, width: int, self_loops: bool = True) -> DataFrame:
+    """cr, cc, src, dst, dist: the edges between neighbours of one chunk, ends as numbers in it; they come along by target, one join for all chunks."""
+    near = chunks.select("cr", "cc", "row", "col", F.col("id").alias("src"), F.inline(_offsets(self_loops)))
+    r, c = F.col("row") + F.col("dr"), F.col("col") + F.col("dc")
+    out = near.where((r >= 0) & (r < height) & (c >= 0) & (c < width)).select("cr", "cc", "src", r.alias("row"), c.alias("col"), "dist")
+    ends = chunks.select("cr", "cc", "row", "col", F.col("id").alias("dst"))
+    return out.join(ends, ["cr", "cc", "row", "col"]).select("cr", "cc", "src", "dst", "dist")
+
+
+def chunked_points(chunks: DataFrame, points: DataFrame) -> DataFrame:
+    """cr, cc, cell (its number there) and the columns of points, once for each chunk that holds their cell."""
+    return points.join(chunks.select("node_id", "cr", "cc", F.col("id").alias("cell")), "node_id")
+
+
+def uncropped(chunks: DataFrame, values: DataFrame) -> DataFrame:
+    """The way back: node_id and the columns of values (by cr, cc and id) from the chunks that keep the cell; of several the first chunk's."""
+    names = [c for c in values.columns if c not in ("cr", "cc", "id")]
+    kept = chunks.where("kept").select("node_id", "cr", "cc", "id").join(values, ["cr", "cc", "id"])
+    return kept.groupBy("node_id").agg(F.min(F.struct("cr", "cc", *names)).alias("v")).select("node_id", *[F.col(f"v.{n}").alias(n) for n in names])
 
 
 def renumbered(nodes: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrove.functions.scalar import clip
+from cellgrove.operators import nearest
+
 
 def scene_search(scenes: DataFrame, max_cloud: int, limit: int) -> DataFrame:
     """Scenes up to a cloud cover, clearest first."""
@@ -45,53 +46,45 @@ def merge_first(pixels: DataFrame, order: str) -> DataFrame:
     return pixels.where("dn > 0").groupBy("row", "col").agg(F.min(F.struct(order, "dn")).alias("m")).select("row", "col", F.col("m.dn").alias("dn"))
 
 
-def _row_nearest(t: pa.Table) -> pa.Table:
-    """One row of cells: of every column's nearest giver the nearest by (d2, giver), in shifts that grow to the largest distance left."""
-    t = t.sort_by("col")
-    col = t.column("col").to_numpy()
-    far = np.iinfo(np.int64).max
-    d2, giver = (t.column(c).fill_null(far).to_numpy() for c in ("g2", "giver"))
-    lo, width = int(col[0]), int(col[-1] - col[0]) + 1
-    from_d2, from_giver = np.full(width, far), np.full(width, far)  # columns without a cell give nothing
-    from_d2[col - lo], from_giver[col - lo] = d2, giver
-    source = np.full(width, -1)
-    source[col - lo] = np.arange(len(col))
-    best_d2, best_giver, best = from_d2.copy(), from_giver.copy(), np.arange(width)
-    for dc in range(1, width):
-        if dc * dc > best_d2[col - lo].max():
-            break
-        for to, of in ((slice(dc, None), slice(None, -dc)), (slice(None, -dc), slice(dc, None))):
-            d = np.where(from_d2[of] < far, from_d2[of] + dc * dc, far)
-            nearer = (d < best_d2[to]) | ((d == best_d2[to]) & (d < far) & (from_giver[of] < best_giver[to]))
-            at = np.arange(width)[to][nearer]
-            best_d2[at], best_giver[at], best[at] = d[nearer], from_giver[of][nearer], np.arange(width)[of][nearer]
-    here = col - lo
-    none = best_d2[here] == far
-    value = t.column("value").take(pa.array(source[best[here]], mask=none))
-    return pa.table({"node_id": t.column("node_id"), "value": value, "d2": pa.array(best_d2[here], pa.int64(), mask=none)})
-
-
-def nearest_fill(cells: DataFrame, values: DataFrame) -> DataFrame:
+def nearest_fill(cells: DataFrame, values: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
     """Every cell with the value of the nearest giver of the raster and its squared distance; ties go to the smaller id.
 
-    Two passes, as a distance transform: the nearest giver within each column by windows over columns, then over
-    the columns of each row. Null only where no giver exists at all.
+    Givers keep their own value; only cells without one look for the nearest. Null only where no giver exists at all.
+    The raster's shape is taken from the cells if it is not given.
     """
+    if height is None or width is None:
+        last = cells.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+        height, width = (0 if x is None else x + 1 for x in last)
     have = cells.select("node_id", "row", "col").join(values.select("node_id", "value", F.lit(True).alias("given")), "node_id", "left")
-    lines = cells.select("row").distinct().crossJoin(cells.select("col").distinct())  # the raster, cells that are missing included
-    at = lines.join(have, ["row", "col"], "left")
-    giver = F.when(F.col("given"), F.struct(F.col("row").alias("giver_row"), F.col("node_id").alias("giver"), "value"))
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    both = at.withColumns({"above": F.last(giver, True).over(down), "below": F.first(giver, True).over(up)})
-
-    def end(name: str) -> Column:
-        d = F.col("row") - F.col(f"{name}.giver_row")
-        return F.when(F.col(name).isNotNull(), F.struct((d * d).alias("g2"), F.col(f"{name}.giver").alias("giver"), F.col(f"{name}.value").alias("value")))
-
-    near = both.select("node_id", "row", "col", F.least(end("above"), end("below")).alias("n")).select(F.col("node_id").cast("bigint").alias("node_id"), "row", F.col("col").cast("bigint").alias("col"), F.col("n.g2").cast("bigint").alias("g2"), F.col("n.giver").cast("bigint").alias("giver"), "n.value")
-    filled = near.groupBy("row").applyInArrow(_row_nearest, f"node_id bigint, value {values.schema['value'].dataType.simpleString()}, d2 bigint")
-    return filled.where("node_id is not null")
+    gaps = have.where("given is null").select(F.col("node_id").alias("id"), "row", "col")
+    givers = have.where("given").select(F.col("node_id").alias("cell_id"), "row", "col", "value")
+    near = nearest.k_nearest(gaps, givers, height, width, 1)
+    filled = near.join(givers.select("cell_id", "value"), "cell_id").select(F.col("id").alias("node_id"), F.col("value").alias("filled"), F.col("d2").alias("far"))
+    out = have.join(filled, "node_id", "left")
+    return out.select("node_id", F.when(F.col("given"), F.col("value")).otherwise(F.col("filled")).alias("value"), F.when(F.col("given"), F.lit(0)).otherwise(F.col("far")).cast("bigint").alias("d2"))
+
+
+def bilinear(pixels: DataFrame, column: str, shape: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """row, col and column of a raster of another shape over the same extent: each target pixel from the four source pixels around its centre.
+
+    A source pixel sends its value to the target pixels that it has a weight for, so one keyed aggregation does it, without a
+    join. Weights of null and missing pixels go to the others; target pixels that have none are left out. Centres beyond those of
+    the outermost pixels take the outermost ones.
+    """
+    def weighed(at: str, n: int, m: int, name: str) -> Column:
+        x = F.col(at)
+        low = F.when(x == 0, F.lit(0)).otherwise(F.ceil((x - 0.5) * (m / n) - 0.5))
+        high = F.when(x == n - 1, F.lit(m - 1)).otherwise(F.floor((x + 1.5) * (m / n) - 0.5))
+        low, high = F.greatest(low.cast("int"), F.lit(0)), F.least(high.cast("int"), F.lit(m - 1))
+        all_ = F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("at"), (1.0 - F.abs(clip((i + 0.5) * n / m - 0.5, 0.0, n - 1.0) - x)).alias("w")))
+        return F.explode(F.filter(all_, lambda s: s["w"] > 0)).alias(name)
+
+    rows = pixels.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select("row", "col", F.col(column).cast("double").alias("value"))
+    rows = rows.select("col", "value", weighed("row", shape[0], target[0], "r"))
+    both = rows.select("r", "value", weighed("col", shape[1], target[1], "c"))
+    w = F.col("r.w") * F.col("c.w")
+    out = both.groupBy(F.col("r.at").cast("long").alias("row"), F.col("c.at").cast("long").alias("col")).agg((F.sum(w * F.col("value")) / F.sum(w)).alias(column))
+    return out
 
 
 def stretch(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98, gamma: float = 0.95) -> DataFrame:

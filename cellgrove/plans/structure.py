@@ -10,7 +10,7 @@ from cellgrove.functions import scalar as S
 from cellgrove.operators import analysis, descent, grid, learn, metrics, models, network, quality, raster, rules, split, training, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
-from cellgrove.sources import checkpoints, dimensions, files
+from cellgrove.sources import checkpoints, dimensions, files, rasters
 
 # what a table must hold ----------------------------------------------------------------------------------
 
@@ -75,6 +75,43 @@ def _(v):
     return v.points().join(inside, "node_id").select(F.col("id").alias("cell"), "event_id")
 
 
+CHUNKS = """, axis_r AS (SELECT i AS cr, i * 24 AS r0, least(i * 24 + 32, h) AS r1, i = 0 AS first_r, i = greatest(CAST(ceil((h - 32) / 24) AS INTEGER), 0) AS last_r FROM grid, LATERAL (SELECT CAST(unnest(range(0, greatest(CAST(ceil((h - 32) / 24) AS INTEGER), 0) + 1)) AS INTEGER) AS i)),
+axis_c AS (SELECT i AS cc, i * 24 AS c0, least(i * 24 + 32, w) AS c1, i = 0 AS first_c, i = greatest(CAST(ceil((w - 32) / 24) AS INTEGER), 0) AS last_c FROM grid, LATERAL (SELECT CAST(unnest(range(0, greatest(CAST(ceil((w - 32) / 24) AS INTEGER), 0) + 1)) AS INTEGER) AS i)),
+chunks AS (SELECT cr, cc, node_id, CAST(row_number() OVER (PARTITION BY cr, cc ORDER BY node_id) - 1 AS BIGINT) AS id, (first_r OR "row" >= r0 + 4) AND (last_r OR "row" < r1 - 4) AND (first_c OR col >= c0 + 4) AND (last_c OR col < c1 - 4) AS kept
+ FROM cells JOIN axis_r ON "row" >= r0 AND "row" < r1 JOIN axis_c ON col >= c0 AND col < c1)"""
+
+
+def _chunks(v) -> DataFrame:
+    """Chunks of 32 x 32 cells that overlap by 8; 4 are cropped on the way back."""
+    _, h, w = v.shape
+    return grid.chunked(v.cells().select("node_id", "row", "col"), h, w, 32, 8, 4)
+
+
+@query("chunks_of_cells", f"{CHUNKS} SELECT cr, cc, node_id, id, kept FROM chunks")
+def _(v):
+    return _chunks(v).select("cr", "cc", "node_id", "id", "kept")
+
+
+@query("chunks_of_edges", f"{CHUNKS} SELECT a.cr, a.cc, a.id AS src, b.id AS dst, ROUND(dist, 6) AS dist FROM edges JOIN chunks a ON src = a.node_id JOIN chunks b ON dst = b.node_id AND a.cr = b.cr AND a.cc = b.cc")
+def _(v):
+    _, h, w = v.shape
+    return r6(grid.chunked_edges(_chunks(v), h, w))
+
+
+@query("chunks_of_points", f"{CHUNKS} SELECT cr, cc, id AS cell, event_id FROM points JOIN chunks USING (node_id)")
+def _(v):
+    return grid.chunked_points(_chunks(v), v.points().select("event_id", "node_id")).select("cr", "cc", "cell", "event_id")
+
+
+@query("chunks_put_together", ", deg AS (SELECT dst AS node_id, count(*) AS degree FROM edges GROUP BY dst) SELECT node_id, degree FROM deg")
+def _(v):
+    """Degrees counted in every chunk and cropped: at the borders of chunks as in the whole graph."""
+    _, h, w = v.shape
+    chunks = _chunks(v)
+    degrees = grid.chunked_edges(chunks, h, w).groupBy("cr", "cc", F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
+    return grid.uncropped(chunks, degrees)
+
+
 @query("edge_union", "SELECT count(*) AS edges, count(DISTINCT src) AS nodes FROM (SELECT src, dst FROM edges WHERE src < dst UNION SELECT src, dst FROM edges WHERE dist < 40)")
 def _(v):
     e = v.edges().select("src", "dst", "dist")
@@ -209,6 +246,72 @@ def _(v):
     return e.select("vec_id", F.round(S.dot(F.col("e"), F.transform("e", lambda _x: F.col("e")[0])), 4).alias("dot"))
 
 
+# resampling and raster files -----------------------------------------------------------------------------
+
+
+def _resampled(v, height: int, width: int) -> DataFrame:
+    _, h, w = v.shape
+    pixels = v.cells().where("water_mask = 0")
+    return r6(raster.bilinear(pixels.select("row", "col", "elevation_m"), "elevation_m", (h, w), (height, width)))
+
+
+@query("bilinear_finer", ", src AS (SELECT \"row\" AS r, col AS c, CAST(elevation_m AS DOUBLE) AS z FROM cells WHERE water_mask = 0), size AS (SELECT h, w, CAST(FLOOR(3 * h / 2) AS BIGINT) AS th, 2 * w + 1 AS tw FROM grid), target AS (SELECT i, j, least(greatest((i + 0.5E0) * h / th - 0.5E0, 0.0E0), h - 1.0E0) AS y, least(greatest((j + 0.5E0) * w / tw - 0.5E0, 0.0E0), w - 1.0E0) AS x, h, w FROM size, LATERAL (SELECT unnest(range(0, th)) AS i), LATERAL (SELECT unnest(range(0, tw)) AS j)), around AS (SELECT i, j, CAST(floor(y) AS BIGINT) + dr AS r, CAST(floor(x) AS BIGINT) + dc AS c, (1 - abs(y - floor(y) - dr)) * (1 - abs(x - floor(x) - dc)) AS wt FROM target, (VALUES (0), (1)) AS a(dr), (VALUES (0), (1)) AS b(dc)) SELECT i AS \"row\", j AS col, ROUND(sum(wt * z) / sum(wt), 6) AS elevation_m FROM around JOIN src USING (r, c) WHERE wt > 0 GROUP BY i, j")
+def _(v):
+    """Elevations on a finer grid; water counts as missing."""
+    return _resampled(v, 3 * v.shape[1] // 2, 2 * v.shape[2] + 1)
+
+
+@query("bilinear_coarser", ", src AS (SELECT \"row\" AS r, col AS c, CAST(elevation_m AS DOUBLE) AS z FROM cells WHERE water_mask = 0), size AS (SELECT h, w, CAST(FLOOR(h / 2) AS BIGINT) + 1 AS th, CAST(FLOOR(w / 3) AS BIGINT) + 1 AS tw FROM grid), target AS (SELECT i, j, least(greatest((i + 0.5E0) * h / th - 0.5E0, 0.0E0), h - 1.0E0) AS y, least(greatest((j + 0.5E0) * w / tw - 0.5E0, 0.0E0), w - 1.0E0) AS x, h, w FROM size, LATERAL (SELECT unnest(range(0, th)) AS i), LATERAL (SELECT unnest(range(0, tw)) AS j)), around AS (SELECT i, j, CAST(floor(y) AS BIGINT) + dr AS r, CAST(floor(x) AS BIGINT) + dc AS c, (1 - abs(y - floor(y) - dr)) * (1 - abs(x - floor(x) - dc)) AS wt FROM target, (VALUES (0), (1)) AS a(dr), (VALUES (0), (1)) AS b(dc)) SELECT i AS \"row\", j AS col, ROUND(sum(wt * z) / sum(wt), 6) AS elevation_m FROM around JOIN src USING (r, c) WHERE wt > 0 GROUP BY i, j")
+def _(v):
+    return _resampled(v, v.shape[1] // 2 + 1, v.shape[2] // 3 + 1)
+
+
+def _georeference() -> dict[str, float]:
+    return {"west": -61.6138, "north": 4.9755, "step": 0.000277778}
+
+
+@query("class_rasters", "SELECT \"row\", col, max(CASE WHEN profile = 'a_pe' THEN y END) AS a_pe, max(CASE WHEN profile = 'motorizada' THEN y END) AS motorizada, max(CASE WHEN profile = 'mecanizada' THEN y END) AS mecanizada, max(CASE WHEN profile = 'blindada' THEN y END) AS blindada FROM labels_all GROUP BY \"row\", col")
+def _(v):
+    """Classes of all profiles as bands of raster files, written and read again."""
+    _, h, w = v.shape
+    path = files.work_path(v.spark, "classes")
+    classes = rules.class_columns(v.cells(), dimensions.LIMITS).select("row", "col", *dimensions.PROFILES)
+    rasters.write_raster(classes, path, h, w, "uint8", 0, block=128, tile=64, tags={"MODEL": "rules", "CLASSES": "1=Go,2=SlowGo,3=NoGo"}, **_georeference())
+    return rasters.read_raster(v.spark, path)
+
+
+@query("entropy_rasters", "SELECT \"row\", col, " + ", ".join(f"max(CASE WHEN profile = '{p}' AND water_mask = 0 THEN ROUND(raw, 6) END) AS {p}" for p in dimensions.PROFILES) + " FROM entropies JOIN cells USING (node_id) GROUP BY \"row\", col")
+def _(v):
+    """Predictive entropies of all profiles as bands with nodata -9999 over water."""
+    _, h, w = v.shape
+    path = files.work_path(v.spark, "entropies")
+    dry = v.profile_probs().join(v.cells().select("node_id", "row", "col", "water_mask"), "node_id")
+    value = F.when(F.col("water_mask") == 0, S.entropy_raw([F.col("p1"), F.col("p2"), F.col("p3")]))
+    bands = dry.groupBy("row", "col").pivot("profile", list(dimensions.PROFILES)).agg(F.first(value))
+    rasters.write_raster(bands, path, h, w, "float64", -9999.0, block=128, tile=64, **_georeference())
+    return r6(rasters.read_raster(v.spark, path))
+
+
+@query("component_raster")
+def _(v):
+    """The first component of the cells that have an embedding as a band, -9999 elsewhere."""
+    _, h, w = v.shape
+    path = files.work_path(v.spark, "component")
+    out, _, _ = learn.principal_components(v.table("embeddings"), "embedding", 1)
+    first = learn.component_array(out).select(F.col("vec_id").alias("node_id"), F.col("pc")[0].alias("pc1"))
+    rasters.write_raster(v.cells().join(first, "node_id").select("row", "col", "pc1"), path, h, w, "float32", -9999.0, block=128, tile=64, **_georeference())
+    return rasters.read_raster(v.spark, path).select("row", "col", F.round("pc1", 6).alias("pc1"))
+
+
+@query("raster_decimated", "SELECT \"row\", col, CAST(elevation_m AS INTEGER) AS elevation_m FROM cells, grid WHERE \"row\" >= 5 AND col < w - 3 AND \"row\" % 4 = 0 AND col % 4 = 0")
+def _(v):
+    """Every fourth row and column of a window of a raster file."""
+    _, h, w = v.shape
+    path = files.work_path(v.spark, "elevation")
+    rasters.write_raster(v.cells().select("row", "col", "elevation_m"), path, h, w, "int32", -9999, block=64, tile=16, **_georeference())
+    return rasters.read_raster(v.spark, path, window=(5, h, 0, w - 3), every=4)
+
+
 # training ------------------------------------------------------------------------------------------------
 
 _HIST = "hist AS (SELECT CAST(l_orderkey % 60 AS INTEGER) AS epoch, ROUND(1.0E0 / (1 + min(l_orderkey % 60)) + avg(l_discount), 6) AS loss FROM lineitem GROUP BY 1)"
