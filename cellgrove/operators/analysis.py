@@ -83,7 +83,7 @@ def above_quantile(counts: DataFrame, value: str, count: str, q: float) -> DataF
     all_before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("range", F.coalesce(F.sum("of_range").over(all_before), F.lit(0)).alias("before"), F.sum("of_range").over(Window.partitionBy()).alias("n"))
     own = Window.partitionBy("range").orderBy(value)
-    ranked = ranged.join(F.broadcast(totals), "range").withColumn("upto", F.col("before") + F.sum(count).over(own))  # a row per range
+    ranked = ranged.join(totals, "range").withColumn("upto", F.col("before") + F.sum(count).over(own))
     place = (F.col("n") - 1) * q  # between the rows floor(place) and ceil(place), from 0
     first = F.min(F.when(F.col("upto") > F.floor(place), F.col(value)))
     second = F.min(F.when(F.col("upto") > F.ceil(place), F.col(value)))

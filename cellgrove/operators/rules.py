@@ -24,6 +24,31 @@ def baseline_class() -> Column:
     return F.when(severe, 3).when(above(F.col("slope"), F.col("slope_1")) | above(F.col("ndvi"), F.col("ndvi_1")), 2).otherwise(1)
 
 
+LOWEST = float("-inf")
+
+
+def cleaned(cells: DataFrame, keep: list[str]) -> DataFrame:
+    """What the rules compare, once a cell: degrees, slope, ndvi, ndwi (NaN and null as the lowest value, which exceeds nothing) and wet; and other columns."""
+    def number(c: Column) -> Column:
+        return F.coalesce(F.nanvl(c, F.lit(LOWEST)), F.lit(LOWEST))
+
+    wet = F.coalesce(F.col("water_mask").cast("double") > 0.5, F.lit(False))
+    return cells.select(*keep, number(F.col("slope") * 90.0).alias("degrees"), *[number(F.col(c)).alias(c) for c in ("slope", "ndvi", "ndwi")], wet.alias("wet"))
+
+
+def class_of_cleaned() -> Column:
+    """full_class of a row of cleaned cells and limits."""
+    severe = F.col("wet") | (F.col("degrees") > F.col("slope_2")) | (F.col("ndwi") > F.col("ndwi_water")) | (F.col("ndvi") > F.col("ndvi_2"))
+    slow = (F.col("degrees") > F.col("slope_1")) | (F.col("ndvi") > F.col("ndvi_1")) | (F.col("ndwi") > F.col("ndwi_wet"))
+    return F.when(severe, 3).when(slow, 2).otherwise(1)
+
+
+def baseline_of_cleaned() -> Column:
+    """baseline_class of a row of cleaned cells and baseline limits, which are named base_."""
+    severe = F.col("wet") | (F.col("slope") > F.col("base_slope_2")) | (F.col("ndwi") > 0.3)
+    return F.when(severe, 3).when((F.col("slope") > F.col("base_slope_1")) | (F.col("ndvi") > F.col("base_ndvi_1")), 2).otherwise(1)
+
+
 def classify(cells: DataFrame, limits: DataFrame) -> DataFrame:
     """One row per cell and profile with its class y; limits is a dimension of one row per profile."""
     return cells.crossJoin(F.broadcast(limits)).withColumn("y", full_class())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions import scalar as S
 from cellgrove.operators import analysis, grid, learn, losses, metrics, quality, raster, rules, split, uncertainty
 from cellgrove.plans import oracle
-from cellgrove.sources import dimensions
+from cellgrove.sources import dimensions, files
 from cellgrove.sources.dimensions import MODELS, PROFILES
 from cellgrove.sources.views import Views
 from cellgrove.streaming import ingest
@@ -539,7 +539,9 @@ def _(v):
 @query("f1_by_gradient", f", {GRADIENT}, halves AS (SELECT p.*, CASE WHEN ROUND(gradient, 6) > cut THEN 'high' ELSE 'low' END AS half FROM preds p JOIN grad USING (node_id), (SELECT quantile_cont(ROUND(gradient, 6), 0.75) AS cut FROM grad)) {oracle.scores('profile, model, half', 'halves', columns='n, ROUND(macro_f1, 6) AS macro_f1')}")
 def _(v):
     keys = ["profile", "model", "half"]
-    g = grid.mean_gradient(v.neighbours(["ndvi"]), "ndvi").select("node_id", F.round("gradient", 6).alias("gradient"))
+    path = files.work_path(v.spark, "gradients")
+    grid.mean_gradient(v.neighbours(["ndvi"]), "ndvi").select("node_id", F.round("gradient", 6).alias("gradient")).write.parquet(path)
+    g = v.spark.read.schema("node_id long, gradient double").parquet(path)  # read twice
     high = analysis.above_quantile(g.groupBy("gradient").agg(F.count("*").alias("k")), "gradient", "k", 0.75)
     halves = g.join(high, "gradient").select("node_id", F.when(F.col("above"), "high").otherwise("low").alias("half"))
     return r6(metrics.scores(metrics.cube_of_models(v.wide().join(halves, "node_id"), keys, MODELS), keys).select(*keys, "n", "macro_f1"))

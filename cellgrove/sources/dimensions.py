@@ -49,6 +49,14 @@ def baseline_limits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(BASELINE_LIMITS), BASELINE_COLUMNS)
 
 
+def all_limits(spark: SparkSession, orders: dict[str, str]) -> DataFrame:
+    """One row a profile, nothing null: the full limits, the baseline's as base_<name>, and first, second and third, places of abg in its order."""
+    base = {row[0]: row[1:] for row in BASELINE_LIMITS}
+    rows = [(*row, *base[row[0]], *("abg".index(x) for x in orders[row[0]])) for row in LIMITS]
+    names = [*LIMIT_COLUMNS.split(", "), *[f"base_{c}" for c in BASELINE_COLUMNS.split(", ")[1:]], "first int", "second int", "third int"]
+    return spark.createDataFrame(rows, ", ".join(f"{c} NOT NULL" for c in names))
+
+
 def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CLASSES.items()), "y int, description string")
 

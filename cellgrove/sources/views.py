@@ -94,24 +94,23 @@ class Views:
         return self.weights().select("node_id", F.inline(sets))
 
     def wide(self) -> DataFrame:
-        """node_id, profile, y and a column of predicted classes for each of four models: one pass over the cells, no shuffle."""
-        y, p, profile = F.col("y"), F.col("p"), F.col("profile")
-        full = rules.classify(self.cells(), self.limits()).select("node_id", "profile", "y", "p", "slope", "ndvi", "ndwi", "water_mask")
-        joined = full.join(F.broadcast(dimensions.baseline_limits(self.spark)), "profile")  # four rows
-        w = _weights()
-        ranked = []
-        for i in range(3):
-            c = F.lit(None).cast("bigint")
-            for name, order in _ORDERS:
-                c = F.when(profile == name, w[order[i]]).otherwise(c)
-            ranked.append(c)
+        """node_id, profile, y and a column of predicted classes for each of four models: one pass over the cells, no shuffle.
+
+        In three steps, each of few expressions: what a cell has for all profiles, its classes, and the models' changes to them.
+        """
+        cells = rules.cleaned(self.cells(), ["node_id", "p", *[c.alias(n) for n, c in _weights().items()]])
+        each = cells.crossJoin(F.broadcast(dimensions.all_limits(self.spark, dict(_ORDERS))))  # four rows
+        weights, top = F.array("a", "b", "g"), F.greatest("a", "b", "g")
+        best = F.when(weights[F.col("first")] == top, 1).when(weights[F.col("second")] == top, 2).otherwise(3)
+        known = each.select("node_id", "profile", "p", rules.class_of_cleaned().alias("y"), rules.baseline_of_cleaned().alias("rule"), best.alias("best"))
+        y, p = F.col("y"), F.col("p")
         models = {
-            "gnn": F.when(p % 5 == 0, S.first_argmax(ranked)).otherwise(y),
-            "rule": rules.baseline_class(),
-            "rf": F.when(p % 11 == 0, 1 + y % 3).otherwise(y).cast("int"),
-            "mlp": F.when(p % 7 == 0, 1 + (y + 1) % 3).otherwise(y).cast("int"),
+            "gnn": F.when(p % 5 == 0, F.col("best")).otherwise(y),
+            "rule": F.col("rule"),
+            "rf": F.when(p % 11 == 0, 1 + y % 3).otherwise(y),
+            "mlp": F.when(p % 7 == 0, 1 + (y + 1) % 3).otherwise(y),
         }
-        return joined.select("node_id", "profile", "y", *[c.alias(m) for m, c in models.items()])
+        return known.select("node_id", "profile", "y", *[c.cast("int").alias(m) for m, c in models.items()])
 
     def preds(self) -> DataFrame:
         """node_id, profile, y, model, pred: a row for each model."""
