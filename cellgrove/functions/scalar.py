@@ -96,6 +96,12 @@ def half_window(scale: float, width_in: float, height_in: float, latitude: float
     return round(scale * width_in * 0.0254 / (meters * math.cos(math.radians(latitude))) / 2, 6), round(scale * height_in * 0.0254 / meters / 2, 6)
 
 
+def half_windows(scale: float, width_in: float, height_in: float, latitude: Column) -> tuple[Column, Column]:
+    """half_window around a column of latitudes, not rounded."""
+    meters = 111_320.0
+    return scale * width_in * 0.0254 / (meters * F.cos(F.radians(latitude))) / 2, F.lit(scale * height_in * 0.0254 / meters / 2)
+
+
 def vector_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

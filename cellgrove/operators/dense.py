@@ -48,8 +48,8 @@ def shifted(x: np.ndarray, dr: int, dc: int) -> np.ndarray:
     return out
 
 
-def attention(h: np.ndarray, there: np.ndarray, left: np.ndarray, right: np.ndarray, scorer: np.ndarray, slope: float = 0.2):
-    """One head of dynamic attention over the 8 neighbours and the cell itself, residual, LayerNorm and GELU; cells that are absent stay 0.
+def neighbour_message(h: np.ndarray, there: np.ndarray, left: np.ndarray, right: np.ndarray, scorer: np.ndarray, slope: float = 0.2):
+    """What one head of dynamic attention sends to each cell from its 8 neighbours and itself, and what backward needs.
 
     A score is scorer . leaky(left h_src + right h_dst), softmax by target, message the weighted sum of left h_src.
     """
@@ -66,7 +66,26 @@ def attention(h: np.ndarray, there: np.ndarray, left: np.ndarray, right: np.ndar
     top = np.where(there, e.max(axis=0), 0.0)
     x = np.exp(e - top)
     share = x / np.where(there, x.sum(axis=0), 1.0)
-    message = sum(a[..., None] * s for a, s in zip(share, srcs, strict=True))
+    return sum(a[..., None] * s for a, s in zip(share, srcs, strict=True)), (share, srcs, mixed)
+
+
+def source_message(h: np.ndarray, sources: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, scorer: np.ndarray, slope: float = 0.2) -> np.ndarray:
+    """The same from other nodes (n, width), each to the row of h (cells, width) that at names; cells without sources get zeros."""
+    out = np.zeros((len(h), len(left)))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at, sent = at[order], sources[order] @ left.T
+        pre = sent + (h @ right.T)[at]
+        e = np.where(pre > 0, pre, slope * pre) @ scorer
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        x = np.exp(e - np.repeat(np.maximum.reduceat(e, begin), np.diff(np.append(begin, len(at)))))
+        out[at[begin]] = np.add.reduceat(x[:, None] * sent, begin) / np.add.reduceat(x, begin)[:, None]
+    return out
+
+
+def attention(h: np.ndarray, there: np.ndarray, left: np.ndarray, right: np.ndarray, scorer: np.ndarray, slope: float = 0.2):
+    """A layer: the neighbours' message, residual, LayerNorm and GELU; cells that are absent stay 0."""
+    message, (share, srcs, mixed) = neighbour_message(h, there, left, right, scorer, slope)
     n, scale = layer_norm(h + message)
     out, rise = gelu(n)
     return out * there[..., None], (h, there, share, srcs, mixed, n, scale, rise)

@@ -64,13 +64,23 @@ def place_round(df: DataFrame, height: int, width: int, north: float, west: floa
     return out.where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
 
 
-def required_tiles(spark: SparkSession, south: float, west: float, north: float, east: float) -> DataFrame:
-    """One-degree tiles that a bounding box needs, with their names."""
-    one = spark.range(1).select(F.explode(F.sequence(F.lit(math.floor(south)), F.lit(math.ceil(north) - 1))).alias("lat"))
-    tiles = one.select("lat", F.explode(F.sequence(F.lit(math.floor(west)), F.lit(math.ceil(east) - 1))).alias("lon"))
+def tiles_of(boxes: DataFrame) -> DataFrame:
+    """lat, lon and name of the one-degree tiles that each box (south, west, north, east) needs, beside its other columns."""
+    keep = [c for c in boxes.columns if c not in ("south", "west", "north", "east")]
+
+    def degrees(low: str, high: str) -> Column:
+        a, z = F.floor(low).cast("int"), (F.ceil(high) - 1).cast("int")
+        return F.explode(F.when(a <= z, F.sequence(a, z)))
+
+    both = boxes.select(*keep, "west", "east", degrees("south", "north").alias("lat")).select(*keep, "lat", degrees("west", "east").alias("lon"))
     ns = F.concat(F.when(F.col("lat") >= 0, "N").otherwise("S"), F.lpad(F.abs("lat").cast("string"), 2, "0"))
     ew = F.concat(F.when(F.col("lon") >= 0, "E").otherwise("W"), F.lpad(F.abs("lon").cast("string"), 3, "0"))
-    return tiles.select(F.col("lat").cast("int"), F.col("lon").cast("int"), F.concat(ns, ew).alias("tile"))
+    return both.select(*keep, "lat", "lon", F.concat(ns, ew).alias("tile"))
+
+
+def required_tiles(spark: SparkSession, south: float, west: float, north: float, east: float) -> DataFrame:
+    """One-degree tiles that a bounding box needs, with their names."""
+    return tiles_of(spark.createDataFrame([(float(south), float(west), float(north), float(east))], "south double, west double, north double, east double"))
 
 
 def chunk_rectangles(spark: SparkSession, height: int, width: int, size: int, overlap: int, crop: int) -> DataFrame:

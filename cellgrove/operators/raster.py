@@ -14,6 +14,30 @@ def scene_search(scenes: DataFrame, max_cloud: int, limit: int) -> DataFrame:
     return scenes.groupBy("scene_id", "cloud").agg(F.count_if(F.col("dn") > 0).alias("valid")).where(F.col("cloud") <= max_cloud).orderBy("cloud", "scene_id").limit(limit)
 
 
+def scene_catalogue(observed: DataFrame) -> DataFrame:
+    """One row a scene from its pixels (scene_id, taken, cloud, lat, lon): first and last time, cloud cover, bounding box and pixels."""
+    return observed.groupBy("scene_id").agg(F.min("taken").alias("first"), F.max("taken").alias("last"), F.max("cloud").alias("cloud"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.count("*").alias("pixels"))
+
+
+def search(catalogue: DataFrame, box: tuple[float, float, float, float], begin: str, end: str, max_cloud: int, limit: int = 1000) -> DataFrame:
+    """Scenes whose box meets (west, south, east, north), taken between two days (both included), up to a cloud cover; clearest first.
+
+    A border in common counts as meeting. Of equal cloud cover the earlier scene comes first, then the smaller id.
+    """
+    west, south, east, north = box
+    meets = (F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south)
+    taken = (F.col("first") < F.date_add(F.lit(end).cast("date"), 1)) & (F.col("last") >= F.lit(begin).cast("date"))
+    return catalogue.where(meets & taken & (F.col("cloud") <= max_cloud)).orderBy("cloud", "first", "scene_id").limit(limit)
+
+
+def reshaped(values: DataFrame, height: int, width: int) -> DataFrame:
+    """node_id and value by row and col of a raster of height x width, row by row; refused unless each place has one value."""
+    said = values.agg(F.count("*").alias("n"), F.countDistinct("node_id").alias("d"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi")).first()
+    if (said["n"], said["d"]) != (height * width, height * width) or (said["n"] and (said["lo"], said["hi"]) != (0, height * width - 1)):
+        raise ValueError(f"{said['n']} values of {said['d']} places for {height} x {width} pixels")
+    return values.select(F.floor(F.col("node_id") / width).alias("row"), (F.col("node_id") % width).alias("col"), "value")
+
+
 def scene_mean(scenes: DataFrame) -> DataFrame:
     """Mean reflectance of each pixel over the scenes where it is valid, within 0 and 1."""
     return scenes.groupBy("row", "col").agg(F.least(F.greatest(F.avg(F.when(F.col("dn") > 0, F.col("dn"))) / 10000.0, F.lit(0.0)), F.lit(1.0)).alias("value"), F.count_if(F.col("dn") > 0).alias("scenes"))

@@ -87,13 +87,13 @@ def per_tile(cells: DataFrame, columns: list[str], t: Tiling, fn: Callable[[Tile
     def run(table: pa.Table) -> pa.Table:
         tile = dense(table, t)
         out = fn(tile)
-        return pa.table({"node_id": tile.ids[tile.inner]} | {n: _column(out[n][tile.inner]) for n in names})
+        return pa.table({"node_id": tile.ids[tile.inner]} | {n: column_of(out[n][tile.inner]) for n in names})
 
     picked = spread(cells.select("node_id", "row", "col", *columns), t)
     return picked.groupBy("tr", "tc").applyInArrow(run, f"node_id long, {schema}")
 
 
-def _column(x: np.ndarray) -> pa.Array:
+def column_of(x: np.ndarray) -> pa.Array:
     if x.ndim == 1:
         return pa.array(x)
     flat = pa.array(np.ascontiguousarray(x, np.float64).reshape(-1))

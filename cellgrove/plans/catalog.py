@@ -175,9 +175,11 @@ def _(v):
     return v.cells().select("node_id", "row", "col").join(last, "node_id", "left").select("row", "col", F.coalesce("elevation", F.lit(-9999)).alias("elevation"))
 
 
-@query("required_tiles", "SELECT CAST(lat AS INTEGER) AS lat, CAST(lon AS INTEGER) AS lon, (CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || (CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') AS tile FROM range(-2, 6) a(lat), range(-63, 2) b(lon)")
+@query("required_tiles", ", boxes AS (SELECT split, min(lat) - 7.5E0 AS south, max(lat) + 1.5E0 AS north, min(lon) - 1.5E0 AS west, max(lon) + 63.5E0 AS east FROM cells JOIN cell_splits USING (node_id) GROUP BY split) SELECT split, CAST(lat AS INTEGER) AS lat, CAST(lon AS INTEGER) AS lon, (CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || (CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') AS tile FROM boxes, range(-10, 20) a(lat), range(-70, 10) b(lon) WHERE lat >= floor(south) AND lat < north AND lon >= floor(west) AND lon < east")
 def _(v):
-    return grid.required_tiles(v.spark, -1.5, -62.2, 5.3, 1.1)
+    """Tiles of the box around the cells of each split, with margins that reach over the equator and the meridian."""
+    boxes = v.cells().join(v.cell_splits().select("node_id", "split"), "node_id").groupBy("split").agg((F.min("lat") - 7.5).alias("south"), (F.min("lon") - 1.5).alias("west"), (F.max("lat") + 1.5).alias("north"), (F.max("lon") + 63.5).alias("east"))
+    return grid.tiles_of(boxes)
 
 
 @query("chunk_rectangles", """, axis_r AS (SELECT s AS r0, least(s + 50, h) AS r1, CASE WHEN s > 0 THEN s + 5 ELSE 0 END AS rv0, CASE WHEN s + 50 < h THEN s + 45 ELSE h END AS rv1 FROM grid, range(0, 100000, 40) t(s) WHERE s = 0 OR s + 10 < h),

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
-from cellgrove.operators import analysis, descent, grid, learn, metrics, models, network, quality, raster, rules, split, training, uncertainty
+from cellgrove.operators import analysis, descent, grid, learn, metrics, models, network, quality, raster, rules, split, training, typed, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
 from cellgrove.sources import checkpoints, dimensions, files, rasters
+from cellgrove.streaming import state
 
 # what a table must hold ----------------------------------------------------------------------------------
 
@@ -195,10 +197,12 @@ def _(v):
     return r6(raster.pixel_stats(band, "y", (0, 1, 2, 3)))
 
 
-@query("target_grid", "SELECT name, CAST(ROUND((east - west) / res) AS BIGINT) AS width, CAST(ROUND((north - south) / res) AS BIGINT) AS height FROM (VALUES ('scene', -61.6138E0, 4.47E0, -61.0E0, 4.9755E0, 0.000277778E0), ('tile', -62.0E0, 4.0E0, -61.0E0, 5.0E0, 0.0001E0)) AS t(name, west, south, east, north, res)")
+@query("target_grid", "SELECT split, CAST(round((max(lon) - min(lon)) / 0.0000898E0) AS BIGINT) AS width, CAST(round((max(lat) - min(lat)) / 0.0000898E0) AS BIGINT) AS height FROM cells JOIN cell_splits USING (node_id) GROUP BY split")
 def _(v):
-    boxes = v.spark.createDataFrame([("scene", -61.6138, 4.47, -61.0, 4.9755, 0.000277778), ("tile", -62.0, 4.0, -61.0, 5.0, 0.0001)], "name string, west double, south double, east double, north double, res double")
-    return boxes.select("name", *[F.round((F.col(b) - F.col(a)) / F.col("res")).cast("bigint").alias(n) for n, a, b in (("width", "west", "east"), ("height", "south", "north"))])
+    """The size of a grid of about 10 m that covers the cells of each split."""
+    at = v.cells().select("node_id", "lat", "lon").join(v.cell_splits().select("node_id", "split"), "node_id").groupBy("split")
+    size = [F.round((F.max(c) - F.min(c)) / 0.0000898).cast("bigint").alias(n) for c, n in (("lon", "width"), ("lat", "height"))]
+    return at.agg(*size)
 
 
 _METRES = "CASE WHEN lo >= 0 AND hi <= 1 THEN z * 600 + 800 WHEN hi < 10 THEN 800 + (z - lo) / greatest(hi - lo, 1e-8) * 600 ELSE z END"
@@ -350,6 +354,46 @@ def _(v):
     return r.withColumn("place", F.row_number().over(best)).where("place <= 3")
 
 
+@query("pca_transformed")
+def _(v):
+    """The first four components of every embedding."""
+    out, _, _ = learn.principal_components(v.table("embeddings"), "embedding", 4)
+    return r6(learn.component_array(out).select("vec_id", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(4)]))
+
+
+@query("stacked_features", "SELECT node_id, CAST(8 AS INTEGER) AS width, " + ", ".join(f"ROUND(CAST({c} AS DOUBLE), 6) AS f{i}" for i, c in enumerate(FEATURES)) + " FROM cells")
+def _(v):
+    """Features in their fixed order as one vector a cell."""
+    stacked = learn.assemble(v.cells().select("node_id", *FEATURES), FEATURES).select("node_id", vector_to_array("features").alias("f"))
+    return stacked.select("node_id", F.size("f").alias("width"), *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(len(FEATURES))])
+
+
+@query("early_stopping_stream", f", {_HIST}{_WALK}".replace("SELECT epoch, loss, best, counter, stop FROM walk", "SELECT 'all' AS run, epoch, loss, best, counter, stop FROM walk"))
+def _(v):
+    """The walk of early_stopping from a stream of files, a few epochs in each."""
+    hist = v.table("lineitem").groupBy((F.col("l_orderkey") % 60).cast("int").alias("epoch")).agg(F.avg("l_discount").alias("d"))
+    hist = hist.select(F.lit("all").alias("run"), "epoch", F.round(1.0 / (1 + F.col("epoch")) + F.col("d"), 6).alias("loss"))
+    source, target, marks = (files.work_path(v.spark, f"stopping-{x}") for x in ("in", "out", "marks"))
+    hist.repartition(4, "epoch").write.parquet(source)
+    stream = v.spark.readStream.schema("run string, epoch int, loss double").option("maxFilesPerTrigger", 1).parquet(source)
+    walk = state.early_stopping_stream(stream, 5, 0.01)
+    walk.writeStream.format("parquet").outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).start(target).awaitTermination()
+    return v.spark.read.schema(state.WALK).parquet(target)
+
+
+ORACLES["early_stopping_stream"] = ORACLES["early_stopping_stream"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("means_upserted", "SELECT \"row\", col, ROUND(avg(dn), 6) AS mean, count(*) AS scenes FROM scenes WHERE dn > 0 GROUP BY \"row\", col")
+def _(v):
+    """Means of all valid pixels from a stream of scenes, upserted batch by batch."""
+    source, target, marks = (files.work_path(v.spark, f"means-{x}") for x in ("in", "out", "marks"))
+    v.scenes().repartition(3, "scene_id").write.parquet(source)
+    table = state.Upserts(v.spark, target, ["row", "col"])
+    state.mean_upserts(v.spark, source, table, marks, files_per_batch=1)
+    return r6(table.read(state.MEANS))
+
+
 # graph networks with given weights -----------------------------------------------------------------------
 
 NETWORK_FEATURES = ["slope", "tri", "ndvi", "ndwi", "tpi"]
@@ -419,6 +463,36 @@ def _(v):
     return r6(out.select("node_id", *[F.col("h")[i].alias(f"h{i}") for i in range(len(w["bias"]))]))
 
 
+@query("typed_forward")
+def _(v):
+    """Cells, pixels of scenes and elevation points through two layers of attention with given weights."""
+    _, h, w = v.shape
+    net = typed.TypedNet(tuple(NETWORK_FEATURES), {"pixel": ("dn", "cloud"), "point": ("height", "quality")})
+    pixels = v.scenes().select((F.col("row") * w + F.col("col")).alias("node_id"), (F.col("dn") / 10000.0).alias("dn"), (F.col("cloud") / 10.0).alias("cloud"))
+    points = v.points().select("node_id", ((F.col("elevation") - 800) / 600.0).alias("height"), "quality")
+    out = net.embed(net.start(6), v.cells(), {"pixel": pixels, "point": points}, h, w)
+    return r6(out.select("node_id", *[F.col("h")[i].alias(f"h{i}") for i in range(6)]))
+
+
+@query("scene_search_area", """, observed AS (SELECT l_linenumber * 100 + CAST(year(l_shipdate) % 100 AS BIGINT) AS scene_id, l_shipdate AS taken, CAST(l_linenumber * 7 % 10 AS INTEGER) AS cloud, lat, lon FROM lineitem JOIN cells ON l_orderkey = node_id),
+catalogue AS (SELECT scene_id, min(taken) AS first, max(taken) AS last, max(cloud) AS cloud, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, count(*) AS pixels FROM observed GROUP BY scene_id)
+SELECT scene_id, cloud, strftime(first, '%Y-%m-%d') AS first_day, pixels FROM catalogue WHERE west <= -61.6 AND east >= -61.61 AND south <= 4.975E0 AND north >= 4.97E0 AND first < DATE '1997-07-01' AND last >= DATE '1994-01-01' AND cloud <= 6 ORDER BY cloud, first, scene_id LIMIT 1000""")
+def _(v):
+    """Scenes of a year each, searched by box, days and cloud cover."""
+    lines = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(v.cells().select("node_id", "lat", "lon"), F.col("l_orderkey") == F.col("node_id"))
+    observed = lines.select((F.col("l_linenumber") * 100 + F.year("l_shipdate") % 100).cast("bigint").alias("scene_id"), F.col("l_shipdate").alias("taken"), (F.col("l_linenumber") * 7 % 10).cast("int").alias("cloud"), "lat", "lon")
+    found = raster.search(raster.scene_catalogue(observed), (-61.61, 4.97, -61.6, 4.975), "1994-01-01", "1997-06-30", 6)
+    return found.select("scene_id", "cloud", F.date_format("first", "yyyy-MM-dd").alias("first_day"), "pixels")
+
+
+@query("classes_reshaped", "SELECT \"row\", col, y AS value FROM labels_all WHERE profile = 'blindada'")
+def _(v):
+    """Classes by place, from rows that state nothing but the place's number."""
+    _, h, w = v.shape
+    classes = rules.class_columns(v.cells(), dimensions.LIMITS).select("node_id", F.col("blindada").alias("value"))
+    return raster.reshaped(classes, h, w)
+
+
 # stored tables: out to files and in again ----------------------------------------------------------------
 
 
@@ -475,19 +549,22 @@ def _(v):
     return r6(files.slim(v.cells(), ["slope", "ndvi"], ["slope", "ndvi", "tri"]))
 
 
-@query("manifest_stored", "SELECT 1 AS folders, true AS named, true AS hashed")
+@query("manifest_stored", "SELECT profile, count(*) AS n, true AS named, true AS hashed FROM labels_cell GROUP BY profile")
 def _(v):
-    """Every file of a folder with its size and SHA-256."""
+    """The labels written by profile, and of every folder's files: rows, and whether each has a size and a SHA-256."""
     path = files.work_path(v.spark, "manifest")
-    v.limits().write.parquet(path)
-    m = files.manifest(v.spark, path)
-    return m.agg(F.countDistinct(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).cast("int").alias("folders"), F.bool_and(F.col("bytes") > 0).alias("named"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+    files.write_labels(v.labels(), path)
+    m = files.manifest(v.spark, path).where(F.col("file").contains("profile="))
+    named = m.select(F.regexp_extract("file", "profile=([^/]*)/", 1).alias("profile"), (F.col("bytes") > 0).alias("named"), (F.length("sha256") == 64).alias("hashed"))
+    rows = files.read_labels(v.spark, path).groupBy("profile").agg(F.count("*").alias("n"))
+    return named.groupBy("profile").agg(F.bool_and("named").alias("named"), F.bool_and("hashed").alias("hashed")).join(rows, "profile").select("profile", "n", "named", "hashed")
 
 
-@query("map_window", "SELECT ROUND(50000 * 10 * 0.0254E0 / (111320.0E0 * cos(radians(4.4E0))) / 2, 6) AS half_lon, ROUND(50000 * 8 * 0.0254E0 / 111320.0E0 / 2, 6) AS half_lat")
+@query("map_window", "SELECT node_id, ROUND(50000 * 10 * 0.0254E0 / (111320.0E0 * cos(radians(lat))) / 2, 6) AS half_lon, ROUND(50000 * 8 * 0.0254E0 / 111320.0E0 / 2, 6) AS half_lat FROM cells")
 def _(v):
-    lon, lat = S.half_window(50_000, 10, 8, 4.4)
-    return v.spark.createDataFrame([(lon, lat)], "half_lon double, half_lat double")
+    """The half extents of a map at 1 : 50,000 of 10 by 8 inches around every cell."""
+    lon, lat = S.half_windows(50_000, 10, 8, F.col("lat"))
+    return v.cells().select("node_id", F.round(lon, 6).alias("half_lon"), F.round(lat, 6).alias("half_lat"))
 
 
 @query("softmax_gelu", "SELECT node_id, ROUND(exp(slope - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s1, ROUND(exp(tri - m) / (exp(slope - m) + exp(ndvi - m) + exp(tri - m)), 6) AS s3, ROUND(0.5E0 * ndvi * (1 + 2 / sqrt(pi()) * list_sum(list_transform(range(0, 30), lambda n: pow(-1, n) * pow(z, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))), 6) AS g FROM (SELECT *, greatest(slope, ndvi, tri) AS m, CAST(ndvi AS DOUBLE) / sqrt(2) AS z FROM cells)")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellgrove.operators import raster
 from cellgrove.sources import rasters, tiff
 
 
@@ -66,3 +67,20 @@ def test_an_aborted_job_leaves_no_file(spark, tmp_path):
     assert rasters.read_raster(spark, path).where("a is not null").count() == _pixels(spark, 40, 40).count()
     rasters.write_raster(_pixels(spark, 4, 4).limit(0), path + "0", 4, 4, "uint8", 0)
     assert rasters.read_raster(spark, path + "0").count() == 0
+
+
+def test_scenes_by_box_and_days(spark):
+    rows = [(1, "1994-05-01", 3, 0.0, 0.0), (1, "1994-05-02", 3, 2.0, 2.0), (2, "1994-06-01", 1, 2.0, 3.0), (3, "1995-01-01", 0, 1.0, 1.0), (4, "1994-05-05", 9, 1.0, 1.0), (5, "1994-05-05", 1, 9.0, 9.0), (6, "1994-05-31 23:59:00", 1, 1.5, 1.5)]
+    seen = spark.createDataFrame(rows, "scene_id long, t string, cloud int, lat double, lon double").withColumn("taken", F.to_timestamp("t"))
+    found = raster.search(raster.scene_catalogue(seen), (1.0, 1.0, 3.0, 2.0), "1994-05-02", "1994-06-01", 5)
+    assert [r["scene_id"] for r in found.collect()] == [6, 2, 1]
+    assert [r["scene_id"] for r in raster.search(raster.scene_catalogue(seen), (1.0, 1.0, 3.0, 2.0), "1994-05-02", "1994-05-31", 5, limit=1).collect()] == [6]
+
+
+def test_reshaping_needs_one_value_a_place(spark):
+    full = spark.createDataFrame([(i, i * 2) for i in range(12)], "node_id long, value long")
+    got = sorted(map(tuple, raster.reshaped(full, 3, 4).collect()))
+    assert got == [(i // 4, i % 4, 2 * i) for i in range(12)]
+    for bad in (full.limit(11), full.union(full.limit(1)), full.where("node_id < 11").union(full.limit(1)), full.withColumn("node_id", F.col("node_id") + 1)):
+        with pytest.raises(ValueError, match="3 x 4"):
+            raster.reshaped(bad, 3, 4)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
-from cellgrove.operators import dense, descent, models, tiles
+from cellgrove.operators import dense, descent, models, tiles, typed
 from cellgrove.plans import structure
 from cellgrove.sources import files
 from cellgrove.sources.checkpoints import Checkpoints
@@ -56,6 +56,52 @@ def test_tiles_equal_the_whole_raster(spark, height, width, tile):
     assert most <= (tile + 2 * t.halo) ** 2
 
 
+@pytest.mark.parametrize("tile", [4, 64])
+def test_typed_nodes_equal_the_whole_graph(spark, tile):
+    """Cells, two further types with copies and empty cells: a plain loop over every cell's sources."""
+    height, width = 11, 9
+    x, there, _ = _raster(height, width, seed=4)
+    rng = np.random.default_rng(5)
+    net = typed.TypedNet(("f0", "f1", "f2"), {"pixel": ("dn",), "point": ("z", "q")})
+    w = net.start(4)
+    ids = np.flatnonzero(there.ravel())
+    pixels = [(int(i), float(rng.normal())) for i in rng.choice(ids, 150)] + [(int(ids[0]), 0.5)] * 30
+    points = [(int(i), float(rng.normal()), float(rng.normal())) for i in rng.choice(ids, 20)]
+    cells = _cells(spark, x, there, np.ones((2, height, width), int))
+    got = {r["node_id"]: r["h"] for r in net.embed(w, cells, {"pixel": spark.createDataFrame(pixels, "node_id long, dn double"), "point": spark.createDataFrame(points, "node_id long, z double, q double")}, height, width, tile).collect()}
+
+    def norm(v):
+        return (v - v.mean()) / math.sqrt(v.var() + 1e-5)
+
+    def act(v):
+        return np.array([0.5 * t * (1 + math.erf(t / math.sqrt(2))) for t in norm(v)])
+
+    def sent(kind, k, h, sources):
+        s = [w[f"{kind}/left{k}"] @ v for v in sources]
+        pre = [a + w[f"{kind}/right{k}"] @ h for a in s]
+        e = np.array([w[f"{kind}/scorer{k}"] @ np.where(p > 0, p, 0.2 * p) for p in pre])
+        a = np.exp(e - e.max())
+        return sum(u * v for u, v in zip(a / a.sum(), s, strict=True))
+
+    state = {int(i): act(w["cell/encoder"] @ x.reshape(-1, 3)[i] + w["cell/bias"]) for i in ids}
+    others = {}
+    for kind, rows in (("pixel", pixels), ("point", points)):
+        for i, *v in rows:
+            others.setdefault((kind, i), []).append(act(w[f"{kind}/encoder"] @ np.array(v) + w[f"{kind}/bias"]))
+    for k in range(net.layers):
+        new = {}
+        for i, h in state.items():
+            r, c = divmod(i, width)
+            around = [state[a * width + b] for a in range(r - 1, r + 2) for b in range(c - 1, c + 2) if 0 <= a < height and 0 <= b < width and a * width + b in state]
+            m = sent("cell", k, h, around)
+            for kind in ("pixel", "point"):
+                if (kind, i) in others:
+                    m = m + sent(kind, k, h, others[kind, i])
+            new[i] = act(h + m)
+        state = new
+    assert got.keys() == state.keys() and all(np.allclose(got[i], state[i], atol=1e-10) for i in state)
+
+
 def test_the_plan_does_not_grow_with_the_layers(spark):
     x, there, y = _raster(6, 6)
     cells = _cells(spark, x, there, y)
