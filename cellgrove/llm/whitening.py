@@ -2,10 +2,10 @@
 
 Each component of a vector becomes a whole number, floor(256 c). The fit list holds each distinct vector of such numbers
 once. Its means come from one aggregation; a second one sums the centred products of every pair of dimensions in the
-upper triangle, each as a SQL expression of its own. Longer vectors than ``TILE`` take several rows of that one
-aggregation, a row for each pair of tiles of dimensions, so no plan holds more than TILE * TILE expressions. The covariance,
-of the size of dimensions squared, is decomposed on the driver; rows are then projected by expressions again. Covariances
-of what was whitened come from the data, as another aggregation.
+upper triangle, each as a SQL expression: a vector takes part once for every pair of tiles of ``TILE`` dimensions, with a
+column for each pair of dimensions there, so the aggregation has few enough columns to be compiled whatever the vectors'
+length. The covariance, of the size of dimensions squared, is decomposed on the driver; rows are then projected by
+expressions again. Covariances of what was whitened come from the data, as another aggregation.
 
 Vectors that are null or hold null or non-finite entries are left out, and so are vectors of another length than the commonest
 one (of equally common ones the longest) and empty ones. Repeated rows are rows of their own; equal vectors are fitted once. ``deviation``
@@ -22,8 +22,8 @@ from pyspark.sql.types import StructField, StructType
 
 from cellgrove.llm.common import col, stage
 
-#: dimensions of a tile: the sums of one pair of tiles are the columns of one aggregation
-TILE = 64
+#: dimensions of a tile: Spark compiles aggregations of up to 100 columns, so at most 9
+TILE = 8
 SCALE = 256
 
 
@@ -35,35 +35,20 @@ def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return rows.where(c.isNotNull() & finite).select("vec_id", F.transform(c, lambda v: F.floor(v * SCALE) + F.lit(0).cast("long")).alias("x"))
 
 
-def _at(i: int, start: int = 0) -> str:
-    return f"x[{i - start}]"
-
-
 def _literals(values: np.ndarray) -> str:
     return f"array({', '.join(repr(float(v)) + 'D' for v in values)})"
 
 
 def covariance(fit: DataFrame, mean: np.ndarray, n: int) -> np.ndarray:
-    """The covariance (divisor n) of fit's vectors x about a mean, every dimension pair of the upper triangle as one sum."""
+    """The covariance (divisor n) of fit's vectors x about a mean: a sum of centred products for every dimension pair of the upper triangle."""
     dim = len(mean)
     tiles = [(lo, min(lo + TILE, dim)) for lo in range(0, dim, TILE)]
-    if len(tiles) == 1:
-        d = fit.selectExpr(*[f"x[{i}] - {float(mean[i])!r}D AS d{i}" for i in range(dim)])
-        pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
-        sums = d.selectExpr(*[f"sum(d{i} * d{j})" for i, j in pairs]).toArrow()  # one row
-        out = np.zeros((dim, dim))
-        for (i, j), column in zip(pairs, sums.columns, strict=True):
-            out[i, j] = out[j, i] = column[0].as_py() / n
-        return out
-    # each row once for every pair of tiles, with its components there, centred
-    centred = fit.selectExpr(f"zip_with(x, {_literals(mean)}, (v, m) -> v - m) AS d")
-    both = [(a, b) for a in range(len(tiles)) for b in range(a, len(tiles))]
-    spread = centred.selectExpr("d", f"explode(array({', '.join(f'named_struct({chr(39)}a{chr(39)}, {a}, {chr(39)}b{chr(39)}, {b})' for a, b in both)})) AS p")
-    spread = spread.selectExpr("p", f"slice(d, p.a * {TILE} + 1, {TILE}) AS u", f"slice(d, p.b * {TILE} + 1, {TILE}) AS v")
-    # a last tile may be shorter: try_element_at gives null there, and sums skip nulls
-    left = [f"try_element_at(u, {i + 1}) AS u{i}" for i in range(TILE)]
-    right = [f"try_element_at(v, {j + 1}) AS v{j}" for j in range(TILE)]
-    sums = spread.selectExpr("p.a", "p.b", *left, *right).groupBy("a", "b").agg(*[F.expr(f"sum(u{i} * v{j})") for i in range(TILE) for j in range(TILE)]).toArrow()  # a row for each pair of tiles
+    # each row once for every pair of tiles, with its centred components there; beyond a short last tile they are null, which sums skip
+    pairs = ", ".join(f"named_struct('a', {a}, 'b', {b})" for a in range(len(tiles)) for b in range(a, len(tiles)))
+    centred = fit.selectExpr(f"zip_with(x, {_literals(mean)}, (v, m) -> v - m) AS d").selectExpr("d", f"explode(array({pairs})) AS p")
+    sides = [f"get(d, p.{side} * {TILE} + {i}) AS {name}{i}" for side, name in (("a", "u"), ("b", "v")) for i in range(TILE)]
+    products = [F.expr(f"sum(u{i} * v{j})") for i in range(TILE) for j in range(TILE)]
+    sums = centred.selectExpr("p.a", "p.b", *sides).groupBy("a", "b").agg(*products).toArrow()  # a row for each pair of tiles
     out = np.zeros((dim, dim))
     for row in range(sums.num_rows):
         (al, ah), (bl, bh) = tiles[sums.column(0)[row].as_py()], tiles[sums.column(1)[row].as_py()]
@@ -108,7 +93,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     dim = most.column("dim")[0].as_py()
     rows = rows.where(F.size("x") == dim)
     fit = stage(rows.select("x").distinct(), "whitening-fit")
-    sums = fit.selectExpr("count(*)", *[f"sum({_at(i)})" for i in range(dim)]).toArrow()  # one row
+    sums = fit.selectExpr("count(*)", *[f"sum(x[{i}])" for i in range(dim)]).toArrow()  # one row
     n, *totals = (c[0].as_py() for c in sums.columns)
     mean = np.array([t / n for t in totals])
     v = covariance(fit, mean, n)

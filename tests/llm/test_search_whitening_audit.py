@@ -108,7 +108,7 @@ def _whitened(rows, components=4):
     return ids, x, n, total, e, u, np.trace(v)
 
 
-@pytest.mark.parametrize("dim,tile", [(5, 64), (7, 3), (2, 64)])
+@pytest.mark.parametrize("dim,tile", [(5, 8), (7, 3), (2, 8), (19, 8)])
 def test_whitening_equals_numpy(spark, monkeypatch, dim, tile):
     monkeypatch.setattr(whitening, "TILE", tile)
     rng = np.random.default_rng(dim)
