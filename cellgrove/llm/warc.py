@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from cellgrove.llm.common import col, scratch, ship, stage
 
@@ -56,8 +57,10 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write the archives: one file per task. Payloads stay in place where the table of revisits is small enough for the
+    """Write the archives: one file per task; ids are whole numbers, others are refused. Payloads stay in place where the table of revisits is small enough for the
     session's broadcast threshold; else they are shuffled once, by id and digest."""
+    if not isinstance(pages.schema[id_col].dataType, ByteType | ShortType | IntegerType | LongType):
+        raise TypeError(f"{id_col} must be a whole number, not {pages.schema[id_col].dataType.simpleString()}")
     again = revisits(pages, id_col, payload_col)
     rows = pages.select(col(id_col).cast("long").alias("id"), F.regexp_replace(col(url_col), "[\\x00-\\x20\\x7F]", "%20").alias("url"), F.coalesce(col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary")))).join(again, ["id", "digest"], "left")

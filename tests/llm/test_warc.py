@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from cellgrove.llm import warc
 
 
@@ -61,5 +63,10 @@ def test_numbers_that_do_not_fit_are_no_records(spark):
     _round_trip(spark, rows, "1500")
 
 
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        warc.archive(spark.createDataFrame([("1", "u", "x")], "page_id string, url string, html string"))
+
+
 def test_empty(spark):
     _round_trip(spark, [], "128m")
