@@ -45,10 +45,11 @@ def save_model(model, path: str, about: dict[str, str]) -> None:
 
 def load_model(path: str):
     """The model that save_model wrote, and its manifest as a dictionary."""
-    from pyspark.ml import classification
+    from pyspark.ml import classification, feature
 
     said = {r["name"]: r["value"] for r in SparkSession.active().read.json(f"{path}/manifest").collect()}  # a row per entry
-    return getattr(classification, said["kind"]).load(f"{path}/model"), said
+    kind = getattr(classification, said["kind"], None) or getattr(feature, said["kind"])
+    return kind.load(f"{path}/model"), said
 
 
 def component_correlations(transformed: DataFrame, columns: list[str], k: int) -> DataFrame:

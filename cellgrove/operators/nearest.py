@@ -15,12 +15,13 @@ from cellgrove.sources import files
 
 
 def _square(points: DataFrame, cells: DataFrame, k: int, reach: int) -> DataFrame:
-    """id, best: up to k nearest (d2, cell_id, and what else cells have) within reach rows and columns."""
+    """id, row, col, best: of every point up to k nearest (d2, cell_id) within reach rows and columns."""
     span = F.sequence(F.lit(-reach), F.lit(reach))
     near = points.select("id", "row", "col", F.explode(span).alias("dr")).select("id", "row", "col", "dr", F.explode(span).alias("dc"))
-    at = near.select("id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("long").alias("d2"))
-    found = at.join(cells, ["row", "col"]).groupBy("id")
-    return found.agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "cell_id"))), 1, k).alias("best"))  # at most (2 reach + 1)^2 a point
+    there = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), "cell_id")
+    at = near.select("id", "row", "col", (F.col("row") + F.col("dr")).alias("r"), (F.col("col") + F.col("dc")).alias("c"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("long").alias("d2"))
+    found = F.when(F.col("cell_id").isNotNull(), F.struct("d2", "cell_id"))  # lists skip nulls
+    return at.join(there, ["r", "c"], "left").groupBy("id", "row", "col").agg(F.slice(F.sort_array(F.collect_list(found)), 1, k).alias("best"))  # at most (2 reach + 1)^2 a point
 
 
 def _levels(cells: DataFrame, top: int) -> list[DataFrame]:
@@ -69,21 +70,15 @@ def _descend(points: DataFrame, cells: DataFrame, k: int, top: int) -> DataFrame
 def k_nearest(points: DataFrame, cells: DataFrame, height: int, width: int, k: int, reach: int = 2) -> DataFrame:
     """id, cell_id, d2: the k nearest of cells (cell_id, row, col) to each point (id, row, col), ties to the smaller id.
 
-    Fewer only where there are fewer cells. The result is written, so it may be read often.
+    Fewer only where there are fewer cells. What the square finds is written once.
     """
     spark, top = cells.sparkSession, max(0, max(height, width) - 1).bit_length()
     points = points.select("id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     cells = cells.select("cell_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     path = files.work_path(spark, "nearest")
-    close = _square(points, cells, k, reach)
     # cells outside the square are at least reach + 1 away
-    close = close.where((F.size("best") == k) & (F.col("best")[k - 1]["d2"] < (reach + 1) ** 2))
-    close.select("id", F.inline("best")).select("id", "d2", "cell_id").write.parquet(path)
-    done = spark.read.schema("id long, d2 long, cell_id long").parquet(path)
-    left = points.join(done.select("id").distinct(), "id", "left_anti")
-    rest = files.work_path(spark, "nearest")
-    left.write.parquet(rest)
-    left = spark.read.schema(left.schema).parquet(rest)
-    if left.isEmpty():
-        return done.select("id", "cell_id", "d2")
-    return done.unionByName(_descend(left, cells, k, top)).select("id", "cell_id", "d2")
+    sure = (F.size("best") == k) & (F.get("best", F.lit(k - 1))["d2"] < (reach + 1) ** 2)
+    _square(points, cells, k, reach).withColumn("sure", sure).write.parquet(path)
+    seen = spark.read.schema("id long, row long, col long, best array<struct<d2: long, cell_id: long>>, sure boolean").parquet(path)
+    done, left = seen.where("sure").select("id", F.inline("best")).select("id", "cell_id", "d2"), seen.where("not sure").select("id", "row", "col")
+    return done if left.isEmpty() else done.unionByName(_descend(left, cells, k, top).select("id", "cell_id", "d2"))

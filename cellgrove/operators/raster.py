@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.functions.scalar import clip
 from cellgrove.operators import nearest
+from cellgrove.sources import files
 
 
 def scene_search(scenes: DataFrame, max_cloud: int, limit: int) -> DataFrame:
@@ -79,7 +80,10 @@ def nearest_fill(cells: DataFrame, values: DataFrame, height: int | None = None,
     if height is None or width is None:
         last = cells.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
         height, width = (0 if x is None else x + 1 for x in last)
+    spark, path = cells.sparkSession, files.work_path(cells.sparkSession, "fill")
     have = cells.select("node_id", "row", "col").join(values.select("node_id", "value", F.lit(True).alias("given")), "node_id", "left")
+    have.write.parquet(path)
+    have = spark.read.schema(have.schema).parquet(path)  # read several times
     gaps = have.where("given is null").select(F.col("node_id").alias("id"), "row", "col")
     givers = have.where("given").select(F.col("node_id").alias("cell_id"), "row", "col", "value")
     near = nearest.k_nearest(gaps, givers, height, width, 1)

@@ -757,7 +757,7 @@ best AS (SELECT gaps.node_id, min({'d2': ("row" - r) * ("row" - r) + (col - c) *
 SELECT node_id, value, CAST(0 AS BIGINT) AS d2 FROM given UNION ALL SELECT node_id, b.value, CAST(b.d2 AS BIGINT) FROM best""")
 def _(v):
     given = v.points().groupBy("node_id").agg(F.max_by("elevation", "event_id").alias("value"))
-    return raster.nearest_fill(v.cells(), given)
+    return raster.nearest_fill(v.cells(), given, *v.shape[1:])
 
 
 @query("percentile_stretch", "SELECT node_id, ROUND(pow(least(greatest((b08 - lo) / (hi - lo), 0.0E0), 1.0E0), 0.95E0), 6) AS stretched FROM cells, (SELECT quantile_cont(b08, 0.02) AS lo, quantile_cont(b08, 0.98) AS hi FROM cells)")
@@ -903,8 +903,10 @@ def _by_profile(v: Views, fit: Callable[[DataFrame], object], of: Callable[[obje
     for profile in PROFILES:
         data = _trained(v, profile)
         train = data.where("split = 'train'").cache()
-        model = fit(train)
-        train.unpersist()
+        try:
+            model = fit(train)
+        finally:
+            train.unpersist()
         one = of(model, data).withColumn("profile", F.lit(profile))
         out = one if out is None else out.unionByName(one)
     return out

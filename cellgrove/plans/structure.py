@@ -12,7 +12,7 @@ from cellgrove.operators import analysis, descent, grid, learn, metrics, models,
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
 from cellgrove.sources import checkpoints, dimensions, files, rasters
-from cellgrove.streaming import state
+from cellgrove.streaming import ingest, state
 
 # what a table must hold ----------------------------------------------------------------------------------
 
@@ -463,6 +463,41 @@ def _(v):
     return r6(out.select("node_id", *[F.col("h")[i].alias(f"h{i}") for i in range(len(w["bias"]))]))
 
 
+@query("beam_points", "SELECT event_id % 8 AS beam, count(*) AS n, ROUND(avg(elevation), 6) AS mean FROM points WHERE source = 'ICESat-2' AND lat >= 4.9 GROUP BY 1 UNION ALL SELECT 8 + event_id % 8, count(*), ROUND(avg(elevation), 6) FROM points WHERE source = 'GEDI' AND quality = 1 AND lat >= 4.9 GROUP BY 1")
+def _(v):
+    """Points stored as beams with arrays, a thousand or so in each, and read as points again."""
+    path = files.work_path(v.spark, "beams")
+    name = F.concat(F.when(F.col("source") == "GEDI", "BEAM").otherwise("gt"), F.col("event_id") % 8)
+    part = F.floor(F.col("event_id") / 8192)  # a granule
+    rows = v.points().groupBy("source", name.alias("beam"), part.alias("granule")).agg(F.collect_list(F.struct("lat", "lon", "elevation", "quality")).alias("p"))
+    rows.select("source", "beam", *[F.col("p")[c].alias(c) for c in ("lat", "lon", "elevation", "quality")]).write.parquet(path)
+    stored = v.spark.read.parquet(path)
+    found = [files.points_of_beams(stored.where(F.col("source") == s), s, (-180.0, 4.9, 180.0, 90.0)).select((k + F.regexp_extract("beam", "[0-9]+$", 0).cast("long")).alias("beam"), "elevation") for s, k in (("ICESat-2", 0), ("GEDI", 8))]
+    return r6(found[0].unionByName(found[1]).groupBy("beam").agg(F.count("*").alias("n"), F.avg("elevation").alias("mean")))
+
+
+@query("ingested_twice", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
+def _(v):
+    """Files of events that arrive in two portions, each read once by an incremental stream."""
+    source, target, marks = (files.work_path(v.spark, f"events-{x}") for x in ("in", "out", "marks"))
+    events = v.table("events").select("event_id", "event_type")
+    for late in (False, True):
+        events.where((F.col("event_type") == "purchase") == late).write.mode("append").parquet(source)
+        ingest.ingest_new(v.spark, source, target, marks)
+    return v.spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("model_stored")
+def _(v):
+    """Forest and components saved, loaded and applied: how many predictions of the loaded forest differ (none)."""
+    data = learn.assemble(rules.classify(v.cells(), v.limits().where("profile = 'a_pe'")), FEATURES).select("node_id", "y", "features")
+    path, model = files.work_path(v.spark, "forest"), learn.random_forest(data, trees=5, depth=6)
+    learn.save_model(model, path, {"profile": "a_pe", "columns": ",".join(FEATURES)})
+    again, said = learn.load_model(path)
+    both = learn.predict(model, data).select("node_id", F.col("pred").alias("before")).join(learn.predict(again, data).select("node_id", "pred"), "node_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("pred") != F.col("before")).alias("differ")).withColumn("kind", F.lit(said["kind"]))
+
+
 @query("typed_forward")
 def _(v):
     """Cells, pixels of scenes and elevation points through two layers of attention with given weights."""

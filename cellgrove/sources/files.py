@@ -30,6 +30,31 @@ def append_points_csv(points: DataFrame, path: str) -> None:
     points.select("lat", "lon", "elevation", "source", "beam").write.mode("append").option("header", True).csv(path)
 
 
+#: how the two instruments name their beams, and the elevations that either may have
+BEAMS, ELEVATIONS = {"ICESat-2": "gt", "GEDI": "BEAM"}, (-100.0, 10000.0)
+
+
+def points_of_beams(granules: DataFrame, source: str, box: tuple[float, float, float, float] | None = None, elevations: tuple[float, float] = ELEVATIONS) -> DataFrame:
+    """lat, lon, elevation, source and beam of every point of an instrument's granules.
+
+    granules: one row a beam, with its name and arrays lat, lon and elevation, and quality for GEDI, whose points count where it is 1. Other
+    groups of a granule are passed over. Arrays are flattened in step as far as the shortest; NaN, null and elevations not inside the
+    bounds go, and so do points outside the box (west, south, east, north).
+    """
+    arrays = ["lat", "lon", "elevation"] + (["quality"] if source == "GEDI" else [])
+    beams = granules.where(F.startswith("beam", F.lit(BEAMS[source])))
+    length = F.least(*[F.size(c) for c in arrays])
+    flat = beams.select("beam", F.inline(F.slice(F.arrays_zip(*arrays), 1, F.greatest(length, F.lit(0)))))
+    low, high = elevations
+    good = ~F.isnan("elevation") & (F.col("elevation") > low) & (F.col("elevation") < high)
+    if source == "GEDI":
+        good &= F.col("quality") == 1
+    if box:
+        west, south, east, north = box
+        good &= F.col("lon").between(west, east) & F.col("lat").between(south, north)
+    return flat.where(good).select("lat", "lon", F.col("elevation").cast("double").alias("elevation"), F.lit(source).alias("source"), "beam")
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """Partitioned by profile: readers of one profile prune the others."""
     labels.write.mode("overwrite").partitionBy("profile").option("compression", "zstd").parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrove.operators import raster
-from cellgrove.sources import rasters, tiff
+from cellgrove.sources import files, rasters, tiff
 
 
 def test_tiff_round_trip():
@@ -84,3 +84,13 @@ def test_reshaping_needs_one_value_a_place(spark):
     for bad in (full.limit(11), full.union(full.limit(1)), full.where("node_id < 11").union(full.limit(1)), full.withColumn("node_id", F.col("node_id") + 1)):
         with pytest.raises(ValueError, match="3 x 4"):
             raster.reshaped(bad, 3, 4)
+
+
+def test_beams_become_points(spark):
+    nan = float("nan")
+    rows = [("gt1l", [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [5.0, nan, -100.0], [1, 1, 1]), ("gt2r", [1.0, 9.0, 2.0], [1.0, 1.0, 2.0], [10000.0, 5.0, 9999.0], [0, 0, 0]), ("BEAM01", [1.0, 2.0], [1.0, 2.0], [7.0, 8.0], [0, 1])]
+    rows += [("orbit_info", [1.0], [1.0], [5.0], [1]), ("gt3l", None, [1.0], [5.0], None), ("gt3r", [], [], [], []), ("gt1r", [2.0, 2.0], [2.0], [6.0, 7.0], [1])]
+    df = spark.createDataFrame(rows, "beam string, lat array<double>, lon array<double>, elevation array<double>, quality array<int>")
+    got = sorted(tuple(r) for r in files.points_of_beams(df, "ICESat-2", (0.0, 0.0, 5.0, 5.0)).collect())
+    assert got == [(1.0, 1.0, 5.0, "ICESat-2", "gt1l"), (2.0, 2.0, 6.0, "ICESat-2", "gt1r"), (2.0, 2.0, 9999.0, "ICESat-2", "gt2r")]
+    assert [tuple(r) for r in files.points_of_beams(df, "GEDI").collect()] == [(2.0, 2.0, 8.0, "GEDI", "BEAM01")]
