@@ -82,7 +82,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str):
 
     def sets(reps: DataFrame) -> DataFrame:
         asked = stage(classes.select("rep", "first", "d1", "d2").join(reps, "rep"), "shingles-asked")
-        wanted = bloom(asked, "first")
+        wanted, digests = bloom(asked, "first"), bloom(asked, "d1")
 
         def run(b: pa.RecordBatch) -> pa.Table | None:
             b = b.filter(pa.array(wanted(b.column("first").to_numpy())))
@@ -91,12 +91,15 @@ def sets_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str):
                 n = np.array([len(y) for y in x], np.int64)
                 some = np.flatnonzero(n)
                 d = _digests(np.concatenate([x[i] for i in some]) if len(some) else np.zeros(0, np.uint64), np.cumsum(n[some]) - n[some])
+                take = digests(d[0])
+                some, d = some[take], d[:, take]
                 out.append(pa.RecordBatch.from_arrays([b.column("first").take(pa.array(lo + some)), *map(pa.array, d), as_column([x[i] for i in some])], names=["first", "d1", "d2", "x"]))
             return pa.Table.from_batches(out) if out else None
 
         rows = _ids(docs, id_col, text_col).select(F.col("doc_id").alias("first"), "text").where("first is not null")
         found = arrow_rows(rows, run, "first long, d1 long, d2 long, x array<long>")
-        return found.join(asked, ["first", "d1", "d2"]).select("rep", "x").dropDuplicates(["rep"])
+        # one shuffle of the sets: the join finds them by the keys that they were made distinct by
+        return found.dropDuplicates(["first", "d1", "d2"]).join(asked, ["first", "d1", "d2"]).select("rep", "x")
 
     return sets
 
