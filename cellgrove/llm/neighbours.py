@@ -142,19 +142,31 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets have 100 * |intersection| >= percent * |union|."""
-    left = sets.select(F.col("rep").alias("a"), F.col("x").alias("xa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("x").alias("xb"))
+def _verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, block: int = 512) -> DataFrame:
+    """Those pairs (a, b) whose full sets have 100 * |intersection| >= percent * |union|.
 
-    def run(t: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(_lists(t.column("xa")), _lists(t.column("xb")), strict=True):
-            k = _common(x, y)
-            keep.append(100 * k >= percent * (len(x) + len(y) - k))
-        return t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return arrow_rows(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb"), run, "a long, b long")
+    The set of b travels to a, in blocks of about so many pairs of one a; the set of a goes to each of its blocks and comes
+    first there, so a task holds one set beside the batch that it reads.
+    """
+    ship(pairs.sparkSession)
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    firsts = sizes.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot"), F.lit(0).alias("side"))
+    others = pairs.join(sizes, "a").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("slot"), F.lit(1).alias("side"))
+
+    def run(batches):
+        at, held = None, None
+        for t in batches:
+            keep = np.zeros(t.num_rows, bool)
+            for i, (*here, side, x) in enumerate(zip(*(t.column(c).to_pylist() for c in ("a", "slot", "side")), _lists(t.column("x")), strict=True)):
+                if not side:
+                    at, held = here, x.copy()
+                elif at == here:
+                    k = _common(x, held)
+                    keep[i] = 100 * k >= percent * (len(x) + len(held) - k)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("rep")], names=["a", "b"]).filter(pa.array(keep))
+
+    keyed = sets(firsts.union(others)).select("a", "slot", "side", "rep", "x")
+    return keyed.repartition("a", "slot").sortWithinPartitions("a", "slot", "side").mapInArrow(run, "a long, b long")
 
 
 def _meeting(least: int, percent: int):
@@ -236,8 +248,8 @@ def connect(shared: DataFrame, items: DataFrame, sets: Callable[[DataFrame], Dat
     """(node, component) of the items that have a similar item.
 
     shared: (token, rep, pivot), the lists of items with a common token, the least one apart, which is the pivot;
-    items: (rep, n, s0..) with n the set's size and the sketch; sets: gives (rep, x) with the shingle sets of a
-    table of reps; least: equal sketch coordinates that a pair must have.
+    items: (rep, n, s0..) with n the set's size and the sketch; sets: adds x, the shingle set of rep, to a table
+    with any rows for a rep; least: equal sketch coordinates that a pair must have.
     """
     ship(items.sparkSession)
     pairs = shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -247,20 +259,16 @@ def connect(shared: DataFrame, items: DataFrame, sets: Callable[[DataFrame], Dat
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     found = pairs.join(la, "a").join(lb, "b").where(sized).select("a", "b", equal.alias("equal")).where(F.col("equal") >= least)
     found = stage(found, f"{label}-candidates")
-    ends = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct()
-    full = stage(sets(stage(ends, f"{label}-ends")), f"{label}-sets")
     best = found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("t")).select((-F.col("t.a")).alias("a"), "b")
-    links = stage(_verify(best, full, percent), f"{label}-links")
+    best = stage(best, f"{label}-best")
+    links = stage(_verify(best, sets, percent), f"{label}-links")
     comp = components(links)
-
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        split = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return split.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    more = stage(_verify(apart(found, comp), full, percent), f"{label}-links")
-    if more.limit(1).count():
-        links = links.union(more)
+    # the other candidates that would still join two components
+    ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    split = found.join(best, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+    rest = stage(split.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{label}-rest")
+    if rest.limit(1).count():
+        links = links.union(stage(_verify(rest, sets, percent), f"{label}-links"))
         comp = components(links)
 
     # lists whose members (the pivot apart: its pairs are done) are in several components
@@ -279,8 +287,7 @@ def connect(shared: DataFrame, items: DataFrame, sets: Callable[[DataFrame], Dat
         met = by_group(odd.select(columns).union(every.select(columns)), ["token", "i", "j"], _meeting(least, percent), "token long, i int, j int, side int, rep long, comp long")
         met = stage(met, f"{label}-meeting")
         if met.limit(1).count():
-            again = stage(sets(stage(met.select("rep").distinct(), f"{label}-ends")), f"{label}-sets")
-            last = by_group(met.join(again, "rep").select("token", "i", "j", "side", "rep", "comp", "x"), ["token", "i", "j"], _linked(percent), "a long, b long")
+            last = by_group(sets(met).select("token", "i", "j", "side", "rep", "comp", "x"), ["token", "i", "j"], _linked(percent), "a long, b long")
             last = stage(last.distinct(), f"{label}-links")
             if last.limit(1).count():
                 comp = components(links.union(last))

@@ -254,7 +254,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     ends = stage(shared.select("rep").union(shared.select("pivot")).distinct(), "paragraphs-ends")
     full = stage(_full(docs, touched, ends, id_col, text_col), "paragraphs-sets")
     # the sketch only filters: 10 of 35 equal coordinates is over six deviations below 0.75
-    comp = connect(shared, full.drop("x"), lambda reps: full.select("rep", "x").join(reps, "rep", "left_semi"), least=10, percent=percent, label="paragraphs")
+    comp = connect(shared, full.drop("x"), lambda reps: full.select("rep", "x").join(reps, "rep"), least=10, percent=percent, label="paragraphs")
     equal = lists.where("rep = pivot").select(F.col("rep").alias("node")).distinct()
     named = stage(equal.join(comp, "node", "full").select(F.col("node").alias("d1"), "component"), "paragraphs-named")
     again = touched.join(named, "d1").withColumn("other", F.when(F.col("component").isNull(), F.col("d2")).otherwise(F.lit(0)))

@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str):
-    """A function from a table of reps to their full shingle sets; classes: (rep, first, d1, d2) tells which document has them."""
+    """A function that adds x, the full shingle set of rep, to a table; classes: (rep, first, d1, d2) tells which document has them."""
 
     def sets(reps: DataFrame) -> DataFrame:
         asked = stage(classes.select("rep", "first", "d1", "d2").join(reps, "rep"), "shingles-asked")
@@ -99,7 +99,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str):
         rows = _ids(docs, id_col, text_col).select(F.col("doc_id").alias("first"), "text").where("first is not null")
         found = arrow_rows(rows, run, "first long, d1 long, d2 long, x array<long>")
         # one shuffle of the sets: the join finds them by the keys that they were made distinct by
-        return found.dropDuplicates(["first", "d1", "d2"]).join(asked, ["first", "d1", "d2"]).select("rep", "x")
+        return found.dropDuplicates(["first", "d1", "d2"]).join(asked, ["first", "d1", "d2"]).drop("first", "d1", "d2")
 
     return sets
 
