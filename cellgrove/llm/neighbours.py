@@ -170,10 +170,15 @@ def _verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
 
 
 def _meeting(least: int, percent: int):
-    """The items of two blocks of one list that have a partner in the other by component, size and sketch."""
+    """The items of two blocks of one list that have a partner in the other by component, size and sketch.
+
+    d1 and d2 are a digest of all such items of the two blocks, with their sides.
+    """
 
     def run(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
-        comp, n, side = (t.column(c).to_numpy() for c in ("comp", "n", "side"))
+        rep, comp, n, side = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+        own = mix(rep.astype(np.uint64) + side.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        digests = np.zeros((2, len(n)), np.uint64)
         s = np.stack([t.column(c).to_numpy() for c in LONGS], axis=1)
         keep = np.zeros(len(n), bool)
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -187,7 +192,10 @@ def _meeting(least: int, percent: int):
                     ok &= _np_matches(s[k], s[right]) >= least
                     keep[k[ok.any(axis=1)]] = True
                     keep[right[ok.any(axis=0)]] = True
-        return t.select(["token", "i", "j", "side", "rep", "comp"]).filter(pa.array(keep))
+            met = own[a:b][keep[a:b]]
+            digests[0, a:b], digests[1, a:b] = mix(met ^ np.uint64(1)).sum(), mix(met + np.uint64(7)).sum()
+        out = t.select(["token", "i", "j", "side", "rep", "comp"])
+        return out.append_column("d1", pa.array(digests[0].view(np.int64))).append_column("d2", pa.array(digests[1].view(np.int64))).filter(pa.array(keep))
 
     return run
 
@@ -284,8 +292,11 @@ def connect(shared: DataFrame, items: DataFrame, sets: Callable[[DataFrame], Dat
         odd = rows.where("comp <> main").select("*", F.pmod(cut, n_odd).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(0).alias("side"))
         every = rows.select("*", F.explode(F.sequence(F.lit(0), n_odd - 1)).alias("i"), F.pmod(cut, n_all).cast("int").alias("j"), F.lit(1).alias("side"))
         columns = ["token", "i", "j", "side", "rep", "comp", "n", *LONGS]
-        met = by_group(odd.select(columns).union(every.select(columns)), ["token", "i", "j"], _meeting(least, percent), "token long, i int, j int, side int, rep long, comp long")
+        met = by_group(odd.select(columns).union(every.select(columns)), ["token", "i", "j"], _meeting(least, percent), "token long, i int, j int, side int, rep long, comp long, d1 long, d2 long")
         met = stage(met, f"{label}-meeting")
+        # copies share many tokens: blocks that hold the same items are compared once
+        once = met.groupBy("d1", "d2").agg(F.min(F.struct("token", "i", "j")).alias("g")).select("g.*")
+        met = met.join(once, ["token", "i", "j"], "left_semi").drop("d1", "d2")
         if met.limit(1).count():
             last = by_group(sets(met).select("token", "i", "j", "side", "rep", "comp", "x"), ["token", "i", "j"], _linked(percent), "a long, b long")
             last = stage(last.distinct(), f"{label}-links")
