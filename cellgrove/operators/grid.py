@@ -136,17 +136,17 @@ def chunked(cells: DataFrame, height: int, width: int, size: int, overlap: int,
 
 
 def chunked_edges(chunks: DataFrame, height: int, width: int, self_loops: bool = True) -> DataFrame:
-    """cr, cc, src, dst, dist: the edges between neighbours of one chunk, ends as numbers in it; they come along by target, one join for all chunks."""
+    """cr, cc, src, dst, dist: the edges between neighbours of one chunk, ends as numbers in it; they come along by target, one sort-merge join for all chunks, whatever size Spark takes them for."""
     near = chunks.select("cr", "cc", "row", "col", F.col("id").alias("src"), F.inline(_offsets(self_loops)))
     r, c = F.col("row") + F.col("dr"), F.col("col") + F.col("dc")
     out = near.where((r >= 0) & (r < height) & (c >= 0) & (c < width)).select("cr", "cc", "src", r.alias("row"), c.alias("col"), "dist")
     ends = chunks.select("cr", "cc", "row", "col", F.col("id").alias("dst"))
-    return out.join(ends, ["cr", "cc", "row", "col"]).select("cr", "cc", "src", "dst", "dist")
+    return out.join(ends.hint("merge"), ["cr", "cc", "row", "col"]).select("cr", "cc", "src", "dst", "dist")
 
 
 def chunked_points(chunks: DataFrame, points: DataFrame) -> DataFrame:
     """cr, cc, cell (its number there) and the columns of points, once for each chunk that holds their cell."""
-    return points.join(chunks.select("node_id", "cr", "cc", F.col("id").alias("cell")), "node_id")
+    return points.join(chunks.select("node_id", "cr", "cc", F.col("id").alias("cell")).hint("merge"), "node_id")
 
 
 def uncropped(chunks: DataFrame, values: DataFrame) -> DataFrame:

@@ -25,3 +25,9 @@ def test_methods_are_small_enough_to_be_compiled(spark, name):
 def test_gradients_are_computed_once(spark):
     plan = catalog.QUERIES["f1_by_gradient"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "dr" not in re.findall(r"\w+", plan)  # no neighbours are exploded in the plan of the scores
+
+
+@pytest.mark.parametrize("name", ["chunks_of_edges"])
+def test_exploded_cells_are_never_broadcast(spark, name):
+    plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
