@@ -152,7 +152,7 @@ def chunked_points(chunks: DataFrame, points: DataFrame) -> DataFrame:
 def uncropped(chunks: DataFrame, values: DataFrame) -> DataFrame:
     """The way back: node_id and the columns of values (by cr, cc and id) from the chunks that keep the cell; of several the first chunk's."""
     names = [c for c in values.columns if c not in ("cr", "cc", "id")]
-    kept = chunks.where("kept").select("node_id", "cr", "cc", "id").join(values, ["cr", "cc", "id"])
+    kept = chunks.where("kept").select("node_id", "cr", "cc", "id").join(values.hint("merge"), ["cr", "cc", "id"])
     return kept.groupBy("node_id").agg(F.min(F.struct("cr", "cc", *names)).alias("v")).select("node_id", *[F.col(f"v.{n}").alias(n) for n in names])
 
 
