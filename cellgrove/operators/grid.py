@@ -27,10 +27,13 @@ def edges(cells: DataFrame, height: int, width: int, self_loops: bool = True) ->
 
 
 def neighbours(cells: DataFrame, columns: list[str], height: int, width: int, self_loops: bool = True) -> DataFrame:
-    """Edges with the columns of both ends as <name>_src and <name>_dst: one join, on dst."""
+    """Edges with the columns of both ends as <name>_src and <name>_dst: one join, on dst.
+
+    A sort-merge join at any size: Spark counts the exploded edges as no larger than the file of the cells and would broadcast them.
+    """
     left = edges(cells.select("node_id", "row", "col", *[F.col(c).alias(f"{c}_src") for c in columns]), height, width, self_loops)
     right = cells.select(F.col("node_id").alias("dst"), *[F.col(c).alias(f"{c}_dst") for c in columns])
-    return left.join(right, "dst")
+    return left.join(right.hint("merge"), "dst")
 
 
 def edge_count(height: int, width: int, self_loops: bool = True) -> int:

@@ -27,7 +27,7 @@ def test_gradients_are_computed_once(spark):
     assert "dr" not in re.findall(r"\w+", plan)  # no neighbours are exploded in the plan of the scores
 
 
-@pytest.mark.parametrize("name", ["chunks_of_edges", "chunks_put_together"])
+@pytest.mark.parametrize("name", ["chunks_of_edges", "chunks_put_together", "window_isolation"])
 def test_exploded_cells_are_never_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
