@@ -167,6 +167,33 @@ class AttentionNet:
         return picked.groupBy("tr", "tc").applyInArrow(run, "pack long, data binary")
 
 
+class RelationNet:
+    """A linear encoder and GELU, and one layer over four relations of a raster: neighbours along rows, along columns, across, and the cell itself.
+
+    ``network.relation_layer`` on a raster's edges, tile by tile: a cell travels once, with a halo of one, where edges would carry every state nine times.
+    """
+
+    def __init__(self, features: list[str]):
+        self.features = features
+
+    def states(self, w: Weights, x: np.ndarray, there: np.ndarray) -> np.ndarray:
+        h = dense.gelu(x @ w["encoder"].T + w["bias"])[0] * there[..., None]
+        sent, message = [h @ w[f"relation{k}"].T for k in range(4)], np.zeros_like(h)
+        for dr, dc in dense.NEIGHBOURS:
+            message += dense.shifted(sent[2 if dr and dc else 0 if dc else 1 if dr else 3], dr, dc)
+        return dense.gelu(dense.layer_norm(h + message)[0])[0]
+
+    def infer(self, w: Weights, cells: DataFrame, height: int, width: int, tile: int = 128) -> DataFrame:
+        """node_id and h (an array) of every cell."""
+        shared = cells.sparkSession.sparkContext.broadcast(w)
+        features, states = self.features, self.states
+
+        def run(tile: tiles.Tile) -> dict[str, np.ndarray]:
+            return {"h": states(shared.value, tile.stack(features), tile.there)}
+
+        return tiles.per_tile(_doubles(cells, features), features, tiles.Tiling(height, width, tile, 1), run, "h array<double>")
+
+
 def _doubles(cells: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles; null ones count as 0."""
     return cells.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})

@@ -1,8 +1,8 @@
 """One layer of a graph network with given weights over any relations between nodes, as DataFrames.
 
 Node states are arrays of a small fixed width. A layer is a join of the edges with the sources' states and grouped
-sums by target. Weights are numpy arrays, (outputs, inputs), and become literals of the plan. Several layers over a
-raster's neighbours go tile by tile instead (``models.AttentionNet``), where the plan does not grow with them.
+sums by target. Weights are numpy arrays, (outputs, inputs), and become literals of the plan. A
+raster's neighbours go tile by tile instead (``models.AttentionNet``, ``models.RelationNet``), where cells travel once, not with every edge.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
-from cellgrove.operators import analysis, descent, grid, learn, metrics, models, network, quality, raster, rules, split, training, typed, uncertainty
+from cellgrove.operators import analysis, descent, grid, learn, metrics, models, quality, raster, rules, split, training, typed, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.plans.catalog import ENT, FEATURES, KEYS, LABEL_EDGES, ORACLES, _cube, _entropy, _label_neighbours, long, query, r6
 from cellgrove.sources import checkpoints, dimensions, files, rasters
@@ -455,11 +455,8 @@ def _(v):
 @query("relation_forward")
 def _(v):
     """Encoder and one layer over four relations: neighbours along rows, along columns, across, and the cell itself."""
-    w, (_, _, width) = given_weights(), v.shape
-    nodes, e = network.encode(v.cells(), NETWORK_FEATURES, w["encoder"], w["bias"]), v.edges().select("src", "dst")
-    step = F.abs(F.col("src") - F.col("dst"))
-    relations = {"relation0": e.where(step == 1), "relation1": e.where(step == width), "relation2": e.where((step != 1) & (step != width) & (step != 0)), "relation3": e.where(step == 0)}
-    out = network.relation_layer(nodes, relations, w)
+    w, (_, height, width) = given_weights(), v.shape
+    out = models.RelationNet(NETWORK_FEATURES).infer(w, v.cells(), height, width)
     return r6(out.select("node_id", *[F.col("h")[i].alias(f"h{i}") for i in range(len(w["bias"]))]))
 
 

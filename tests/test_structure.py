@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrove.operators import grid, learn, quality, training
+from cellgrove.operators import grid, learn, models, network, quality, training
 from cellgrove.plans import catalog, structure
 from cellgrove.sources import dimensions, files
 from cellgrove.sources.views import Views
@@ -188,3 +188,20 @@ def test_baselines_learn_the_rules(spark):
     net = learn.perceptron(train, len(catalog.TRAINED))
     assert learn.predict(net, test).where("pred = y").count() / test.count() >= common + 0.1
     train.unpersist(), test.unpersist()
+
+
+def test_relation_layer_over_edges_equals_tiles(spark):
+    v, w = Views(spark, SMALL), structure.given_weights()
+    width = v.shape[2]
+    step, e = F.abs(F.col("src") - F.col("dst")), v.edges().select("src", "dst")
+    kinds = (step == 1, step == width, (step != 1) & (step != width) & (step != 0), step == 0)
+    nodes = network.encode(v.cells(), structure.NETWORK_FEATURES, w["encoder"], w["bias"])
+    want = {r["node_id"]: r["h"] for r in network.relation_layer(nodes, {f"relation{k}": e.where(c) for k, c in enumerate(kinds)}, w).collect()}
+    got = {r["node_id"]: r["h"] for r in models.RelationNet(structure.NETWORK_FEATURES).infer(w, v.cells(), *v.shape[1:], tile=7).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(a - b) for i, h in got.items() for a, b in zip(h, want[i], strict=True)) < 1e-9
+
+
+def test_relation_forward_sends_no_edges(spark):
+    plan = catalog.QUERIES["relation_forward"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
