@@ -797,14 +797,9 @@ def _(v):
 # losses, learning, embeddings ----------------------------------------------------------------------------
 
 
-def _rows(v: Views) -> DataFrame:
-    cells = v.cells().select("node_id", "slope", "ndvi", "ndwi", "water_mask")
-    return v.profile_probs().join(v.labels(), ["node_id", "profile"]).join(cells, "node_id")
-
-
 @query("rule_penalties", "SELECT profile, ROUND(avg(p1 * greatest(slope - 0.35E0, 0.0E0)), 6) AS slope, ROUND(avg(p1 * greatest(ndvi - ndvi_1, 0.0E0)), 6) AS vegetation, ROUND(avg(p1 * CASE WHEN ndwi > 0.3E0 OR water_mask > 0.5E0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS water FROM profile_probs JOIN cells USING (node_id) JOIN limits USING (profile) GROUP BY profile")
 def _(v):
-    return r6(losses.rule_penalties(_rows(v), v.limits()))
+    return r6(losses.rule_penalties(v.judged(), v.limits()))
 
 
 CE = ", ce AS (SELECT profile, -(1 - {s}) * ln(CASE y WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) - {s} / 3 * (ln(p1) + ln(p2) + ln(p3)) AS ce FROM profile_probs JOIN labels_cell USING (node_id, profile)) "
@@ -812,18 +807,18 @@ CE = ", ce AS (SELECT profile, -(1 - {s}) * ln(CASE y WHEN 1 THEN p1 WHEN 2 THEN
 
 @query("smoothed_ce", CE.format(s="0.1E0") + "SELECT profile, ROUND(avg(ce), 6) AS loss FROM ce GROUP BY profile")
 def _(v):
-    return r6(losses.cross_entropy(_rows(v)))
+    return r6(losses.cross_entropy(v.judged()))
 
 
 @query("focal_loss", CE.format(s="0.05E0") + "SELECT profile, ROUND(avg(pow(1 - exp(-ce), 2.0E0) * ce), 6) AS loss FROM ce GROUP BY profile")
 def _(v):
-    return r6(losses.focal(_rows(v)))
+    return r6(losses.focal(v.judged()))
 
 
 @query("task_weighting", CE.format(s="0.1E0") + "SELECT ROUND(sum(exp(-s) * loss + s), 6) AS total FROM (SELECT profile, avg(ce) AS loss FROM ce GROUP BY profile) JOIN (VALUES ('a_pe', 0.1E0), ('motorizada', 0.2E0), ('mecanizada', -0.1E0), ('blindada', 0.0E0)) AS t(profile, s) USING (profile)")
 def _(v):
     s = v.spark.createDataFrame(list(zip(PROFILES, (0.1, 0.2, -0.1, 0.0), strict=True)), "profile string, s double")
-    return r6(losses.task_weighting(losses.cross_entropy(_rows(v)), s))
+    return r6(losses.task_weighting(losses.cross_entropy(v.judged()), s))
 
 
 @query("toy_attention", ", e AS (SELECT dst, a.ndvi AS x, 0.7E0 * a.ndvi + -0.3E0 * b.ndvi AS z FROM edges JOIN cells a ON src = a.node_id JOIN cells b ON dst = b.node_id), s AS (SELECT dst, x, CASE WHEN z > 0 THEN z ELSE 0.2E0 * z END AS z FROM e), m AS (SELECT dst, max(z) AS top FROM s GROUP BY dst) SELECT dst AS node_id, ROUND(sum(exp(z - top) * x) / sum(exp(z - top)), 6) AS h FROM s JOIN m USING (dst) GROUP BY dst")

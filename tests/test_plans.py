@@ -31,3 +31,9 @@ def test_gradients_are_computed_once(spark):
 def test_exploded_cells_are_never_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["smoothed_ce", "focal_loss", "task_weighting", "rule_penalties"])
+def test_losses_join_no_cells(spark, name):
+    plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Inner, (node_id" not in plan and "node_id" not in "".join(line for line in plan.splitlines() if "Join" in line)
