@@ -572,9 +572,14 @@ def _(v):
 
 @query("lidar_proximity_f1", f", lit AS (SELECT DISTINCT dst AS node_id FROM edges JOIN cells a ON src = a.node_id WHERE a.lidar_available = 1), placed AS (SELECT p.*, l.node_id IS NOT NULL AS lidar FROM preds p LEFT JOIN lit l USING (node_id)) {oracle.scores('profile, model, lidar', 'placed', columns='n, ROUND(macro_f1, 6) AS macro_f1')}")
 def _(v):
-    lit = v.neighbours(["lidar_available"]).where("lidar_available_src = 1").select(F.col("dst").alias("node_id"), F.lit(True).alias("lidar")).distinct()
+    _, h, w = v.shape
+    cells = v.cells().select("node_id", "p", "slope", "ndvi", "ndwi", "water_mask")
+    beside = grid.edges(v.cells().where("lidar_available = 1").select("node_id", "row", "col"), h, w)
+    lit = beside.select(F.col("dst").alias("node_id"), F.lit(True).alias("lidar")).distinct()
     keys = ["profile", "model", "lidar"]
-    at = v.wide().join(lit, "node_id", "left").withColumn("lidar", F.coalesce("lidar", F.lit(False)))
+    # cells meet the flag before they become a row for each profile
+    marked = cells.join(lit.hint("merge"), "node_id", "left").withColumn("lidar", F.coalesce("lidar", F.lit(False)))
+    at = v.wide(marked, ["lidar"])
     return r6(metrics.scores(metrics.cube_of_models(at, keys, MODELS), keys).select(*keys, "n", "macro_f1"))
 
 

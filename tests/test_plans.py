@@ -37,3 +37,8 @@ def test_exploded_cells_are_never_broadcast(spark, name):
 def test_losses_join_no_cells(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "Inner, (node_id" not in plan and "node_id" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_cells_are_marked_before_they_become_rows_by_profile(spark):
+    plan = catalog.QUERIES["lidar_proximity_f1"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Cross") < plan.index("Join LeftOuter")  # the outer join lies below the cross join
