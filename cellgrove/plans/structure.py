@@ -386,11 +386,13 @@ ORACLES["early_stopping_stream"] = ORACLES["early_stopping_stream"].replace("WIT
 
 @query("means_upserted", "SELECT \"row\", col, ROUND(avg(dn), 6) AS mean, count(*) AS scenes FROM scenes WHERE dn > 0 GROUP BY \"row\", col")
 def _(v):
-    """Means of all valid pixels from a stream of scenes, upserted batch by batch."""
+    """Means of all valid pixels from a stream of scenes, upserted batch by batch: three batches, of as many files as there are."""
     source, target, marks = (files.work_path(v.spark, f"means-{x}") for x in ("in", "out", "marks"))
-    v.scenes().repartition(3, "scene_id").write.parquet(source)
+    # dealt by scene and pixel, so no task takes a third of all; rows of a task go to a file for each third of the scenes
+    v.scenes().withColumn("third", F.col("scene_id") % 3).write.partitionBy("third").parquet(source)
+    stored = v.spark.read.parquet(source)
     table = state.Upserts(v.spark, target, ["row", "col"])
-    state.mean_upserts(v.spark, source, table, marks, files_per_batch=1)
+    state.mean_upserts(v.spark, source, table, marks, files_per_batch=max(1, -(-len(stored.inputFiles()) // 3)))
     return r6(table.read(state.MEANS))
 
 

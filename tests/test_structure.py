@@ -205,3 +205,16 @@ def test_relation_layer_over_edges_equals_tiles(spark):
 def test_relation_forward_sends_no_edges(spark):
     plan = catalog.QUERIES["relation_forward"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_scenes_are_stored_by_as_many_tasks_as_there_are(spark, monkeypatch):
+    paths, made = [], structure.files.work_path
+    monkeypatch.setattr(structure.files, "work_path", lambda s, label: paths.append(made(s, label)) or paths[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["row"], r["col"]): (r["mean"], r["scenes"]) for r in catalog.QUERIES["means_upserted"](spark, SMALL).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.parquet(paths[0]).inputFiles()) > 3
+    want = Views(spark, SMALL).scenes().where("dn > 0").groupBy("row", "col").agg(F.round(F.avg("dn"), 6).alias("mean"), F.count("*").alias("scenes")).collect()
+    assert got == {(r["row"], r["col"]): (r["mean"], r["scenes"]) for r in want}
