@@ -2,7 +2,9 @@
 
 import random
 
-from cellgrove.operators import grid, raster
+from pyspark.sql import functions as F
+
+from cellgrove.operators import grid, nearest, raster
 
 
 def _fill(cells, givers):
@@ -46,3 +48,13 @@ def test_k_nearest_look_beyond_missing_cells(spark):
         for e in range(30):
             r, c = divmod(e * 7 % 180, 15)
             assert got[e] == set(sorted(((r - i // 15) ** 2 + (c - i % 15) ** 2, i) for i in kept)[:k])
+
+
+def test_a_place_is_looked_up_once_for_all_its_points(spark):
+    cells = spark.range(40 * 40).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"))
+    points = spark.range(500).select("id", F.lit(0).cast("long").alias("row"), (F.col("id") % 2 * 39).alias("col"))
+    df = nearest._square(points, cells, 3, 2)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(-2" not in text and "[-2,-1,0,1,2]" not in text  # no point is multiplied by the places around it
+    got = {(r["row"], r["col"]): [(b["d2"], b["cell_id"]) for b in r["best"]] for r in df.collect()}
+    assert got == {(0, 0): [(0, 0), (1, 1), (1, 40)], (0, 39): [(0, 39), (1, 38), (1, 79)]} and df.count() == 500
