@@ -86,9 +86,9 @@ def nearest_fill(cells: DataFrame, values: DataFrame, height: int | None = None,
     have = spark.read.schema(have.schema).parquet(path)  # read several times
     gaps = have.where("given is null").select(F.col("node_id").alias("id"), "row", "col")
     givers = have.where("given").select(F.col("node_id").alias("cell_id"), "row", "col", "value")
-    near = nearest.k_nearest(gaps, givers, height, width, 1)
-    filled = near.join(givers.select("cell_id", "value"), "cell_id").select(F.col("id").alias("node_id"), F.col("value").alias("filled"), F.col("d2").alias("far"))
-    out = have.join(filled, "node_id", "left")
+    near = nearest.nearest_one(gaps, givers, height, width)
+    filled = near.join(givers.select("cell_id", "value").hint("merge"), "cell_id").select(F.col("id").alias("node_id"), F.col("value").alias("filled"), F.col("d2").alias("far"))
+    out = have.join(filled.hint("merge"), "node_id", "left")
     return out.select("node_id", F.when(F.col("given"), F.col("value")).otherwise(F.col("filled")).alias("value"), F.when(F.col("given"), F.lit(0)).otherwise(F.col("far")).cast("bigint").alias("d2"))
 
 

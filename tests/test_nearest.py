@@ -58,3 +58,16 @@ def test_a_place_is_looked_up_once_for_all_its_points(spark):
     assert "sequence(-2" not in text and "[-2,-1,0,1,2]" not in text  # no point is multiplied by the places around it
     got = {(r["row"], r["col"]): [(b["d2"], b["cell_id"]) for b in r["best"]] for r in df.collect()}
     assert got == {(0, 0): [(0, 0), (1, 1), (1, 40)], (0, 39): [(0, 39), (1, 38), (1, 79)]} and df.count() == 500
+
+
+def test_nearest_one_at_any_distance_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "COLUMN_PLACES", 60)  # several blocks of columns
+    rng = random.Random(3)
+    for giver_count in (1, 4, 40):
+        places = [(r, c) for r in range(20) for c in range(23)]
+        rng.shuffle(places)
+        ids = rng.sample(range(10_000), len(places))
+        givers, gaps = list(zip(ids, places, strict=True))[:giver_count], list(zip(ids, places, strict=True))[giver_count + 30 :]
+        frames = [spark.createDataFrame([(i, r, c) for i, (r, c) in part], f"{name} long, row long, col long") for name, part in (("id", gaps), ("cell_id", givers))]
+        got = {x["id"]: (x["d2"], x["cell_id"]) for x in nearest.nearest_one(*frames, 20, 23).collect()}
+        assert got == {i: min(((r - a) ** 2 + (c - b) ** 2, g) for g, (a, b) in givers) for i, (r, c) in gaps}
