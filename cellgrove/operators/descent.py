@@ -5,6 +5,10 @@ which rows share a pack follows from their ids, not from partitions. A step read
 gradients of its packs in the packs' order, and the driver adds at most one row a task, of the size of the model. So the weights
 do not depend on how rows are partitioned but for the last bits of sums. A pack whose loss is not finite is
 skipped and counted. Random masks are seeded by epoch and pack.
+
+A step of one pack has nothing to share out, so such steps go in chains: one task reads the packs of up to ``CHAIN`` steps, takes the steps
+one after the other and returns the state. That is the same arithmetic with a Spark job for a chain instead of one for a step. A model whose
+parts do not touch each other (``split``) has a chain for each part at a time, unless gradients are shortened together.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ from __future__ import annotations
 import io
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property, partial
 from typing import Protocol
 
 import numpy as np
@@ -25,6 +31,8 @@ from cellgrove.sources.checkpoints import Checkpoints
 from cellgrove.sources.shipping import ship
 
 Weights = dict[str, np.ndarray]
+#: steps that a task takes before the state comes back: it holds as many packs
+CHAIN = 100
 
 
 class Model(Protocol):
@@ -48,15 +56,19 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 @dataclass
 class Packs:
-    """Packs in a folder: (pack, data) by step; steps of the same number of packs but for the last."""
+    """Packs in a folder: (pack, data) by step; steps of the same number of packs but for the last. The folder is listed once."""
 
     spark: SparkSession
     path: str
     steps: int
+    per_step: int = 1
+
+    @cached_property
+    def all(self) -> DataFrame:
+        return self.spark.read.schema("pack long, data binary, step int").parquet(self.path)
 
     def of(self, step: int | None) -> DataFrame:
-        df = self.spark.read.schema("pack long, data binary, step int").parquet(self.path)
-        return df if step is None else df.where(F.col("step") == step)
+        return self.all if step is None else self.all.where(F.col("step") == step)
 
 
 def write_packs(packs: DataFrame, per_step: int, label: str = "packs") -> Packs:
@@ -64,7 +76,7 @@ def write_packs(packs: DataFrame, per_step: int, label: str = "packs") -> Packs:
     spark, path = packs.sparkSession, files.work_path(packs.sparkSession, label)
     packs.withColumn("step", F.floor(F.col("pack") / per_step).cast("int")).write.partitionBy("step").parquet(path)
     last = spark.read.parquet(path).agg(F.max("step").alias("m")).first()["m"]
-    return Packs(spark, path, 0 if last is None else last + 1)
+    return Packs(spark, path, 0 if last is None else last + 1, per_step)
 
 
 def batches(rows: DataFrame, id_col: str, size: int, fn: Callable[[pa.Table], dict[str, np.ndarray]], total: int, seed: int = 42) -> DataFrame:
@@ -141,6 +153,52 @@ def cosine(rate: float, epoch: int, epochs: int, least: float = 0.0) -> float:
     return least + (rate - least) * (1 + math.cos(math.pi * epoch / epochs)) / 2
 
 
+def _chain(train: Packs, steps: list[int], model: Model, state: State, seed: list[int], rate: float, clip: float | None, momentum: float) -> tuple[float, int, int]:
+    """Takes steps of one pack each in their order, in one task for each part of the model; loss, rows and packs skipped."""
+    parts = model.split() if hasattr(model, "split") and not clip else [model]
+    shared = train.spark.sparkContext.broadcast((parts, state.weights, state.first, state.second, state.steps))  # of the model's size
+    place = {s: i for i, s in enumerate(steps)}
+
+    def run(number, batches):
+        packs = [(place[step.as_py()], pack.as_py(), data.as_py()) for b in batches for step, pack, data in zip(*(b.column(c) for c in ("step", "pack", "data")), strict=True)]
+        own, weights, first, second, done = shared.value[0][number], *shared.value[1:]
+        s = State(dict(weights), dict(first), dict(second), done)
+        loss, rows, skipped, moved = 0, 0, [], set()
+        for _, pack, data in sorted(packs, key=lambda x: x[0]):
+            one, n, g, t = own.gradients(s.weights, unpacked(data), [*seed, pack])
+            if not (math.isfinite(one) and all(np.isfinite(x).all() for x in g.values())):
+                skipped.append(pack)
+                continue
+            loss, rows = loss + one, rows + n
+            if n:
+                _step(s, g, t, n, 1, rate, clip, momentum)
+                moved |= g.keys() | t.keys()
+        out = {"weights": s.weights, "first": s.first, "second": s.second}
+        yield pa.RecordBatch.from_pydict({"loss": [float(loss)], "rows": [rows], "skipped": pa.array([skipped], pa.list_(pa.int64())), "steps": [s.steps], **{k: [packed({x: y for x, y in v.items() if x in moved})] for k, v in out.items()}})
+
+    some = train.all.where(F.col("step").isin(steps)).coalesce(1)
+
+    def job(number: int):
+        return some.mapInArrow(partial(run, number), "loss double, rows long, skipped array<long>, steps long, weights binary, first binary, second binary").first()  # the state of a part
+
+    with ThreadPoolExecutor(len(parts)) as pool:  # the parts' jobs side by side
+        found = [r for r in pool.map(job, range(len(parts))) if r is not None]
+    shared.unpersist()
+    for r in found:
+        state.weights |= unpacked(r["weights"])
+        state.first |= unpacked(r["first"])
+        state.second |= unpacked(r["second"])
+    state.steps = max([state.steps, *(r["steps"] for r in found)])
+    return sum(r["loss"] for r in found), max((r["rows"] for r in found), default=0), len({p for r in found for p in r["skipped"]})
+
+
+def _step(s: State, grad: Weights, tend: Weights, rows: int, packs: int, rate: float, clip: float | None, momentum: float) -> None:
+    """One update from sums over rows and packs."""
+    adam(s, {k: g / rows for k, g in grad.items()}, rate, clip)
+    for k, x in tend.items():
+        s.weights[k] = (1 - momentum) * s.weights[k] + momentum * x / packs
+
+
 def descend(
     model: Model,
     state: State,
@@ -168,13 +226,17 @@ def descend(
             break
         now = schedule(rate, state.epoch, epochs) if schedule else rate
         loss = rows = skipped = 0
-        for step in np.random.default_rng([seed, state.epoch]).permutation(train.steps).tolist():
+        order = np.random.default_rng([seed, state.epoch]).permutation(train.steps).tolist()
+        if train.per_step == 1:
+            for i in range(0, len(order), CHAIN):
+                part, n, bad = _chain(train, order[i : i + CHAIN], model, state, [seed, state.epoch], now, clip, momentum)
+                loss, rows, skipped = loss + part, rows + n, skipped + bad
+            order = []
+        for step in order:
             part, n, done, bad, grad, tend = _sums(train.of(step), model, state.weights, [seed, state.epoch])
             loss, rows, skipped = loss + part, rows + n, skipped + bad
             if n:
-                adam(state, {k: g / n for k, g in grad.items()}, now, clip)
-                for k, x in tend.items():
-                    state.weights[k] = (1 - momentum) * state.weights[k] + momentum * x / done
+                _step(state, grad, tend, n, done, now, clip, momentum)
         mean = loss / rows if rows else math.nan
         held = mean
         if validation is not None:

@@ -25,6 +25,14 @@ class Perceptron:
     def __init__(self, profiles: tuple[str, ...], features: list[str], hidden: int = 64, dropout: float = 0.2):
         self.profiles, self.features, self.hidden, self.dropout = profiles, features, hidden, dropout
         self.followed = tuple(f"{p}/{x}" for p in profiles for x in ("mean", "var"))
+        self.numbered = tuple(enumerate(profiles))
+
+    def split(self) -> list[Perceptron]:
+        """The nets of the profiles, each with its profile's number: they share batches, and nothing else."""
+        out = [Perceptron((p,), self.features, self.hidden, self.dropout) for p in self.profiles]
+        for one, number in zip(out, self.numbered, strict=True):
+            one.numbered = (number,)
+        return out
 
     def start(self, seed: int = 42) -> Weights:
         """Uniform within 1 / sqrt(inputs)."""
@@ -46,7 +54,7 @@ class Perceptron:
     def gradients(self, w: Weights, arrays: dict[str, np.ndarray], seed: list[int] | None) -> tuple[float, int, Weights, Weights]:
         x, total, grad, tend = arrays["x"], 0.0, {}, {}
         n = len(x)
-        for number, p in enumerate(self.profiles):
+        for number, p in self.numbered:
             y = arrays[f"y_{p}"].astype(np.int64) - 1
             if seed is None:
                 total += dense.cross_entropy(self.logits(w, p, x), y, np.ones(n, bool))[0]

@@ -242,3 +242,21 @@ def test_erf_is_exact_to_the_last_digits():
     x = np.concatenate([np.linspace(-7, 7, 20001), [0.46875, -0.46875, 4.0, -4.0, 1e-300]])
     assert np.abs(dense.erf(x) - np.vectorize(math.erf)(x)).max() < 4e-16
     assert np.isnan(dense.erf(np.array([np.nan]))).all()
+
+
+def test_a_chain_of_steps_equals_steps_of_a_job_each(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, *map(float, rng.normal(size=2)), *map(int, rng.integers(1, 4, 2))) for i in range(300)], "node_id long, a double, b double, y_p int, y_q int")
+    net = models.Perceptron(("p", "q"), ["a", "b"], hidden=8)
+    packs = descent.write_packs(models.perceptron_batches(net, rows, 300, 40), 1)
+    monkeypatch.setattr(descent, "CHAIN", 3)  # several chains an epoch
+    jobs, made = [], descent._chain
+    monkeypatch.setattr(descent, "_chain", lambda *a: jobs.append(len(a[1])) or made(*a))
+    chained = descent.descend(net, descent.State(net.start()), packs, 2)
+    assert packs.steps > 3 and len(jobs) == 2 * -(-packs.steps // 3)
+    packs.per_step = 0  # the way of steps of several packs
+    stepwise = descent.descend(net, descent.State(net.start()), packs, 2)
+    assert chained.steps == stepwise.steps and [h["train"] for h in chained.history] == pytest.approx([h["train"] for h in stepwise.history], rel=1e-12)
+    for k, x in stepwise.weights.items():
+        assert np.allclose(chained.weights[k], x, rtol=1e-12, atol=1e-14)
+    assert chained.first.keys() == stepwise.first.keys()
