@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import scalar as S
-from cellgrove.operators import analysis, grid, learn, losses, metrics, quality, raster, rules, split, uncertainty
+from cellgrove.operators import analysis, forest, grid, learn, losses, metrics, quality, raster, rules, split, uncertainty
 from cellgrove.plans import oracle
 from cellgrove.sources import dimensions, files
 from cellgrove.sources.dimensions import MODELS, PROFILES
@@ -897,34 +897,24 @@ def _trained(v: Views, profile: str) -> DataFrame:
     return learn.assemble(at, TRAINED).select("node_id", "profile", "split", "y", "features")
 
 
-def _by_profile(v: Views, fit: Callable[[DataFrame], object], of: Callable[[object, DataFrame], DataFrame]) -> DataFrame:
-    """fit on each profile's training cells, and of(model, cells) of all profiles; the cells are held for the fit's rounds only."""
-    out = None
-    for profile in PROFILES:
-        data = _trained(v, profile)
-        train = data.where("split = 'train'").cache()
-        try:
-            model = fit(train)
-        finally:
-            train.unpersist()
-        one = of(model, data).withColumn("profile", F.lit(profile))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _tested(model, data: DataFrame) -> DataFrame:
-    return r6(metrics.scores(metrics.cube(learn.predict(model, data.where("split = 'test'")), ["split"]), ["split"]))
+def _forest(v: Views) -> tuple[forest.Forest, DataFrame]:
+    """100 trees of depth 20 with balanced weights for each of the four profiles, and the labelled cells."""
+    at = rules.class_columns(v.cells(), dimensions.LIMITS).join(v.cell_splits().select("node_id", "split"), "node_id")
+    return forest.Forest(at.where("split = 'train'"), "node_id", TRAINED, list(PROFILES)), at
 
 
 @query("rf_baseline")
 def _(v):
     """100 trees of depth 20 with balanced weights, for each of the four profiles."""
-    return _by_profile(v, learn.random_forest, _tested)
+    grown, at = _forest(v)
+    cube = grown.confusion(at.where("split = 'test'")).select(F.lit("test").alias("split"), F.col("label").alias("profile"), "y", "pred", "n")
+    return r6(metrics.scores(cube, ["split", "profile"])).select("split", "n", "accuracy", "macro_f1", "weighted_f1", "profile")
 
 
 @query("rf_importance")
 def _(v):
-    return _by_profile(v, learn.random_forest, lambda model, _data: learn.importance(model, TRAINED))
+    found = _forest(v)[0].importances()
+    return v.spark.createDataFrame([(c, float(x), p) for p, row in zip(PROFILES, found, strict=True) for c, x in zip(TRAINED, row, strict=True)], "feature string, importance double, profile string")
 
 
 @query("mlp_baseline")
