@@ -213,7 +213,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     if not classes:
         return BiGRU((), *(np.zeros((0, 0), np.float32) for _ in range(4)))
     each = min(sample_docs, max(1, most_docs // len(classes)))
-    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "lang string, rate double")
+    # from Arrow: a list of rows would go through the executors' Python, in a daemon of its own that stays
+    rates = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(counts), pa.string()), "rate": pa.array([min(1.0, each / n) for n in counts.values()])}))
     drawn = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_003)) < F.col("rate") * F.lit(1_000_003)
     named = rows.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text"))
     picked = named.join(F.broadcast(rates), "lang").where(drawn).select("lang", "text")  # a row for each class of the model

@@ -22,7 +22,6 @@ the candidate search paragraphs go by a digest of 64 bits, equal ones by 128. An
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -287,16 +286,13 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = stage(gone.groupBy(col(id_col).cast("long").alias(key), F.col("text_digest").alias(digest)).agg(spans.alias(cuts)), "paragraphs-gone")
     touched = bloom(gone, key)
 
-    @F.pandas_udf("boolean")
-    def may_lose(ids: pd.Series) -> pd.Series:
-        return pd.Series(touched(ids.to_numpy()))
+    def may_lose(ids: pa.Array) -> pa.Array:
+        return pa.array(touched(ids.cast(pa.int64()).fill_null(-1).to_numpy()))
 
-    number = col(id_col).cast("long")
-    some = F.coalesce(may_lose(F.coalesce(number, F.lit(-1))), F.lit(False))
-    at, width, names = docs.columns.index(text_col), len(docs.columns), list(docs.columns)
+    place, at, width, names = docs.columns.index(id_col), docs.columns.index(text_col), len(docs.columns), list(docs.columns)
 
     def digested(b: pa.RecordBatch) -> pa.RecordBatch:
-        whole = [np.zeros(0, np.uint64)]
+        b, whole = b.filter(may_lose(b.column(place))), [np.zeros(0, np.uint64)]
         for _, _, data, offsets in chunks(b.column(at)):
             words, _, _, first = hash_words(data, offsets)
             whole.append(Paragraphs(words, first).whole)
@@ -313,6 +309,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns[at] = pa.array(texts, columns[at].type)
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    marked = arrow_rows(docs.where(some), digested, StructType([*docs.schema.fields]).add(digest, "long"))
-    joined = marked.join(gone, (marked[digest] == gone[digest]) & (col(id_col).cast("long") == gone[key]), "left").select(*[marked[f"`{c}`"] for c in docs.columns], gone[cuts])
-    return docs.where(~some).union(arrow_rows(joined, shortened, docs.schema))
+    # one Python worker a task: the filter runs within each branch's own function, and a sort-merge join parts the two of the second branch
+    others = docs.where(~F.arrow_udf(may_lose, "boolean")(col(id_col)))
+    marked = arrow_rows(docs, digested, StructType([*docs.schema.fields]).add(digest, "long"))
+    joined = marked.join(gone.hint("merge"), (marked[digest] == gone[digest]) & (col(id_col).cast("long") == gone[key]), "left").select(*[marked[f"`{c}`"] for c in docs.columns], gone[cuts])
+    return others.union(arrow_rows(joined, shortened, docs.schema))
