@@ -130,6 +130,17 @@ def give_back() -> None:
         trim(0)
 
 
+#: what modules keep over the batches of a task, by name; Spark keeps Python workers for other stages, so it goes when a task ends
+TASK_CACHES: list[dict] = []
+
+
+def end_task() -> None:
+    """Empty the caches of a task that ends, and return their memory."""
+    for cache in TASK_CACHES:
+        cache.clear()
+    give_back()
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, rows: int = 1000) -> DataFrame:
     """mapInArrow with a function of at most so many rows, which bounds what a task holds as Python objects."""
     ship(df.sparkSession)
@@ -146,6 +157,7 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa
                 del b, out
             del whole
             give_back()
+        end_task()
 
     return df.mapInArrow(run, schema)
 
@@ -171,7 +183,7 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray,
         if held is not None and held.num_rows:
             yield from fn(held, np.array([0]), np.array([held.num_rows])).to_batches()
         del held
-        give_back()
+        end_task()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

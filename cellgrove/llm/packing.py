@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import col, give_back, ship, stage, texts_of
+from cellgrove.llm.common import TASK_CACHES, col, end_task, give_back, ship, stage, texts_of
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -35,6 +35,7 @@ _PARTS = re.compile(f"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_S}{_L}{_N}]+")
 _BEYOND = re.compile("[^\x00-ɏ]")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _MODELS: dict[str, tuple] = {}
+TASK_CACHES.append(_MODELS)
 _TAIL = frozenset(".,;:!?|*#%&$")
 # The rules of the vocabulary file that _PARTS and _plain restate; with others the library takes whole texts.
 _RULES = {
@@ -65,7 +66,7 @@ _VISIBLE = _visible_bytes()
 
 def _tokenizer(path: str) -> tuple:
     """The library's tokenizer, its model, whether its rules are the expected ones, and the bounded caches of parts and
-    of words, kept over batches."""
+    of words, kept over the batches of a task."""
     if path not in _MODELS:
         from tokenizers import Tokenizer
 
@@ -139,6 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
                         row.append(i), piece.append(k), start.append(s), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 give_back()
+        end_task()
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, PIECES.format(id=kind))
 

@@ -7,13 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from cellgrove.llm.common import TASK_CACHES
+
 _BYTES = np.random.default_rng(99).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z like a-z
 _SOLID = np.ones(256, bool)
 _SOLID[[32, *range(9, 14)]] = False
 _BYTES[~_SOLID] = 0
 _ODD = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+TASK_CACHES.append(_POWERS)
 #: bytes of texts that are taken at once, which bounds the arrays made from them
 AT_ONCE = 1 << 20
 
@@ -27,12 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number and of its inverse, at least n of each."""
-    if len(_POWERS[0]) < n:
-        for k, odd in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+    if len(_POWERS.get(_ODD, ())) < n:
+        for odd in (_ODD, _INVERSE):
             base = np.full(n + n // 4, np.uint64(odd))
-            base[0] = 1
-            _POWERS[k] = np.multiply.accumulate(base)
-    return _POWERS[0], _POWERS[1]
+            base[:1] = 1
+            _POWERS[odd] = np.multiply.accumulate(base)
+    return _POWERS[_ODD], _POWERS[_INVERSE]
 
 
 def places(n_each: np.ndarray) -> np.ndarray:

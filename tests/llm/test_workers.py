@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import langid, paragraphs
+from cellgrove.llm import langid, packing, paragraphs, shingles
 
 
 def _most_in_a_stage(node):
@@ -46,3 +48,18 @@ def test_fitting_languages_needs_no_rows_from_python(spark, monkeypatch):
     model = langid.fit(docs, F.lit(True))
     assert model.classes == ("de", "en") and made
     assert not any("PythonRDD" in df._jdf.queryExecution().toRdd().toDebugString() for df in made)
+
+
+def test_workers_keep_no_caches_after_a_task(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(i, f"some words of text number {i} and more") for i in range(80)], "doc_id long, text string").repartition(8)
+    packing.pieces(docs, tokenizers.path("word_bpe_49k.json")).collect()
+    shingles.signatures(docs).collect()
+
+    def kept(batches):
+        from cellgrove.llm import packing, words
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(packing._MODELS) + len(words._POWERS)]})
+
+    assert {r["n"] for r in docs.mapInArrow(kept, "n long").collect()} == {0}
