@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.operators import dense, descent, tiles
+from cellgrove.operators import dense, descent, planes, tiles
 from cellgrove.operators.descent import Weights
 from cellgrove.sources.shipping import ship
 
@@ -51,6 +51,11 @@ class Perceptron:
         b = np.maximum(a, 0) @ w[f"{p}/w2"].T + w[f"{p}/b2"]
         return np.maximum(b, 0) @ w[f"{p}/w3"].T + w[f"{p}/b3"]
 
+    def loss(self, w: Weights, arrays: dict[str, np.ndarray]) -> tuple[float, int]:
+        """As the nets are used: nothing random, followed mean and variance."""
+        n = len(arrays["x"])
+        return sum(dense.cross_entropy(self.logits(w, p, arrays["x"]), arrays[f"y_{p}"].astype(np.int64) - 1, np.ones(n, bool))[0] for p in self.profiles), n
+
     def gradients(self, w: Weights, arrays: dict[str, np.ndarray], seed: list[int] | None) -> tuple[float, int, Weights, Weights]:
         x, total, grad, tend = arrays["x"], 0.0, {}, {}
         n = len(x)
@@ -118,33 +123,47 @@ class AttentionNet:
             out |= {f"left{k}": part(width, width), f"right{k}": part(width, width), f"scorer{k}": part(width)}
         return out | {p: part(CLASSES, width) for p in self.profiles}
 
-    def _forward(self, w: Weights, x: np.ndarray, there: np.ndarray):
-        a, rise = dense.gelu(x @ w["encoder"].T + w["bias"])
-        h, kept = a * there[..., None], []
+    def _forward(self, w: Weights, x: np.ndarray, at: planes.Planes):
+        """States (width, places) of a tile's places from features (features, places), and what backward needs."""
+        a, rise = dense.gelu(w["encoder"] @ x + w["bias"][:, None])
+        h, kept = a * at.there, []
         for k in range(self.layers):
-            h, one = dense.attention(h, there, w[f"left{k}"], w[f"right{k}"], w[f"scorer{k}"])
+            h, one = planes.attention(h, at, w[f"left{k}"], w[f"right{k}"], w[f"scorer{k}"])
             kept.append(one)
         return h, rise, kept
 
     def probabilities(self, w: Weights, x: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
-        h, _, _ = self._forward(w, x, there)
-        return {p: dense.softmax(h @ w[p].T) for p in self.profiles}
+        at = planes.planes(there)
+        h, _, _ = self._forward(w, at.of(x), at)
+        return {p: dense.softmax(at.back(w[p] @ h)) for p in self.profiles}
+
+    def _heads(self, w: Weights, h: np.ndarray, arrays: dict[str, np.ndarray], at: planes.Planes) -> tuple[np.ndarray, float, np.ndarray]:
+        """All profiles' heads as one matrix, by class, then profile; loss, and the gradient by the logits."""
+        heads = np.concatenate([w[p][k : k + 1] for k in range(CLASSES) for p in self.profiles])
+        y = at.of(np.stack([arrays["counted"], *[arrays[f"y_{p}"] for p in self.profiles]], axis=-1))
+        loss, g = dense.cross_entropy_by_class((heads @ h).reshape(CLASSES, len(self.profiles), -1), y[1:], y[0] > 0)
+        return heads, loss, g.reshape(len(heads), -1)
+
+    def loss(self, w: Weights, arrays: dict[str, np.ndarray]) -> tuple[float, int]:
+        n = int(arrays["counted"].sum())
+        if not n:
+            return 0.0, 0
+        w, at = _as(arrays["x"].dtype, w), planes.planes(arrays["there"])
+        return self._heads(w, self._forward(w, at.of(arrays["x"]), at)[0], arrays, at)[1], n
 
     def gradients(self, w: Weights, arrays: dict[str, np.ndarray], seed: list[int] | None) -> tuple[float, int, Weights, Weights]:
-        """arrays: x and there of a tile with its halo, counted (cells whose loss counts) and y_<profile>."""
-        x, there, counted = arrays["x"], arrays["there"], arrays["counted"]
-        h, rise, kept = self._forward(w, x, there)
-        total, grad, gh = 0.0, {}, np.zeros_like(h)
-        for p in self.profiles:
-            loss, g = dense.cross_entropy(h @ w[p].T, np.maximum(arrays[f"y_{p}"].astype(np.int64) - 1, 0), counted)
-            total += loss
-            grad[p] = np.einsum("rck,rcd->kd", g, h)
-            gh += g @ w[p]
+        """arrays: x and there of a tile with its halo, counted (cells whose loss counts) and y_<profile>; computed in the precision of x."""
+        w, at = _as(arrays["x"].dtype, w), planes.planes(arrays["there"])
+        x = at.of(arrays["x"])
+        h, rise, kept = self._forward(w, x, at)
+        heads, total, g = self._heads(w, h, arrays, at)
+        by_head = (g @ h.T).reshape(CLASSES, len(self.profiles), -1)
+        grad, gh = {p: by_head[:, i] for i, p in enumerate(self.profiles)}, heads.T @ g
         for k in reversed(range(self.layers)):
-            gh, grad[f"left{k}"], grad[f"right{k}"], grad[f"scorer{k}"] = dense.attention_back(gh, kept[k], w[f"left{k}"], w[f"right{k}"], w[f"scorer{k}"])
-        g = gh * there[..., None] * rise
-        grad |= {"encoder": np.einsum("rcd,rcf->df", g, x), "bias": g.sum(axis=(0, 1))}
-        return total, int(counted.sum()), grad, {}
+            gh, grad[f"left{k}"], grad[f"right{k}"], grad[f"scorer{k}"] = planes.attention_back(gh, kept[k], at, w[f"left{k}"], w[f"right{k}"], w[f"scorer{k}"])
+        g = gh * at.there * rise
+        grad |= {"encoder": g @ x.T, "bias": g.sum(axis=1)}
+        return total, int(arrays["counted"].sum()), grad, {}
 
     def tiling(self, height: int, width: int, tile: int = 128) -> tiles.Tiling:
         return tiles.Tiling(height, width, tile, self.layers)
@@ -161,8 +180,24 @@ class AttentionNet:
         rows = F.array(*[F.struct(F.lit(p).alias("profile"), *[F.col(p)[i].alias(f"p{i + 1}") for i in range(CLASSES)]) for p in profiles])
         return wide.select("node_id", F.inline(rows))
 
-    def packs(self, cells: DataFrame, t: tiles.Tiling) -> DataFrame:
-        """(pack, data) of every tile: cells have the features, y_<profile> and counted (boolean: a cell to learn from)."""
+    def confusion(self, w: Weights, cells: DataFrame, t: tiles.Tiling) -> DataFrame:
+        """profile, y, pred and n over counted cells: as packs, but whole tiles go through all layers at once and only their counts leave them."""
+        shared = cells.sparkSession.sparkContext.broadcast(w)
+        features, profiles, probabilities = self.features, self.profiles, self.probabilities
+
+        def run(table: pa.Table) -> pa.Table:
+            tile = tiles.dense(table, t)
+            counted = tile.values["counted"] & tile.inner
+            if not counted.any():
+                return _counted({})
+            found = probabilities(shared.value, tile.stack(features), tile.there)
+            return _counted({p: _counts(tile.values[f"y_{p}"][counted], found[p][counted].argmax(axis=1)) for p in profiles})
+
+        picked = tiles.spread(_doubles(cells, features).select("node_id", "row", "col", *_compact(features, profiles, "double"), "counted"), t)
+        return _summed(picked.groupBy("tr", "tc").applyInArrow(run, COUNTED))
+
+    def packs(self, cells: DataFrame, t: tiles.Tiling, kind: str = "double") -> DataFrame:
+        """(pack, data) of every tile: cells have the features, y_<profile> and counted (boolean: a cell to learn from). kind: double or float."""
         features, profiles, across = self.features, self.profiles, t.columns()
 
         def run(table: pa.Table) -> pa.Table:
@@ -170,8 +205,7 @@ class AttentionNet:
             arrays = {"x": tile.stack(features), "there": tile.there, "counted": tile.values["counted"] & tile.inner} | {f"y_{p}": tile.values[f"y_{p}"] for p in profiles}
             return pa.table({"pack": [tile.tr * across + tile.tc], "data": [descent.packed(arrays)]})
 
-        columns = [*[f"y_{p}" for p in profiles], "counted"]
-        picked = tiles.spread(_doubles(cells, features).select("node_id", "row", "col", *features, *columns), t)
+        picked = tiles.spread(_doubles(cells, features).select("node_id", "row", "col", *_compact(features, profiles, kind), "counted"), t)
         return picked.groupBy("tr", "tc").applyInArrow(run, "pack long, data binary")
 
 
@@ -202,11 +236,36 @@ class RelationNet:
         return tiles.per_tile(_doubles(cells, features), features, tiles.Tiling(height, width, tile, 1), run, "h array<double>")
 
 
+COUNTED = "profile string, y int, pred int, n long"
+
+
+def _counts(y: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """How often each class (from 1) was given each best class (from 0)."""
+    return np.bincount((y.astype(np.int64) - 1) * CLASSES + best, minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+
+
+def _counted(found: dict[str, np.ndarray]) -> pa.Table:
+    rows = [(p, i + 1, j + 1, int(n)) for p, of in found.items() for (i, j), n in np.ndenumerate(of) if n]
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["profile", "y", "pred", "n"])
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("profile", "y", "pred").agg(F.sum("n").alias("n"))
+
+
+def _as(kind: np.dtype, w: Weights) -> Weights:
+    return {k: x.astype(kind, copy=False) for k, x in w.items()}
+
+
 def _doubles(cells: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles; null ones count as 0."""
     return cells.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
 
 
+def _compact(features: list[str], profiles: tuple[str, ...], kind: str) -> list[Column]:
+    return [*[F.col(c).cast(kind).alias(c) for c in features], *[F.col(f"y_{p}").cast("tinyint").alias(f"y_{p}") for p in profiles]]
+
+
 def perceptron_batches(model: Perceptron, rows: DataFrame, total: int, size: int = 4096, id_col: str = "node_id") -> DataFrame:
     """(pack, data) of rows that have an id, the features and y_<profile>."""
 
@@ -214,5 +273,5 @@ def perceptron_batches(model: Perceptron, rows: DataFrame, total: int, size: int
         x = np.stack([t.column(c).to_numpy() for c in model.features], axis=1)
         return {"x": x} | {f"y_{p}": t.column(f"y_{p}").to_numpy() for p in model.profiles}
 
-    picked = _doubles(rows, model.features).select(id_col, *model.features, *[f"y_{p}" for p in model.profiles])
+    picked = _doubles(rows, model.features).select(id_col, *_compact(model.features, model.profiles, "double"))
     return descent.batches(picked, id_col, size, arrays, total)

@@ -420,9 +420,9 @@ def _(v):
 
 
 def _labelled(v) -> DataFrame:
-    """Cells with a class for each profile (y_<profile>) and their split."""
-    cells = rules.class_columns(v.cells(), dimensions.LIMITS).withColumnsRenamed({p: f"y_{p}" for p in dimensions.PROFILES})
-    return cells.join(v.cell_splits().select("node_id", "split"), "node_id")
+    """Cells with a class for each profile (y_<profile>) and their split, which meets them by their block."""
+    cells = rules.class_columns(split.block_ids(v.cells(), km=0.5), dimensions.LIMITS).withColumnsRenamed({p: f"y_{p}" for p in dimensions.PROFILES})
+    return cells.join(v.splits(), "block_id")
 
 
 def _test_scores(v, preds: DataFrame) -> DataFrame:
@@ -446,12 +446,12 @@ def _(v):
     net = models.AttentionNet(dimensions.PROFILES, NETWORK_FEATURES, layers=2)
     t = net.tiling(height, width, tile=32)
     cells = _labelled(v)
-    packs = {s: descent.write_packs(net.packs(cells.withColumn("counted", F.col("split") == s), t), 1) for s in ("train", "val")}
+    counting = {s: cells.withColumn("counted", F.col("split") == s) for s in ("train", "val", "test")}
+    packs = {s: descent.write_packs(net.packs(counting[s], t, "float"), 1) for s in ("train", "val")}
     at = checkpoints.Checkpoints(v.spark, files.work_path(v.spark, "attention"))
     descent.descend(net, descent.State(net.start(16)), packs["train"], 8, 2e-2, descent.cosine, clip=1.0, validation=packs["val"], patience=6, checkpoints=at)
     best = descent.load_state(at, "best")
-    probs = net.infer(best.weights, v.cells(), net.tiling(height, width))
-    return _test_scores(v, probs.select("node_id", "profile", S.first_argmax([F.col(f"p{i}") for i in (1, 2, 3)]).alias("pred")))
+    return r6(metrics.scores(net.confusion(best.weights, counting["test"], net.tiling(height, width)), ["profile"]))
 
 
 @query("relation_forward")
