@@ -57,37 +57,47 @@ class Perceptron:
         return sum(dense.cross_entropy(self.logits(w, p, arrays["x"]), arrays[f"y_{p}"].astype(np.int64) - 1, np.ones(n, bool))[0] for p in self.profiles), n
 
     def gradients(self, w: Weights, arrays: dict[str, np.ndarray], seed: list[int] | None) -> tuple[float, int, Weights, Weights]:
-        x, total, grad, tend = arrays["x"], 0.0, {}, {}
-        n = len(x)
+        if seed is None:
+            return *self.loss(w, arrays), {}, {}
+        w, n, (x, centre, spread), total, grad, tend = _as(arrays["x"].dtype, w), len(arrays["x"]), _centred(arrays["x"]), 0.0, {}, {}
+        more = 1 / (1 - self.dropout)  # dropout's factor goes with the weights
         for number, p in self.numbered:
-            y = arrays[f"y_{p}"].astype(np.int64) - 1
-            if seed is None:
-                total += dense.cross_entropy(self.logits(w, p, x), y, np.ones(n, bool))[0]
-                continue
-            rng = np.random.default_rng([*seed, number])
-            a = x @ w[f"{p}/w1"].T + w[f"{p}/b1"]
-            mean, var = a.mean(axis=0), a.var(axis=0)
+            kept = self._kept([*seed, number], n)
+            # batch norm of a linear map follows from the inputs' mean and covariance, so that it takes no pass of its own over the hidden units
+            w1, scale = w[f"{p}/w1"], w[f"{p}/scale"]
+            var = np.einsum("oi,ij,oj->o", w1, spread, w1)
             rise = 1 / np.sqrt(var + 1e-5)
-            normal = (a - mean) * rise
-            z1 = normal * w[f"{p}/scale"] + w[f"{p}/shift"]
-            keep1 = (rng.random(z1.shape) >= self.dropout) / (1 - self.dropout) * (z1 > 0)
-            h1 = z1 * keep1
-            z2 = h1 @ w[f"{p}/w2"].T + w[f"{p}/b2"]
-            keep2 = (rng.random(z2.shape) >= self.dropout) / (1 - self.dropout) * (z2 > 0)
-            h2 = z2 * keep2
-            loss, g = dense.cross_entropy(h2 @ w[f"{p}/w3"].T + w[f"{p}/b3"], y, np.ones(n, bool))
+            normal = w1 * rise[:, None]
+            a1 = np.concatenate([normal * scale[:, None], w[f"{p}/shift"][:, None]], axis=1)
+            a2, a3 = (np.concatenate([w[f"{p}/w{k}"] * more, w[f"{p}/b{k}"][:, None]], axis=1) for k in (2, 3))
+            h1, on1 = _rectified(a1 @ x, kept[: self.hidden])
+            h2, on2 = _rectified(a2 @ h1, kept[self.hidden :])
+            loss, g = dense.cross_entropy_by_class(np.stack([row @ h2 for row in a3]), arrays[f"y_{p}"])  # row by row, which is faster for three
             total += loss
-            grad |= {f"{p}/w3": g.T @ h2, f"{p}/b3": g.sum(axis=0)}
-            g = g @ w[f"{p}/w3"] * keep2
-            grad |= {f"{p}/w2": g.T @ h1, f"{p}/b2": g.sum(axis=0)}
-            g = g @ w[f"{p}/w2"] * keep1
-            grad |= {f"{p}/scale": (g * normal).sum(axis=0), f"{p}/shift": g.sum(axis=0)}
-            g = g * w[f"{p}/scale"]
-            g = rise * (g - g.mean(axis=0) - normal * (g * normal).mean(axis=0))
-            grad |= {f"{p}/w1": g.T @ x, f"{p}/b1": g.sum(axis=0)}
-            tend |= {f"{p}/mean": mean, f"{p}/var": var * n / max(1, n - 1)}
+            g3 = np.stack([h2 @ row for row in g])
+            g = a3[:, :-1].T @ g
+            g *= on2
+            g2 = g @ h1.T
+            g = a2[:, :-1].T @ g
+            g *= on1
+            g1 = g @ x.T
+            g_scale = (g1[:, :-1] * normal).sum(axis=1)
+            grad |= {f"{p}/w3": g3[:, :-1] * more, f"{p}/b3": g3[:, -1], f"{p}/w2": g2[:, :-1] * more, f"{p}/b2": g2[:, -1], f"{p}/scale": g_scale, f"{p}/shift": g1[:, -1]}
+            # what batch norm takes off, the mean and the part along normal; a constant before it, such as b1, is taken off whole
+            grad |= {f"{p}/w1": (rise * scale)[:, None] * (g1[:, :-1] - g_scale[:, None] * (normal @ spread)), f"{p}/b1": np.zeros_like(rise)}
+            tend |= {f"{p}/mean": w1 @ centre + w[f"{p}/b1"], f"{p}/var": var * n / max(1, n - 1)}
         return total, n, grad, tend
 
+    def _kept(self, seed: list[int], n: int) -> np.ndarray:
+        """Which units dropout keeps, (units of both hidden layers, rows)."""
+        units, of, bits = self.hidden + self.hidden // 2, 2**16, np.random.SFC64(seed)
+        drawn = bits.random_raw(-(-units * n // 4)).view(np.uint16)[: units * n]
+        whole, part = divmod(self.dropout * of, 1)
+        kept = drawn > int(whole)
+        edge = np.flatnonzero(drawn == int(whole))  # of these a part, so that the share is exact
+        kept[edge] = np.random.Generator(bits).random(len(edge)) >= part
+        return kept.reshape(units, n)
+
     def predict(self, w: Weights, rows: DataFrame, id_col: str = "node_id") -> DataFrame:
         """id, profile, pred (from 1) for every row."""
         ship(rows.sparkSession)
@@ -102,6 +112,22 @@ class Perceptron:
 
         return rows.select(F.col(id_col).cast("long").alias(id_col), *features).mapInArrow(run, f"{id_col} long, profile string, pred int")
 
+    def confusion(self, w: Weights, rows: DataFrame) -> DataFrame:
+        """profile, y, pred and n over rows that have the features and y_<profile>: a task counts its own."""
+        ship(rows.sparkSession)
+        features, profiles, logits = self.features, self.profiles, self.logits
+        shared = rows.sparkSession.sparkContext.broadcast(w)
+
+        def run(batches):
+            found = {p: np.zeros((CLASSES, CLASSES), np.int64) for p in profiles}
+            for b in batches:
+                x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in features], axis=1)
+                for p in profiles:
+                    found[p] += _counts(b.column(f"y_{p}").to_numpy(zero_copy_only=False), logits(shared.value, p, x).argmax(axis=1))
+            yield from _counted(found).to_batches()
+
+        return _summed(_doubles(rows, features).select(*_compact(features, profiles, "double")).mapInArrow(run, COUNTED))
+
 
 class AttentionNet:
     """A linear encoder and GELU, layers of attention over neighbours, a head of logits for each profile."""
@@ -257,6 +283,24 @@ def _as(kind: np.dtype, w: Weights) -> Weights:
     return {k: x.astype(kind, copy=False) for k, x in w.items()}
 
 
+def _rectified(z: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """z where it is above 0 and kept, with a last row of ones for biases, and where that is. What is not a number stays so."""
+    on = z > 0
+    on &= kept
+    out = np.empty((len(z) + 1, z.shape[1]), z.dtype)
+    np.multiply(z, on, out=out[:-1])
+    out[-1] = 1
+    return out, on
+
+
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (n, features) as columns around their mean, with a last row of ones; the mean; the covariance."""
+    centre = x.mean(axis=0, dtype=np.float64).astype(x.dtype)
+    out = np.ones((x.shape[1] + 1, len(x)), x.dtype)
+    np.subtract(x.T, centre[:, None], out=out[:-1])
+    return out, centre, out[:-1] @ out[:-1].T / len(x)
+
+
 def _doubles(cells: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles; null ones count as 0."""
     return cells.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
@@ -266,12 +310,12 @@ def _compact(features: list[str], profiles: tuple[str, ...], kind: str) -> list[
     return [*[F.col(c).cast(kind).alias(c) for c in features], *[F.col(f"y_{p}").cast("tinyint").alias(f"y_{p}") for p in profiles]]
 
 
-def perceptron_batches(model: Perceptron, rows: DataFrame, total: int, size: int = 4096, id_col: str = "node_id") -> DataFrame:
-    """(pack, data) of rows that have an id, the features and y_<profile>."""
+def perceptron_batches(model: Perceptron, rows: DataFrame, total: int, size: int = 4096, id_col: str = "node_id", kind: str = "double") -> DataFrame:
+    """(pack, data) of rows that have an id, the features and y_<profile>. kind: double or float, the precision of gradients."""
 
     def arrays(t: pa.Table) -> dict[str, np.ndarray]:
         x = np.stack([t.column(c).to_numpy() for c in model.features], axis=1)
         return {"x": x} | {f"y_{p}": t.column(f"y_{p}").to_numpy() for p in model.profiles}
 
-    picked = _doubles(rows, model.features).select(id_col, *_compact(model.features, model.profiles, "double"))
+    picked = _doubles(rows, model.features).select(id_col, *_compact(model.features, model.profiles, kind))
     return descent.batches(picked, id_col, size, arrays, total)

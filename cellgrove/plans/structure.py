@@ -425,18 +425,13 @@ def _labelled(v) -> DataFrame:
     return cells.join(v.splits(), "block_id")
 
 
-def _test_scores(v, preds: DataFrame) -> DataFrame:
-    """Scores by profile of (node_id, profile, pred) over the test cells."""
-    tested = v.labels().join(v.cell_splits().where("split = 'test'").select("node_id"), "node_id", "left_semi")
-    return r6(metrics.scores(metrics.cube(preds.join(tested, ["node_id", "profile"]), ["profile"]), ["profile"]))
-
-
 def perceptron_scores(v, features: list[str], epochs: int = 50) -> DataFrame:
     net = models.Perceptron(dimensions.PROFILES, features)
-    train = _labelled(v).where("split = 'train'")
-    packs = descent.write_packs(models.perceptron_batches(net, train, train.count()), 1)
+    cells = _labelled(v)
+    train = cells.where("split = 'train'")
+    packs = descent.write_packs(models.perceptron_batches(net, train, train.count(), kind="float"), 1)
     trained = descent.descend(net, descent.State(net.start()), packs, epochs)
-    return _test_scores(v, net.predict(trained.weights, v.cells())).withColumn("split", F.lit("test"))
+    return r6(metrics.scores(net.confusion(trained.weights, cells.where("split = 'test'")), ["profile"])).withColumn("split", F.lit("test"))
 
 
 @query("attention_trained")
