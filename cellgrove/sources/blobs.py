@@ -6,6 +6,7 @@ no index. Readers fetch single rows in the order they like and hold one at a tim
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,9 @@ PLACE = "file string, start long, length long"
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    """Local addresses may hold spaces and the like, as they may for Spark."""
+    local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
+    return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(path)
 
 
 def store(rows: DataFrame, path: str, data: str = "data") -> DataFrame:

@@ -64,7 +64,7 @@ def test_packs_keep_arrays_and_types():
 
 def test_blobs_are_fetched_from_the_index(spark, tmp_path):
     rows = spark.range(40).select("id", F.when(F.col("id") == 7, F.encode(F.lit(""), "utf-8")).otherwise(F.encode(F.repeat(F.lit("ab"), F.col("id").cast("int") * 100), "utf-8")).alias("data")).repartition(6)
-    path = f"file://{tmp_path}/blobs"
+    path = f"file://{tmp_path}/blobs of rows"
     index = blobs.store(rows, path)
     assert index.columns == ["id", "file", "start", "length"] and index.count() == 40
     got = {r["id"]: bytes(r["data"]) for r in blobs.fetched(index.where("id % 2 = 1"), path, 3).collect()}
